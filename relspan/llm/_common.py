@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Stands for a null document id wherever ids are ordered or joined.
 NULL_ID = -(2**63)
 #: Python workers get their rows in batches of at most so many rows and bytes.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 20_000, 4 << 20
 _REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
