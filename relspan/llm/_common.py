@@ -107,3 +107,17 @@ def uncollected(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Ite
             gc.enable()
 
     return quiet
+
+
+def filtered(df: DataFrame, column: str, keep: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows of df for whose values of the column keep() is true, with all columns as they are, whatever their names."""
+    prepare(df.sparkSession)
+    names = df.columns
+    at = ([i for i, c in enumerate(names) if c == column] or [i for i, c in enumerate(names) if c.lower() == column.lower()])[0]
+    flat = df.toDF(*(f"_in{i}" for i in range(len(names))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
+
+    return flat.mapInArrow(uncollected(run), flat.schema).toDF(*names)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relspan.llm._common import pick, prepare
+from relspan.llm._common import filtered, pick, prepare
 
 #: Length of the vectors, letters in an n-gram, documents and n-grams that are multiplied at once.
 DIM, ORDER, DOCS, GRAMS = 1024, 3, 128, 4096
@@ -111,6 +111,16 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return [lang for lang, _ in kept], np.array([v / np.linalg.norm(v) for _, v in kept]).reshape(len(kept), DIM)
 
 
+def predicted(texts: list[str | None], languages: list[str], prototypes: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text, as classify() says."""
+    v, known = bundles(texts)
+    if not languages:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    cosines = (v @ prototypes.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    score = np.where(known, np.clip(cosines.max(axis=1), 0, 1), 0.0)
+    return [languages[b] if k else UNKNOWN for b, k in zip(cosines.argmax(axis=1), known, strict=True)], score
+
+
 def classify(docs: DataFrame, languages: list[str], prototypes: np.ndarray) -> DataFrame:
     """Adds lang_pred and score to the columns of docs, which must have text and neither of these.
 
@@ -122,19 +132,13 @@ def classify(docs: DataFrame, languages: list[str], prototypes: np.ndarray) -> D
     prepare(docs.sparkSession)
     names, text = docs.columns, docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    protos = prototypes.T.copy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, DOCS):
                 batch = whole.slice(i, DOCS)
-                v, known = bundles(batch.column(text).to_pylist())
-                best, score = np.zeros(len(v), int), np.zeros(len(v))
-                if languages:
-                    cosines = (v @ protos) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                    best, score = cosines.argmax(axis=1), np.clip(cosines.max(axis=1), 0, 1)
-                preds = [languages[b] if k and languages else UNKNOWN for b, k in zip(best, known, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(np.where(known, score, 0.0))], names=[*names, "lang_pred", "score"])
+                preds, scores = predicted(batch.column(text).to_pylist(), languages, prototypes)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)
 
@@ -155,3 +159,18 @@ def identify(docs: DataFrame, fold: int = 2, of: int = 4) -> DataFrame:
     rows = pick(docs, doc_id="long", text="string", lang="string").withColumn("held_out", held_out(fold, of))
     languages, prototypes = learn(rows.where("not held_out"))
     return classify(rows.select("doc_id", "held_out", "text"), languages, prototypes).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, fold: int = 2, of: int = 4) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in a known language; rejected are those that identify() calls `und`.
+
+    The languages are learned as in identify(). A text counts as rejected if
+    it is null, has no letter, or no language was learned.
+    """
+    rows = pick(docs, doc_id="long", text="string", lang="string").withColumn("held_out", held_out(fold, of))
+    languages, prototypes = learn(rows.where("not held_out"))
+
+    def keep(texts: list[str | None]) -> list[bool]:
+        return [p != UNKNOWN for i in range(0, len(texts), DOCS) for p in predicted(texts[i : i + DOCS], languages, prototypes)[0]]
+
+    return filtered(docs, "text", keep)

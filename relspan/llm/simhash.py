@@ -10,9 +10,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relspan.llm._common import NULL_ID, pick, prepare, stored, tasks, uncollected
 from relspan.llm.components import connected_components
+from relspan.llm.suffix_dedup import DocFilter
 
 BITS = 64
 #: Buckets with more fingerprints than TILE are compared in pairs of tiles, each in a group of its own.
@@ -235,3 +237,34 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     named = rooted.join(ids, "root").select("fp", "component")
     out = marked.join(named, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.expr(f"nullif(component, {NULL_ID})").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of docs, with all their columns, of one document of each component of near_duplicates(): the least doc_id.
+
+    Rows that repeat that id and their text leave one; rows of that id with
+    another text stay, unless their component has a lesser id. Only documents
+    that a fixed-size filter takes for dropped ones are shuffled to be sure,
+    unless ids repeat.
+    """
+    names = docs.columns
+    at = ([i for i, c in enumerate(names) if c == "doc_id"] or [i for i, c in enumerate(names) if c.lower() == "doc_id"])[0]
+    flat = docs.toDF(*(f"_in{i}" for i in range(len(names))))
+    marked = near_duplicates(docs, width, radius).withColumn("least", F.expr("component_id <=> doc_id"))
+    dropped = stored(marked.where("not least").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "fingerprint"), "dropped")
+    key = F.coalesce(F.col(f"_in{at}").cast("long"), F.lit(NULL_ID))
+    ids = pick(docs, doc_id="long").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if ids.isEmpty():
+        dropped = dropped.withColumn("rank", F.lit(0))
+        keyed, chosen = flat.withColumn("key", key).withColumn("rank", F.lit(0)), DocFilter(dropped)
+        out = chosen.split(keyed, rest=False).join(dropped.select("key"), "key", "left_anti").select(*flat.columns)
+        return out.union(chosen.split(keyed, rest=True).select(*flat.columns)).toDF(*names)
+    text = ([i for i, c in enumerate(names) if c == "text"] or [i for i, c in enumerate(names) if c.lower() == "text"])[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("_fp", pa.array([f"{simhash(t or '', width):016x}" for t in batch.column(text).to_pylist()], pa.string()))
+
+    own = flat.mapInArrow(run, T.StructType([*flat.schema.fields, T.StructField("_fp", T.StringType())])).withColumn("_key", key)
+    out = own.join(dropped, (F.col("_key") == F.col("key")) & (F.col("_fp") == F.col("fingerprint")), "left_anti").dropDuplicates(["_key", f"_in{text}"])
+    return out.drop("_key", "_fp").toDF(*names)

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relspan.llm._common import NULL_ID, pick, prepare, sliced, stored, tasks
 
@@ -159,9 +160,17 @@ def repeats(key: np.ndarray, doc: np.ndarray, rank: np.ndarray, lo: np.ndarray,
     return owner[order][late], p[late]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """key (doc_id, or the least long for null), rank (0 unless texts differ under one id), doc_id, text."""
-    rows = pick(docs, doc_id="long", text="string").withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID)))
+def _keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """key (doc_id, or the least long for null), rank (0 unless texts differ under one id), doc_id, text, and, if whole, the row."""
+    if whole:
+        names = docs.columns
+        flat = docs.toDF(*(f"_in{i}" for i in range(len(names))))
+        at = {c: ([i for i, n in enumerate(names) if n == c] or [i for i, n in enumerate(names) if n.lower() == c])[0] for c in ("doc_id", "text")}
+        rest = F.struct(*(F.lit(None).cast("string").alias(c) if i == at["text"] else F.col(c) for i, c in enumerate(flat.columns)))
+        rows = flat.select(F.col(f"_in{at['doc_id']}").cast("long").alias("doc_id"), F.col(f"_in{at['text']}").cast("string").alias("text"), rest.alias("row"))
+    else:
+        rows = pick(docs, doc_id="long", text="string")
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID)))
     twice = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     if twice.isEmpty():
         return rows.withColumn("rank", F.lit(0).cast("int"))
@@ -170,7 +179,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     hashed = rows.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = hashed.join(twice, "key", "left_semi").select("key", "hash").distinct()
     ranks = texts.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("hash")))
-    return hashed.join(ranks, ["key", "hash"], "left").select("key", F.coalesce("rank", F.lit(0)).alias("rank"), "doc_id", "text")
+    return hashed.join(ranks, ["key", "hash"], "left").withColumn("rank", F.coalesce("rank", F.lit(0))).drop("hash")
 
 
 _LOCAL = "gram long, piece long, key long, rank int, lo long, n int, a int"
@@ -286,17 +295,17 @@ class DocFilter:
         self.table[got.column(0).to_numpy()] = got.column(1).to_numpy().astype(np.uint32)
 
     def split(self, docs: DataFrame, rest: bool) -> DataFrame:
-        """The rows (key, rank, doc_id, text) that may be in the filter, or the rest; whole rows, unchanged."""
+        """The rows that may be in the filter, or the rest, unchanged."""
         table, bits = self.table, self.BITS
         marked = docs.withColumn("at", F.pmod(F.xxhash64("key", "rank"), F.lit(1 << bits)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch.column(4).to_numpy()
+                at = batch.column(batch.num_columns - 1).to_numpy()
                 hit = (table[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
-                yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(hit != rest))
+                yield batch.filter(pa.array(hit != rest))
 
-        return marked.select("key", "rank", "doc_id", "text", "at").mapInArrow(run, "key long, rank int, doc_id long, text string")
+        return marked.mapInArrow(run, marked.schema).drop("at")
 
 
 def repeated_spans(docs: DataFrame, span: int = 100, gram: int = GRAM, group: int = 4096) -> DataFrame:
@@ -309,7 +318,7 @@ def repeated_spans(docs: DataFrame, span: int = 100, gram: int = GRAM, group: in
     pieces = found.where("kind = 0")
     sizes = pieces.groupBy("gram").agg(F.count("*").alias("size")).where(F.col("size") > group).select("gram", F.lit(True).alias("large"))
     wanted = pieces.join(sizes, "gram", "left").groupBy("key", "rank").agg(F.collect_list(F.struct("gram", "lo", "n", "a", F.coalesce("large", F.lit(False)).alias("large"))).alias("pieces"))
-    held = DocFilter(pieces.select("key", "rank")).split(docs, rest=False).select("key", "rank", "text").join(wanted, ["key", "rank"])
+    held = DocFilter(pieces.select("key", "rank")).split(docs.select("key", "rank", "text"), rest=False).join(wanted, ["key", "rank"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.bool_(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
@@ -441,7 +450,7 @@ def dedup(docs: DataFrame, span: int = 100, digests: bool = False, **how) -> Dat
     pieces is dealt by its windows and their places instead, so a range can end
     within equal windows, which are then compared across the boundary.
     """
-    docs = _keyed(docs)
+    docs = _keyed(docs).select("key", "rank", "doc_id", "text")
     spans = stored(repeated_spans(docs, span, **how), "spans")
     chosen = DocFilter(spans.select("key", "rank"))
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
@@ -461,3 +470,32 @@ def dedup(docs: DataFrame, span: int = 100, digests: bool = False, **how) -> Dat
 
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} string"
     return joined.mapInArrow(run, schema).union(rest.mapInArrow(run, schema))
+
+
+def dedup_rows(docs: DataFrame, span: int = 100, **how) -> DataFrame:
+    """The rows of docs with all their columns, texts without what dedup() removes, and n_chars, if there, set to the new length.
+
+    Rows stay, even those whose text becomes empty; a null text stays null.
+    """
+    keyed = _keyed(docs, whole=True)
+    spans = stored(repeated_spans(keyed, span, **how), "spans")
+    chosen = DocFilter(spans.select("key", "rank"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [kept(t.encode("utf-8"), [(x["lo"], x["hi"]) for x in own or ()])[0].decode("utf-8", "ignore") for t, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2)], names=["text", "row"])
+
+    joined = chosen.split(keyed, rest=False).join(spans, ["key", "rank"], "left")
+    row = joined.schema["row"]
+    changed = joined.where("spans is not null").select("text", "spans", "row").mapInArrow(run, T.StructType([T.StructField("text", T.StringType()), row]))
+    out = changed.unionByName(joined.where("spans is null").select("text", "row")).unionByName(chosen.split(keyed, rest=True).select("text", "row"))
+    names = docs.columns
+    at = [i for i, n in enumerate(names) if n == "text"] or [i for i, n in enumerate(names) if n.lower() == "text"]
+    columns = []
+    for i, field in enumerate(docs.schema.fields):
+        value = F.col("text") if i == at[0] else F.col(f"row._in{i}")
+        if field.name == "n_chars":
+            value = F.length("text").cast(field.dataType)
+        columns.append(value.alias(f"_out{i}"))
+    return out.select(*columns).toDF(*names)
