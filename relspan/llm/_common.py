@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -96,6 +97,15 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         yield batch.slice(start)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a Python worker outlives its task, and the next ones need the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def uncollected(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """Runs without cyclic garbage collection: lists of millions of strings are no cycles, and walking them is slow."""
 
@@ -105,6 +115,7 @@ def uncollected(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Ite
             yield from run(batches)
         finally:
             gc.enable()
+            trim()
 
     return quiet
 

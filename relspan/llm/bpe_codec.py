@@ -18,7 +18,7 @@ from relspan.llm._common import pick, prepare, sliced, uncollected
 #: Chunks in code points: cuts are likely from LEAST on, one in MEAN, forced at MOST.
 LEAST, MEAN, MOST = 64, 256, 1024
 #: A task holds at most so many distinct pre-tokens, and so many code points of chunks.
-HELD_WORDS, HELD_CHARS = 300_000, 4_000_000
+HELD_WORDS, HELD_CHARS = 120_000, 1_000_000
 _GEAR = np.random.default_rng(5).integers(0, 2**32, 4096, dtype=np.uint32)
 
 
@@ -162,7 +162,7 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = held_codec(vocabulary)
-        for batch in sliced(batches, most=4 << 20):
+        for batch in sliced(batches, most=1 << 20):
             ids = codec([t or "" for t in batch.column(1).to_pylist()])
             flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
@@ -200,7 +200,7 @@ def digests(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = held_codec(vocabulary)
-        for batch in sliced(batches, most=4 << 20):
+        for batch in sliced(batches, most=1 << 20):
             ids = codec([t or "" for t in batch.column(1).to_pylist()])
             decoded = [codec.bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
             yield pa.RecordBatch.from_arrays(

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relspan.llm._common import filtered, pick, prepare
+from relspan.llm._common import filtered, pick, prepare, uncollected
 
 #: Length of the vectors, letters in an n-gram, documents and n-grams that are multiplied at once.
-DIM, ORDER, DOCS, GRAMS = 1024, 3, 128, 4096
+DIM, ORDER, DOCS, GRAMS = 1024, 3, 96, 2048
 UNKNOWN = "und"
 _BITS = 21  # of a code point in an n-gram's code
 
@@ -105,7 +105,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(v)], names=["lang", "dim", "value"])
 
     rows = pick(docs, text="string", lang="string").where("lang is not null and text is not null")
-    total = rows.mapInArrow(run, "lang string, dim int, value long").groupBy("lang", "dim").agg(F.sum("value").alias("value")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("v"))
+    total = rows.mapInArrow(uncollected(run), "lang string, dim int, value long").groupBy("lang", "dim").agg(F.sum("value").alias("value")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("v"))
     found = sorted((r["lang"], [x["value"] for x in r["v"]]) for r in total.collect())  # DIM numbers a language
     kept = [(lang, np.array(v, np.float64)) for lang, v in found if any(v)]
     return [lang for lang, _ in kept], np.array([v / np.linalg.norm(v) for _, v in kept]).reshape(len(kept), DIM)
@@ -140,7 +140,7 @@ def classify(docs: DataFrame, languages: list[str], prototypes: np.ndarray) -> D
                 preds, scores = predicted(batch.column(text).to_pylist(), languages, prototypes)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(uncollected(run), schema)
 
 
 def held_out(fold: int, of: int):

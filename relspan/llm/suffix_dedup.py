@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relspan.llm._common import NULL_ID, pick, prepare, sliced, stored, tasks
+from relspan.llm._common import NULL_ID, pick, prepare, sliced, stored, tasks, uncollected
 
 #: Bytes of the strings at whose start the sampled suffixes are, below SPAN.
 GRAM = 40
 #: Bytes of text that are sketched at once; positions in them take 24 bits.
-BLOCK = 1 << 20
+BLOCK = 256 << 10
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -305,16 +305,16 @@ class DocFilter:
                 hit = (table[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
                 yield batch.filter(pa.array(hit != rest))
 
-        return marked.mapInArrow(run, marked.schema).drop("at")
+        return marked.mapInArrow(uncollected(run), marked.schema).drop("at")
 
 
 def repeated_spans(docs: DataFrame, span: int = 100, gram: int = GRAM, group: int = 4096) -> DataFrame:
     """(key, rank, spans): the bytes to remove of each keyed document that has any, as intervals lo, hi. See dedup()."""
     spark = prepare(docs.sparkSession)
     n = tasks(spark, docs)
-    local = docs.select("key", "rank", "doc_id", "text").mapInArrow(_sketch(span, gram), _LOCAL)
+    local = docs.select("key", "rank", "doc_id", "text").mapInArrow(uncollected(_sketch(span, gram)), _LOCAL)
     ordered = local.repartition(n, "gram").sortWithinPartitions("gram", "piece", "key", "rank", "lo")
-    found = stored(ordered.mapInArrow(_compare(span), _FOUND), "pieces")
+    found = stored(ordered.mapInArrow(uncollected(_compare(span)), _FOUND), "pieces")
     pieces = found.where("kind = 0")
     sizes = pieces.groupBy("gram").agg(F.count("*").alias("size")).where(F.col("size") > group).select("gram", F.lit(True).alias("large"))
     wanted = pieces.join(sizes, "gram", "left").groupBy("key", "rank").agg(F.collect_list(F.struct("gram", "lo", "n", "a", F.coalesce("large", F.lit(False)).alias("large"))).alias("pieces"))
@@ -335,15 +335,15 @@ def repeated_spans(docs: DataFrame, span: int = 100, gram: int = GRAM, group: in
                         out.append((False, data[at : at + gram], key, rank, lo, data[lo : lo + count + span - 1]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["large", "lead", "key", "rank", "lo", "bytes"])
 
-    suffixes = stored(held.mapInArrow(cut, "large boolean, lead binary, key long, rank int, lo long, bytes binary"), "suffixes")
+    suffixes = stored(held.mapInArrow(uncollected(cut), "large boolean, lead binary, key long, rank int, lo long, bytes binary"), "suffixes")
     small = suffixes.where("not large").select("lead", "key", "rank", "lo", "bytes").repartitionByRange(n, "lead").sortWithinPartitions("lead", "key", "rank", "lo")
     large = suffixes.where("large").select("lead", "key", "rank", "lo").repartitionByRange(n, "lead", "key", "rank", "lo").sortWithinPartitions("lead", "key", "rank", "lo")
     spans = found.where("kind = 1").select("key", "rank", "lo", (F.col("lo") + F.col("n")).alias("hi"))
-    spans = spans.union(small.mapInArrow(_within(span), "key long, rank int, lo long, hi long")).union(_across(large, span))
+    spans = spans.union(small.mapInArrow(uncollected(_within(span)), "key long, rank int, lo long, hi long")).union(_across(large, span))
     return spans.groupBy("key", "rank").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
-def _within(span: int, most: int = 8192):
+def _within(span: int, most: int = 1024):
     """Compares the pieces of each gram, over rows sorted by it; about `most` pieces, or one gram's, at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +404,7 @@ def _across(ordered: DataFrame, span: int) -> DataFrame:
         if last is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((me, 2, last, *row), (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["part", "kind", "lead", "key", "rank", "lo"])
 
-    told = stored(ordered.mapInArrow(run, "part int, kind int, lead binary, key long, rank int, lo long"), "suffix-order")
+    told = stored(ordered.mapInArrow(uncollected(run), "part int, kind int, lead binary, key long, rank int, lo long"), "suffix-order")
     late, before = [], None
     for r in sorted(told.where("kind > 0").collect(), key=lambda r: (r["part"], r["kind"])):  # two a partition
         if r["kind"] == 1 and before is not None and bytes(r["lead"]) == bytes(before["lead"]) and (r["key"], r["rank"], r["lo"]) != (before["key"], before["rank"], before["lo"]):
@@ -469,7 +469,7 @@ def dedup(docs: DataFrame, span: int = 100, digests: bool = False, **how) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", last])
 
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} string"
-    return joined.mapInArrow(run, schema).union(rest.mapInArrow(run, schema))
+    return joined.mapInArrow(uncollected(run), schema).union(rest.mapInArrow(uncollected(run), schema))
 
 
 def dedup_rows(docs: DataFrame, span: int = 100, **how) -> DataFrame:
@@ -488,7 +488,7 @@ def dedup_rows(docs: DataFrame, span: int = 100, **how) -> DataFrame:
 
     joined = chosen.split(keyed, rest=False).join(spans, ["key", "rank"], "left")
     row = joined.schema["row"]
-    changed = joined.where("spans is not null").select("text", "spans", "row").mapInArrow(run, T.StructType([T.StructField("text", T.StringType()), row]))
+    changed = joined.where("spans is not null").select("text", "spans", "row").mapInArrow(uncollected(run), T.StructType([T.StructField("text", T.StringType()), row]))
     out = changed.unionByName(joined.where("spans is null").select("text", "row")).unionByName(chosen.split(keyed, rest=True).select("text", "row"))
     names = docs.columns
     at = [i for i, n in enumerate(names) if n == "text"] or [i for i, n in enumerate(names) if n.lower() == "text"]
