@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relspan.operators import distributions as D
+from relspan.operators import facts as A
 from relspan.operators import satisfy as K
 from relspan.operators import text as T
-from relspan.plans import sql
+from relspan.operators import vectors as V
+from relspan.plans import patches, sql
 from relspan.plans.catalog import TESTDATA, read
 from relspan.plans.relation import Aggregate, Arith, Base, Col, Fanout, Filter, IfThen, Join, Lit, Compare, Project, compiled
 
@@ -330,3 +332,85 @@ _WEIGHT = "(1 + ln(c)) * (ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + d
 def tfidf_topk(spark, sf_dir):
     items = read(spark, sf_dir, "BENCHMARK")
     return T.top_matches(T.tfidf(items, "item_id", "text"), "item_id", _docs(spark, sf_dir), "doc_id", "text", items, "text")
+
+
+@query("token_openings", "SELECT opening, count(*) AS n FROM (SELECT array_to_string(regexp_split_to_array(trim(lower(text)), '\\s+')[1:6], ' ') AS opening FROM documents WHERE text IS NOT NULL) GROUP BY 1 HAVING count(*) > 1")
+def token_openings(spark, sf_dir):
+    return T.openings(_docs(spark, sf_dir).where("text IS NOT NULL"))
+
+
+@query("discreteness", "SELECT 'l_quantity' AS name, avg((l_quantity = round(l_quantity))::INT) >= 0.95 AND count(DISTINCT l_quantity) <= 500 AS discrete FROM lineitem UNION ALL SELECT 'l_extendedprice', avg((l_extendedprice = round(l_extendedprice))::INT) >= 0.95 AND count(DISTINCT l_extendedprice) <= 500 FROM lineitem")
+def discreteness(spark, sf_dir):
+    found = D.summarize(read(spark, sf_dir, "LINEITEM"), ["l_quantity", "l_extendedprice"])
+    return spark.createDataFrame([(n, bool(s["share_whole"] >= 0.95 and s["distinct"] <= 500)) for n, s in found.items()], "name string, discrete boolean")
+
+
+# embeddings
+
+_COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+@query("cosine_pairs", f"SELECT a.vec_id AS query, b.vec_id AS row, round({_COS}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label <> b.label WHERE a.vec_id % 50 = 0 AND {_COS} >= 0.3")
+def cosine_pairs(spark, sf_dir):
+    rows = read(spark, sf_dir, "EMBEDDINGS")
+    return V.pairs(rows.where("vec_id % 50 = 0"), rows, "vec_id", "embedding", "label", 0.3).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("similarity_stats", f"SELECT a.label AS shard, any_value(n) AS n, round(avg({_COS}), 6) AS mean_cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) c ON c.label = a.label GROUP BY 1")
+def similarity_stats(spark, sf_dir):
+    return V.pair_moments(read(spark, sf_dir, "EMBEDDINGS"), "embedding", "label").withColumn("mean_cosine", F.round("mean_cosine", 6))
+
+
+# facts
+
+
+@query("token_estimate", "SELECT doc_id, (floor(length(text) / 4) + 8)::INTEGER AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", A.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("uncovered_facts", "SELECT doc_id AS fact_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def uncovered_facts(spark, sf_dir):
+    return A.uncovered(_docs(spark, sf_dir).select(F.col("doc_id").alias("fact_id")), read(spark, sf_dir, "LABELS").select(F.col("doc_id").alias("fact_id")))
+
+
+@query("fact_registry", "SELECT \"table\", string_agg(n_nationkey, ',' ORDER BY n_nationkey) AS facts FROM (SELECT r_name AS \"table\", n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY 1")
+def fact_registry(spark, sf_dir):
+    of = read(spark, sf_dir, "NATION").join(read(spark, sf_dir, "REGION"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return A.registry(of.select(F.col("r_name").alias("table"), F.col("n_nationkey").alias("fact_id"))).withColumn("facts", F.array_join("facts", ","))
+
+
+@query("fact_allocation", "WITH m AS (SELECT doc_id AS fact_id, CASE name WHEN 'LICENSE' THEN 1 ELSE 0 END AS shard FROM documents, (VALUES ('ORDER', 'orders?'), ('PART', 'parts?'), ('LICENSE', 'licenses?')) v(name, form) WHERE regexp_matches(lower(text), '\\b(' || form || ')\\b')) SELECT DISTINCT fact_id, shard FROM m UNION ALL SELECT doc_id, 0 FROM documents WHERE doc_id NOT IN (SELECT fact_id FROM m)")
+def fact_allocation(spark, sf_dir):
+    docs = _docs(spark, sf_dir).withColumnRenamed("doc_id", "fact_id")
+    shards = spark.createDataFrame([("ORDER", 0), ("PART", 0), ("LICENSE", 1)], "table string, shard int")
+    return A.allocated(T.mentions(docs, "fact_id", "text", ["ORDER", "PART", "LICENSE"]), shards, docs)
+
+
+_NORMAL = "trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))"
+
+
+@query("external_filter", f"WITH d AS (SELECT doc_id, {_NORMAL} AS t FROM documents), f AS (SELECT t, min(doc_id) AS first FROM d GROUP BY 1) SELECT doc_id AS fact_id, CASE WHEN doc_id > first THEN 'DUPLICATE' WHEN doc_id % 7 = 0 THEN 'SELF_REFERENCE' WHEN doc_id - doc_id % 7 NOT IN (SELECT doc_id FROM labels) THEN 'INVALID_REFERENCE' END AS rejection FROM d JOIN f USING (t)")
+def external_filter(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("fact_id"), F.col("text").alias("fact"), F.expr("array(doc_id - doc_id % 7)").alias("refs"), F.lit(None).cast("string").alias("kind"))
+    known = read(spark, sf_dir, "LABELS").select(F.col("doc_id").alias("fact_id"))
+    return A.filter_external(docs, known, []).select("fact_id", "rejection")
+
+
+@query("fact_packing")
+def fact_packing(spark, sf_dir):
+    turns = read(spark, sf_dir, "CONVERSATIONS").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("start"), F.col("turn").alias("end"), F.col("turn").alias("fact_id"), F.col("text").alias("fact"))
+    return A.packed(turns, 64)
+
+
+@query("file_faults", "SELECT 'outside' AS fault, doc_id::VARCHAR AS value, count(*) AS n FROM documents WHERE doc_id NOT BETWEEN 0 AND 100 GROUP BY 2 UNION ALL SELECT 'repeated id', doc_id::VARCHAR, count(*) FROM documents GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'repeated text', sha256(text), count(*) FROM documents WHERE text IS NOT NULL GROUP BY 2 HAVING count(*) > 1")
+def file_faults(spark, sf_dir):
+    return A.file_faults(_docs(spark, sf_dir), 0, 100, key="doc_id")
+
+
+@query("schema_patch_rows", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name AS name, NULL::BIGINT AS size FROM nation")
+def schema_patch_rows(spark, sf_dir):
+    rows, c = {"NATION": read(spark, sf_dir, "NATION")}, TESTDATA
+    for p in ({"action": "rename_column", "table": "NATION", "column": "n_name", "to": "name"}, {"action": "delete_column", "table": "NATION", "column": "n_regionkey"}, {"action": "change_type", "table": "NATION", "column": "n_nationkey", "type": "VARCHAR"}, {"action": "add_column", "table": "NATION", "column": "size", "type": "INTEGER"}):
+        rows, c = patches.tables(rows, c, p), patches.apply(c, [p])[0]
+    return rows["NATION"]
