@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relspan.plans.catalog import Catalog, ForeignKey
+
 # Fixed values.
 ENUM_MARKERS = ["allowed values", "can be one of", "one of:", "enum"]
 DEFINITION_MARKERS = ["defined as", "stands for", "is a measure"]
@@ -105,6 +107,30 @@ def allocated(mentions: DataFrame, shards: DataFrame, facts: DataFrame) -> DataF
     return owned.unionByName(orphans.select("fact_id", "shard"))
 
 
+def stubs(links: DataFrame, shards: DataFrame) -> DataFrame:
+    """shard, table: parents outside a shard that its tables refer to, so that its keys have a table. links: table, parent. shards: table, shard."""
+    needed = links.join(shards, "table").select("shard", F.col("parent").alias("table")).distinct()
+    return needed.join(shards, ["shard", "table"], "left_anti")
+
+
+def best_drafts(drafts: DataFrame, unit: str) -> DataFrame:
+    """One row for each unit: no rejected draft if there is another, of these the one with fewest findings, of these the latest iteration.
+
+    drafts: unit, iteration, rejected (boolean), findings. One pass that combines before the shuffle.
+    """
+    order = F.struct(F.coalesce("rejected", F.lit(False)), F.coalesce("findings", F.lit(0)), -F.col("iteration"))
+    best = drafts.groupBy(unit).agg(F.min_by(F.struct(*(c for c in drafts.columns if c != unit)), order).alias("d"))
+    return best.select(unit, "d.*")
+
+
+def kept_items(items: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Items (item_id, refs array) that cite no fixed fact, one for each set of refs (the least item_id). fixed: fact_id."""
+    hit = items.select("item_id", F.explode("refs").alias("fact_id")).join(fixed.select("fact_id").distinct(), "fact_id", "left_semi").select("item_id").distinct()
+    left = items.join(hit, "item_id", "left_anti").withColumn("_set", F.sort_array(F.array_distinct("refs")))
+    firsts = left.groupBy("_set").agg(F.min("item_id").alias("item_id"))
+    return left.join(firsts.select("item_id"), "item_id", "left_semi").drop("_set")
+
+
 def packed(facts: DataFrame, limit: int, doc: str = "doc_id", chars: float = 4.0) -> DataFrame:
     """The doc's facts (doc, start, end, fact_id, fact) with tokens and chunk (from 0), in order of start, end and fact_id.
 
@@ -163,3 +189,60 @@ def file_faults(rows: DataFrame, low: int, high: int, text: str = "text", key: s
     twice = ids.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated id"), F.col(key).cast("string"), "n")
     texts = rows.where(F.col(text).isNotNull()).groupBy(F.sha2(F.col(text), 256).alias("value")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated text"), "value", "n")
     return outside.union(twice).union(texts)
+
+
+def column_map(c: Catalog, columns: dict[tuple[str, str], set[int]], tables: dict[str, set[int]], links: dict[ForeignKey, set[int]], mentioned: dict[int, set[str]]) -> dict[int, list[tuple[str, str]]]:
+    """The columns that each fact touches, sorted.
+
+    Facts of columns touch these; facts of a table that no column of it has touch
+    its key; facts of links touch both ends. A fact that is in none of them touches
+    what it mentions: one table's key, or the ends of links on the shortest paths
+    from the least table to the others.
+    """
+    out: dict[int, set[tuple[str, str]]] = {}
+    for at, facts in columns.items():
+        for f in facts:
+            out.setdefault(f, set()).add(at)
+    for name, facts in tables.items():
+        own = set().union(*(columns.get((name, x.name), set()) for x in c.tables[name].columns))
+        for f in facts - own:
+            out.setdefault(f, set()).update((name, k) for k in c.tables[name].key)
+    for link, facts in links.items():
+        for f in facts:
+            out.setdefault(f, set()).update(_ends(c, link))
+    for f, names in mentioned.items():
+        names = sorted(n for n in names if n in c.tables)
+        if f in out or not names:
+            continue
+        if len(names) == 1:
+            found = {(names[0], k) for k in c.tables[names[0]].key}
+        else:
+            found = set().union(*(_ends(c, x) for n in names[1:] for x in _path(c, names[0], n)))
+        if found:
+            out[f] = found
+    return {f: sorted(at) for f, at in out.items()}
+
+
+def _ends(c: Catalog, link: ForeignKey) -> set[tuple[str, str]]:
+    parent = c.tables.get(link.parent)
+    return {(link.table, link.column), (link.parent, parent.key[0])} if parent and parent.key else set()
+
+
+def _path(c: Catalog, a: str, b: str) -> list[ForeignKey]:
+    """Links, taken either way, on a shortest path between two tables; none if there is none."""
+    came: dict[str, tuple[str, ForeignKey] | None] = {a: None}
+    edge = [a]
+    while edge and b not in came:
+        step = []
+        for t in edge:
+            for x in c.links:
+                other = x.parent if x.table == t else x.table if x.parent == t else None
+                if other is not None and other not in came:
+                    came[other] = (t, x)
+                    step.append(other)
+        edge = step
+    out = []
+    while b in came and came[b] is not None:
+        b, x = came[b]
+        out.append(x)
+    return out

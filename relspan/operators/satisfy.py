@@ -133,3 +133,9 @@ def transitions(events: DataFrame, by: str, order: list[str], state: str) -> Dat
     """How often each state follows each in the order of a group's rows. An extension: sequences of events."""
     before = F.lag(state).over(Window.partitionBy(by).orderBy(*order))
     return events.select(before.alias("from_state"), F.col(state).alias("to_state")).where("from_state is not null").groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
+
+
+def repeated_keys(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The values of the columns that several rows hold, and n; rows with a null among them repeat nothing."""
+    whole = rows.dropna(subset=columns)
+    return whole.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")

@@ -97,3 +97,41 @@ def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def sentences(c: Column) -> Column:
+    """The text's sentences, trimmed: ends are ., ! or ? before white space."""
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) > 0)
+
+
+def span_scores(claims: DataFrame, docs: DataFrame, sizes: tuple[int, ...] = (12, 24, 40, 64, 96), least: int = 20) -> DataFrame:
+    """claim_id, score: the greatest cosine of a claim's fact to a span of its document, by weights from that document's spans alone."""
+    key = ["doc_id", "size", "start"]
+    inside = spans(docs.join(claims.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"], "text", sizes, least)
+    n = inside.groupBy("doc_id").agg(F.count("*").alias("n"))
+    found = inside.select(*key, F.explode(terms(F.col("span"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("c"))
+    df = found.groupBy("doc_id", "term").agg(F.count("*").alias("df")).join(n, "doc_id").select("doc_id", "term", (F.ln((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    weigh = lambda rows: rows.join(df, ["doc_id", "term"]).withColumn("w", (F.ln("c") + 1.0) * F.col("idf"))
+    held = weigh(found)
+    norm = held.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    asked = weigh(claims.select("claim_id", "doc_id", F.explode(terms(F.col("fact"))).alias("term")).groupBy("claim_id", "doc_id", "term").agg(F.count("*").alias("c")))
+    size = asked.groupBy("claim_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size_of_claim"))
+    met = asked.select("claim_id", "doc_id", "term", F.col("w").alias("q")).join(held, ["doc_id", "term"]).groupBy("claim_id", *key).agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
+    return met.join(norm, key).join(size, "claim_id").groupBy("claim_id").agg(F.max(F.col("dot") / (F.col("norm") * F.col("size_of_claim"))).alias("score"))
+
+
+def origins(claims: DataFrame, docs: DataFrame, **how) -> DataFrame:
+    """claim_id, match, score of claims (claim_id unique, doc_id, fact, origin) against their documents (doc_id unique, text).
+
+    verbatim: the document holds the origin to the letter; sentence: it is one of
+    its sentences in any case; else the tier of the best span's score. An empty or
+    null origin matches neither; a missing document or null text scores 0.
+    """
+    met = claims.join(docs.select("doc_id", "text"), "doc_id", "left")
+    said = F.length("origin") > 0
+    whole = F.exists(F.transform(sentences(F.col("text")), F.lower), lambda s: s == F.lower(F.trim("origin")))
+    sure = met.select("claim_id", F.when(said & F.contains("text", "origin"), "verbatim").when(said & whole, "sentence").alias("sure"))
+    rest = claims.join(sure.where("sure IS NULL").select("claim_id"), "claim_id", "left_semi")
+    out = sure.join(span_scores(rest, docs, **how), "claim_id", "left")
+    score = F.when(F.col("sure").isNotNull(), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
+    return out.select("claim_id", F.coalesce("sure", tier(score)).alias("match"), score.alias("score"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 2048
@@ -63,3 +63,16 @@ def pair_moments(rows: DataFrame, vector: str, shard: str) -> DataFrame:
     sums = parts.groupBy("shard", "i").agg(F.sum(F.when(F.col("norm") > 0, F.col("x") / F.col("norm")).otherwise(0.0)).alias("s"), F.count("*").alias("n"), F.sum("whole").alias("whole"))
     total = sums.groupBy("shard").agg(F.sum(F.col("s") * F.col("s")).alias("q"), F.max("n").alias("n"), F.max("whole").alias("whole"))
     return total.select("shard", "n", F.when(F.col("n") > 1, (F.col("q") - F.col("whole")) / (F.col("n") * (F.col("n") - 1))).alias("mean_cosine"))
+
+
+def adjacency(a: Column, b: Column) -> Column:
+    """1 / (1 + gap) of two places in a text; 0.5 where one is unknown (null or below 0)."""
+    known = (a >= 0) & (b >= 0)
+    return F.when(known, F.lit(1.0) / (F.lit(1.0) + F.abs(a - b))).otherwise(0.5)
+
+
+def cross_references(facts: DataFrame) -> DataFrame:
+    """a, b: segments a < b of which one has a fact that refers to a fact of the other. facts: segment, fact_id, refs (array)."""
+    owners = facts.select(F.col("fact_id").alias("ref"), F.col("segment").alias("to")).distinct()
+    met = facts.select("segment", F.explode("refs").alias("ref")).distinct().join(owners, "ref").where("segment <> to")
+    return met.select(F.least("segment", "to").alias("a"), F.greatest("segment", "to").alias("b")).distinct()

@@ -25,6 +25,7 @@ class Table:
     name: str
     columns: tuple[Column, ...]
     key: tuple[str, ...] = ()
+    unique: tuple[tuple[str, ...], ...] = ()
 
     def column(self, name: str) -> Column | None:
         return next((c for c in self.columns if c.name == name), None)
@@ -62,6 +63,9 @@ class Catalog:
                 c = t.column(k)
                 if c is None or c.type not in KEYS or c.nullable:
                     out.append(f"key {t.name}.{k} is missing, nullable or of a type that can't be a key")
+            for u in t.unique:
+                if not u or any(t.column(x) is None for x in u) or len(set(u)) != len(u):
+                    out.append(f"unique {t.name}{u} is empty, repeats a column or names a missing one")
         for f in self.links:
             child, parent = self.tables.get(f.table), self.tables.get(f.parent)
             if child is None or parent is None or child.column(f.column) is None:

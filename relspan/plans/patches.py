@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from relspan.plans.catalog import SPARK, Catalog, Column, ForeignKey, Table
 
-ACTIONS = ["add_column", "rename_column", "delete_column", "change_type", "add_table", "merge_tables", "delete_table", "rename_table", "add_link", "delete_link", "set_key"]
+ACTIONS = ["add_column", "rename_column", "delete_column", "change_type", "add_table", "merge_tables", "delete_table", "rename_table", "add_link", "delete_link", "set_key", "upsert_unique", "delete_unique"]
 
 
 class Refused(ValueError):
@@ -32,8 +32,22 @@ def normalised(c: Catalog) -> Catalog:
     for t in c.tables.values():
         columns = {snake(x.name): replace(x, name=snake(x.name)) for x in reversed(t.columns)}
         order = dict.fromkeys(snake(x.name) for x in t.columns)
-        out[snake(t.name).upper()] = Table(snake(t.name).upper(), tuple(columns[n] for n in order), tuple(dict.fromkeys(map(snake, t.key))))
-    return Catalog(out, [ForeignKey(snake(f.table).upper(), snake(f.column), snake(f.parent).upper()) for f in c.links])
+        out[snake(t.name).upper()] = Table(snake(t.name).upper(), tuple(columns[n] for n in order), tuple(dict.fromkeys(map(snake, t.key))), scrubbed([tuple(map(snake, u)) for u in t.unique], set(order)))
+    links = [ForeignKey(snake(f.table).upper(), snake(f.column), snake(f.parent).upper()) for f in c.links]
+    for t in out.values():
+        far = {f.column for f in links if f.table == t.name}
+        if len(far) > 1:  # a junction: rows of one parent repeat
+            out[t.name] = replace(t, unique=tuple(u for u in t.unique if len(u) > 1 or u[0] not in far))
+    return Catalog(out, links)
+
+
+def scrubbed(unique: list[tuple[str, ...]], columns: set[str]) -> tuple[tuple[str, ...], ...]:
+    """Uniqueness constraints without those that name missing columns, each set of columns once."""
+    out: dict[frozenset, tuple[str, ...]] = {}
+    for u in unique:
+        if u and set(u) <= columns:
+            out.setdefault(frozenset(u), tuple(dict.fromkeys(u)))
+    return tuple(out.values())
 
 
 def wired(c: Catalog) -> Catalog:
@@ -88,7 +102,7 @@ def _one(c: Catalog, p: dict) -> Catalog:
     if do == "add_table":
         if name in tables:
             raise Refused(f"table {name} exists")
-        tables[name] = Table(name, tuple(Column(*x) for x in p["columns"]), tuple(p.get("key", ())))
+        tables[name] = Table(name, tuple(Column(*x) for x in p["columns"]), tuple(p.get("key", ())), tuple(map(tuple, p.get("unique", ()))))
     elif do == "delete_table":
         _need(c, name)
         del tables[name]
@@ -100,7 +114,8 @@ def _one(c: Catalog, p: dict) -> Catalog:
             kept = _need(c, to)
             if to == name:
                 raise Refused(f"table {to} into itself")
-            tables[to] = replace(kept, columns=kept.columns + tuple(x if x.name in kept.key else replace(x, nullable=True) for x in old.columns if kept.column(x.name) is None))
+            columns = kept.columns + tuple(x if x.name in kept.key else replace(x, nullable=True) for x in old.columns if kept.column(x.name) is None)
+            tables[to] = replace(kept, columns=columns, unique=scrubbed([*kept.unique, *old.unique], {x.name for x in columns}))
         else:
             tables[to] = replace(old, name=to)
         del tables[name]
@@ -115,11 +130,11 @@ def _one(c: Catalog, p: dict) -> Catalog:
         t, old, to = _need(c, name, p["column"]), p["column"], p["to"]
         if t.column(to):
             raise Refused(f"column {name}.{to} exists")
-        tables[name] = replace(_edit(t, old, name=to), key=tuple(to if k == old else k for k in t.key))
+        tables[name] = replace(_edit(t, old, name=to), key=tuple(to if k == old else k for k in t.key), unique=tuple(tuple(to if k == old else k for k in u) for u in t.unique))
         links = [replace(f, column=to) if (f.table, f.column) == (name, old) else f for f in links]
     elif do == "delete_column":
         t = _need(c, name, p["column"])
-        tables[name] = replace(t, columns=tuple(x for x in t.columns if x.name != p["column"]), key=tuple(k for k in t.key if k != p["column"]))
+        tables[name] = replace(t, columns=tuple(x for x in t.columns if x.name != p["column"]), key=tuple(k for k in t.key if k != p["column"]), unique=tuple(u for u in t.unique if p["column"] not in u))
     elif do == "change_type":
         if p["type"] not in SPARK:
             raise Refused(f"no type {p['type']}")
@@ -141,6 +156,14 @@ def _one(c: Catalog, p: dict) -> Catalog:
         for k in p["key"]:
             _need(c, name, k)
         tables[name] = replace(t, key=tuple(p["key"]), columns=tuple(replace(x, nullable=False) if x.name in p["key"] else x for x in t.columns))
+    elif do in ("upsert_unique", "delete_unique"):
+        t, over = _need(c, name), tuple(p["columns"])
+        for k in over:
+            _need(c, name, k)
+        rest = tuple(u for u in t.unique if set(u) != set(over))
+        if do == "delete_unique" and len(rest) == len(t.unique) or not over:
+            raise Refused(f"no unique {name}{over}")
+        tables[name] = replace(t, unique=rest if do == "delete_unique" else (*rest, over))
     else:
         raise Refused(f"no action {do}")
     return _tidy(Catalog(tables, links))

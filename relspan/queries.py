@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from relspan.operators import distributions as D
 from relspan.operators import facts as A
+from relspan.operators import generate as G
 from relspan.operators import satisfy as K
 from relspan.operators import text as T
 from relspan.operators import vectors as V
-from relspan.plans import patches, sql
+from relspan.plans import audit, extraction, patches, sql
 from relspan.plans.catalog import TESTDATA, read
-from relspan.plans.relation import Aggregate, Arith, Base, Col, Fanout, Filter, IfThen, Join, Lit, Compare, Project, compiled
+from relspan.plans.relation import Aggregate, Arith, Base, Col, Fanout, Filter, IfThen, Join, Lit, Compare, Project, column, compiled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -414,3 +415,107 @@ def schema_patch_rows(spark, sf_dir):
     for p in ({"action": "rename_column", "table": "NATION", "column": "n_name", "to": "name"}, {"action": "delete_column", "table": "NATION", "column": "n_regionkey"}, {"action": "change_type", "table": "NATION", "column": "n_nationkey", "type": "VARCHAR"}, {"action": "add_column", "table": "NATION", "column": "size", "type": "INTEGER"}):
         rows, c = patches.tables(rows, c, p), patches.apply(c, [p])[0]
     return rows["NATION"]
+
+
+@query("unique_faults", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def unique_faults(spark, sf_dir):
+    return K.repeated_keys(read(spark, sf_dir, "LINEITEM"), ["l_orderkey", "l_linenumber"])
+
+
+@query("coverage_report", "SELECT kind, count(event_type) AS n FROM (SELECT DISTINCT event_type AS kind FROM events UNION SELECT 'refund') LEFT JOIN events ON event_type = kind GROUP BY 1")
+def coverage_report(spark, sf_dir):
+    return audit.coverage(read(spark, sf_dir, "EVENTS"), "event_type", ["refund"])
+
+
+# extracted items
+
+
+@query("derived_column", "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * (1 - l_discount) / nullif(l_quantity, 0) AS unit_price FROM lineitem")
+def derived_column(spark, sf_dir):
+    net = Arith("*", Col("l_extendedprice"), Arith("-", Lit(1), Col("l_discount")))
+    item = extraction.Derived("LINEITEM", "unit_price", Arith("/", net, Col("l_quantity")), (1,))
+    return item.of(read(spark, sf_dir, "LINEITEM")).select("l_orderkey", "l_linenumber", "l_partkey", "unit_price")
+
+
+@query("bridged_condition", "SELECT count(*) AS n, count(*) FILTER (o_totalprice >= 100000) AS held FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def bridged_condition(spark, sf_dir):
+    over, holds = extraction.bridged({"table": "ORDERS", "column": "o_totalprice", "op": "gte", "value": 100000, "if": {"column": "o_orderstatus", "op": "in", "values": ["F", "O"]}})
+    rows = compiled(over, TESTDATA, lambda t: read(spark, sf_dir, t))
+    return rows.agg(F.count("*").alias("n"), F.count_if(column(holds)).alias("held"))
+
+
+@query("latent_thresholds", "SELECT grade, count(*) AS n FROM (SELECT CASE WHEN (c_acctbal - m) / s < -0.674489750196 THEN 'low' WHEN (c_acctbal - m) / s < 0.674489750196 THEN 'middle' ELSE 'high' END AS grade FROM customer, (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s FROM customer)) GROUP BY 1")
+def latent_thresholds(spark, sf_dir):
+    rows = read(spark, sf_dir, "CUSTOMER")
+    m = rows.agg(F.avg("c_acctbal").alias("m"), F.stddev_samp("c_acctbal").alias("s"))
+    latent = (F.col("c_acctbal") - F.col("m")) / F.col("s")
+    grade = extraction.by_cut_points(latent, extraction.cut_points([0.25, 0.5, 0.25]), ["low", "middle", "high"])
+    return rows.crossJoin(F.broadcast(m)).groupBy(grade.alias("grade")).agg(F.count("*").alias("n"))
+
+
+# facts, drafts and segments
+
+
+@query("segment_adjacency", "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 0.5::DOUBLE ELSE 1 / (1 + abs(event_id - user_id)) END AS adjacency FROM events")
+def segment_adjacency(spark, sf_dir):
+    unknown = F.when(F.col("event_id") % 10 != 0, F.col("event_id"))
+    return read(spark, sf_dir, "EVENTS").select("event_id", V.adjacency(unknown, F.col("user_id")).alias("adjacency"))
+
+
+@query("cross_references", "WITH f AS (SELECT o_custkey AS segment, o_orderkey AS fact_id, o_orderkey + unnest([1, 2]) AS ref FROM orders) SELECT DISTINCT least(x.segment, y.o_custkey) AS a, greatest(x.segment, y.o_custkey) AS b FROM f x JOIN orders y ON x.ref = y.o_orderkey WHERE x.segment <> y.o_custkey")
+def cross_references(spark, sf_dir):
+    rows = read(spark, sf_dir, "ORDERS").select(F.col("o_custkey").alias("segment"), F.col("o_orderkey").alias("fact_id"), F.expr("array(o_orderkey + 1, o_orderkey + 2)").alias("refs"))
+    return V.cross_references(rows)
+
+
+@query("best_draft", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'error', event_id % 3, event_id DESC) = 1")
+def best_draft(spark, sf_dir):
+    rows = read(spark, sf_dir, "EVENTS").select("user_id", "event_id", F.col("event_id").alias("iteration"), (F.col("event_type") == "error").alias("rejected"), (F.col("event_id") % 3).alias("findings"))
+    return A.best_drafts(rows, "user_id").select("user_id", "event_id")
+
+
+@query("kept_items", "WITH i AS (SELECT l_orderkey AS item_id, list_sort(list_distinct(list(l_partkey))) AS refs FROM lineitem GROUP BY 1) SELECT min(item_id) AS item_id FROM i WHERE NOT list_has_any(refs, (SELECT list(p_partkey) FROM part WHERE p_size < 5)) GROUP BY refs")
+def kept_items(spark, sf_dir):
+    items = read(spark, sf_dir, "LINEITEM").groupBy(F.col("l_orderkey").alias("item_id")).agg(F.collect_set("l_partkey").alias("refs"))
+    return A.kept_items(items, read(spark, sf_dir, "PART").where("p_size < 5").select(F.col("p_partkey").alias("fact_id"))).select("item_id")
+
+
+@query("shard_stubs", "SELECT * FROM (VALUES (0, 'PART'), (0, 'SUPPLIER'), (0, 'NATION'), (1, 'REGION')) t(shard, \"table\")")
+def shard_stubs(spark, sf_dir):
+    links = spark.createDataFrame([(f.table, f.parent) for f in TESTDATA.links], "table string, parent string")
+    shards = spark.createDataFrame([("LINEITEM", 0), ("ORDERS", 0), ("CUSTOMER", 0), ("NATION", 1), ("PART", 1)], "table string, shard int")
+    return A.stubs(links, shards)
+
+
+@query("origin_match")
+def origin_match(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    claims = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("claim_id"), "doc_id", F.substring("text", 1, 200).alias("fact"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 5, 60)).otherwise(F.upper(F.element_at(T.sentences(F.col("text")), 1))).alias("origin"))
+    return T.origins(claims, docs)
+
+
+# rows by specification
+
+
+@query("generated_sums", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def generated_sums(spark, sf_dir):
+    """Each customer's total is dealt anew to its orders: parts add up to it."""
+    orders = read(spark, sf_dir, "ORDERS")
+    whole = orders.groupBy("o_custkey").agg(F.count("*").alias("k"), F.sum("o_totalprice").alias("total"))
+    rows = G.children(whole, "o_custkey", F.col("k"), "o_custkey").join(whole.select("o_custkey", "total"), "o_custkey")
+    dealt = G.split_sum(rows, "o_custkey", "total", "part", 7, "o_custkey", "number")
+    return dealt.groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("part"), 2).alias("total"))
+
+
+@query("generated_rows")
+def generated_rows(spark, sf_dir):
+    n = read(spark, sf_dir, "CUSTOMER").count()
+    spec = {
+        "parent": {"parent": n},
+        "amount": {"family": "lognormal", "params": {"mu": 3, "sigma": 0.5}},
+        "items": {"family": "poisson", "params": {"lambda": 4}},
+        "state": {"family": "categorical", "params": {"weights": {"open": 3, "closed": 1}}},
+        "each": {"expression": Arith("/", Col("amount"), Col("items"))},
+        "fee": {"if": Compare("=", Col("state"), Lit("open")), "then": {"expression": Lit(0.0)}, "else": {"family": "uniform", "params": {"low": 1, "high": 2}}},
+    }
+    return G.table(spark, 10 * n, "id", spec)
