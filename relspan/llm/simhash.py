@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,6 +23,9 @@ TILE = 2048
 ITEMS = 1 << 15
 #: Bit planes between two looks whether a block has left the radius.
 STRIDE = 8
+#: Radii of the first 64 and of all 128 bits for candidates of near_copies(). At similarity 0.8 the means are 10 and 19 bits,
+#: the deviations 3 and 4; for sets of four and five shingles 12 and 24, 3 and 4.4. Sets that share little are 32 and 64 apart.
+NEAR, NEAR_BOTH = 24, 42
 
 
 def simhash(text: str, width: int = 3) -> int:
@@ -144,12 +147,16 @@ class Forest:
                 self.root = up
 
 
-def local_links(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fp, fp) links of a forest that connects what lies within the radius in each group; groups are runs of equal numbers."""
+def forest(group: np.ndarray, fps: np.ndarray, radius: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Forest:
+    """Connects the rows of each group within the radius, and that near() accepts; groups are runs of equal numbers.
+
+    Words whose rows are all in the tree of the query already are not compared again.
+    """
     start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     size = np.diff(np.append(start, len(group)))
     end = np.repeat(start + size, size)
-    rows, vertical, forest = np.arange(len(fps)), planes(fps), Forest(len(fps))
+    rows, vertical, trees = np.arange(len(fps)), planes(fps), Forest(len(fps))
+    words = np.arange(0, len(fps), 64)
     first, last = (rows + 1) // 64, (end - 1) // 64  # words with partners behind the row
     count = np.where(rows + 1 < end, last - first + 1, 0)
     ends = np.cumsum(count)
@@ -159,13 +166,26 @@ def local_links(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nda
         n = count[at:upto]
         query = np.repeat(rows[at:upto], n)
         word = np.repeat(first[at:upto], n) + np.arange(len(query)) - np.repeat(np.cumsum(n) - n, n)
+        low, high = np.minimum.reduceat(trees.root, words)[word], np.maximum.reduceat(trees.root, words)[word]
+        apart = (low != high) | (low != trees.root[query])
+        query, word = query[apart], word[apart]
         lo, hi = np.clip(query + 1 - 64 * word, 0, 64), np.clip(end[query] - 64 * word, 0, 64)
         lanes = _ones(hi) & ~_ones(lo)
         if len(query):
-            forest.add(*close(vertical, fps, query, word, lanes, radius))
+            a, b = close(vertical, fps, query, word, lanes, radius)
+            if near is not None:
+                good = near(a, b)
+                a, b = a[good], b[good]
+            trees.add(a, b)
         at = upto
-    child = np.flatnonzero(forest.root != rows)
-    return fps[child], fps[forest.root[child]]
+    return trees
+
+
+def local_links(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fp, fp) links of a forest that connects what lies within the radius in each group; groups are runs of equal numbers."""
+    root = forest(group, fps, radius).root
+    child = np.flatnonzero(root != np.arange(len(fps)))
+    return fps[child], fps[root[child]]
 
 
 def _ones(n: np.ndarray) -> np.ndarray:
@@ -239,8 +259,167 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.expr(f"nullif(component, {NULL_ID})").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs, with all their columns, of one document of each component of near_duplicates(): the least doc_id.
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of the text's distinct shingles, words as in simhash(), in order; a text without a word has the empty one."""
+    words = text.encode("utf-8").lower().split()
+    shingles = {b" ".join(words[i : i + width]) for i in range(max(len(words) - width + 1, 1))}
+    return np.unique(np.fromiter(map(_seeded, shingles), np.uint64, len(shingles)))
+
+
+def _seeded(shingle: bytes) -> int:
+    return xxhash.xxh64_intdigest(shingle, 42)
+
+
+def set_key(shingles: np.ndarray) -> int:
+    """Sets with this key in common are equal, but for collisions of 64 bits."""
+    return int(np.array(xxhash.xxh64_intdigest(shingles.tobytes(), 7), np.uint64).view(np.int64))
+
+
+def wide_simhash(shingles: np.ndarray) -> np.ndarray:
+    """Two words of fingerprint: the SimHash of the set, and that of its hashes mixed once more."""
+    mixed = (shingles ^ (shingles >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    total = [np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for h in (shingles, mixed)]
+    return np.packbits(2 * np.concatenate(total) > len(shingles), bitorder="little").view("<u8")
+
+
+def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Of each set the number of one it reaches by pairs of that Jaccard similarity, the same for all it reaches.
+
+    Similar sets share a shingle of the rarest n - ceil(similarity * n) + 1 of
+    each; those that do are counted whole. Lists of sets by shingle are made
+    anew when half of the sets are reached.
+    """
+    size = np.array([len(x) for x in sets])
+    _, flat, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    ends = np.cumsum(size)
+    own = [np.sort(rank[flat[b - n : b]]) for b, n in zip(ends, size, strict=True)]
+    rare = [x[: n - int(np.ceil(similarity * n - 1e-9)) + 1] for x, n in zip(own, size, strict=True)]
+    root, mark, listed, left = np.full(len(sets), -1), np.zeros(len(count), np.int32), 2 * len(sets) + 2, len(sets)
+    for start in range(len(sets)):
+        if root[start] >= 0:
+            continue
+        root[start], queue, left = start, [start], left - 1
+        while queue and left:
+            if 2 * left <= listed:
+                rows = np.flatnonzero(root < 0)
+                shingle, row = np.concatenate([rare[i] for i in rows]), np.repeat(rows, [len(rare[i]) for i in rows])
+                order = np.argsort(shingle, kind="stable")
+                row, edges, listed = row[order], np.searchsorted(shingle[order], np.arange(len(count) + 1)), left
+            x = queue.pop()
+            met = np.unique(np.concatenate([row[edges[i] : edges[i + 1]] for i in rare[x]]))
+            met = met[(root[met] < 0) & (np.minimum(size[met], size[x]) >= similarity * np.maximum(size[met], size[x]) - 1e-9)]
+            if len(met):
+                mark[own[x]] = 1
+                both = np.add.reduceat(mark[np.concatenate([own[i] for i in met])], np.cumsum(size[met]) - size[met])
+                mark[own[x]] = 0
+                met = met[both >= similarity * (size[met] + size[x] - both) - 1e-9]
+                root[met], left = start, left - len(met)
+                queue += met.tolist()
+    return root
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, fingerprint, component_id as of near_duplicates(), where texts link whose sets of shingles have that Jaccard similarity.
+
+    Equal sets are merged first. Of two similar sets, each holds a shingle of
+    the other among the n - ceil(similarity * n) + 1 least of its n, so sets
+    meet in a group for each of those; in groups, 128-bit SimHashes (NEAR,
+    NEAR_BOTH) are compared bit-sliced and give candidates. Each component of
+    candidates is then brought together, and its whole sets decide. The
+    fingerprint is the key of the set.
+    """
+    spark = prepare(docs.sparkSession)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[], [], [], [], [], []]
+            for text in batch.column(1).to_pylist():
+                s = shingle_set(text or "", width)
+                first, second = wide_simhash(s).view(np.int64).tolist()
+                least = s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]
+                for column, value in zip(rows, (set_key(s), first, second, len(s), least.view(np.int64), s.tobytes()), strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(rows, kinds, strict=True))], names=["doc_id", "fp", "first", "second", "n", "prefix", "shingles"])
+
+    marked = stored(pick(docs, doc_id="long", text="string").mapInArrow(uncollected(mark), "doc_id long, fp long, first long, second long, n int, prefix array<long>, shingles binary"), "shingles")
+    least = F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least")
+    distinct = stored(marked.groupBy("fp").agg(least, *(F.any_value(c).alias(c) for c in ("first", "second", "n", "prefix"))), "distinct")
+    met = distinct.select(F.explode("prefix").alias("shingle"), "fp", "first", "second", "n").repartition(tasks(spark), "shingle").sortWithinPartitions("shingle", "fp")
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+            same = columns[0][1:] == columns[0][:-1]
+            met = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            group, fp, first, second, n = (x[met] for x in columns)
+            a = b = fp[:0]
+            if len(fp):
+                first, second = first.view(np.uint64), second.view(np.uint64)
+
+                def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                    apart = np.bitwise_count(first[x] ^ first[y]).astype(int) + np.bitwise_count(second[x] ^ second[y])
+                    return (apart <= NEAR_BOTH) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
+
+                root = forest(group, first, NEAR, near).root
+                child = np.flatnonzero(root != np.arange(len(fp)))
+                a, b = np.unique(np.stack([fp[child], fp[root[child]]]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size >= 16 * TILE and held[-1][0][-1] != held[0][0][0]:
+                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.searchsorted(whole[0], whole[0][-1], "left"))  # the last group may go on
+                yield out([x[:cut] for x in whole])
+                held, size = [[x[cut:] for x in whole]], len(whole[0]) - cut
+        if size:
+            yield out([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    roots = stored(connected_components(met.mapInArrow(uncollected(candidates), "a long, b long")).withColumnRenamed("node", "fp"), "candidates")
+    wanted = DocFilter(roots.select(F.col("fp").alias("key"), F.lit(0).alias("rank")))
+    keyed = marked.select("doc_id", "fp", "shingles", F.col("fp").alias("key"), F.lit(0).alias("rank"))
+    whole = wanted.split(keyed, rest=False).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("least"), "fp", "shingles").join(distinct.select("fp", "least"), ["fp", "least"]).join(roots, "fp")
+    whole = whole.select("root", "fp", "least", "shingles").repartition(tasks(spark), "root").sortWithinPartitions("root", "fp")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[tuple[int, int]]:
+            root = similar_sets([np.frombuffer(x, np.uint64) for x in sets], similarity)
+            best = np.full(len(root), np.iinfo(np.int64).max)
+            np.minimum.at(best, root, np.array(least))
+            yield from zip(fps, best[root].tolist(), strict=True)
+
+        fps, least, sets, at, found = [], [], [], None, []
+        for batch in batches:
+            for component, fp, low, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if component != at:
+                    found += out() if fps else ()
+                    fps, least, sets, at = [], [], [], component
+                if not fps or fps[-1] != fp:  # rows that repeat have the same set
+                    fps.append(fp)
+                    least.append(low)
+                    sets.append(shingles)
+            yield _pairs(found)
+            found = []
+        yield _pairs(list(out()) if fps else [])
+
+    named = whole.mapInArrow(uncollected(decide), "fp long, component long")
+    out = marked.select("doc_id", "fp").join(distinct.select("fp", "least").join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "fp")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.expr(f"nullif(component, {NULL_ID})").alias("component_id"))
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["fp", "component"])
+
+
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, of one document of each component of near_copies(): the least doc_id.
 
     Rows that repeat that id and their text leave one; rows of that id with
     another text stay, unless their component has a lesser id. Only documents
@@ -250,7 +429,7 @@ def one_of_each(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     names = docs.columns
     at = ([i for i, c in enumerate(names) if c == "doc_id"] or [i for i, c in enumerate(names) if c.lower() == "doc_id"])[0]
     flat = docs.toDF(*(f"_in{i}" for i in range(len(names))))
-    marked = near_duplicates(docs, width, radius).withColumn("least", F.expr("component_id <=> doc_id"))
+    marked = near_copies(docs, width, similarity).withColumn("least", F.expr("component_id <=> doc_id"))
     dropped = stored(marked.where("not least").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "fingerprint"), "dropped")
     key = F.coalesce(F.col(f"_in{at}").cast("long"), F.lit(NULL_ID))
     ids = pick(docs, doc_id="long").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
@@ -263,7 +442,7 @@ def one_of_each(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("_fp", pa.array([f"{simhash(t or '', width):016x}" for t in batch.column(text).to_pylist()], pa.string()))
+            yield batch.append_column("_fp", pa.array([f"{set_key(shingle_set(t or '', width)) % (1 << 64):016x}" for t in batch.column(text).to_pylist()], pa.string()))
 
     own = flat.mapInArrow(run, T.StructType([*flat.schema.fields, T.StructField("_fp", T.StringType())])).withColumn("_key", key)
     out = own.join(dropped, (F.col("_key") == F.col("key")) & (F.col("_fp") == F.col("fingerprint")), "left_anti").dropDuplicates(["_key", f"_in{text}"])

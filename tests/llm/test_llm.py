@@ -213,6 +213,38 @@ def test_bit_sliced_links(spark, monkeypatch, radius):
     assert mine == roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= radius])
 
 
+def word_sets(texts, width=5):
+    w = [(t or "").encode().lower().split() for t in texts]
+    return [{tuple(x[i : i + width]) for i in range(max(len(x) - width + 1, 1))} for x in w]
+
+
+def jaccard_roots(texts):
+    s = word_sets(texts)
+    return roots(len(s), [(i, j) for i in range(len(s)) for j in range(i) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])])
+
+
+def test_one_of_each_is_brute_force_at_jaccard(spark):
+    rng = random.Random(12)
+    line, out = words(rng, 14), []
+    for n in (5, 8, 12, 20, 60, 200, 200, 200):
+        base = words(rng, n).split()
+        out.append(" ".join(base))
+        for edits in (0, 1, 1, 2, 3, 4, 6):
+            new = list(base)
+            for at in rng.sample(range(n), min(edits, n)):
+                new[at] = words(rng, 1)
+            out.append(" ".join(new))
+    out += [f"{line} {words(rng, 10)}" for _ in range(80)] + ["a b", "A b", "a c", "", None, " ", words(rng, 3000)]
+    out.append(out[-1] + " " + words(rng, 200))
+    docs = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string").repartition(3)
+    rows, root = got(simhash.near_copies(docs)), jaccard_roots(out)
+    assert [rows[i].component_id for i in range(len(out))] == root
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(set(root))
+    sets = word_sets(out)
+    far = [(i, j) for i in range(len(out)) for j in range(i) if root[i] == root[j] and (plain_simhash(out[i]) ^ plain_simhash(out[j])).bit_count() > 3 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(far) > 5  # what three words and 3 bits leave
+
+
 def test_connected_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(140)] + [(400 + i, 401 + i) for i in range(40)] + [(5, 5)]
