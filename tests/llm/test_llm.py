@@ -290,6 +290,75 @@ def test_decontamination(spark, most):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.clean(docs.limit(0), bench).count() == 0
 
 
+def plain_words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def plain_contaminated(texts, items, threshold=0.5):
+    """Smith-Waterman of every whole text with every item."""
+    out = set()
+    for i, t in enumerate(texts):
+        for j, item in enumerate(items):
+            a, b = plain_words(item), plain_words(t)
+            share = plain_alignment(a, b) / len(a) if a else 0.0
+            if share >= threshold:
+                out.add((i, j, round(share, 6)))
+    return out
+
+
+def edited(rng, item, filler):
+    """An item with words inserted, replaced and left out."""
+    out = []
+    rate = rng.choice([0.1, 0.3, 0.5, 0.8])
+    for w in item.split():
+        kind = rng.random()
+        if kind < rate / 3:
+            out += [rng.choice(filler)] if rng.random() < 0.7 else []
+        else:
+            out.append(w)
+        if rng.random() < rate:
+            out += [rng.choice(filler) for _ in range(rng.choice([1, 1, 1, 2, 17]))]
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 200])
+def test_decontamination_is_alignment_over_whole_texts(spark, most):
+    rng = random.Random(21)
+    filler = [words(rng, 1) for _ in range(40)]
+    items = [" ".join(rng.choices(filler + [words(rng, 1, "xyzuvw") for _ in range(30)], k=n)) for n in (1, 2, 3, 4, 7, 12, 20, 20, 33)]
+    items.append(" ".join(f"w{i}" for i in range(20)))
+    texts = []
+    for _ in range(90):
+        around = [" ".join(rng.choices(filler, k=rng.randint(0, 40))) for _ in range(3)]
+        texts.append(" ".join([around[0], edited(rng, rng.choice(items), filler), around[1], edited(rng, rng.choice(items), filler), around[2]]))
+    z = " ".join(["z"] * 30)
+    pairs = " zz ".join(f"w{i} w{i + 1}" for i in range(4, 20, 2))
+    texts += [f"{z} w0 w1 w2 w3 {' '.join(['y'] * 17)} {pairs} {z}", " q ".join(f"w{i}" for i in range(20)), " ".join(rng.choices(filler, k=30)) + " W0_w1-W2, W3! w4 w5 w6 w7 w8 w9"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = plain_contaminated(texts, items)
+    out = decontam.contaminated(docs, bench, most=most).collect()
+    assert {(r.doc_id, r.item_id, round(r.score, 6)) for r in out} == want and len(out) == len(want) > 150
+    assert (90, 9, 0.625) in want and (91, 9, 0.525) in want
+    assert {r.doc_id for r in decontam.clean(docs, bench, most=most).collect()} == set(range(len(texts))) - {i for i, _, _ in want}
+
+
+def test_decontamination_of_odd_rows(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    kind = "DOC_ID string, doc_id long, Text string, text string, item_id long, score string"
+    long = " ".join(["filler"] * 400_000) + " " + item + " tail" * 9
+    docs = spark.createDataFrame([("a", None, "n", item, 1, "s"), ("a", 4, item, "nothing", 1, "s"), ("a", 5, None, f"x {item} y {item}", 1, "s"), ("a", 5, None, f"x {item} y {item}", 1, "s"), ("a", 6, None, None, 1, None), ("a", 7, None, " ", 1, None), ("a", 8, None, long, 1, None)], kind)
+    bench = spark.createDataFrame([("t", 1, item), ("t", 1, item), ("t", None, item), (item, 2, None), (item, 3, "..")], "TEXT string, item_id long, text string")
+    out = decontam.contaminated(docs, bench).collect()
+    assert sorted((r.doc_id or 0, r.item_id or 0, r.score) for r in out) == sorted((d, i, 1.0) for d in (0, 5, 5, 8) for i in (0, 1, 1))
+    assert {(r.start, r.end) for r in out if r.doc_id == 5} == {(2, 2 + len(item))}
+    assert {long[r.start : r.end] for r in out if r.doc_id == 8} == {item}
+    left = decontam.clean(docs, bench)
+    assert left.columns == docs.columns and sorted(r[1] for r in left.collect()) == [4, 6, 7]
+    with pytest.raises(ValueError):
+        decontam.clean(docs, bench, threshold=0.0)
+
+
 def test_languages(spark):
     rng = random.Random(6)
     parts = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "ei"], "cc": ["ção", "ê", "nt"]}
