@@ -3,37 +3,88 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspan.llm._common import pick, prepare, uncollected
-
-#: Words hash to CLASSES * MEMBERS tokens; a token is predicted as its class, then as a member of it.
-CLASSES, MEMBERS = 32, 32
-#: Size of vectors; tokens on either side that predict one; tokens in a step; step size.
-DIM, SIDE, STEP, RATE = 16, 2, 8192, 0.5
+from relspan.llm._common import pick, prepare, stored, tasks, uncollected
+
+#: A token is predicted as its class, then as a member of it; so many tokens have numbers of their own.
+CLASSES, MEMBERS = 32, 48
+#: The first numbers stand for rarer words: of letters, with digits, and marks. Which of them it is, counts say.
+KINDS = 3
+#: Workers hold the counts of so many rare words; those of any others, however many, are joined by a shuffle.
+COUNTED = 1 << 16
+#: What each distinct rare word counts besides its occurrences, and the binary digits behind the point of sums over rare words.
+SMOOTH, FRACTION = 0.5, 32
+#: Size of vectors; tokens on either side that predict one; tokens in a step; step size; parameters that are averaged at once.
+DIM, SIDE, STEP, RATE, CHUNK = 16, 2, 16384, 0.5, 4096
 _words = re.compile(r"[^\W_]+|[^\w\s]+").findall
+_space = re.compile(r"\s").search
 _EDGE = CLASSES * MEMBERS  # stands before and behind a text
+_KIND = [k.to_bytes(2, "little") for k in range(KINDS)]
 _PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
-_known: dict[str, int] = {}
 
 
-def tokens(text: str) -> np.ndarray:
-    """Numbers of the text's words and marks, in lower case."""
-    if len(_known) > 300_000:
-        _known.clear()
-    words = _words(text.lower())
-    try:
-        return np.fromiter(map(_known.__getitem__, words), np.int32, len(words))
-    except KeyError:
-        _known.update((w, xxhash.xxh32_intdigest(w, 9) % _EDGE) for w in set(words) if w not in _known)
-        return np.fromiter(map(_known.__getitem__, words), np.int32, len(words))
+def kind(word: str) -> int:
+    """0: letters only, 1: letters or digits, 2: marks."""
+    return 0 if word.isalpha() else 1 if word[0].isalnum() else 2
+
+
+def pieces(text: str, strip: int = 1 << 20) -> Iterator[list[str]]:
+    """What white space parts, in lower case; of a long text, strip by strip."""
+    text, at = text.lower(), 0
+    while at < len(text):
+        cut = _space(text, at + strip)
+        end = cut.start() if cut else len(text)
+        yield text[at:end].split()
+        at = end
+
+
+class Vocabulary(dict):
+    """Numbers of the words of what white space parts, as bytes: KINDS and on for those that have one, else that of the word's kind.
+
+    What was asked for is kept until there are about `most` parts or `size` characters of them, and one text's strip. rare: the rare words of those kept that have any.
+    """
+
+    def __init__(self, words: list[str], most: int = 300_000, size: int = 16 << 20):
+        super().__init__()
+        self.numbers = {w: (i + KINDS).to_bytes(2, "little") for i, w in enumerate(words)}
+        self.most, self.size, self.held = most, size, 0
+        self.rare: dict[str, list[str]] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        self.held += len(part)
+        code = self.numbers.get(part)
+        if code is None:
+            get, words = self.numbers.get, _words(part)
+            code = b"".join([get(w) or _KIND[kind(w)] for w in words])
+            rare = [w for w in words if w not in self.numbers]
+            if rare:
+                self.rare[part] = rare
+        self[part] = code
+        return code
+
+    def read(self, text: str, rare: Counter | None = None) -> np.ndarray:
+        """Numbers of the text's tokens: runs of letters and digits, and of marks. Rare words are counted in `rare`."""
+        out = []
+        for parts in pieces(text):
+            if len(self) > self.most or self.held > self.size:
+                self.clear()
+                self.rare.clear()
+                self.held = 0
+            out.append(b"".join(map(self.__getitem__, parts)))
+            if rare is not None:
+                rare.update(chain.from_iterable(filter(None, map(self.rare.get, parts))))
+        return np.frombuffer(b"".join(out), "<u2").astype(np.int32)
 
 
 class Network:
@@ -41,7 +92,7 @@ class Network:
 
     SHAPES = {"vectors": (_EDGE + 1, DIM), "places": (len(_PLACES), DIM), "bias": (DIM,), "class_w": (DIM, CLASSES), "class_b": (CLASSES,), "member_w": (CLASSES, DIM, MEMBERS), "member_b": (CLASSES, MEMBERS)}
 
-    def __init__(self, flat: np.ndarray | None = None):
+    def __init__(self, flat: np.ndarray | None = None, kind: type = np.float32):
         rng, at = np.random.default_rng(9), 0
         for name, shape in self.SHAPES.items():
             n = int(np.prod(shape))
@@ -49,74 +100,89 @@ class Network:
                 value = np.ones(shape) + rng.normal(0, 0.1, shape) if name == "places" else rng.normal(0, 0.1, shape) if name in ("vectors", "class_w", "member_w") else np.zeros(shape)
             else:
                 value = flat[at : at + n].reshape(shape)
-            setattr(self, name, value.astype(np.float32))
+            setattr(self, name, value.astype(kind))
             at += n
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.SHAPES])
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.bias + self.vectors[around[0]] * self.places[0]
+        total = self.vectors.take(around[0], axis=0)
+        total *= self.places[0]
         for k in range(1, len(_PLACES)):
-            total += self.vectors[around[k]] * self.places[k]
-        return np.tanh(total)
-
-    def log_likelihoods(self, target: np.ndarray, around: np.ndarray, learn: float = 0.0) -> np.ndarray:
-        """Of each target given the tokens around it. With learn, also takes a step of that size up the gradient."""
+            one = self.vectors.take(around[k], axis=0)
+            one *= self.places[k]
+            total += one
+        total += self.bias
+        return np.tanh(total, out=total)
+
+    def log_likelihoods(self, target: np.ndarray, around: np.ndarray, gradient: dict | None = None) -> np.ndarray:
+        """Of each target given the tokens around it. What goes into `gradient` is that of their sum: by parameter, of
+        members (class, targets in it, weights, bias), of vectors (numbers, how often each is meant, rows) by place."""
+        order = np.argsort(target.astype(np.uint16), kind="stable")  # 16 bits: a radix sort
+        target, around = target.take(order), around.take(order, axis=1)
         h = self.hidden(around)
         cls, member = np.divmod(target, MEMBERS)
-        rows = np.arange(len(target))
+        at = np.arange(len(target))
         p = _softmax(h @ self.class_w + self.class_b)
-        out = _log(p[rows, cls])
-        order = np.argsort(cls.astype(np.uint16), kind="stable")
-        bounds = np.concatenate(([0], np.cumsum(np.bincount(cls, minlength=CLASSES))))
-        step = learn / len(target)
-        if learn:
-            p[rows, cls] -= 1
+        hit = at * CLASSES + cls
+        out = p.ravel().take(hit)
+        if gradient is not None:
+            p.ravel()[hit] -= 1
             back = p @ self.class_w.T
-        for c in range(CLASSES):
-            own = order[bounds[c] : bounds[c + 1]]
-            if not len(own):
-                continue
-            q = _softmax(h[own] @ self.member_w[c] + self.member_b[c])
-            out[own] += _log(q[np.arange(len(own)), member[own]])
-            if learn:
-                q[np.arange(len(own)), member[own]] -= 1
-                back[own] += q @ self.member_w[c].T
-                self.member_w[c] -= step * CLASSES * (h[own].T @ q)
-                self.member_b[c] -= step * CLASSES * q.sum(axis=0)
-        if learn:
-            self.class_w -= step * (h.T @ p)
-            self.class_b -= step * p.sum(axis=0)
-            back *= 1 - h * h
-            self.bias -= step * back.sum(axis=0)
+            gradient["members"] = []
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(cls, minlength=CLASSES))))
+        for c in np.flatnonzero(np.diff(bounds)).tolist():
+            i, j = bounds[c : c + 2].tolist()
+            q = _softmax(h[i:j] @ self.member_w[c] + self.member_b[c])
+            hit = at[: j - i] * MEMBERS + member[i:j]
+            out[i:j] *= q.ravel().take(hit)
+            if gradient is not None:
+                q.ravel()[hit] -= 1
+                back[i:j] += q @ self.member_w[c].T
+                gradient["members"].append((c, j - i, -(h[i:j].T @ q), -q.sum(axis=0)))
+        if gradient is not None:
+            gradient["class_w"], gradient["class_b"] = -(h.T @ p), -p.sum(axis=0)
+            back *= h * h - 1
+            gradient["bias"] = back.sum(axis=0)
+            gradient["vectors"], gradient["places"] = [], np.empty_like(self.places)
             for k in range(len(_PLACES)):
-                self._step_vectors(around[k], back, k, step)
+                by = np.argsort(around[k].astype(np.uint16), kind="stable")
+                ids = around[k].take(by)
+                first = np.flatnonzero(np.diff(ids, prepend=-1))
+                which = ids[first]
+                total = np.add.reduceat(back.take(by, axis=0), first, axis=0)
+                gradient["places"][k] = (total * self.vectors[which]).sum(axis=0)
+                gradient["vectors"].append((which, np.diff(np.append(first, len(by))), total * self.places[k]))
+        logs = np.empty(len(out))
+        logs[order] = np.log(np.maximum(out, 1e-30))
+        return logs
+
+    def learn(self, target: np.ndarray, around: np.ndarray, rate: float = RATE) -> np.ndarray:
+        """Takes a step up the gradient of the mean; rare classes and vectors take longer ones than their share."""
+        g: dict = {}
+        out = self.log_likelihoods(target, around, g)
+        n = len(target)
+        for name in ("class_w", "class_b", "bias"):
+            getattr(self, name)[...] += rate / n * g[name]
+        for c, own, w, b in g["members"]:
+            step = rate / max(own, n / CLASSES)
+            self.member_w[c] += step * w
+            self.member_b[c] += step * b
+        for which, count, rows in g["vectors"]:
+            self.vectors[which] += (rate / np.sqrt(count * n)).astype(rows.dtype)[:, None] * rows
+        self.places += rate / n * g["places"]
         return out
 
-    def _step_vectors(self, ids: np.ndarray, back: np.ndarray, k: int, step: float) -> None:
-        order = np.argsort(ids.astype(np.uint16), kind="stable")  # 16 bits: a radix sort
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        which = ids[order][first]
-        total = np.add.reduceat(back[order], first, axis=0)
-        place = (total * self.vectors[which]).sum(axis=0)
-        count = np.diff(np.append(first, len(ids)))[:, None]
-        self.vectors[which] -= step * len(ids) / np.sqrt(count * len(ids)) * total * self.places[k]
-        self.places[k] -= step * place
-
 
 def _softmax(x: np.ndarray) -> np.ndarray:
     """Of each row, in place; logits are held within 60, where exp() of 32 bits is safe without their maximum."""
     np.clip(x, -60, 60, out=x)
     np.exp(x, out=x)
-    x /= (x @ np.ones((x.shape[1], 1), x.dtype))
+    x /= x @ np.ones((x.shape[1], 1), x.dtype)
     return x
 
 
-def _log(p: np.ndarray) -> np.ndarray:
-    return np.log(np.maximum(p, 1e-12))
-
-
 def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Targets, the tokens around each (a row a place), and which doc each target is of; edges stand around each text."""
     pad = np.full(SIDE, _EDGE, np.int32)
@@ -127,13 +193,13 @@ def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return flat[at], np.stack([flat[at + k] for k in _PLACES]), owner
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 16) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of batches with about `most` tokens, and the tokens of each row."""
+def _groups(batches: Iterator[pa.RecordBatch], column: int, read, most: int = 1 << 16) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of batches with about `most` tokens, and what read() gives of each row's text, tokens first."""
     for batch in batches:
         start, size, held = 0, 0, []
         for i, text in enumerate(batch.column(column).to_pylist()):
-            held.append(tokens(text or ""))
-            size += len(held[-1])
+            held.append(read(text or ""))
+            size += len(held[-1][0])
             if size >= most:
                 yield batch.slice(start, i + 1 - start), held
                 start, size, held = i + 1, 0, []
@@ -141,64 +207,186 @@ def _groups(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 16)
             yield batch.slice(start), held
 
 
-def train(docs: DataFrame, rounds: int = 1) -> Network:
+def count_words(texts: DataFrame, most: int = 300_000) -> DataFrame:
+    """word, kind, n: how often each word of all texts occurs. Tasks add up first, and hand on what they have at `most` pieces of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            counts: Counter = Counter()
+            for part, n in seen.items():
+                for w in _words(part):
+                    counts[w] += n
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([*counts], pa.string()), pa.array([*map(kind, counts)], pa.int32()), pa.array([*counts.values()], pa.int64())], names=["word", "kind", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for parts in pieces(text or ""):
+                    seen.update(parts)
+                    if len(seen) > most:
+                        yield out()
+        yield out()
+
+    return texts.mapInArrow(uncollected(run), "word string, kind int, n long").groupBy("word", "kind").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Words:
+    """What choose() makes of the counts of all words."""
+
+    numbered: list[str]
+    counted: dict[str, int]  # KINDS * count + kind
+    kinds: list[tuple[int, int]]  # of each kind of rare words: occurrences, distinct words
+    others: DataFrame  # word, kind, n
+
+
+def choose(counts: DataFrame, numbered: int = CLASSES * MEMBERS - KINDS, counted: int = COUNTED) -> Words:
+    """The commonest words get numbers; of the next the counts are held; all others stay a table.
+
+    Counts fall in classes an eighth of a doubling wide, and whole classes are
+    taken from the top while they make no more than `numbered`, then `counted`
+    words. So what reaches the driver and the workers is bounded, and a word of
+    the table has at most about the counted-th part of all tokens, which bounds
+    every group that later steps make of it. Words that occur once have no number.
+    """
+    classed = counts.withColumn("level", F.floor(F.log2("n") * 8).cast("int"))
+    sizes = {r["level"]: r["words"] for r in classed.groupBy("level").agg(F.count("*").alias("words")).collect()}  # at most 8 * 63
+
+    def lowest(below: int, most: int, floor: int) -> int:
+        for level in sorted((x for x in sizes if floor <= x < below), reverse=True):
+            most -= sizes[level]
+            if most < 0:
+                break
+            below = level
+        return below
+
+    first = lowest(1 << 30, numbered, 1)
+    second = lowest(first, counted, 0)
+    names = [r["word"] for r in classed.where(F.col("level") >= first).orderBy(F.desc("n"), "word").select("word").collect()]
+    held = {r["word"]: KINDS * r["n"] + r["kind"] for r in classed.where((F.col("level") >= second) & (F.col("level") < first)).collect()}
+    kinds = {r["kind"]: (r["n"], r["words"]) for r in classed.where(F.col("level") < first).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
+    return Words(names, held, [kinds.get(k, (0, 0)) for k in range(KINDS)], classed.where(F.col("level") < second).select("word", "kind", "n"))
+
+
+def train(docs: DataFrame, words: list[str], rounds: int = 1) -> Network:
     """A network fitted to all tokens of all documents.
 
     In each round every task starts from the present network, takes gradient
     steps over its own documents, and gives its parameters, weighted by its
-    tokens; their mean is the next network. What is shuffled are parameters
-    for each task, so it grows with the input; one network reaches the driver.
+    tokens, in chunks; the mean of each chunk, added up in order of tasks, is
+    the next network's. What is shuffled are parameters for each task; one
+    network reaches the driver. Equal tables in equal partitions give equal
+    networks.
     """
     spark = prepare(docs.sparkSession)
     texts, network = pick(docs, text="string"), Network()
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(network.flat())
+        shared = spark.sparkContext.broadcast((network.flat(), words))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, seen, rng = Network(shared.value), 0, np.random.default_rng(9)
-            for _, held in _groups(batches, 0):
-                target, around, _ = windows(held)
+            own, read, seen, rng = Network(shared.value[0]), Vocabulary(shared.value[1]).read, 0, np.random.default_rng(9)
+            for _, held in _groups(batches, 0, lambda t: (read(t),)):
+                target, around, _ = windows([h[0] for h in held])
                 order = rng.permutation(len(target))
                 for i in range(0, len(order), STEP):
                     part = order[i : i + STEP]
-                    own.log_likelihoods(target[part], around[:, part], RATE)
+                    own.learn(target[part], around[:, part])
                 seen += len(target)
             if seen:
-                flat = own.flat().astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), float(seen)))], names=["at", "value", "weight"])
-
-        sums = texts.mapInArrow(uncollected(run), "at int, value double, weight double").groupBy("at").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"))
-        got = sums.toArrow()  # one network's parameters, of a fixed number
-        if got.num_rows:
-            flat = np.zeros(len(network.flat()))
-            flat[got.column("at").to_numpy()] = got.column("value").to_numpy()
-            network = Network(flat)
+                flat = own.flat()
+                chunks = [flat[i : i + CHUNK].astype("<f4").tobytes() for i in range(0, len(flat), CHUNK)]
+                me, n = TaskContext.get().partitionId(), len(chunks)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, me, np.int32)), pa.array(np.full(n, seen, np.int64)), pa.array(chunks, pa.binary())], names=["at", "task", "weight", "values"])
+
+        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, total, weight = None, None, 0
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([(total / weight).tobytes()], pa.binary())], names=["at", "values"])
+
+            for batch in batches:
+                for chunk, n, values in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                    if chunk != at:
+                        if at is not None:
+                            yield out()
+                        at, total, weight = chunk, 0.0, 0
+                    total = total + n * np.frombuffer(values, "<f4").astype(np.float64)
+                    weight += n
+            if at is not None:
+                yield out()
+
+        chunks = texts.mapInArrow(uncollected(run), "at int, task int, weight long, values binary")
+        means = chunks.repartition(tasks(spark), "at").sortWithinPartitions("at", "task").mapInArrow(mean, "at int, values binary")
+        got = sorted((r["at"], bytes(r["values"])) for r in means.collect())  # one network's parameters, of a fixed number
+        if got:
+            network = Network(np.frombuffer(b"".join(v for _, v in got), np.float64))
         shared.unpersist()
     return network
 
 
 def score(docs: DataFrame, rounds: int = 1) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood, mean_log_likelihood: one row for each row of docs.
+    """doc_id, score, log_likelihood, n_tokens, n_rare: one row for each row of docs.
 
     Every token of the whole text is masked in turn and predicted from SIDE
     tokens on both sides; log_likelihood is the sum of their conditional log
-    probabilities (natural logarithm). A text that is null or has no token has
-    0 tokens, sum 0 and a null mean. Learns from the same documents, all of
-    them. Rows that repeat are scored alike; an empty table gives no rows.
+    probabilities (natural logarithm), score its mean by token. The words of
+    the vocabulary are predicted by the network, each by its own number; any
+    other as a rare word of its kind, times the word's share in the rare words
+    of that kind in all other documents (each distinct one counts SMOOTH more),
+    so a document does not vouch for its own words, but its copies elsewhere do.
+    n_rare: how many tokens have no number.
+
+    A text that is null or has no token has 0 tokens, sum 0 and a null score.
+    Learns from the same documents, all of them: what is counted, and joined by
+    a shuffle, grows with their vocabulary, what is broadcast does not. Rows that
+    repeat, with one id or several, are documents of their own, which vouch for
+    each other; an empty table gives no rows. Sums over shuffled rows are of
+    whole numbers, so they do not depend on the order.
     """
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(train(docs, rounds).flat())
+    words = choose(stored(count_words(pick(docs, text="string")), "words"))
+    shared = spark.sparkContext.broadcast((train(docs, words.numbered, rounds).flat(), words.numbered, words.counted, words.kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network = Network(shared.value)
-        for batch, held in _groups(batches, 1):
-            target, around, owner = windows(held)
+        flat, numbered, counted, kinds = shared.value
+        network, vocabulary, kinds = Network(flat), Vocabulary(numbered), np.array(kinds, float)
+
+        def read(text: str) -> tuple[np.ndarray, Counter]:
+            rare: Counter = Counter()
+            return vocabulary.read(text, rare), rare
+
+        for batch, held in _groups(batches, 1, read):
+            target, around, owner = windows([h[0] for h in held])
             total = np.zeros(len(held))
             for i in range(0, len(target), STEP):
                 found = network.log_likelihoods(target[i : i + STEP], around[:, i : i + STEP])
                 total += np.bincount(owner[i : i + STEP], found, len(held))
-            n = np.array([len(x) for x in held], np.int64)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return pick(docs, doc_id="long", text="string").mapInArrow(uncollected(run), "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+            rare = target < KINDS
+            own = np.bincount(owner[rare] * KINDS + target[rare], minlength=len(held) * KINDS).reshape(-1, KINDS)
+            names = [w for h in held for w in h[1]]
+            code = np.fromiter(map(counted.get, names, repeat(-1)), np.int64, len(names))
+            m = np.fromiter((n for h in held for n in h[1].values()), np.int64, len(names))
+            doc = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
+            here = code >= 0
+            count, of = np.divmod(code[here], KINDS)
+            share = (count - m[here] + SMOOTH) / (kinds[of, 0] + SMOOTH * kinds[of, 1] - own[doc[here], of])
+            total += np.bincount(doc[here], m[here] * np.log(share), len(held))
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(doc[~here], minlength=len(held))))).astype(np.int32)
+            left = pa.StructArray.from_arrays([pa.array(names, pa.string()).filter(pa.array(~here)), pa.array(m[~here])], names=["word", "m"])
+            n = np.array([len(h[0]) for h in held], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), *(pa.array(own[:, k].copy()) for k in range(KINDS)), pa.ListArray.from_arrays(offsets, left)], names=["doc_id", "n_tokens", "known", *(f"own{k}" for k in range(KINDS)), "rare"])
+
+    owns = [F.col(f"own{k}") for k in range(KINDS)]
+    fields = ", ".join(f"own{k} long" for k in range(KINDS))
+    scored = pick(docs, doc_id="long", text="string").mapInArrow(uncollected(run), f"doc_id long, n_tokens long, known double, {fields}, rare array<struct<word: string, m: long>>")
+    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    each = scored.where(F.size("rare") > 0).select("row", *owns, F.inline("rare")).join(words.others, "word")
+    of_kind = F.element_at(F.array(*(F.lit(n + SMOOTH * d) - own for own, (n, d) in zip(owns, words.kinds, strict=True))), F.col("kind") + 1)
+    part = F.col("m") * F.log((F.col("n") - F.col("m") + SMOOTH) / of_kind)
+    sums = each.groupBy("row").agg(F.sum(F.round(part * (1 << FRACTION)).cast("long")).alias("part"))
+    total = F.col("known") + F.coalesce(F.col("part"), F.lit(0)) / F.lit(float(1 << FRACTION))
+    out = scored.drop("rare").join(sums, "row", "left").withColumn("log_likelihood", total)
+    score_ = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return out.select("doc_id", score_.alias("score"), "log_likelihood", "n_tokens", sum(owns[1:], owns[0]).alias("n_rare"))

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -392,18 +393,90 @@ def test_quality(spark):
     assert got(quality.assess(docs, labels.limit(0)))[500].score == 0.5
 
 
-def test_network_gradient_and_scores(spark, docs, texts):
+def plain_network(network, target, around):
+    """Log likelihoods one by one, from the definition."""
+    out = []
+    for i, t in enumerate(target.tolist()):
+        h = np.tanh(network.bias + sum(network.vectors[around[k, i]] * network.places[k] for k in range(len(around))))
+        c, m = divmod(t, lm_score.MEMBERS)
+        first, second = h @ network.class_w + network.class_b, h @ network.member_w[c] + network.member_b[c]
+        out.append(first[c] - np.log(np.exp(first).sum()) + second[m] - np.log(np.exp(second).sum()))
+    return np.array(out)
+
+
+def test_network_is_its_definition_and_gradient():
+    rng = np.random.default_rng(0)
+    target, around, _ = lm_score.windows([rng.integers(0, 130, 40).astype(np.int32), rng.integers(0, 9, 7).astype(np.int32)])
+    network = lm_score.Network(kind=np.float64)
+    for name in network.SHAPES:
+        getattr(network, name)[...] += rng.normal(0, 0.2, getattr(network, name).shape)
+    g = {}
+    assert np.allclose(network.log_likelihoods(target, around, g), plain_network(network, target, around))
+    whole = {n: np.zeros(s) for n, s in network.SHAPES.items()}
+    for n in ("class_w", "class_b", "bias", "places"):
+        whole[n] += g[n]
+    for c, _, w, b in g["members"]:
+        whole["member_w"][c] += w
+        whole["member_b"][c] += b
+    for which, _, rows in g["vectors"]:
+        np.add.at(whole["vectors"], which, rows)
+    for name in network.SHAPES:
+        values, slopes = getattr(network, name).reshape(-1), whole[name].reshape(-1)
+        for at in {*np.argsort(-abs(slopes))[:6].tolist(), *rng.integers(0, len(values), 4).tolist()}:
+            was = values[at]
+            values[at] = was + 1e-5
+            up = network.log_likelihoods(target, around).sum()
+            values[at] = was - 1e-5
+            down = network.log_likelihoods(target, around).sum()
+            values[at] = was
+            assert slopes[at] == pytest.approx((up - down) / 2e-5, abs=1e-5)
+
+
+def test_network_learns():
     rng = np.random.default_rng(0)
-    target, around, _ = lm_score.windows([rng.integers(0, 40, 400).astype(np.int32)])
+    target, around, _ = lm_score.windows([np.tile(rng.integers(0, 40, 50), 20).astype(np.int32)])
     network = lm_score.Network()
     start = network.log_likelihoods(target, around).mean()
-    for _ in range(30):
-        network.log_likelihoods(target, around, 0.5)
-    assert network.log_likelihoods(target, around).mean() > start + 0.5
+    for _ in range(60):
+        network.learn(target, around)
+    assert network.log_likelihoods(target, around).mean() > start + 1
+
+
+@pytest.mark.parametrize("counted", [0, 30])
+def test_scores_are_plain_sums(spark, docs, texts, monkeypatch, counted):
+    choose = lm_score.choose
+    monkeypatch.setattr(lm_score, "choose", lambda counts: choose(counts, 20, counted))
+    split = [re.findall(r"[^\W_]+|[^\w\s]+", (t or "").lower()) for t in texts]
+    counts = Counter(w for s in split for w in s)
+    found = choose(spark.createDataFrame([(w, lm_score.kind(w), n) for w, n in counts.items()], "word string, kind int, n long"), 20, counted)
+    assert 0 < len(found.numbered) <= 20 and len(found.counted) <= counted and found.others.count() == len(counts) - len(found.numbered) - len(found.counted)
+    assert min(counts[w] for w in found.numbered) >= max(n for w, n in counts.items() if w not in found.numbered)
+    network = lm_score.train(docs, found.numbered)
+    rare = {w: n for w, n in counts.items() if w not in found.numbered}
+    kinds = [sum(n + 0.5 for w, n in rare.items() if lm_score.kind(w) == k) for k in range(3)]
     rows = got(lm_score.score(docs))
-    for i, t in enumerate(texts):
-        assert rows[3 * i].n_tokens == len(lm_score.tokens(t or "")) and rows[3 * i].log_likelihood <= 0
-    assert rows[34 * 3].mean_log_likelihood is None and rows[35 * 3].n_tokens == 0
+    for i, s in enumerate(split):
+        numbers = [found.numbered.index(w) + 3 if w in found.numbered else lm_score.kind(w) for w in s]
+        r = rows[3 * i]
+        assert (r.n_tokens, r.n_rare) == (len(s), sum(w in rare for w in s))
+        if not s:
+            assert r.score is None and r.log_likelihood == 0
+            continue
+        target, around, _ = lm_score.windows([np.array(numbers, np.int32)])
+        want = plain_network(network, target, around).sum()
+        own = Counter(w for w in s if w in rare)
+        for w, m in own.items():
+            want += m * np.log((rare[w] - m + 0.5) / (kinds[lm_score.kind(w)] - sum(x for v, x in own.items() if lm_score.kind(v) == lm_score.kind(w))))
+        assert r.log_likelihood == pytest.approx(want, rel=1e-3) and r.score == pytest.approx(r.log_likelihood / len(s))
+
+
+def test_copies_vouch_for_each_other(spark):
+    rng = random.Random(13)
+    common = [words(rng, 1) for _ in range(40)]
+    once = [" ".join(rng.choice([rng.choice(common), words(rng, 1, "stuvwxyz")]) for _ in range(60)) for _ in range(200)]
+    rows = got(lm_score.score(spark.createDataFrame(list(enumerate(once + once[:20])), "doc_id long, text string")))
+    assert min(rows[i].score for i in range(20)) > max(rows[i].score for i in range(20, 200))
+    assert all(rows[i].score == pytest.approx(rows[200 + i].score) for i in range(20))
 
 
 def test_odd_rows_and_empty_tables(spark, docs):
