@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relspan.llm._common import NULL_ID, pick, prepare, sliced, stored, tasks, uncollected
+from relspan.llm._common import NULL_ID, forget, pick, prepare, sliced, stored, tasks, uncollected
 
 #: Bytes of the strings at whose start the sampled suffixes are, below SPAN.
 GRAM = 40
@@ -182,35 +183,38 @@ def _keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
     return hashed.join(ranks, ["key", "hash"], "left").withColumn("rank", F.coalesce("rank", F.lit(0))).drop("hash")
 
 
-_LOCAL = "gram long, piece long, key long, rank int, lo long, n int, a int"
-_FOUND = "kind int, gram long, key long, rank int, lo long, n int, a int"
+_PIECE = "gram long, key long, rank int, lo long, n int, a int"
+_LOCAL = f"{_PIECE}, hot boolean"
+_FOUND = f"kind int, {_PIECE}"
 
 
 def _record(names: str, *columns: np.ndarray) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
     fields = [f.strip().split() for f in names.split(",")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
 
 
-def _sketch(span: int, gram: int):
+def _sketch(span: int, gram: int, hot: np.ndarray, sampler: Callable = sample):
+    """Pieces of keyed texts, and intervals to remove (a: -1, n: length) of pieces whose bytes another one earlier in the batch has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, most=4 << 20):
             key, rank = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            texts = [(text or "").encode("utf-8") for text in batch.column(3).to_pylist()]
             units: list[tuple[int, int, bytes]] = []
             found: list[dict[str, np.ndarray]] = []
             size = 0
 
             def flush() -> None:
                 nonlocal units, size
-                s = sample([u[2] for u in units], span, gram)
+                s = sampler([u[2] for u in units], span, gram)
                 row, base = (np.array([u[i] for u in units], np.int64) for i in (0, 1))
                 s["lo"] = s["lo"] + base[s["doc"]]
                 s["doc"] = row[s["doc"]]
                 found.append(s)
                 units, size = [], 0
 
-            for i, text in enumerate(batch.column(3).to_pylist()):
-                data = (text or "").encode("utf-8")
+            for i, data in enumerate(texts):
                 for at in range(0, max(len(data) - span + 1, 0), BLOCK):  # a very long text in strips of windows
                     units.append((i, at, data[at : at + BLOCK + span - 1]))
                     size += len(units[-1][2])
@@ -221,65 +225,50 @@ def _sketch(span: int, gram: int):
             if not found:
                 continue
             s = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
-            d, r = key[s["doc"]], rank[s["doc"]]
-            order = np.lexsort((s["lo"], r, d, s["piece"], s["gram"]))
-            g, p, lo, n, a = (s[k][order] for k in ("gram", "piece", "lo", "n", "a"))
-            d, r = d[order], r[order]
+            order = np.lexsort((s["lo"], rank[s["doc"]], key[s["doc"]], s["piece"], s["gram"]))
+            g, p, row, lo, n, a = (s[k][order] for k in ("gram", "piece", "doc", "lo", "n", "a"))
             same = np.concatenate(([False], (g[1:] == g[:-1]) & (p[1:] == p[:-1])))
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(g))))
+            end = lo + n + span - 1
+            at = np.flatnonzero(same)
+            for i, h in zip(at.tolist(), head[at].tolist(), strict=True):  # equal hashes: are the bytes?
+                if texts[row[i]][lo[i] : end[i]] != texts[row[h]][lo[h] : end[h]]:
+                    same[i] = False
+            d, r = key[row], rank[row]
             late = same & ((d != d[head]) | (r != r[head]) | (lo != lo[head]))
             first = ~same
-            yield _record(_LOCAL, g[first], p[first], d[first], r[first], lo[first], n[first], a[first])
-            both = np.stack([d[late], r[late]], axis=1)
-            owners, at = np.unique(both, axis=0, return_inverse=True)
-            at, lo, hi = merged(at.ravel(), lo[late], lo[late] + n[late] + span - 1)
+            yield _record(_LOCAL, g[first], d[first], r[first], lo[first], n[first], a[first], np.isin(g[first], hot))
+            owners, at = np.unique(np.stack([d[late], r[late]], axis=1), axis=0, return_inverse=True)
+            at, lo, hi = merged(at.ravel(), lo[late], end[late])
             d, r = owners[at, 0], owners[at, 1]
-            yield _record(_LOCAL, mixed(d.astype(np.uint64) * np.uint64(31) + lo.astype(np.uint64)).view(np.int64), np.zeros(len(d), np.int64), d, r, lo, hi - lo, np.full(len(d), -1))
+            yield _record(_LOCAL, mixed(d.astype(np.uint64) * np.uint64(31) + lo.astype(np.uint64)).view(np.int64), d, r, lo, hi - lo, np.full(len(d), -1), np.zeros(len(d), bool))
 
     return run
 
 
-def _compare(span: int):
-    """Over rows sorted by gram, piece, key, rank, lo: kind 1, intervals to remove (n: length); kind 0, pieces of grams that have several."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: list | None = None  # the row before, with its run's first location
-        waiting, told = None, False  # the last first-of-its-piece, and whether it was given out
-        for batch in batches:
-            g, p, d, r, lo, n, a = (batch.column(i).to_numpy() for i in range(7))
-            ready = a < 0
-            if ready.any():
-                yield _record(_FOUND, np.ones(ready.sum()), g[ready], d[ready], r[ready], lo[ready], n[ready], a[ready])
-                g, p, d, r, lo, n, a = (x[~ready] for x in (g, p, d, r, lo, n, a))
-            if not len(g):
-                continue
-            own = [g, p, d, r, lo]
-            if before is not None:
-                own = [np.concatenate(([b], x)) for b, x in zip(before, own, strict=True)]
-            g_, p_, d_, r_, lo_ = own
-            same = np.concatenate(([False], (g_[1:] == g_[:-1]) & (p_[1:] == p_[:-1])))
-            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(g_))))
-            late = same & ((d_ != d_[head]) | (r_ != r_[head]) | (lo_ != lo_[head]))
-            skip = int(before is not None)
-            before = [x[head[-1]] for x in own]  # the run's first stands for the run
-            same, late = same[skip:], late[skip:]
-            yield _record(_FOUND, np.ones(late.sum()), g[late], d[late], r[late], lo[late], n[late] + span - 1, a[late])
-            firsts = [x[~same] for x in (g, d, r, lo, n, a)]
-            if not len(firsts[0]):
-                continue
-            if waiting is not None:
-                firsts = [np.concatenate(([w], x)) for w, x in zip(waiting, firsts, strict=True)]
-            equal = firsts[0][1:] == firsts[0][:-1]
-            out = np.zeros(len(firsts[0]), bool)
-            out[1:] |= equal
-            out[:-1] |= equal
-            if waiting is not None and told:
-                out[0] = False
-            told = bool(equal[-1]) if len(equal) else told
-            waiting = [x[-1] for x in firsts]
-            yield _record(_FOUND, np.zeros(out.sum()), *(x[out] for x in firsts))
-
-    return run
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by gram: kind 1, intervals to remove (n: length); kind 0, pieces of grams that have several, or are hot."""
+    waiting, told = None, False  # the last piece, and whether it was given out
+    for batch in batches:
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        ready = columns[5] < 0
+        if ready.any():
+            yield _record(_FOUND, np.ones(ready.sum()), *(x[ready] for x in columns[:6]))
+            columns = [x[~ready] for x in columns]
+        if not len(columns[0]):
+            continue
+        if waiting is not None:
+            columns = [np.concatenate(([w], x)) for w, x in zip(waiting, columns, strict=True)]
+        equal = columns[0][1:] == columns[0][:-1]
+        out = columns[6].astype(bool)
+        out[1:] |= equal
+        out[:-1] |= equal
+        last = bool(out[-1])
+        if waiting is not None and told:
+            out[0] = False
+            last = last or len(out) == 1
+        told, waiting = last, [x[-1] for x in columns]
+        yield _record(_FOUND, np.zeros(out.sum()), *(x[out] for x in columns[:6]))
 
 
 class DocFilter:
@@ -308,41 +297,138 @@ class DocFilter:
         return marked.mapInArrow(uncollected(run), marked.schema).drop("at")
 
 
-def repeated_spans(docs: DataFrame, span: int = 100, gram: int = GRAM, group: int = 4096) -> DataFrame:
+def hot_grams(docs: DataFrame, span: int, gram: int, n: int, of: int = 64) -> np.ndarray:
+    """Grams that a probe, every of-th document by hash, has so often that a task would mostly hold them: 16 a task at most.
+
+    Only where their pieces are sent depends on it, no result does.
+    """
+    probe = docs.where(F.pmod(F.xxhash64("key", "rank"), F.lit(of)) == 0).select("key", "rank", "doc_id", "text")
+    counts = probe.mapInArrow(uncollected(_sketch(span, gram, np.empty(0, np.int64))), _LOCAL).where("a >= 0").groupBy("gram").agg(F.count("*").alias("n"))
+    counts = stored(counts.where("n >= 8"), "probe")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    got = counts.where(F.col("n") > max(32, total // (16 * n))).select("gram").toArrow()
+    forget(counts)
+    return np.sort(got.column(0).to_numpy())
+
+
+def repeated_spans(docs: DataFrame, span: int = 100, gram: int = GRAM, group: int | None = None, sampler: Callable = sample) -> DataFrame:
     """(key, rank, spans): the bytes to remove of each keyed document that has any, as intervals lo, hi. See dedup()."""
     spark = prepare(docs.sparkSession)
     n = tasks(spark, docs)
-    local = docs.select("key", "rank", "doc_id", "text").mapInArrow(uncollected(_sketch(span, gram)), _LOCAL)
-    ordered = local.repartition(n, "gram").sortWithinPartitions("gram", "piece", "key", "rank", "lo")
-    found = stored(ordered.mapInArrow(uncollected(_compare(span)), _FOUND), "pieces")
+    hot = hot_grams(docs, span, gram, n)
+    local = docs.select("key", "rank", "doc_id", "text").mapInArrow(uncollected(_sketch(span, gram, hot, sampler)), _LOCAL)
+    salt = F.when(F.col("hot"), F.xxhash64("key", "rank", "lo")).otherwise(F.lit(0))
+    found = stored(local.repartition(n, "gram", salt).sortWithinPartitions("gram").mapInArrow(uncollected(_met), _FOUND), "pieces")
     pieces = found.where("kind = 0")
-    sizes = pieces.groupBy("gram").agg(F.count("*").alias("size")).where(F.col("size") > group).select("gram", F.lit(True).alias("large"))
-    wanted = pieces.join(sizes, "gram", "left").groupBy("key", "rank").agg(F.collect_list(F.struct("gram", "lo", "n", "a", F.coalesce("large", F.lit(False)).alias("large"))).alias("pieces"))
+    wanted = pieces.groupBy("key", "rank").agg(F.collect_list(F.struct("lo", "n", "a")).alias("pieces"))
     held = DocFilter(pieces.select("key", "rank")).split(docs.select("key", "rank", "text"), rest=False).join(wanted, ["key", "rank"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.bool_(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        for batch in batches:
-            out: list[tuple] = []
-            for key, rank, text, own in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
+        for batch in sliced(batches, most=1 << 20):
+            tail, head, key, rank, lo = [], [], [], [], []
+            for k, r, text, own in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
                 data = text.encode("utf-8")
                 for x in own:
-                    lo, count = x["lo"], x["n"]
-                    if x["large"]:
-                        out += [(True, data[i : i + span], key, rank, i, None) for i in range(lo, lo + count)]
-                    else:
-                        at = lo + x["a"]
-                        out.append((False, data[at : at + gram], key, rank, lo, data[lo : lo + count + span - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["large", "lead", "key", "rank", "lo", "bytes"])
-
-    suffixes = stored(held.mapInArrow(uncollected(cut), "large boolean, lead binary, key long, rank int, lo long, bytes binary"), "suffixes")
-    small = suffixes.where("not large").select("lead", "key", "rank", "lo", "bytes").repartitionByRange(n, "lead").sortWithinPartitions("lead", "key", "rank", "lo")
-    large = suffixes.where("large").select("lead", "key", "rank", "lo").repartitionByRange(n, "lead", "key", "rank", "lo").sortWithinPartitions("lead", "key", "rank", "lo")
-    spans = found.where("kind = 1").select("key", "rank", "lo", (F.col("lo") + F.col("n")).alias("hi"))
-    spans = spans.union(small.mapInArrow(uncollected(_within(span)), "key long, rank int, lo long, hi long")).union(_across(large, span))
+                    at = x["lo"]
+                    middle = at + x["a"]
+                    tail.append(data[middle : at + x["n"] + span - 1])
+                    head.append(data[at:middle])
+                    lo.append(at)
+                key += [k] * len(own)
+                rank += [r] * len(own)
+            yield _record(_SUFFIX, tail, head, key, rank, lo)
+
+    suffixes = stored(held.mapInArrow(uncollected(cut), _SUFFIX), "suffixes")
+    ordered = suffixes.repartitionByRange(n, "tail", "head", "key", "rank", "lo").sortWithinPartitions("tail", "head", "key", "rank", "lo")
+    told = stored(ordered.mapInArrow(uncollected(_distinct(gram)), f"part int, kind int, {_SUFFIX}"), "distinct")
+    whole = told.where("kind = 0").select("key", "rank", "lo", (F.col("lo") + F.octet_length("head") + F.octet_length("tail")).alias("hi"))
+    whole = whole.union(_boundaries(told, lambda r: len(r["head"]) + len(r["tail"])))
+
+    others = told.where("kind = 3").select(F.substring("tail", 1, gram).alias("lead"), "tail", "head", "key", "rank", "lo")
+    if group is None:
+        group = min(4096, max(64, others.count() // (4 * n)))
+    sizes = others.groupBy("lead").agg(F.count("*").alias("size")).where(F.col("size") > group).select("lead", F.lit(True).alias("large"))
+    dealt = others.join(sizes, "lead", "left")
+    small = dealt.where("large is null").select("lead", "tail", "head", "key", "rank", "lo").repartitionByRange(n, "lead").sortWithinPartitions("lead", "key", "rank", "lo")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tail, key, rank, lo = [], [], [], []
+            for t, h, k, r, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = h + t
+                count = len(data) - span + 1
+                tail += [data[i : i + span] for i in range(count)]
+                key += [k] * count
+                rank += [r] * count
+                lo += range(at, at + count)
+            yield _record(_SUFFIX, tail, [b""] * len(tail), key, rank, lo)
+
+    large = dealt.where("large").select("tail", "head", "key", "rank", "lo").mapInArrow(uncollected(windows), _SUFFIX)
+    large = large.repartitionByRange(n, "tail", "key", "rank", "lo").sortWithinPartitions("tail", "key", "rank", "lo")
+    seen = stored(large.mapInArrow(uncollected(_distinct(span)), f"part int, kind int, {_SUFFIX}"), "suffix-order")
+    across = seen.where("kind = 0").select("key", "rank", "lo", (F.col("lo") + span).alias("hi")).union(_boundaries(seen, lambda r: span))
+
+    spans = found.where("kind = 1").select("key", "rank", "lo", (F.col("lo") + F.col("n")).alias("hi")).union(whole)
+    spans = spans.union(small.mapInArrow(uncollected(_within(span)), "key long, rank int, lo long, hi long")).union(across)
     return spans.groupBy("key", "rank").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
+_SUFFIX = "tail binary, head binary, key long, rank int, lo long"
+
+
+def _distinct(gram: int):
+    """Compares each row's bytes with those of the row before, over a partition of a total order of (tail, head, key, rank, lo).
+
+    kind 0: the bytes are those of an earlier row. kind 3: the first of its
+    bytes whose first `gram` bytes of tail others have too, or may have in
+    another partition. kinds 1 and 2: the partition's first and last row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        me = TaskContext.get().partitionId()
+        first: tuple | None = None  # the first row of the present bytes
+        waiting: tuple | None = None  # a first of its bytes that has no neighbour yet
+        lead, opening, row = None, True, None
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
+                if first is None:
+                    out.append((1, row))
+                elif row[0] == first[0] and row[1] == first[1]:
+                    if row[2:] != first[2:]:
+                        out.append((0, row))
+                    continue
+                first = row
+                if row[0][:gram] == lead:
+                    if waiting is not None:
+                        out.append((3, waiting))
+                        waiting = None
+                    out.append((3, row))
+                else:
+                    opening = lead is None
+                    lead, waiting = row[0][:gram], row
+                    if opening:
+                        out.append((3, row))
+                        waiting = None
+            yield _record(f"part int, kind int, {_SUFFIX}", [me] * len(out), [k for k, _ in out], *([r[i] for _, r in out] for i in range(5)))
+        if row is not None:
+            last = [(2, row)] + ([(3, waiting)] if waiting is not None else [])
+            yield _record(f"part int, kind int, {_SUFFIX}", [me] * len(last), [k for k, _ in last], *([r[i] for _, r in last] for i in range(5)))
+
+    return run
+
+
+def _boundaries(told: DataFrame, length) -> DataFrame:
+    """Intervals of rows that begin a partition with the bytes that another one ends with. Two rows a partition reach the driver."""
+    late, before = [], None
+    for r in sorted(told.where("kind in (1, 2)").collect(), key=lambda r: (r["part"], r["kind"])):
+        own, at = (bytes(r["tail"]), bytes(r["head"])), (r["key"], r["rank"], r["lo"])
+        if r["kind"] == 1 and before is not None and own == before[0] and at != before[1]:
+            late.append((*at, r["lo"] + length(r)))
+        before = own, at
+    return told.sparkSession.createDataFrame(late, "key long, rank int, lo long, hi long")
+
+
 def _within(span: int, most: int = 1024):
     """Compares the pieces of each gram, over rows sorted by it; about `most` pieces, or one gram's, at once."""
 
@@ -357,8 +443,8 @@ def _within(span: int, most: int = 1024):
         leads, rows, pieces = [], [], []
         for batch in batches:
             leads += batch.column(0).to_pylist()
-            rows.append(np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3)], axis=1))
-            pieces += batch.column(4).to_pylist()
+            rows.append(np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (3, 4, 5)], axis=1))
+            pieces += [h + t for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             while len(leads) >= most:
                 end = most
                 while end < len(leads) and leads[end] == leads[end - 1]:
@@ -377,43 +463,6 @@ def _within(span: int, most: int = 1024):
     return run
 
 
-def _across(ordered: DataFrame, span: int) -> DataFrame:
-    """Compares each suffix with the one before it, over all partitions of a total order of (lead, key, rank, lo).
-
-    Equal leads may fill many partitions. A partition tells its first and last
-    lead, and the first row of each is judged by the last lead before it.
-    """
-    spark = ordered.sparkSession
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        me, last, row = TaskContext.get().partitionId(), None, None
-        for batch in batches:
-            leads, rows = batch.column(0).to_pylist(), np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3)], axis=1)
-            if not leads:
-                continue
-            out = []
-            if last is None:
-                out.append((me, 1, leads[0], *rows[0].tolist()))
-            for lead, this in zip(leads, rows.tolist(), strict=True):
-                if lead == last and this != row:
-                    out.append((me, 0, None, *this))
-                last, row = lead, this
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64()))], names=["part", "kind", "lead", "key", "rank", "lo"])
-        if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((me, 2, last, *row), (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["part", "kind", "lead", "key", "rank", "lo"])
-
-    told = stored(ordered.mapInArrow(uncollected(run), "part int, kind int, lead binary, key long, rank int, lo long"), "suffix-order")
-    late, before = [], None
-    for r in sorted(told.where("kind > 0").collect(), key=lambda r: (r["part"], r["kind"])):  # two a partition
-        if r["kind"] == 1 and before is not None and bytes(r["lead"]) == bytes(before["lead"]) and (r["key"], r["rank"], r["lo"]) != (before["key"], before["rank"], before["lo"]):
-            late.append((r["key"], r["rank"], r["lo"], r["lo"] + span))
-        before = r
-    hits = told.where("kind = 0").select("key", "rank", "lo", (F.col("lo") + span).alias("hi"))
-    return hits.union(spark.createDataFrame(late, "key long, rank int, lo long, hi long"))
-
-
 def kept(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     """The bytes outside all spans, and how many maximal runs were removed."""
     out, at, runs = [], 0, 0
@@ -441,14 +490,19 @@ def dedup(docs: DataFrame, span: int = 100, digests: bool = False, **how) -> Dat
     one document, each with its result. Shorter texts are left as they are.
 
     Method. Suffixes are sampled where the least hash of all grams of some
-    `span` bytes lies, so equal strings meet at equal grams. Copies of a piece
-    around one fall together by their hashes (128 bits in all), each task
-    merging its own first. What is left are pieces that share a gram but
-    differ: their bytes, from the gram on, are dealt in ranges of leading bytes
-    by sampled splitters, sorted by multikey quicksort, and equal windows of
-    `span` bytes are found next to each other. A gram with over `group` such
-    pieces is dealt by its windows and their places instead, so a range can end
-    within equal windows, which are then compared across the boundary.
+    `span` bytes lies, so equal strings meet at equal grams; a piece is the text
+    around one whose windows share it. Hashes only choose what is compared:
+    pieces whose gram occurs nowhere else are left, and copies of a piece in one
+    batch are found by hash and then compared. All others are sent as bytes,
+    from the gram on, in ranges whose splitters are sampled; each range is
+    sorted, and each piece is compared with the one before it, across the
+    boundaries of ranges too, so a group of copies may fill many. What is left
+    are different pieces that share a gram: their windows of `span` bytes are
+    sorted by multikey quicksort, and equal ones are found next to each other.
+    A gram with over `group` different pieces (a quarter of a task's even share,
+    64 to 4096) is dealt by its windows and their places instead, again with
+    comparisons across boundaries. Grams that a probe shows to be hot do not
+    meet in one task either.
     """
     docs = _keyed(docs).select("key", "rank", "doc_id", "text")
     spans = stored(repeated_spans(docs, span, **how), "spans")

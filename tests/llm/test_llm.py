@@ -147,6 +147,23 @@ def test_suffix_dedup_is_brute_force(docs, texts, how):
         assert tuple(rows[3 * i])[1:] == want
 
 
+@pytest.mark.parametrize("how", [{}, {"group": 1}])
+def test_suffix_dedup_compares_bytes_and_splits_hot_grams(spark, docs, texts, monkeypatch, how):
+    """Hashes that collide, and grams that are all hot, change nothing."""
+    good = suffix_dedup.sample
+
+    def weak(*args):
+        found = good(*args)
+        return found | {"piece": found["n"] * 100 + found["a"], "gram": found["gram"] % 50}
+
+    monkeypatch.setattr(suffix_dedup, "hot_grams", lambda *_: np.arange(20))
+    line = words(random.Random(9), 30)
+    many = [*texts, *(f"{words(random.Random(i), 20)} {line} {words(random.Random(i + 99), 20)}" for i in range(60)), *([texts[4]] * 9)]
+    rows = got(suffix_dedup.dedup(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string").repartition(5), digests=True, sampler=weak, **how))
+    for i, want in enumerate(removed(many, 100)):
+        assert tuple(rows[i])[1:] == want
+
+
 def test_very_long_text_is_cut_in_strips(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
     rng = random.Random(8)
