@@ -7,6 +7,7 @@ import gc
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,16 +19,29 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 #: Python workers get their rows in batches of at most so many rows and bytes.
 BATCH_ROWS, BATCH_BYTES = 20_000, 4 << 20
+_sent: set[str] = set()
 _REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches and lets Python workers import this package."""
+    """Bounds Arrow batches of this session, which stays so, and lets Python workers import this package, on a cluster by sending it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if _REPO not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_REPO, *paths]))
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if _REPO not in paths:
+            sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_REPO, *paths]))
+    elif sc.applicationId not in _sent:
+        with tempfile.TemporaryDirectory() as folder:  # the driver serves its own copy of what it is given
+            package = os.path.join(folder, f"relspan-{uuid.uuid4().hex}.zip")
+            with zipfile.ZipFile(package, "w") as z:
+                for at, _, names in os.walk(os.path.join(_REPO, "relspan")):
+                    for name in names:
+                        if name.endswith(".py"):
+                            z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), _REPO))
+            sc.addPyFile(package)
+        _sent.add(sc.applicationId)
     return spark
 
 
@@ -47,30 +61,50 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: below spark.checkpoint.dir, or below a folder of our own where that is unset."""
+    """The folder for intermediate tables, below spark.checkpoint.dir.
+
+    Where that is unset, a folder of this machine serves a local session; a
+    cluster's executors could not read one another's, so there it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{os.path.join(tempfile.gettempdir(), 'relspan-checkpoints')}"
-        spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return f"{root.rstrip('/')}/relspan-{spark.sparkContext.applicationId}"
 
 
+#: Paths of the tables that stored() wrote and forget() has not deleted.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a table in the shared folder and reads it back: lineage ends there, and a lost executor costs a reread."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables() -> list[str]:
+    """The tables there are."""
+    return list(_written)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables, once nothing reads them any more."""
+    for path in paths:
+        if path in _written:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _written.remove(path)
+
+
 def forget(df: DataFrame) -> None:
-    """Deletes a table that stored() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if "/relspan-" in path.toString():
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes a table that stored() gave."""
+    files = df.inputFiles()[:1]
+    drop(df.sparkSession, [p for p in _written if files and f"/{p.rsplit('/', 1)[1]}/" in files[0]])
 
 
 def tasks(spark: SparkSession, df: DataFrame | None = None) -> int:

@@ -114,15 +114,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def _bucket(bounds: list[int]):
-    """How many bounds are at most the key, by a binary search that Catalyst compiles."""
-
-    def search(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("key") < F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return search(0, len(bounds)).cast("int")
+    """How many bounds are at most the key, by halving steps over one constant array: the expression does not grow with the bounds' number."""
+    if not bounds:
+        return F.lit(0)
+    table, n = F.array(*map(F.lit, bounds)), len(bounds)
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(n.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(table, at + step - 1) <= F.col("key")), at + step).otherwise(at))
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:

@@ -20,33 +20,45 @@ SPACE = 1 << 18
 #: A classifier is fitted on at most about so many labelled rows, drawn by hash of doc_id.
 SAMPLE = 12_000
 _UPPER, _LOWER, _DIGIT = (re.compile(p) for p in (r"[A-ZÀ-ÖØ-Þ]+", r"[^\W\d_A-ZÀ-ÖØ-Þ]+", r"\d+"))
+_space = re.compile(r"\s").search
 _shapes: dict[str, str] = {}
 
 
 def shape(word: str) -> str:
-    """The word with runs of capitals, small letters and digits as X, x and 9; the first 12 characters of it."""
+    """The word with runs of capitals, small letters and digits as X, x and 9."""
     found = _shapes.get(word)
     if found is None:
         if len(_shapes) > 200_000:
             _shapes.clear()
-        found = _shapes[word] = _DIGIT.sub("9", _LOWER.sub("x", _UPPER.sub("X", word)))[:12]
+        found = _DIGIT.sub("9", _LOWER.sub("x", _UPPER.sub("X", word)))
+        if len(word) < 100:
+            _shapes[word] = found
     return found
 
 
-def features(text: str) -> np.ndarray:
+def features(text: str, strip: int = 1 << 20) -> np.ndarray:
     """Numbers of the n-grams that the text has: words, and one to three shapes of words in a row.
 
-    A word that repeats the one before it is marked in its shape.
+    A word that repeats the one before it is marked in its shape. A long text
+    goes strip by strip, so that no more than a strip's n-grams are held as text.
     """
-    words = text.split()
-    shapes = [shape(w) for w in words]
-    shapes = [s + "=" if w == v else s for s, w, v in zip(shapes, words, ["", *words], strict=False)]
-    found = {f"w {w}" for w in set(text.lower().split())}
-    found.update(f"1 {a}" for a in set(shapes))
-    found.update(f"2 {a} {b}" for a, b in set(zip(shapes, shapes[1:], strict=False)))
-    found.update(f"3 {a} {b} {c}" for a, b, c in set(zip(shapes, shapes[1:], shapes[2:], strict=False)))
+    out, at, word, before = [], 0, "", []
     digest = xxhash.xxh32_intdigest
-    return np.unique(np.fromiter((digest(f) % SPACE for f in found), np.int32, len(found)))
+    while True:
+        cut = _space(text, at + strip)
+        part = text[at : cut.start() if cut else len(text)]
+        words = part.split()
+        shapes = [shape(w) for w in words]
+        shapes = [s + "=" if w == v else s for s, w, v in zip(shapes, words, [word, *words], strict=False)]
+        found = {f"w {w}" for w in set(part.lower().split())}
+        found.update(f"1 {a}" for a in set(shapes))
+        shapes = before + shapes
+        found.update(f"2 {a} {b}" for a, b in set(zip(shapes, shapes[1:], strict=False)))
+        found.update(f"3 {a} {b} {c}" for a, b, c in set(zip(shapes, shapes[1:], shapes[2:], strict=False)))
+        out.append(np.unique(np.fromiter((digest(f) % SPACE for f in found), np.int32, len(found))))
+        if not cut:
+            return out[0] if len(out) == 1 else np.unique(np.concatenate(out))
+        at, word, before = cut.start(), words[-1] if words else word, shapes[-2:]
 
 
 def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
@@ -134,25 +146,38 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     """Fits on rows (doc_id, text) that have a label (doc_id, quality).
 
     At most about `sample` labels are used; where there are more, those with
-    the least hash of doc_id. That bounds what is broadcast (ids and labels)
-    and what reaches the driver (their features).
+    the least hash of doc_id. That bounds what is broadcast (ids and labels).
+    If ids repeat so that more than twice as many rows have them, rows are
+    drawn by hash of id and text, and rows that repeat teach once. That bounds
+    what reaches the driver (their features).
     """
     prepare(docs.sparkSession)
     known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality", F.xxhash64("doc_id", F.lit(2)).alias("at"))
     count = known.count()
     if count > sample:
-        known = known.where(F.col("at") < int(-(2**63) + 2**64 * (sample / count)))
-    rows = docs.join(F.broadcast(known.select("doc_id", "quality")), "doc_id").select("doc_id", "text", "quality")
+        known = known.where(F.col("at") < _least(sample / count))
+    known = F.broadcast(known.select("doc_id", "quality"))
+    rows = docs.join(known, "doc_id").select("doc_id", "text", "quality")
+    count = docs.select("doc_id").join(known, "doc_id").count()
+    often = count > 2 * sample
+    if often:
+        rows = rows.where(F.xxhash64("doc_id", "text", "quality", F.lit(3)) < _least(sample / count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t or "").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "quality", "x"])
 
-    got = sorted((r["doc_id"], r["quality"], bytes(r["x"])) for r in rows.mapInArrow(uncollected(run), "doc_id long, quality int, x binary").collect())
+    taught = rows.mapInArrow(uncollected(run), "doc_id long, quality int, x binary")
+    got = sorted((r["doc_id"], r["quality"], bytes(r["x"])) for r in (taught.distinct() if often else taught).collect())
     return Classifier([np.frombuffer(x, np.int32) for _, _, x in got], np.array([y for _, y, _ in got], np.int64))
 
 
+def _least(share: float) -> int:
+    """What that share of all hashes is below."""
+    return int(-(2**63) + 2**64 * share)
+
+
 def assess(docs: DataFrame, labels: DataFrame, fold: int = 0, of: int = 5, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of docs.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -17,6 +18,7 @@ from relspan.llm.components import connected_components
 from relspan.llm.suffix_dedup import DocFilter
 
 BITS = 64
+_space = re.compile(rb"[\x20\x09-\x0D]").search
 #: Buckets with more fingerprints than TILE are compared in pairs of tiles, each in a group of its own.
 TILE = 2048
 #: (query, word) items that are compared at once.
@@ -28,23 +30,32 @@ STRIDE = 8
 NEAR, NEAR_BOTH = 24, 42
 
 
-def simhash(text: str, width: int = 3) -> int:
-    """Of the text with A-Z in lower case: bit b is set if it is in over half the shingles' XXH64 (seed 42)."""
-    words = text.encode("utf-8").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
+def simhash(text: str, width: int = 3, strip: int = 1 << 20) -> int:
+    """Of the text with A-Z in lower case: bit b is set if it is in over half the shingles' XXH64 (seed 42).
+
+    A long text goes strip by strip: no more than a strip's words and hashes are held at once.
+    """
+    data = text.encode("utf-8").lower()
+    total, count, at, words = np.zeros(BITS, np.int64), 0, 0, []
+    digest = xxhash.xxh64_intdigest
+    while at < len(data):
+        cut = _space(data, at + strip)
+        end = cut.start() if cut else len(data)
+        words += data[at:end].split()
+        at = end
+        if len(words) < width:
+            continue
+        joined = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-width] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)]
-    total, h = np.zeros(BITS, np.int64), np.array(hashes, "<u8")
-    for i in range(0, len(h), 1 << 16):
-        total += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
+        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)], "<u8")
+        count += len(h)
+        for i in range(0, len(h), 1 << 16):
+            total += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        words = words[len(words) - width + 1 :]
+    if not count:
+        return digest(b" ".join(words), 42) if words else 0
+    return int(np.packbits(2 * total > count, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from relspan.llm._common import pick
 from relspan.llm import bpe, bpe_codec, chat, components, decontam, fingerprints, langid, lm_score, quality, simhash, suffix_dedup, token_counts
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -118,6 +119,28 @@ def test_fingerprints(docs, texts):
     assert rows[30 * 3].near_next == 1.0  # a copy follows
 
 
+def plain_chunks(data):
+    """Chunk by chunk: the gear hash of the 32 bytes before an end, or all since the start of the text."""
+    out, start = {}, 0
+    while start < len(data):
+        end = min(start + fingerprints.MOST, len(data))
+        for p in range(start + fingerprints.LEAST, end):
+            h = 0
+            for x in data[max(0, p - 32) : p]:
+                h = (2 * h + int(fingerprints._GEAR[x])) % 2**32
+            if h < 2**32 // (fingerprints.MEAN * 3 if p - start < fingerprints.MEAN else fingerprints.MEAN // 3):
+                end = p
+                break
+        out[xxhash.xxh32_intdigest(data[start:end])] = end - start
+        start = end
+    return out
+
+
+def plain_likeness(a, b):
+    shares = [sum(n for d, n in x.items() if d in y) / sum(x.values()) if x else float(not y) for x, y in ((a, b), (b, a))]
+    return min(shares)
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(5)
     text = words(rng, 900)
@@ -207,6 +230,14 @@ def roots(n, edges):
     return [find(i) for i in range(n)]
 
 
+def test_strips_change_nothing(texts):
+    rng = random.Random(4)
+    for t in [t or "" for t in texts] + [words(rng, n) for n in (2, 3, 4, 5, 9)] + [" ".join(["a"] * 9), "A  b\n\n c\td"]:
+        for strip in (1, 7, 40):
+            assert simhash.simhash(t, 3, strip) == plain_simhash(t)
+            assert quality.features(t, strip).tolist() == quality.features(t).tolist()
+
+
 def test_near_duplicates_are_brute_force(docs, texts):
     rows = got(simhash.near_duplicates(docs))
     fps = [plain_simhash(t) for t in texts]
@@ -435,8 +466,8 @@ def test_network_is_its_definition_and_gradient():
     for c, _, w, b in g["members"]:
         whole["member_w"][c] += w
         whole["member_b"][c] += b
-    for which, _, rows in g["vectors"]:
-        np.add.at(whole["vectors"], which, rows)
+    for _, rows in g["vectors"]:
+        whole["vectors"] += rows
     for name in network.SHAPES:
         values, slopes = getattr(network, name).reshape(-1), whole[name].reshape(-1)
         for at in {*np.argsort(-abs(slopes))[:6].tolist(), *rng.integers(0, len(values), 4).tolist()}:
@@ -496,6 +527,183 @@ def test_copies_vouch_for_each_other(spark):
     assert all(rows[i].score == pytest.approx(rows[200 + i].score) for i in range(20))
 
 
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory, texts):
+    """Tables for the registered queries."""
+    at, rng = tmp_path_factory.mktemp("tables"), random.Random(17)
+    parts = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "ei"], "cc": ["ção", "ê", "nt"]}
+    rows = [(i * 3, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    for i in range(200, 320):
+        lang = rng.choice(list(parts))
+        rows.append((i, " ".join("".join(rng.choices(parts[lang], k=3)) for _ in range(20)) + (" !!! BUY" * 6 if i % 3 == 0 else ""), lang, "t", 9))
+    spark.createDataFrame(rows, KIND).repartition(3).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(200, 320)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(0, texts[4]), (1, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    talks = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} says <|end|> {t}") for c in range(5) for t in range(4)]
+    spark.createDataFrame(talks, "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
+    return str(at), {r[0]: r for r in rows}, talks
+
+
+def run(spark, folder, name, key="doc_id"):
+    from relspan.llm import queries
+
+    rows = queries.QUERIES[name](spark, folder[0]).collect()
+    out = {r[key]: r for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+def test_query_op1_op5(spark, folder, library):
+    counts, codes = run(spark, folder, "op1_token_counts"), run(spark, folder, "op5_bpe_codec")
+    assert set(counts) == set(codes) == set(folder[1])
+    for i, r in folder[1].items():
+        ids = library.encode(r[1] or "", add_special_tokens=False).ids
+        assert tuple(counts[i])[1:4] == (len((r[1] or "").encode()), len(ids), len(ids) > 1024)
+        assert codes[i].n_tokens == len(ids) and codes[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert codes[i].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def plain_quality(rows, held):
+    """The model from its definition: ratios by counting, the dual solved to the end by many passes, margins of the held-out rows."""
+    names = [set(quality.features(t or "").tolist()) for t, _ in rows]
+    ratio = {}
+    size = [quality.SPACE + sum(len(x) for x, (_, y) in zip(names, rows, strict=True) if y == c) for c in (0, 1)]
+    seen = [Counter(f for x, (_, y) in zip(names, rows, strict=True) if y == c for f in x) for c in (0, 1)]
+    for f in set().union(*names):
+        ratio[f] = np.log((1 + seen[1][f]) / size[1]) - np.log((1 + seen[0][f]) / size[0])
+    other = np.log(1 / size[1]) - np.log(1 / size[0])
+    vectors = []
+    for x in names + [set(quality.features(t or "").tolist()) for t in held]:
+        v = {f: ratio.get(f, other) for f in x}
+        norm = max(sum(u * u for u in v.values()) ** 0.5, 1e-9)
+        vectors.append({f: u / norm for f, u in v.items()} | {"bias": 1.0})
+    y = np.array([1 if c else -1 for _, c in rows])
+    gram = np.array([[sum(u * b.get(f, 0.0) for f, u in a.items()) for b in vectors] for a in vectors])
+    k = len(rows)
+    cost = np.array([1 / (2 * np.mean(y == c)) for c in y])
+    alpha = np.zeros(k)
+    for _ in range(300):
+        for i in range(k):
+            alpha[i] = np.clip(alpha[i] - (y[i] * (gram[i, :k] @ (alpha * y)) - 1) / gram[i, i], 0, cost[i])
+    return gram[k:, :k] @ (alpha * y)
+
+
+def test_quality_is_its_dual(spark):
+    rng = random.Random(23)
+    rows = [(words(rng, 12, "abcd") if rng.random() < 0.7 else words(rng, 12, "cdef"), int(rng.random() < 0.6)) for _ in range(40)]
+    held = [words(rng, 12, "abcdef") for _ in range(20)] + [""]
+    x = [quality.features(t) for t, _ in rows]
+    y = np.array([c for _, c in rows])
+    model = quality.fit_margin(x, y, epochs=300)
+    mine = quality._margins(model, [quality.features(t) for t in held], quality.log_count_ratios(x, y))
+    assert np.allclose(mine, plain_quality(rows, held), atol=2e-3)
+
+
+def test_query_op2(spark, folder):
+    rows = run(spark, folder, "op2_quality")
+    assert set(rows) == set(folder[1])
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    assert all(r.held_out == fold(i) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for i, r in rows.items())
+    assert np.mean([rows[i].predicted == int(i % 3 > 0) for i in range(200, 320) if fold(i)]) > 0.9
+    assert rows[34 * 3].score is not None and rows[35 * 3].score == rows[34 * 3].score  # an empty text and none
+
+
+def test_quality_of_odd_rows(spark):
+    kind = "DOC_ID string, doc_id long, Text string, text string, quality string, held_out int"
+    rows = [("a", i, "n", f"{'good' if i % 2 else 'BAD'} text {i}", "x", 1) for i in range(40)] + [("a", 3, "n", "good again", "x", 1), ("a", None, None, None, None, None), ("a", 50, None, "", None, None)]
+    labels = spark.createDataFrame([("q", i, i % 2) for i in range(40)] + [("q", 3, 0), ("q", 4, None), ("q", 5, 7)], "QUALITY string, doc_id long, quality int")
+    docs = spark.createDataFrame(rows, kind)
+    assert quality.assess(docs, labels).count() == 43 and quality.assess(docs.limit(0), labels).count() == 0
+    hot = docs.union(spark.createDataFrame([("a", 1, "n", f"good {i % 50}", "x", 1) for i in range(3000)], kind))
+    taught = quality.learn(pick(hot, doc_id="long", text="string"), pick(labels, doc_id="long", quality="int"), sample=100)
+    assert 0 <= taught.prior <= 1  # rows of id 1 outweigh the others, and are drawn too
+
+
+def test_query_op3(spark, folder):
+    rows = run(spark, folder, "op3_chat_format", "conv_id")
+    probe = "</s>[INST] ok [/INST]"
+    by = {-1: [("user", probe), ("assistant", probe)]}
+    for c, _, role, text in folder[2]:
+        by.setdefault(c, []).append((role, text))
+    assert set(rows) == set(by)
+    for c, turns in by.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert (rows[c].n_turns, rows[c].loss_chars) == (len(turns), len(loss)) and rows[c].formatted_chars > sum(len(t) for _, t in turns)
+        assert rows[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert rows[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_query_op4(spark, folder):
+    rows, ids = run(spark, folder, "op4_fingerprints"), sorted(folder[1])
+    assert sorted(rows) == ids
+    for i, following in zip(ids, ids[1:] + ids[:1], strict=True):
+        text, after = folder[1][i][1] or "", folder[1][following][1] or ""
+        if len(text) > 4000:
+            text_chunks = fingerprints.read(rows[i].fingerprint)
+            assert sum(text_chunks.values()) <= len(text.encode())
+            continue
+        new = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        own, other, follow = plain_chunks(text.encode()), plain_chunks(new.encode()), plain_chunks(after.encode()) if len(after) <= 4000 else None
+        assert (rows[i].n_chars, rows[i].edited_sha256) == (len(text), hashlib.sha256(new.encode()).hexdigest())
+        assert fingerprints.read(rows[i].fingerprint) == own and fingerprints.read(rows[i].edited_fingerprint) == other
+        assert rows[i].near_edited == pytest.approx(plain_likeness(own, other))
+        assert follow is None or rows[i].near_next == pytest.approx(plain_likeness(own, follow))
+
+
+def test_query_op6_op7(spark, folder):
+    ids = sorted(folder[1])
+    texts = [folder[1][i][1] for i in ids]
+    rows = run(spark, folder, "op6_suffix_dedup")
+    for i, want in zip(ids, removed(texts, 100), strict=True):
+        assert tuple(rows[i])[1:] == want
+    fps = [plain_simhash(t) for t in texts]
+    root = roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    rows = run(spark, folder, "op7_simhash")
+    for k, i in enumerate(ids):
+        assert tuple(rows[i]) == (i, f"{fps[k]:016x}", ids[root[k]])
+
+
+def test_query_op8_op9(spark, folder):
+    from relspan.llm import queries
+
+    ids = sorted(folder[1])
+    want = plain_contaminated([folder[1][i][1] if len(folder[1][i][1] or "") < 5000 else "" for i in ids], [folder[1][12][1], None])
+    found = {(r.doc_id, r.item_id, round(r.score, 6)) for r in queries.QUERIES["op8_decontam"](spark, folder[0]).collect()}
+    assert found == {(ids[i], j, s) for i, j, s in want} and (12, 0, 1.0) in found
+    rows = run(spark, folder, "op9_lm_score")
+    assert set(rows) == set(ids) and all((r.score is None) == (r.n_tokens == 0) for r in rows.values())
+
+
+def plain_bundle(text):
+    """Letter by letter: what is no letter is one space between words, and stands at both ends."""
+    line = " " + re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip() + " "
+    total = np.zeros(langid.DIM)
+    if line.strip():
+        for a, b, c in zip(line, line[1:], line[2:], strict=False):
+            total += np.roll(langid.letter(ord(a)), 2).astype(float) * np.roll(langid.letter(ord(b)), 1) * langid.letter(ord(c))
+    return total
+
+
+def test_query_op10(spark, folder):
+    rows = run(spark, folder, "op10_language")
+    assert set(rows) == set(folder[1])
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in rows}
+    small = {i: plain_bundle(r[1]) for i, r in folder[1].items()}
+    sums = {}
+    for i, r in folder[1].items():
+        if not held[i]:
+            sums[r[2]] = sums.get(r[2], 0) + small[i]
+    for i, r in rows.items():
+        v = small[i]
+        assert r.held_out == held[i]
+        if not v.any():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosines = {lang: float(v @ p) / np.linalg.norm(v) / np.linalg.norm(p) for lang, p in sums.items()}
+        best = max(cosines.values())
+        assert cosines[r.lang_pred] == pytest.approx(best, abs=1e-5) and r.score == pytest.approx(max(best, 0), abs=1e-5)
+
+
 def test_odd_rows_and_empty_tables(spark, docs):
     table = odd(spark)
     empty = docs.limit(0)
@@ -526,5 +734,27 @@ def test_pipeline_stages_keep_columns_and_decide(spark, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     left = got(docs)
     assert set(left) == {*range(12), 16} and len(left[16].text) == left[16].n_chars < len(texts[16])
+    before = corpus_pipeline.tables()
     final = got(corpus_pipeline.run(spark, str(tmp_path)))
+    assert len(corpus_pipeline.tables()) == len(before) + 1  # what the last stage reads
     assert {i: r.n_tokens for i, r in final.items()} == {i: r.n_tokens for i, r in got(token_counts.token_counts(docs)).items()}
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    def tables(name, docs, bench):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        return f"{tmp_path}/{name}"
+
+    rng = random.Random(31)
+    item = words(rng, 25, "abcdefghijklmnop")
+    same, other = words(rng, 60), words(rng, 60)
+    rows = [("a", 1, "n", same, "en", 1), ("a", 1, "n", same, "en", 1), ("b", 1, "n", other, "en", 1), ("c", None, "n", words(rng, 50), None, None), ("d", 2, None, None, None, None), ("e", 3, None, "", "en", 0), ("f", 4, "n", f"{words(rng, 8)} {item}", "en", 2)]
+    docs = spark.createDataFrame(rows, "row string, doc_id long, key string, text string, lang string, n_chars long")
+    bench = spark.createDataFrame([("x", 0, item), ("x", None, None)], "score string, item_id long, text string")
+    ids = lambda at: sorted(r.doc_id or 0 for r in corpus_pipeline.run(spark, at).collect())
+    assert ids(tables("odd", docs, bench)) == [0, 1, 1]  # one of the rows that repeat, the other text of id 1, and the null id
+    assert ids(tables("all", docs, bench.limit(0))) == [0, 1, 1, 4]
+    assert ids(tables("none", docs.limit(0), bench)) == []
