@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relspan.functions import special
+from relspan.functions.search import prefix_sums
 
 FAMILIES = ("normal", "lognormal", "poisson", "zipf", "exponential", "uniform", "beta", "gamma")
 DISCRETE = {"poisson", "zipf"}
@@ -25,11 +26,26 @@ def label(c: Column) -> Column:
     """A value's canonical label: whole numbers without a point, so 1, 1.0 and '1' agree."""
     text, x = c.cast("string"), c.try_cast("double")
     whole = (x == F.rint(x)) & (F.abs(x) < F.lit(1e15))
-    return F.when(x.isNull(), text).when(F.isnan(x), F.lit(None)).when(whole, x.cast("long").cast("string")).otherwise(x.cast("string"))
-
-
-def statistics(name: str) -> list[Column]:
-    """What every family's estimate needs of a column; of many columns in one scan."""
+    plain = F.when((F.abs(x) >= 1e-4) & (F.abs(x) < 1e16), F.regexp_replace(F.regexp_replace(x.cast("decimal(38,18)").cast("string"), "0+$", ""), "\\.$", ""))
+    shown = F.when(x.cast("string").contains("E"), F.coalesce(plain, F.lower(x.cast("string")))).otherwise(x.cast("string"))
+    return F.when(x.isNull(), text).when(F.isnan(x), F.lit(None)).when(whole, x.cast("long").cast("string")).otherwise(shown)
+
+
+#: What the estimate of each family needs of statistics().
+NEEDS = {
+    "normal": ("mean", "std"),
+    "lognormal": ("n_positive", "mean_log", "std_log"),
+    "poisson": ("mean",),
+    "zipf": ("mean_rounded",),
+    "exponential": ("n_positive", "mean_positive"),
+    "uniform": ("low", "high"),
+    "beta": ("n_unit", "mean_unit", "var_unit", "log_unit", "log1m_unit"),
+    "gamma": ("n_positive", "mean_positive", "mean_log"),
+}
+
+
+def statistics(name: str, wanted: set[str] | None = None) -> list[Column]:
+    """What families' estimates need of a column, all of it or what is wanted; of many columns in one scan."""
     x = clean(F.col(name))
     positive, r = F.when(x > 0, x), F.rint(x)
     unit = F.when((x > 0) & (x < 1), x)
@@ -50,19 +66,23 @@ def statistics(name: str) -> list[Column]:
         "log_unit": F.avg(F.ln(unit)),
         "log1m_unit": F.avg(F.ln(F.lit(1.0) - unit)),
         "mean_rounded": F.avg(F.when(r >= 1, r)),
-        "log_rounded": F.avg(F.ln(F.when(r >= 1, r))),
         "share_whole": F.avg((x == r).cast("double")),
-        "distinct": F.count_distinct(x),
     }
-    return [c.alias(f"{name}__{k}") for k, c in of.items()]
+    return [c.alias(f"{name}__{k}") for k, c in of.items() if wanted is None or k in wanted]
 
 
-def summarize(rows: DataFrame, names: list[str]) -> dict[str, dict[str, float]]:
-    """The statistics of the columns: one job, one row."""
-    got = rows.agg(*(c for n in names for c in statistics(n))).first().asDict()
+def summarize(rows: DataFrame, names: list[str], families: tuple[str, ...] | None = None) -> dict[str, dict[str, float]]:
+    """The statistics of the columns, those that the families need or all: one job, one row."""
+    wanted = None if families is None else {"n"}.union(*(NEEDS[f] for f in families))
+    got = rows.agg(*(c for n in names for c in statistics(n, wanted))).first().asDict()
     return {n: {k.split("__")[-1]: v for k, v in got.items() if k.startswith(f"{n}__")} for n in names}
 
 
+def distinct_up_to(rows: DataFrame, name: str, most: int = 500) -> int:
+    """How many different numbers a column has; most + 1 stands for any more, and no more than that reach one task."""
+    return counts(rows, name).limit(most + 1).count()
+
+
 def estimate(family: str, s: dict) -> dict[str, float]:
     """Parameters from statistics(). Deviations: of normal over n, of lognormal over n - 1."""
     match family:
@@ -170,21 +190,10 @@ def counts(rows: DataFrame, name: str) -> DataFrame:
     return rows.select(clean(F.col(name)).alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
 
 
-def cumulated(values: DataFrame, parts: int = 64) -> DataFrame:
-    """x, n, upto (count of values up to x), total: a prefix sum in two passes.
-
-    Values are dealt in ranges between sampled quantiles; the ranges' sums, at
-    most `parts` rows, give each its start, and windows run within a range.
-    """
-    bounds = sorted(set(values.approxQuantile("x", [i / parts for i in range(1, parts)], 0.01)))
-    part = F.lit(0)
-    for b in bounds:
-        part = part + (F.col("x") > F.lit(b)).cast("int")
-    marked = values.withColumn("part", part)
-    sums = marked.groupBy("part").agg(F.sum("n").alias("own"))
-    order = Window.partitionBy(F.lit(0)).orderBy("part")
-    starts = sums.select("part", (F.sum("own").over(order) - F.col("own")).alias("start"), F.sum("own").over(Window.partitionBy(F.lit(0))).alias("total"))
-    return marked.join(F.broadcast(starts), "part").withColumn("upto", F.col("start") + F.sum("n").over(Window.partitionBy("part").orderBy("x"))).select("x", "n", "upto", "total")
+def cumulated(values: DataFrame) -> DataFrame:
+    """x, n, upto (count of values up to x), total."""
+    out, total = prefix_sums(values, "x", "n")
+    return out.withColumn("total", F.lit(total))
 
 
 def _cdf_column(family: str, p: dict) -> Column:
@@ -201,17 +210,22 @@ def _cdf_column(family: str, p: dict) -> Column:
     return of(x)
 
 
+def gap(family: str, p: dict, plain: bool = False) -> Column:
+    """Of a row of cumulated(): the difference of both distribution functions there."""
+    at = _cdf_column(family, p)
+    above = F.col("upto") / F.col("total") - at
+    below = at - (F.col("upto") - F.col("n")) / F.col("total")
+    return F.abs(above) if family in DISCRETE and not plain else F.greatest(above, below)
+
+
 def ks(rows: DataFrame, name: str, family: str, p: dict, plain: bool = False) -> DataFrame:
     """distance: Kolmogorov-Smirnov statistic against a distribution; 1 for fewer than two values.
 
     Discrete families are compared at the values only, unless plain; others
     from both sides of each step.
     """
-    at = cumulated(counts(rows, name)).withColumn("F", _cdf_column(family, p))
-    above = F.col("upto") / F.col("total") - F.col("F")
-    below = F.col("F") - (F.col("upto") - F.col("n")) / F.col("total")
-    gap = F.abs(above) if family in DISCRETE and not plain else F.greatest(above, below)
-    return at.agg(F.when(F.max("total") >= 2, F.max(gap)).otherwise(F.lit(1.0)).alias("distance"))
+    at = cumulated(counts(rows, name))
+    return at.agg(F.when(F.max("total") >= 2, F.max(gap(family, p, plain))).otherwise(F.lit(1.0)).alias("distance"))
 
 
 def pmf(rows: DataFrame, name: str) -> DataFrame:
@@ -227,24 +241,60 @@ def tvd(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.when((F.count("p") > 0) & (F.count("q") > 0), F.least(F.lit(1.0), half)).otherwise(F.lit(1.0)).alias("distance"))
 
 
-def mre(found: dict[str, float], wanted: dict[str, float]) -> float | None:
-    """Mean relative error over the parameters that both have; a wanted 0 counts as 1; none shared: None."""
-    shared = [k for k, v in wanted.items() if k in found and isinstance(v, (int, float))]
-    return sum(abs(found[k] - wanted[k]) / abs(wanted[k]) if wanted[k] else 1.0 for k in shared) / len(shared) if shared else None
+def mre(found: dict[str, float], wanted: dict[str, float], scoreable=lambda _: True) -> float | None:
+    """Mean relative error over the scoreable parameters that both have; a wanted 0 is a divisor of 1; none shared: None."""
+    shared = [k for k, v in wanted.items() if k in found and isinstance(v, (int, float)) and scoreable(k)]
+    return sum(abs(found[k] - wanted[k]) / (abs(wanted[k]) or 1.0) for k in shared) / len(shared) if shared else None
 
 
-def _log_column(family: str, p: dict, least: float = -math.inf) -> Column:
-    @F.pandas_udf("double")
-    def of(v: pd.Series) -> pd.Series:
-        return v.map(lambda y: max(log_density(family, p, y), least))
+#: Stirling's series: the coefficients of 1/z, 1/z^3 and so on.
+_SERIES = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
+
+
+def log_gamma(z: Column) -> Column:
+    """Of z from 1 on: Stirling's series seven places further, less the logarithm of the factors between."""
+    far = z + F.lit(7.0)
+    between = z
+    for i in range(1, 7):
+        between = between * (z + F.lit(float(i)))
+    series = sum((F.lit(c) / F.pow(far, F.lit(2.0 * i + 1)) for i, c in enumerate(_SERIES)), F.lit(0.0))
+    return (far - F.lit(0.5)) * F.ln(far) - far + F.lit(0.5 * math.log(2 * math.pi)) + series - F.ln(between)
+
 
-    return of(F.col("x"))
+def log_densities(family: str, p: dict, least: float = -math.inf) -> Column:
+    """log_density() of column x, at least `least`, as an expression."""
+    x = F.col("x")
+    k = F.bround(x)
+    low = F.lit(least)
+    match family:
+        case "normal":
+            out = F.lit(-0.5) * F.pow((x - F.lit(p["mean"])) / F.lit(p["std"]), F.lit(2.0)) - F.lit(math.log(p["std"] * math.sqrt(2 * math.pi)))
+        case "lognormal":
+            z = (F.ln(x) - F.lit(p["mu"])) / F.lit(p["sigma"])
+            out = F.when(x > 0, F.lit(-0.5) * z * z - F.lit(math.log(p["sigma"] * math.sqrt(2 * math.pi))) - F.ln(x))
+        case "poisson":
+            out = F.when(k >= 0, k * F.lit(math.log(p["lambda"])) - F.lit(p["lambda"]) - log_gamma(k + F.lit(1.0)))
+        case "zipf":
+            out = F.when(k >= 1, F.lit(-p["a"]) * F.ln(k) - F.lit(math.log(special.zeta(p["a"]))))
+        case "exponential":
+            out = F.when(x >= 0, F.lit(math.log(p["rate"])) - F.lit(p["rate"]) * x)
+        case "uniform":
+            out = F.when(x.between(p["low"], p["high"]), F.lit(-math.log(p["high"] - p["low"])))
+        case "beta":
+            a, b = p["alpha"], p["beta"]
+            out = F.when((x > 0) & (x < 1), F.lit(a - 1) * F.ln(x) + F.lit(b - 1) * F.log1p(-x) + F.lit(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)))
+        case "gamma":
+            shape, rate = p["shape"], p["rate"]
+            out = F.when(x > 0, F.lit(shape - 1) * F.ln(x) - F.lit(rate) * x + F.lit(shape * math.log(rate) - math.lgamma(shape)))
+        case _:
+            raise ValueError(f"no family {family}")
+    return F.greatest(F.coalesce(out, F.lit(-math.inf)), low)
 
 
 def nll_score(rows: DataFrame, name: str, family: str, p: dict) -> DataFrame:
     """score: exp of the mean of log density over its greatest, of values in the support; 1 is best, 0 if there is none."""
     best = log_density(family, p, likeliest(family, p))
-    at = counts(rows, name).withColumn("d", _log_column(family, p) - F.lit(best)).where(F.abs("d") < F.lit(float("inf")))
+    at = counts(rows, name).withColumn("d", log_densities(family, p) - F.lit(best)).where(F.abs("d") < F.lit(float("inf")))
     return at.agg(F.coalesce(F.exp(F.sum(F.col("d") * F.col("n")) / F.sum("n")), F.lit(0.0)).alias("score"))
 
 
@@ -271,19 +321,29 @@ def mine(rows: DataFrame, names: list[str], keep: int = 5, least: int = 8) -> li
     A column takes part if at least a fifth of its rows, and `least` rows, are
     numbers. Discrete: 95 % whole and at most 500 different. Likelihoods are
     sums over distinct values; a value outside the support counts ln 1e-10.
+    Zipf takes part in a discrete column of which some value is 1 or more, and
+    is fitted to those. All families of a column are judged in one pass.
     """
     out = []
     for name, s in summarize(rows, names).items():
         if s["n"] < least or s["n"] < 0.2 * s["rows"]:
             continue
-        discrete = s["share_whole"] >= 0.95 and s["distinct"] <= 500
-        fits = [f for f in FAMILIES if (f in DISCRETE) <= discrete and not (f in ("lognormal", "exponential", "gamma") and s["low"] <= 0) and not (f == "beta" and (s["low"] <= 0 or s["high"] >= 1)) and not (f == "zipf" and s["low"] < 1) and not (f == "poisson" and s["low"] < 0)]
+        discrete = s["share_whole"] >= 0.95 and distinct_up_to(rows, name) <= 500
+        positive = s["low"] > 0
+        able = {"lognormal": positive, "exponential": positive, "gamma": positive, "beta": positive and s["high"] < 1, "zipf": s["mean_rounded"] is not None, "poisson": s["low"] >= 0}
+        fits = {f: estimate(f, s) for f in FAMILIES if (f not in DISCRETE or discrete) and able.get(f, True)}
+        at = cumulated(counts(rows, name))
+        each = at.agg(*(c for f, p in fits.items() for c in (F.sum(log_densities(f, p, math.log(1e-10)) * F.col("n")).alias(f"ll_{f}"), F.max(gap(f, p, True)).alias(f"ks_{f}")))).first()
         found = []
-        for family in fits:
-            p = estimate(family, s)
-            ll = counts(rows, name).agg(F.sum(_log_column(family, p, math.log(1e-10)) * F.col("n"))).first()[0]
-            d = ks(rows, name, family, p, plain=True).first()[0]
+        for family, p in fits.items():
+            ll, d = each[f"ll_{family}"], each[f"ks_{family}"]
             pv = special.kolmogorov(d, s["n"])
             found.append({"column": name, "family": family, "params": p, "aic": 2 * len(p) - 2 * ll, "bic": len(p) * math.log(s["n"]) - 2 * ll, "ks": d, "p_value": pv, "valid": pv >= 0.05})
         out += sorted(found, key=lambda f: (not f["valid"], f["aic"]))[:keep]
     return out
+
+
+def mine_schema(tables: dict[str, DataFrame], keep: int = 5) -> dict[str, list[dict]]:
+    """mine() of every number column of every table, by table."""
+    numbers = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    return {t: mine(rows, [c for c, kind in rows.dtypes if kind in numbers or kind.startswith("decimal")], keep) for t, rows in tables.items()}

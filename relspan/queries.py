@@ -11,6 +11,7 @@ from relspan.operators import distributions as D
 from relspan.operators import facts as A
 from relspan.operators import generate as G
 from relspan.operators import satisfy as K
+from relspan.operators import scoring as S
 from relspan.operators import text as T
 from relspan.operators import vectors as V
 from relspan.plans import audit, extraction, patches, sql
@@ -223,7 +224,7 @@ def corr_matrix(spark, sf_dir):
 def _estimate(name: str, table: str, of: str, family: str, oracle: str | None) -> None:
     @query(name, oracle)
     def _(spark, sf_dir):
-        found = D.estimate(family, D.summarize(read(spark, sf_dir, table), [of])[of])
+        found = D.estimate(family, D.summarize(read(spark, sf_dir, table), [of], (family,))[of])
         return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "parameter string, value double").withColumn("value", F.round("value", 6))
 
 
@@ -257,7 +258,7 @@ def tvd_categorical(spark, sf_dir):
 
 @query("mre", "SELECT round((abs(avg(l_quantity) - 25) / 25 + abs(stddev_pop(l_quantity) - 15) / 15) / 2, 6) AS mre FROM lineitem")
 def mre(spark, sf_dir):
-    found = D.estimate("normal", D.summarize(read(spark, sf_dir, "LINEITEM"), ["l_quantity"])["l_quantity"])
+    found = D.estimate("normal", D.summarize(read(spark, sf_dir, "LINEITEM"), ["l_quantity"], ("normal",))["l_quantity"])
     return spark.createDataFrame([(D.mre(found, {"mean": 25, "std": 15}),)], "mre double").withColumn("mre", F.round("mre", 6))
 
 
@@ -281,14 +282,87 @@ _score("ks_zipf", "PART", "p_size", "zipf", {"a": 1.5}, None, D.ks)
 
 @query("mine_table_stats", "SELECT 'l_quantity' AS name, round(avg((l_quantity = round(l_quantity))::INT), 6) AS share_whole, count(DISTINCT l_quantity)::DOUBLE AS n_distinct FROM lineitem UNION ALL SELECT 'l_extendedprice', round(avg((l_extendedprice = round(l_extendedprice))::INT), 6), count(DISTINCT l_extendedprice)::DOUBLE FROM lineitem")
 def mine_table_stats(spark, sf_dir):
-    found = D.summarize(read(spark, sf_dir, "LINEITEM"), ["l_quantity", "l_extendedprice"])
-    return spark.createDataFrame([(n, float(s["share_whole"]), float(s["distinct"])) for n, s in found.items()], "name string, share_whole double, n_distinct double").withColumn("share_whole", F.round("share_whole", 6))
+    rows = read(spark, sf_dir, "LINEITEM")
+    found = D.summarize(rows, ["l_quantity", "l_extendedprice"])
+    return spark.createDataFrame([(n, float(s["share_whole"]), float(D.counts(rows, n).count())) for n, s in found.items()], "name string, share_whole double, n_distinct double").withColumn("share_whole", F.round("share_whole", 6))
 
 
-@query("mine_column")
+def _mined() -> str:
+    """AIC, BIC and KS of two families over events.value."""
+    dens = {
+        "exponential": ("1", "ln(rate) - rate * x", "1 - exp(-rate * x)"),
+        "uniform": ("2", "-ln(high - low)", "(x - low) / (high - low)"),
+    }
+    parts = []
+    for family, (k, ll, cdf) in dens.items():
+        parts.append(f"SELECT 'value' AS name, '{family}' AS family, sum({ll}) AS ll, {k} AS k, max(greatest(upto / n - ({cdf}), ({cdf}) - before / n)) AS ks, any_value(n) AS n FROM (SELECT x, count(*) OVER (ORDER BY x) AS upto, count(*) OVER (ORDER BY x) - count(*) OVER (PARTITION BY x) AS before, count(*) OVER () AS n FROM e), s")
+    return f"WITH e AS (SELECT value AS x FROM events WHERE value IS NOT NULL), s AS (SELECT 1 / avg(x) AS rate, min(x) AS low, max(x) AS high FROM e) SELECT name, family, round(2 * k - 2 * ll, 3) AS aic, round(k * ln(n) - 2 * ll, 3) AS bic, round(ks, 6) AS ks FROM ({' UNION ALL '.join(parts)})"
+
+
+@query("mine_column", _mined())
 def mine_column(spark, sf_dir):
-    found = D.mine(read(spark, sf_dir, "EVENTS"), ["value"])
-    return spark.createDataFrame([(f["column"], f["family"], f["aic"], f["bic"], f["ks"], f["p_value"], f["valid"]) for f in found], "name string, family string, aic double, bic double, ks double, p_value double, valid boolean")
+    """The exponential and the uniform among the families mined; the others' estimates have no SQL."""
+    found = [f for f in D.mine(read(spark, sf_dir, "EVENTS"), ["value"], keep=9) if f["family"] in ("exponential", "uniform")]
+    rows = [(f["column"], f["family"], round(f["aic"], 3), round(f["bic"], 3), round(f["ks"], 6)) for f in found]
+    return spark.createDataFrame(rows, "name string, family string, aic double, bic double, ks double")
+
+
+# scores of columns against specifications
+
+_POINT, _FREE = {"tier": "point"}, {"tier": "free"}
+_SPECS = {
+    "LINEITEM.l_quantity": {"distribution": "uniform", "params": {"min": 2, "max": 60}, "scoring": {"min": _POINT, "max": _POINT}},
+    "EVENTS.value": {"family": "exponential", "params": {"lambda": 0.02}, "scoring": {"lambda": _POINT}},
+    "EVENTS.value (free)": {"family": "exponential", "params": {"lambda": 0.03}, "scoring": {"lambda": _FREE}, "free_params": {"lambda": {"min": 0.001, "max": 1.0}}},
+    "ORDERS.o_totalprice": {"family": "lognormal", "params": {"mean": 12, "variance": 0.25}, "scoring": {"variance": _FREE}, "free_params": {"variance": {"min": 0.0, "max": 0.01}, "mean": {"min": 5, "max": 20}}},
+    "ORDERS.o_orderstatus": {"family": "categorical", "params": {"weights": {"F": 5, "O": 4, "P": 1}}},
+    "ORDERS.o_orderstatus (free)": {"family": "categorical", "params": {"weights": {"F": 1, "O": 1}}, "scoring": {"weights": _FREE}},
+    "ORDERS.o_missing": {"family": "poisson", "params": {"lam": 3}},
+    "NOWHERE.value": {"family": "poisson", "params": {"lam": 3}},
+}
+_KS_OF = "(SELECT max(greatest(upto / n - f, f - before / n)) FROM (SELECT {f} AS f, count(*) OVER (ORDER BY x) AS upto, count(*) OVER (ORDER BY x) - count(*) OVER (PARTITION BY x) AS before, count(*) OVER () AS n FROM (SELECT {c}::DOUBLE AS x FROM {t} WHERE {c} IS NOT NULL)))"
+_SHARES = "(SELECT p, q FROM (SELECT o_orderstatus AS l, count(*) / sum(count(*)) OVER () AS p FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1) FULL JOIN (VALUES ('F', 0.5::DOUBLE), ('O', 0.4), ('P', 0.1)) v(l, q) USING (l))"
+_CASE = f"""
+SELECT 'LINEITEM.l_quantity' AS spec, (SELECT least(1.0, (abs(min(l_quantity) - 2) / 2 + abs(max(l_quantity) - 60) / 60) / 2) FROM lineitem) AS mre, 1.0::DOUBLE AS nll, {_KS_OF.format(f="least(1.0, greatest(0.0, (x - 2) / 58))", c="l_quantity", t="lineitem")} AS distance, 'ks' AS kind, NULL::BIGINT AS band_applicable, NULL::BIGINT AS band_satisfied
+UNION ALL SELECT 'EVENTS.value', (SELECT least(1.0, abs(1 / avg(value) FILTER (value > 0) - 0.02) / 0.02) FROM events), (SELECT exp(avg(-0.02 * value) FILTER (value >= 0)) FROM events), {_KS_OF.format(f="1 - exp(-0.02 * x)", c="value", t="events")}, 'ks', NULL, NULL
+UNION ALL SELECT 'EVENTS.value (free)', NULL, NULL, NULL, 'unscoreable_free_params', 1, (SELECT (1 / avg(value) FILTER (value > 0) BETWEEN 0.001 AND 1)::BIGINT FROM events)
+UNION ALL SELECT 'ORDERS.o_totalprice', (SELECT abs(avg(ln(o_totalprice)) - 12) / 12 FROM orders WHERE o_totalprice > 0), NULL, NULL, 'unscoreable_free_params', 2, (SELECT (avg(ln(o_totalprice)) BETWEEN 5 AND 20)::BIGINT + (var_samp(ln(o_totalprice)) BETWEEN 0 AND 0.01)::BIGINT FROM orders WHERE o_totalprice > 0)
+UNION ALL SELECT 'ORDERS.o_orderstatus', least(1.0, avg(abs(p - q) / q)), exp(sum(p * ln(q)) / sum(p)) / 0.5, 0.5 * sum(abs(coalesce(p, 0) - coalesce(q, 0))), 'tvd', NULL, NULL FROM {_SHARES}
+UNION ALL SELECT 'ORDERS.o_orderstatus (free)', NULL, NULL, NULL, 'unscoreable_free_params', NULL, NULL
+UNION ALL SELECT unnest(['ORDERS.o_missing', 'NOWHERE.value']), 1.0, 0.0, 1.0, 'none', NULL, NULL"""
+_ROUNDED = "spec, round(mre, 6) AS mre, round(nll, 6) AS nll, round(distance, 6) AS distance, kind, band_applicable, band_satisfied"
+
+
+def _scores(spark, sf_dir) -> dict[str, dict]:
+    tables = {t: read(spark, sf_dir, t) for t in ("LINEITEM", "ORDERS", "EVENTS")}
+    return S.score_case(tables, _SPECS)
+
+
+@query("case_score", f"SELECT {_ROUNDED} FROM ({_CASE})")
+def case_score(spark, sf_dir):
+    rows = [(k, s["mre"], s["nll"], s["distance"], s["kind"], s.get("band_applicable"), s.get("band_satisfied")) for k, s in _scores(spark, sf_dir).items()]
+    out = spark.createDataFrame(rows, "spec string, mre double, nll double, distance double, kind string, band_applicable long, band_satisfied long")
+    return out.selectExpr("spec", *(f"round({c}, 6) AS {c}" for c in ("mre", "nll", "distance")), "kind", "band_applicable", "band_satisfied")
+
+
+@query("score_report", f"SELECT round(avg(mre), 6) AS mre, round(avg(nll), 6) AS nll, round(avg(distance), 6) AS distance, count(distance) AS n_scoreable, count(*) FILTER (kind LIKE 'unscoreable%') AS n_unscoreable, round(sum(band_satisfied) / sum(band_applicable), 6) AS plausibility_rate, sum(band_applicable)::BIGINT AS n_band_applicable, count(*) FILTER (kind <> 'none') AS n_evaluated, count(*) FILTER (kind = 'none') AS n_missing FROM ({_CASE})")
+def score_report(spark, sf_dir):
+    r = S.case_report(_scores(spark, sf_dir))
+    names = ["mre", "nll", "distance", "n_scoreable", "n_unscoreable", "plausibility_rate", "n_band_applicable", "n_evaluated", "n_missing"]
+    kinds = ", ".join(f"{n} {'long' if n.startswith('n_') else 'double'}" for n in names)
+    return spark.createDataFrame([tuple(round(r[n], 6) if isinstance(r[n], float) else r[n] for n in names)], kinds)
+
+
+@query("score_bands", f"SELECT spec, band_applicable, band_satisfied FROM ({_CASE}) WHERE band_applicable IS NOT NULL")
+def score_bands(spark, sf_dir):
+    rows = [(k, s["band_applicable"], s["band_satisfied"]) for k, s in _scores(spark, sf_dir).items() if "band_applicable" in s]
+    return spark.createDataFrame(rows, "spec string, band_applicable long, band_satisfied long")
+
+
+@query("score_categorical", f"SELECT round(avg(abs(p - q) / q), 6) AS mre, round(exp(sum(p * ln(q)) / sum(p)) / 0.5, 6) AS nll, round(0.5 * sum(abs(coalesce(p, 0) - coalesce(q, 0))), 6) AS distance FROM {_SHARES}")
+def score_categorical(spark, sf_dir):
+    s = S.score_categorical(read(spark, sf_dir, "ORDERS"), "o_orderstatus", _SPECS["ORDERS.o_orderstatus"])
+    return spark.createDataFrame([tuple(round(s[k], 6) for k in ("mre", "nll", "distance"))], "mre double, nll double, distance double")
 
 
 # texts
@@ -342,8 +416,9 @@ def token_openings(spark, sf_dir):
 
 @query("discreteness", "SELECT 'l_quantity' AS name, avg((l_quantity = round(l_quantity))::INT) >= 0.95 AND count(DISTINCT l_quantity) <= 500 AS discrete FROM lineitem UNION ALL SELECT 'l_extendedprice', avg((l_extendedprice = round(l_extendedprice))::INT) >= 0.95 AND count(DISTINCT l_extendedprice) <= 500 FROM lineitem")
 def discreteness(spark, sf_dir):
-    found = D.summarize(read(spark, sf_dir, "LINEITEM"), ["l_quantity", "l_extendedprice"])
-    return spark.createDataFrame([(n, bool(s["share_whole"] >= 0.95 and s["distinct"] <= 500)) for n, s in found.items()], "name string, discrete boolean")
+    rows = read(spark, sf_dir, "LINEITEM")
+    found = D.summarize(rows, ["l_quantity", "l_extendedprice"])
+    return spark.createDataFrame([(n, bool(s["share_whole"] >= 0.95 and D.distinct_up_to(rows, n) <= 500)) for n, s in found.items()], "name string, discrete boolean")
 
 
 # embeddings
