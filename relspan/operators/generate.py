@@ -51,7 +51,7 @@ def draw(family: str, p: dict, name: str, seed: int, *key: str) -> Column:
         case "uniform":
             return F.lit(float(p["low"])) + u * F.lit(float(p["high"]) - float(p["low"]))
         case "exponential":
-            return -F.ln(u) / F.lit(float(p["lambda"]))
+            return -F.ln(u) / F.lit(float(p["rate"] if "rate" in p else p["lambda"]))
         case "normal" | "lognormal":
             z = F.sqrt(F.lit(-2.0) * F.ln(u)) * F.cos(F.lit(2 * math.pi) * uniform(name + "/angle", seed, *key))
             if family == "normal":

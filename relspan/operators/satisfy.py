@@ -5,7 +5,9 @@ either may be None; "condition" makes it conditional), {"op": eq, neq, gt, gte,
 lt or lte, "column", and one of "value", "rhs_column", "rhs_expr"}, {"op": "and"
 or "or", "conditions"}, {"op": "not", "condition"}, {"op": "ifthen", "if", "then"}.
 rhs_expr is {"op": + - * /, "column", and "value" or "rhs_column"}. "rhs_join":
-{"table", "fk", "key"} takes rhs_column from the first matching row of a table.
+{"table", "fk", "key"} takes rhs_column from the first matching row of a table,
+"lhs_join" likewise column; first by the columns in "order", else as the rows are
+read. Where no row matches, the comparison can't be evaluated.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ def holds(c: dict, rows: DataFrame) -> Column:
         return ~holds(c["condition"], rows)
     if op == "ifthen":
         return holds(c["then"], rows)
-    value = _column(c["column"], rows)
+    value = _column(looked_up(c, "lhs_join") if "lhs_join" in c else c["column"], rows)
     if op == "range":
         parts = [value >= F.lit(c["min"])] if c.get("min") is not None else []
         parts += [value <= F.lit(c["max"])] if c.get("max") is not None else []
@@ -57,7 +59,7 @@ def _right(c: dict, rows: DataFrame) -> Column:
     if "value" in c:
         return F.lit(c["value"])
     if "rhs_join" in c:
-        return _column(looked_up(c), rows)
+        return _column(looked_up(c, "rhs_join"), rows)
     if "rhs_column" in c:
         return _column(c["rhs_column"], rows)
     e = c["rhs_expr"]
@@ -66,26 +68,31 @@ def _right(c: dict, rows: DataFrame) -> Column:
     return {"+": a + b, "-": a - b, "*": a * b, "/": F.try_divide(a, b)}[e["op"]]
 
 
-def looked_up(c: dict) -> str:
-    j = c["rhs_join"]
-    return f"__{j['table']}_{j['fk']}_{c['rhs_column']}".lower()
+_SIDES = {"lhs_join": "column", "rhs_join": "rhs_column"}
 
 
-def joins(c: dict) -> list[dict]:
-    found = [c] if "rhs_join" in c else []
+def looked_up(c: dict, side: str) -> str:
+    j = c[side]
+    return f"__{j['table']}_{j['fk']}_{c[_SIDES[side]]}".lower()
+
+
+def joins(c: dict) -> list[tuple[dict, str]]:
+    """The conditions that look something up, and on which side."""
+    found = [(c, side) for side in _SIDES if side in c]
     for part in [*c.get("conditions", ()), *(c[k] for k in ("condition", "if", "then") if isinstance(c.get(k), dict))]:
         found += joins(part)
     return found
 
 
 def prepared(rows: DataFrame, constraints: list[dict], tables: Callable[[str], DataFrame]) -> DataFrame:
-    """Adds what the constraints look up in other tables: of each key the row with the least value."""
+    """Adds what the constraints look up in other tables: of each key the first row, even where it has a null."""
     seen = {}
-    for c in (x for k in constraints for x in joins(k)):
-        seen[looked_up(c)] = c
-    for name, c in seen.items():
-        j = c["rhs_join"]
-        other = tables(j["table"]).groupBy(F.col(j["key"]).alias("__key")).agg(F.min(c["rhs_column"]).alias(name))
+    for c, side in (x for k in constraints for x in joins(k)):
+        seen[looked_up(c, side)] = c[side], c[_SIDES[side]]
+    for name, (j, of) in seen.items():
+        order = F.struct(*j["order"]) if j.get("order") else F.monotonically_increasing_id()
+        ranked = tables(j["table"]).select(F.col(j["key"]).alias("__key"), F.col(of).alias("__value"), order.alias("__order"))
+        other = ranked.groupBy("__key").agg(F.min_by("__value", "__order").alias(name))
         rows = rows.join(other, rows[j["fk"]] == other["__key"], "left").drop("__key")
     return rows
 

@@ -38,7 +38,7 @@ def spans(rows: DataFrame, key: list[str], text: str, sizes: tuple[int, ...] = (
 
 def tfidf(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, weight: (1 + ln c) * (ln((1 + n) / (1 + df)) + 1), scaled to unit length by row."""
-    found = rows.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("c"))
+    found = rows.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("c")).persist()  # read three times
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     n = rows.agg(F.count("*").alias("n_rows"))
     raw = found.join(df, "term").crossJoin(F.broadcast(n)).select(key, "term", ((F.lit(1.0) + F.ln("c")) * (F.ln((F.lit(1.0) + F.col("n_rows")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))).alias("w"))
@@ -53,6 +53,7 @@ def top_matches(index: DataFrame, key: str, queries: DataFrame, query_key: str,
     Cosines are sums over shared terms, so texts that share none never meet.
     """
     n = corpus.count()
+    index = index.persist()  # read twice
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     asked = queries.select(query_key, F.explode(terms(F.col(text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("c"))
     raw = asked.join(df, "term").select(query_key, "term", ((F.lit(1.0) + F.ln("c")) * (F.ln(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))).alias("w"))
@@ -81,17 +82,36 @@ def mentions(rows: DataFrame, key: str, text: str, tables: list[str]) -> DataFra
     return rows.select(key, F.explode(F.array_compact(found)).alias("table"))
 
 
+#: Texts of items that are broadcast at once, in bytes.
+BLOCK = 8 << 20
+
+
 def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id: documents that hold an item's text to the letter.
 
-    Items are cut by their first 24 characters; a document's substrings of that
-    length are looked up among them, so no document meets items it can't hold.
+    The words between an item's first and last are whole words of the document
+    too. Of an item with four words or more, the longest two of them in a row
+    are its seed; documents are looked up by their pairs of words, without
+    their texts, and only what shares a seed is searched. Shorter items are
+    searched for in every document, in blocks of at most BLOCK bytes. Ids must
+    be unique; null texts and empty items match nothing.
     """
-    probe = items.where(F.length("text") >= 24).select("item_id", F.substring("text", 1, 24).alias("head"), F.col("text").alias("item"))
-    at = docs.where(F.length("text") >= 24).select("doc_id", "text", F.explode(F.expr("sequence(1, length(text) - 23)")).alias("p")).select("doc_id", "text", F.expr("substring(text, p, 24)").alias("head"))
-    met = at.join(F.broadcast(probe), "head").where(F.contains("text", "item")).select("doc_id", "item_id").distinct()
-    short = items.where((F.length("text") < 24) & (F.length("text") > 0)).select("item_id", F.col("text").alias("item"))
-    return met.union(docs.join(F.broadcast(short), F.contains(docs["text"], F.col("item"))).select("doc_id", "item_id")) if not short.isEmpty() else met
+    words = F.split(F.col("text"), r"\s+")
+    inner = F.expr("slice(w, 2, greatest(size(w) - 2, 0))")
+    pairs = F.expr("transform(sequence(1, greatest(size(w) - 1, 1)), i -> concat_ws(' ', element_at(w, i), try_element_at(w, i + 1)))")
+    longest = F.expr("array_max(transform(pairs, p -> struct(length(p) AS n, p AS pair))).pair")
+    asked = items.where("length(text) > 0").select("item_id", F.col("text").alias("item"), words.alias("w"))
+    long = asked.where("size(w) >= 4").select("item_id", "item", inner.alias("w")).withColumn("pairs", pairs).select("item_id", "item", longest.alias("pair"))
+    said = docs.where("text IS NOT NULL").select("doc_id", words.alias("w")).where("size(w) >= 2").select("doc_id", F.explode(F.array_distinct(pairs)).alias("pair"))
+    met = said.join(long.select("item_id", "pair"), "pair").select("doc_id", "item_id").distinct()
+    out = met.join(docs.select("doc_id", "text"), "doc_id").join(long.select("item_id", "item"), "item_id").where(F.contains("text", "item")).select("doc_id", "item_id")
+    short = asked.where("size(w) < 4").select("item_id", "item")
+    size = short.agg(F.sum(F.octet_length("item"))).first()[0] or 0
+    parts = -(-size // BLOCK)
+    for part in range(parts):
+        own = short.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        out = out.union(docs.join(F.broadcast(own), F.contains(docs["text"], F.col("item"))).select("doc_id", "item_id"))
+    return out
 
 
 def cosine(a: Column, b: Column) -> Column:

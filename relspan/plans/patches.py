@@ -192,10 +192,16 @@ def tables(rows: dict[str, DataFrame], c: Catalog, p: dict) -> dict[str, DataFra
         more = [x.name for x in gone.columns if kept.column(x.name) is None]
         if not kept.key or len(kept.key) != len(gone.key):
             raise Refused(f"the keys of {name} and {p['to']} do not fit")
-        side = out.pop(name).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(gone.key)), *(F.col(m).alias(f"_m_{m}") for m in more))
+        gone_keys = dict(zip(kept.key, gone.key, strict=True))
+        side = out.pop(name).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(gone.key)), *(F.col(x.name).alias(f"_s_{x.name}") for x in gone.columns if x.name not in gone.key))
         base = out[p["to"]]
-        met = base.join(side, [base[k] == side[f"_k{i}"] for i, k in enumerate(kept.key)], "left")
-        out[p["to"]] = met.select(*(base[x] for x in base.columns), *(F.col(f"_m_{m}").alias(m) for m in more))
+        met = base.join(side, [base[k] == side[f"_k{i}"] for i, k in enumerate(kept.key)], "full")
+        shared = {x.name for x in gone.columns if kept.column(x.name) is not None and x.name not in gone.key}
+        place = {k: i for i, k in enumerate(gone_keys)}
+        # rows that only the merged table has keep their keys and what they say of the kept table's columns
+        only = F.coalesce(*(base[k] for k in kept.key)).isNull()
+        value = lambda x: F.coalesce(base[x], F.col(f"_k{place[x]}")) if x in place else F.when(only, F.col(f"_s_{x}").cast(base.schema[x].dataType)).otherwise(base[x]) if x in shared else base[x]
+        out[p["to"]] = met.select(*(value(x).alias(x) for x in base.columns), *(F.col(f"_k{gone.key.index(m)}" if m in gone.key else f"_s_{m}").alias(m) for m in more))
     elif do == "rename_column":
         out[name] = out[name].withColumnRenamed(p["column"], p["to"])
     elif do == "delete_column":

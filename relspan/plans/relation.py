@@ -265,7 +265,10 @@ def known(r, catalog: Catalog) -> Known:
             if child.tables & parent.tables:
                 raise Refused(f"{', '.join(sorted(child.tables & parent.tables))} occurs twice: an alias is needed")
             loose = child.nullable[on]
-            return Known(parent.types | child.types, {c: n or loose for c, n in parent.nullable.items()} | child.nullable, parent.origin | child.origin, both, child.key, child.tables | parent.tables)
+            name = _alias(r, catalog)
+            own = {c: f"{name}.{c}" for c in parent.types if c in child.types} if name else {}
+            types, nullable, origin = ({own.get(c, c): v for c, v in of.items()} for of in (parent.types, parent.nullable, parent.origin))
+            return Known(types | child.types, {c: n or loose for c, n in nullable.items()} | child.nullable, origin | child.origin, both, child.key, child.tables | parent.tables)
         case Filter(source, where):
             k = known(source, catalog)
             check(where, k)
@@ -336,6 +339,12 @@ def directed(j: Join, catalog: Catalog) -> tuple[Known, Known, str, str, bool]:
         return right, left, b, a, True
 
 
+def _alias(j: Join, catalog: Catalog) -> str | None:
+    """The parent's alias: columns that the child has too are named alias.column."""
+    parent = j.left if directed(j, catalog)[4] else j.right
+    return parent.alias if isinstance(parent, Base) else None
+
+
 def compiled(r, catalog: Catalog, tables: Callable[[str], DataFrame], used: frozenset | None = None) -> DataFrame:
     """The relation's DataFrame.
 
@@ -354,12 +363,13 @@ def _frame(r, catalog, tables, used):
         case Join():
             child, parent, on, key, flipped = directed(r, catalog)
             c, p = (r.right, r.left) if flipped else (r.left, r.right)
-            extra = set(parent.types) - set(child.types)
-            if used is not None and not used & extra:
+            name = _alias(r, catalog)
+            extra = {x: f"{name}.{x}" if x in child.types else x for x in parent.types if name or x not in child.types}
+            if used is not None and not used & set(extra.values()):
                 return _frame(c, catalog, tables, used | {on})
             rows = _frame(c, catalog, tables, None if used is None else used | {on})
-            others = _frame(p, catalog, tables, None if used is None else used | {key})
-            others = others.select(F.col(key).alias("__key"), *(F.col(x) for x in others.columns if x in extra))
+            others = _frame(p, catalog, tables, None if used is None else used | {key} | {x for x, y in extra.items() if y in used})
+            others = others.select(F.col(f"`{key}`").alias("__key"), *(F.col(f"`{x}`").alias(extra[x]) for x in others.columns if x in extra))
             return rows.join(others, rows[on] == others["__key"], "left").drop("__key")
         case Filter(source, where):
             return _frame(source, catalog, tables, None if used is None else used | names(where)).where(column(where))

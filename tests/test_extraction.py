@@ -72,7 +72,9 @@ def test_audit():
     assert audit.cross_column_share([{"op": "and", "conditions": [{"op": "lt", "column": "a", "rhs_column": "b"}, {"op": "range", "column": "a"}]}]) == 0.5
     assert audit.cross_column_share([]) is None
     assert audit.shape(TESTDATA) == {"tables": 8, "composite keys": 0, "self links": 0, "longest chain": 5}
-    assert [audit.stem(w) for w in "patients boxes cities class bus is".split()] == ["patient", "box", "city", "class", "bus", "is"] or audit.stem("bus") == "bus"
+    assert audit.support("exponential", {"rate": 2.0}) == audit.support("exponential", {"lambda": 2.0}) is not None
+    low, high = (lambda i: (i.low, i.high))(audit.support("normal", {"mean": 10, "std": 2}))
+    assert abs(low - 4) < 0.01 and abs(high - 16) < 0.01
 
 
 def test_coverage_of_an_empty_table(spark):

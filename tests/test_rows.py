@@ -112,3 +112,8 @@ def test_merged_rows(spark):
     rows = {"A": spark.createDataFrame([(1, 2), (2, 3)], "id long, x long"), "B": spark.createDataFrame([(1, 7)], "id long, y long")}
     out = patches.tables(rows, c, {"action": "merge_tables", "table": "B", "to": "A"})
     assert list(out) == ["A"] and sorted(listed(out["A"])) == [(1, 2, 7), (2, 3, None)]
+    c.tables["B"] = Table("B", (Column("b_id", "INTEGER"), Column("y", "INTEGER"), Column("x", "INTEGER")), ("b_id",))
+    rows["B"] = spark.createDataFrame([(1, 7, 70), (9, 8, 80)], "b_id long, y long, x long")
+    out = patches.tables(rows, c, {"action": "merge_tables", "table": "B", "to": "A"})
+    assert out["A"].columns == ["id", "x", "b_id", "y"]
+    assert sorted(listed(out["A"]), key=lambda r: r[0]) == [(1, 2, 1, 7), (2, 3, None, None), (9, 80, 9, 8)]
