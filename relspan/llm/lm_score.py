@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from relspan.llm._common import pick, prepare, stored, tasks, uncollected
 
 #: A token is predicted as its class, then as a member of it; so many tokens have numbers of their own.
-CLASSES, MEMBERS = 32, 48
+CLASSES, MEMBERS = 32, 32
 #: The first numbers stand for rarer words: of letters, with digits, and marks. Which of them it is, counts say.
 KINDS = 3
 #: Workers hold the counts of so many rare words; those of any others, however many, are joined by a shuffle.
@@ -30,7 +30,7 @@ DIM, SIDE, STEP, RATE, CHUNK = 16, 2, 16384, 0.5, 4096
 _words = re.compile(r"[^\W_]+|[^\w\s]+").findall
 _space = re.compile(r"\s").search
 _EDGE = CLASSES * MEMBERS  # stands before and behind a text
-_KIND = [k.to_bytes(2, "little") for k in range(KINDS)]
+_KIND = [k.to_bytes(4, "little") for k in range(KINDS)]
 _PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
@@ -50,14 +50,15 @@ def pieces(text: str, strip: int = 1 << 20) -> Iterator[list[str]]:
 
 
 class Vocabulary(dict):
-    """Numbers of the words of what white space parts, as bytes: KINDS and on for those that have one, else that of the word's kind.
+    """Numbers of the words of what white space parts, as bytes: KINDS and on for those that are given, else that of the word's kind.
 
-    What was asked for is kept until there are about `most` parts or `size` characters of them, and one text's strip. rare: the rare words of those kept that have any.
+    What was asked for is kept until there are `most` parts or `size` characters of them, and one text's strip.
+    rare: the words without a number in those kept that have any.
     """
 
-    def __init__(self, words: list[str], most: int = 300_000, size: int = 16 << 20):
+    def __init__(self, words: Iterable[str], most: int = 400_000, size: int = 16 << 20):
         super().__init__()
-        self.numbers = {w: (i + KINDS).to_bytes(2, "little") for i, w in enumerate(words)}
+        self.numbers = {w: (i + KINDS).to_bytes(4, "little") for i, w in enumerate(words)}
         self.most, self.size, self.held = most, size, 0
         self.rare: dict[str, list[str]] = {}
 
@@ -65,16 +66,19 @@ class Vocabulary(dict):
         self.held += len(part)
         code = self.numbers.get(part)
         if code is None:
-            get, words = self.numbers.get, _words(part)
-            code = b"".join([get(w) or _KIND[kind(w)] for w in words])
-            rare = [w for w in words if w not in self.numbers]
-            if rare:
-                self.rare[part] = rare
+            if part.isalnum():
+                code, self.rare[part] = _KIND[kind(part)], [part]
+            else:
+                numbers, words = self.numbers, _words(part)
+                code = b"".join([numbers.get(w) or _KIND[kind(w)] for w in words])
+                rare = [w for w in words if w not in numbers]
+                if rare:
+                    self.rare[part] = rare
         self[part] = code
         return code
 
     def read(self, text: str, rare: Counter | None = None) -> np.ndarray:
-        """Numbers of the text's tokens: runs of letters and digits, and of marks. Rare words are counted in `rare`."""
+        """Numbers of the text's tokens: runs of letters and digits, and of marks. Words without one are counted in `rare`."""
         out = []
         for parts in pieces(text):
             if len(self) > self.most or self.held > self.size:
@@ -84,7 +88,7 @@ class Vocabulary(dict):
             out.append(b"".join(map(self.__getitem__, parts)))
             if rare is not None:
                 rare.update(chain.from_iterable(filter(None, map(self.rare.get, parts))))
-        return np.frombuffer(b"".join(out), "<u2").astype(np.int32)
+        return np.frombuffer(b"".join(out), "<i4")
 
 
 class Network:
@@ -107,18 +111,16 @@ class Network:
         return np.concatenate([getattr(self, n).ravel() for n in self.SHAPES])
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.vectors.take(around[0], axis=0)
-        total *= self.places[0]
+        scaled = self.vectors * self.places[:, None]
+        total = scaled[0].take(around[0], axis=0)
         for k in range(1, len(_PLACES)):
-            one = self.vectors.take(around[k], axis=0)
-            one *= self.places[k]
-            total += one
+            total += scaled[k].take(around[k], axis=0)
         total += self.bias
         return np.tanh(total, out=total)
 
     def log_likelihoods(self, target: np.ndarray, around: np.ndarray, gradient: dict | None = None) -> np.ndarray:
         """Of each target given the tokens around it. What goes into `gradient` is that of their sum: by parameter, of
-        members (class, targets in it, weights, bias), of vectors (numbers, how often each is meant, rows) by place."""
+        members (class, targets in it, weights, bias), of vectors (how often each is meant, rows) by place."""
         order = np.argsort(target.astype(np.uint16), kind="stable")  # 16 bits: a radix sort
         target, around = target.take(order), around.take(order, axis=1)
         h = self.hidden(around)
@@ -146,14 +148,11 @@ class Network:
             back *= h * h - 1
             gradient["bias"] = back.sum(axis=0)
             gradient["vectors"], gradient["places"] = [], np.empty_like(self.places)
+            columns, n = np.ascontiguousarray(back.T, np.float64), len(self.vectors)
             for k in range(len(_PLACES)):
-                by = np.argsort(around[k].astype(np.uint16), kind="stable")
-                ids = around[k].take(by)
-                first = np.flatnonzero(np.diff(ids, prepend=-1))
-                which = ids[first]
-                total = np.add.reduceat(back.take(by, axis=0), first, axis=0)
-                gradient["places"][k] = (total * self.vectors[which]).sum(axis=0)
-                gradient["vectors"].append((which, np.diff(np.append(first, len(by))), total * self.places[k]))
+                total = np.stack([np.bincount(around[k], column, n) for column in columns], axis=1)
+                gradient["places"][k] = (total * self.vectors).sum(axis=0)
+                gradient["vectors"].append((np.bincount(around[k], minlength=n), total * self.places[k]))
         logs = np.empty(len(out))
         logs[order] = np.log(np.maximum(out, 1e-30))
         return logs
@@ -169,8 +168,8 @@ class Network:
             step = rate / max(own, n / CLASSES)
             self.member_w[c] += step * w
             self.member_b[c] += step * b
-        for which, count, rows in g["vectors"]:
-            self.vectors[which] += (rate / np.sqrt(count * n)).astype(rows.dtype)[:, None] * rows
+        for count, rows in g["vectors"]:
+            self.vectors += (rate / np.sqrt(np.maximum(count, 1) * n))[:, None] * rows
         self.places += rate / n * g["places"]
         return out
 
@@ -351,30 +350,32 @@ def score(docs: DataFrame, rounds: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, numbered, counted, kinds = shared.value
-        network, vocabulary, kinds = Network(flat), Vocabulary(numbered), np.array(kinds, float)
+        network, vocabulary, kinds = Network(flat), Vocabulary(chain(numbered, counted)), np.array(kinds, float)
+        held_counts, held_kinds = np.divmod(np.fromiter(counted.values(), np.int64, len(counted)), KINDS)
+        first = KINDS + len(numbered)  # the number of the first counted word
+        seen_as = np.concatenate((np.arange(first), held_kinds)).astype(np.int32)
 
         def read(text: str) -> tuple[np.ndarray, Counter]:
             rare: Counter = Counter()
             return vocabulary.read(text, rare), rare
 
         for batch, held in _groups(batches, 1, read):
-            target, around, owner = windows([h[0] for h in held])
+            target, around, owner = windows([seen_as.take(h[0]) for h in held])
             total = np.zeros(len(held))
             for i in range(0, len(target), STEP):
                 found = network.log_likelihoods(target[i : i + STEP], around[:, i : i + STEP])
                 total += np.bincount(owner[i : i + STEP], found, len(held))
             rare = target < KINDS
             own = np.bincount(owner[rare] * KINDS + target[rare], minlength=len(held) * KINDS).reshape(-1, KINDS)
-            names = [w for h in held for w in h[1]]
-            code = np.fromiter(map(counted.get, names, repeat(-1)), np.int64, len(names))
-            m = np.fromiter((n for h in held for n in h[1].values()), np.int64, len(names))
-            doc = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
-            here = code >= 0
-            count, of = np.divmod(code[here], KINDS)
-            share = (count - m[here] + SMOOTH) / (kinds[of, 0] + SMOOTH * kinds[of, 1] - own[doc[here], of])
-            total += np.bincount(doc[here], m[here] * np.log(share), len(held))
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(doc[~here], minlength=len(held))))).astype(np.int32)
-            left = pa.StructArray.from_arrays([pa.array(names, pa.string()).filter(pa.array(~here)), pa.array(m[~here])], names=["word", "m"])
+            all_ids = np.concatenate([h[0] for h in held])
+            at = np.flatnonzero(all_ids >= first)
+            both, m = np.unique(owner[at] * len(seen_as) + all_ids[at], return_counts=True)
+            doc, of = np.divmod(both, len(seen_as))
+            kind_of, count = held_kinds[of - first], held_counts[of - first]
+            share = (count - m + SMOOTH) / (kinds[kind_of, 0] + SMOOTH * kinds[kind_of, 1] - own[doc, kind_of])
+            total += np.bincount(doc, m * np.log(share), len(held))
+            offsets = np.cumsum([0, *(len(h[1]) for h in held)]).astype(np.int32)
+            left = pa.StructArray.from_arrays([pa.array([w for h in held for w in h[1]], pa.string()), pa.array([m for h in held for m in h[1].values()], pa.int64())], names=["word", "m"])
             n = np.array([len(h[0]) for h in held], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), *(pa.array(own[:, k].copy()) for k in range(KINDS)), pa.ListArray.from_arrays(offsets, left)], names=["doc_id", "n_tokens", "known", *(f"own{k}" for k in range(KINDS)), "rare"])
 
