@@ -33,9 +33,12 @@ class Table:
 
 @dataclass(frozen=True)
 class ForeignKey:
+    """A column that refers to a table's key, or to the column `to` of a key of several."""
+
     table: str
     column: str
     parent: str
+    to: str | None = None
 
 
 @dataclass
@@ -70,7 +73,9 @@ class Catalog:
             child, parent = self.tables.get(f.table), self.tables.get(f.parent)
             if child is None or parent is None or child.column(f.column) is None:
                 out.append(f"foreign key {f.table}.{f.column} to {f.parent} has a missing end")
-            elif len(parent.key) != 1 or parent.column(parent.key[0]).type != child.column(f.column).type:
+            elif f.to not in parent.key if f.to is not None else len(parent.key) != 1:
+                out.append(f"foreign key {f.table}.{f.column} and the key of {f.parent} don't fit")
+            elif parent.column(f.to or parent.key[0]).type != child.column(f.column).type:
                 out.append(f"foreign key {f.table}.{f.column} and the key of {f.parent} don't fit")
         return out
 

@@ -14,9 +14,9 @@ from relspan.operators import satisfy as K
 from relspan.operators import scoring as S
 from relspan.operators import text as T
 from relspan.operators import vectors as V
-from relspan.plans import audit, extraction, patches, sql
+from relspan.plans import audit, conceptual, constraints, extraction, patches, sql
 from relspan.plans.catalog import TESTDATA, read
-from relspan.plans.relation import Aggregate, Arith, Base, Col, Fanout, Filter, IfThen, Join, Lit, Compare, Project, column, compiled
+from relspan.plans.relation import Aggregate, Arith, Base, Col, Compare, Fanout, Filter, IfThen, Join, Lit, Negated, Project, column, compiled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -594,3 +594,114 @@ def generated_rows(spark, sf_dir):
         "fee": {"if": Compare("=", Col("state"), Lit("open")), "then": {"expression": Lit(0.0)}, "else": {"family": "uniform", "params": {"low": 1, "high": 2}}},
     }
     return G.table(spark, 10 * n, "id", spec)
+
+
+# conceptual models
+
+_MODEL = conceptual.Model(
+    [
+        conceptual.Entity("Building", (conceptual.Attribute("code"), conceptual.Attribute("floors", "INTEGER")), ("code",)),
+        conceptual.Entity("Room", (conceptual.Attribute("number", "INTEGER"), conceptual.Attribute("area", "FLOAT", True)), ("number",), "Building"),
+        conceptual.Entity("Person", (conceptual.Attribute("name"), conceptual.Attribute("phone", multivalued=True), conceptual.Attribute("age", "INTEGER", derived=True))),
+        conceptual.Entity("Badge", (conceptual.Attribute("serial", "UUID"),), ("serial",)),
+        conceptual.Entity("Course", (conceptual.Attribute("title"),)),
+    ],
+    [
+        conceptual.Relationship("works in", (conceptual.Participant("Person", least=0), conceptual.Participant("Building", most=1)), "1:N"),
+        conceptual.Relationship("carries", (conceptual.Participant("Person", least=0, most=1), conceptual.Participant("Badge", least=1, most=1)), "1:1"),
+        conceptual.Relationship("Enrolment", (conceptual.Participant("Person"), conceptual.Participant("Course")), "M:N", (conceptual.Attribute("grade", "FLOAT", True),)),
+        conceptual.Relationship("teaches", (conceptual.Participant("Person", "teacher"), conceptual.Participant("Course"), conceptual.Participant("Building")), "M:N"),
+        conceptual.Relationship("manages", (conceptual.Participant("Person", least=0), conceptual.Participant("Person", "boss", most=1)), "1:N"),
+    ],
+)
+
+
+@query(
+    "mapped_schema",
+    """SELECT * FROM (VALUES
+    ('BUILDING', 'code', 'VARCHAR', false, true, NULL), ('BUILDING', 'floors', 'INTEGER', false, false, NULL),
+    ('ROOM', 'number', 'INTEGER', false, true, NULL), ('ROOM', 'area', 'FLOAT', true, false, NULL), ('ROOM', 'code', 'VARCHAR', false, true, 'BUILDING'),
+    ('PERSON', 'person_id', 'INTEGER', false, true, NULL), ('PERSON', 'name', 'VARCHAR', false, false, NULL), ('PERSON', 'code', 'VARCHAR', true, false, 'BUILDING'), ('PERSON', 'boss_person_id', 'INTEGER', true, false, 'PERSON'),
+    ('BADGE', 'serial', 'UUID', false, true, NULL), ('BADGE', 'person_id', 'INTEGER', false, false, 'PERSON'),
+    ('COURSE', 'course_id', 'INTEGER', false, true, NULL), ('COURSE', 'title', 'VARCHAR', false, false, NULL),
+    ('PERSON_PHONE', 'phone', 'VARCHAR', false, true, NULL), ('PERSON_PHONE', 'person_id', 'INTEGER', false, true, 'PERSON'),
+    ('ENROLMENT', 'person_id', 'INTEGER', false, true, 'PERSON'), ('ENROLMENT', 'course_id', 'INTEGER', false, true, 'COURSE'), ('ENROLMENT', 'grade', 'FLOAT', true, false, NULL),
+    ('PERSON_COURSE_BUILDING', 'teacher_person_id', 'INTEGER', false, true, 'PERSON'), ('PERSON_COURSE_BUILDING', 'course_id', 'INTEGER', false, true, 'COURSE'), ('PERSON_COURSE_BUILDING', 'code', 'VARCHAR', false, true, 'BUILDING')
+    ) t("table", "column", type, nullable, in_key, parent)""",
+)
+def mapped_schema(spark, sf_dir):
+    return spark.createDataFrame(conceptual.listed(conceptual.mapped(_MODEL)), '`table` string, `column` string, type string, nullable boolean, in_key boolean, parent string')
+
+
+@query("multivalued_rows", "SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_suppkey IS NOT NULL")
+def multivalued_rows(spark, sf_dir):
+    """The suppliers of an order as an attribute of many values, and then as a table of its own."""
+    held = read(spark, sf_dir, "LINEITEM").groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("l_suppkey"))
+    return conceptual.spread(held, ["l_orderkey"], "l_suppkey")
+
+
+# the law of total variance, as a conflict over rows
+
+
+@query(
+    "total_variance_conflict",
+    "WITH w AS (SELECT avg(o_totalprice) AS m, var_pop(o_totalprice) AS v, count(o_totalprice) AS n FROM orders), p AS (SELECT o_orderstatus AS part, count(o_totalprice) AS k, avg(o_totalprice) AS m1, var_pop(o_totalprice) AS v1 FROM orders GROUP BY 1) SELECT part, k, false AS stated_conflict, true AS shifted_conflict FROM p, w",
+)
+def total_variance_conflict(spark, sf_dir):
+    """Of each order status: whether its moments, those of the rest and of the whole contradict each other as they are, and with a mean of the whole beyond both."""
+    orders = read(spark, sf_dir, "ORDERS")
+    c = F.col("o_totalprice").cast("double")
+    each = orders.groupBy(F.col("o_orderstatus").alias("part")).agg(F.count(c).alias("k"), F.sum(c).alias("s"), F.sum(c * c).alias("q")).collect()  # a row a status
+    n, s, q = (sum(r[x] for r in each) for x in ("k", "s", "q"))
+    out = []
+    for r in each:
+        where = Compare("=", Col("o_orderstatus"), Lit(r["part"]))
+        parts = [(Base("ORDERS"), n, s, q), (Filter(Base("ORDERS"), where), r["k"], r["s"], r["q"]), (Filter(Base("ORDERS"), Negated(where)), n - r["k"], s - r["s"], q - r["q"])]
+
+        def stated(shift: float) -> list:
+            found = []
+            for i, (rel, k, total, square) in enumerate(parts):
+                mean = total / k + (shift if i == 0 else 0.0)
+                for fn, v in (("AVG", mean), ("VARIANCE", max(square / k - (total / k) ** 2, 0.0))):
+                    found.append(constraints.Stated(Aggregate(rel, fn, "o_totalprice", "m"), Compare("=", Col("m"), Lit(v))))
+            return found
+
+        # the shift is past the greater of both means
+        far = max(t / k for _, k, t, _ in parts) * 2
+        out.append((r["part"], r["k"], bool(constraints.evaluate(stated(0.0), TESTDATA).conflicts), bool(constraints.evaluate(stated(far), TESTDATA).conflicts)))
+    return spark.createDataFrame(out, "part string, k long, stated_conflict boolean, shifted_conflict boolean")
+
+
+@query(
+    "conflict_report",
+    """SELECT * FROM (VALUES ('distributed_family_mismatch'), ('distributed_parameter_mismatch'), ('correlated_value_mismatch'), ('correlated_precondition_violation'), ('correlated_infeasible_matrix'), ('moment_value_mismatch'), ('moment_vs_distributed_mismatch'), ('state_sequence_direct_contradiction'), ('state_sequence_cycle')) t(kind)""",
+)
+def conflict_report(spark, sf_dir):
+    """The kinds of conflict among constraints over several tables."""
+    S_, O = constraints.Stated, Base("ORDERS")
+    price = lambda fn, v: S_(Aggregate(Base("PART"), fn, "p_retailprice", "m"), Compare("=", Col("m"), Lit(v)))
+    L = lambda *p, **k: S_(Base("LINEITEM"), constraints.Correlated(tuple(p), **k))
+    stated = [
+        S_(O, constraints.Distributed("o_totalprice", "normal", (("mean", 5.0),))),
+        S_(O, constraints.Distributed("o_totalprice", "lognormal")),
+        S_(Base("PART"), constraints.Distributed("p_size", "poisson", (("lambda", 5.0),))),
+        S_(Base("PART"), constraints.Distributed("p_size", "poisson", (("lambda", 6.0),))),
+        S_(Base("PART"), constraints.Distributed("p_retailprice", "uniform", (("low", 0.0), ("high", 10.0)))),
+        price("AVG", 5.0),
+        price("VARIANCE", 3.0),
+        S_(Aggregate(O, "AVG", "o_totalprice", "m"), Compare(">", Col("m"), Lit(7.0))),
+        S_(Aggregate(O, "AVG", "o_totalprice", "m"), Compare("<", Col("m"), Lit(6.0))),
+        L(("l_quantity", "l_tax", 0.5), copula="student_t", nu=2.0),
+        L(("l_quantity", "l_tax", 0.6)),
+        L(("l_quantity", "l_extendedprice", 0.9), ("l_tax", "l_extendedprice", -0.9)),
+        S_(O, constraints.StateSequence("o_orderstatus", (("O", "P"), ("P", "F")), (("O", "P"),))),
+        S_(O, constraints.StateSequence("o_orderstatus", (("F", "O"),), (), True)),
+    ]
+    found = sorted({c.kind for c in constraints.evaluate(stated, TESTDATA).conflicts})
+    return spark.createDataFrame([(k,) for k in found], "kind string")
+
+
+@query("name_mentions", "WITH w AS (SELECT DISTINCT doc_id, CASE WHEN length(x) >= 4 AND x LIKE '%s' AND x NOT LIKE '%ss' AND NOT (length(x) >= 5 AND regexp_matches(x, '(ies|ses|xes|zes|ches|shes)$')) THEN x[:-2] WHEN length(x) >= 5 AND x LIKE '%ies' THEN x[:-4] || 'y' WHEN length(x) >= 5 AND regexp_matches(x, '(ses|xes|zes|ches|shes)$') THEN x[:-3] ELSE x END AS w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS x FROM documents)) SELECT doc_id, name FROM w JOIN (VALUES ('LICENSE', 'license'), ('OPEN_SOURCE', 'open'), ('OPEN_SOURCE', 'source'), ('THE', 'the')) n(name, word) ON w = word GROUP BY 1, 2 HAVING count(*) = CASE name WHEN 'OPEN_SOURCE' THEN 2 ELSE 1 END")
+def name_mentions(spark, sf_dir):
+    names = spark.createDataFrame([("LICENSE",), ("OPEN_SOURCE",), ("THE",)], "name string")
+    return audit.mentions(_docs(spark, sf_dir), "doc_id", "text", names)
