@@ -1,0 +1,67 @@
+"""Findings about cases: each way to break a good one is found, and nothing else."""
+
+import copy
+import json
+
+from relspan.plans import dataset
+
+GOOD = {
+    "id": 1,
+    "domain": "shops",
+    "profile": "small",
+    "nl_description": "A shop has customers and orders. The average total of an order is 42.5, and 80 percent of customers, that is 1,200 of them, pay by card.",
+    "ground_truth_schema": {
+        "tables": [
+            {"name": "CUSTOMER", "columns": [{"name": "id", "data_type": "INTEGER"}, {"name": "card", "data_type": "BOOLEAN"}], "pk": "id"},
+            {"name": "ORDERS", "columns": [{"name": "id", "data_type": "INTEGER"}, {"name": "customer_id", "data_type": "INTEGER"}, {"name": "total", "data_type": "FLOAT"}], "pk": ["id"]},
+        ],
+        "relationships": [{"referencing_table": "ORDERS", "referencing_column": "customer_id", "referred_table": "CUSTOMER", "referred_column": "id"}],
+    },
+    "ground_truth_distributions": {"ORDERS.total": {"distribution": "normal", "params": {"mean": 42.5, "std": 3}}, "CUSTOMER.card": {"family": "categorical", "params": {"weights": {"true": 0.8, "false": 0.2}}}},
+    "ground_truth_constraints": [
+        {"type": "range", "table": "ORDERS", "column": "total", "min": 0},
+        {"type": "ifthen", "table": "ORDERS", "condition": {"type": "and", "conditions": [{"column": "total", "value": 3}]}, "result": {"column": "total", "rhs_expr": {"op": "*", "column": "id", "value": 2}}},
+    ],
+    "functional_dependencies": [{"determinant": ["ORDERS.id"], "dependent": ["ORDERS.total"]}],
+    "ground_truth_moments": [{"table": "ORDERS", "column": "total", "aggregate": "avg", "value": 42.5, "evidence": "average total\n of an order is 42.5"}, {"table": "CUSTOMER", "column": "id", "aggregate": "count", "value": 1200, "evidence": "80 percent of customers, that is 1,200 of them"}],
+}
+
+
+def broken(path, value):
+    case = copy.deepcopy(GOOD)
+    at = case
+    for k in path[:-1]:
+        at = at[k]
+    if value is None:
+        del at[path[-1]]
+    else:
+        at[path[-1]] = value
+    return dataset.findings(case)
+
+
+def test_each_fault_is_found():
+    assert dataset.findings(GOOD) == []
+    s, d, c, m = "ground_truth_schema", "ground_truth_distributions", "ground_truth_constraints", "ground_truth_moments"
+    faults = [
+        (("id",), None), (("domain",), ""), (("nl_description",), "short"),
+        ((s, "tables", 0, "name"), "Customer"), ((s, "tables", 0, "columns", 1, "name"), "Card"), ((s, "tables", 0, "columns", 1, "data_type"), "BOOL"),
+        ((s, "tables", 0, "pk"), "nothing"), ((s, "tables", 0, "pk"), None), ((s, "relationships", 0, "referred_column"), "x"), ((s, "relationships", 0, "referencing_column"), "total"), ((s, "relationships"), None),
+        ((d, "ORDERS.total", "distribution"), "odd"), ((d, "ORDERS.total", "params"), {"mean": 1}), ((d, "ORDERS.total", "params", "std"), -1), ((d, "ORDERS.total", "params", "std"), "x"), ((d, "x"), {}), ((d, "CUSTOMER.card", "params", "weights"), {"a": 0}),
+        ((c, 0, "type"), "odd"), ((c, 0, "column"), "x"), ((c, 0, "min"), None), ((c, 0, "max"), -1), ((c, 1, "result"), None), ((c, 1, "condition", "conditions"), []), ((c, 1, "condition", "conditions", 0, "rhs_column"), "id"), ((c, 1, "result", "rhs_expr", "op"), "^"), ((c, 1, "result", "column"), "x"), ((c, 1, "table"), "X"),
+        (("functional_dependencies", 0, "determinant"), ["ORDERS.x"]), (("functional_dependencies", 0, "dependent"), []),
+        ((m, 0, "aggregate"), "max"), ((m, 0, "value"), True), ((m, 0, "evidence"), "made up"), ((m, 0, "evidence"), " "), ((m, 0, "column"), "x"), ((m, 0, "column"), "customer_id"), ((m, 1, "value"), 7),
+    ]
+    for path, value in faults:
+        assert len(broken(path, value)) >= 1, (path, value)
+    assert [f.level for f in broken((s, "relationships"), None)] == ["warning"]
+    two = copy.deepcopy(GOOD)
+    two[m].append({**two[m][0], "value": 43})
+    assert any("2 values" in f.detail for f in dataset.findings(two))
+    assert dataset.findings([]) and dataset.findings({}) and dataset.findings({"ground_truth_schema": {"tables": [3, {"name": "A", "columns": [4]}], "relationships": [5]}})
+
+
+def test_rows_of_findings(spark):
+    lines = [json.dumps(GOOD), json.dumps({**GOOD, "domain": ""}), json.dumps({**GOOD, "id": 2}), "{", None, " "]
+    out = dataset.validate(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert sorted((r.case_id or "", r.subject) for r in out) == [("", "line"), ("1", "domain"), ("1", "id")]
+    assert dataset.validate(spark.createDataFrame([], "value string")).count() == 0
