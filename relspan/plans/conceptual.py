@@ -240,6 +240,40 @@ def _own(d: _Draft, name: str, columns: list[Column]) -> None:
         d.add(name, [replace(c, name=_free(c.name, {x.name for x in d.tables[name].columns}))])
 
 
+def review(m: Model, cited: dict[str, set[str]], facts: set[str], warned: Counter) -> tuple[list[str], list[str]]:
+    """(errors, warnings) of a model. cited: facts by entity or relationship.
+
+    Errors are faults() and facts that nothing cites. An attribute that looks
+    like a reference to another entity (its name and _id) is a warning, given at
+    most twice over all reviews that share `warned`.
+    """
+    errors, warnings = faults(m), []
+    left = facts - set().union(*cited.values())
+    if left:
+        errors.append(f"nothing cites {', '.join(sorted(left))}")
+    names = {snake(e.name) for e in m.entities}
+    for e in m.entities:
+        for a in e.attributes:
+            other = re.sub(r"_(id|code|no|number)$", "", snake(a.name))
+            where = f"{e.name}.{a.name}"
+            if other != snake(a.name) and other in names - {snake(e.name)} and warned[where] < 2:
+                warned[where] += 1
+                warnings.append(f"{where} looks like a reference to {other}: state a relationship")
+    return errors, warnings
+
+
+def rendered(c: Catalog) -> str:
+    """A catalog as text, a line a table and an indented line a column, in order of names of tables."""
+    out, to = [], {(f.table, f.column): f"{f.parent}.{f.to or (c.tables[f.parent].key or ('?',))[0]}" for f in c.links}
+    for t in sorted(c.tables.values(), key=lambda t: t.name):
+        out.append(f"{t.name} (key: {', '.join(t.key) or 'none'})")
+        for x in t.columns:
+            more = [x.type, *(["nullable"] if x.nullable else []), *([f"refers to {to[t.name, x.name]}"] if (t.name, x.name) in to else [])]
+            out.append(f"  {x.name}: {', '.join(more)}")
+        out += [f"  unique: {', '.join(u)}" for u in t.unique]
+    return "\n".join(out)
+
+
 def spread(rows: DataFrame, key: list[str], column: str) -> DataFrame:
     """The rows of the table that an attribute of many values becomes: the owner's key and each different value; nulls go."""
     return rows.select(*key, F.explode(F.array_distinct(column)).alias(column)).where(F.col(column).isNotNull())

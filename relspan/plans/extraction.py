@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field, replace
 from statistics import NormalDist
 
@@ -35,6 +36,38 @@ class Forks:
         return None
 
 
+_CONDITION = re.compile(r"\s*(\w+)\.(\w+)\s*(==|=|!=|<>|NOT\s+IN\b|IN\b)\s*(.+?)\s*", re.IGNORECASE | re.DOTALL)
+_VALUE = re.compile(r"\s*(?:'((?:[^']|'')*)'|\"([^\"]*)\"|([^\s'\",()]+))\s*")
+
+
+def parse_condition(text: str) -> tuple[tuple[str, str], str, list[str]] | None:
+    """((table, column), op, values) of `TABLE.column = 'a'`, `!=`, `<>`, `IN ('a', 'b')`; op is eq, neq or in. None for anything else."""
+    m = _CONDITION.fullmatch(text or "")
+    if not m:
+        return None
+    table, column, sign, rest = m.groups()
+    listed = " ".join(sign.upper().split())
+    if listed == "NOT IN":
+        return None
+    if listed == "IN":
+        if not (rest.startswith("(") and rest.endswith(")")):
+            return None
+        rest = rest[1:-1]
+    values, at = [], 0
+    while True:
+        v = _VALUE.match(rest, at)
+        if not v:
+            return None
+        values.append(next(g for g in v.groups() if g is not None).replace("''", "'"))
+        at = v.end()
+        if at == len(rest):
+            break
+        if rest[at] != "," or listed != "IN":
+            return None
+        at += 1
+    return (table, column), {"IN": "in", "=": "eq", "==": "eq"}.get(listed, "neq"), values
+
+
 @dataclass
 class Variable:
     """A column's bounds and categories, as all constraints on it leave them; categories None: any."""

@@ -1,10 +1,14 @@
 """Conceptual models: their faults, and the catalogs they map to."""
 
+from collections import Counter
+
 import pytest
 
 from relspan.plans.catalog import ForeignKey
-from relspan.plans.conceptual import Attribute, Dependency, Entity, Model, Participant, Relationship, faults, key_of, mapped, spread
-from relspan.plans.relation import Refused
+from relspan.plans.conceptual import Attribute, Dependency, Entity, Model, Participant, Relationship, faults, key_of, mapped, rendered, review, spread
+from relspan.plans.extraction import parse_condition
+from relspan.plans.relation import Aggregate, Base, Filter, Join, Refused
+from relspan.plans.sql import RawSQL, normalized, parse
 
 ID = Attribute("id", "INTEGER")
 
@@ -57,3 +61,29 @@ def test_values_of_many(spark):
     assert c.tables["A_TAG"].key == ("tag", "a_id") and c.tables["A_RATE"].key == ("rate_id", "a_id")
     rows = spark.createDataFrame([(1, ["x", "y", "x", None]), (2, []), (3, None)], "a_id long, tag array<string>")
     assert sorted(tuple(r) for r in spread(rows, ["a_id"], "tag").collect()) == [(1, "x"), (1, "y")]
+
+
+def test_reviews_and_renderings():
+    m, warned = Model([Entity("A", (Attribute("b_id"), Attribute("a_id"))), Entity("B", (ID,))]), Counter()
+    seen = [review(m, {"A": {"f1"}}, {"f1", "f2"}, warned) for _ in range(3)]
+    assert [len(w) for _, w in seen] == [1, 1, 0] and all(e == ["nothing cites f2"] for e, _ in seen)
+    text = rendered(mapped(two("1:N", {"least": 0}, {"most": 1})))
+    assert text.splitlines() == ["A (key: a_id)", "  a_id: INTEGER", "  a: VARCHAR", "  b_id: INTEGER, nullable, refers to B.b_id", "B (key: b_id)", "  b_id: INTEGER", "  b: VARCHAR"]
+
+
+def test_conditions_as_text():
+    key = ("T", "c")
+    assert parse_condition(" T.c = 'it''s' ") == (key, "eq", ["it's"]) and parse_condition("T.c==x") == (key, "eq", ["x"])
+    assert parse_condition("T.c <> \"y z\"") == (key, "neq", ["y z"]) and parse_condition("T.c in ('a', b,'c')") == (key, "in", ["a", "b", "c"])
+    for odd in ("", None, "c = 1", "T.c > 3", "T.c NOT IN ('a')", "T.c IN ()", "T.c IN 'a'", "T.c = 'a', 'b'", "T.c = 'a' AND T.d = 1", "T.c ="):
+        assert parse_condition(odd) is None, odd
+
+
+def test_texts_inside_trees():
+    inner = "SELECT * FROM ORDERS o JOIN CUSTOMER c ON o.o_custkey = c.c_custkey WHERE o_totalprice > 5"
+    tree = normalized(Aggregate(RawSQL(inner), "COUNT", "*", "n"))
+    assert tree == Aggregate(parse("SELECT * FROM ORDERS JOIN CUSTOMER ON ORDERS.o_custkey = CUSTOMER.c_custkey WHERE o_totalprice > 5"), "COUNT", "*", "n")
+    twice = Join(Base("S"), Base("S", "b"), ("S", "boss"), ("b", "id"))
+    assert normalized(twice) == twice and isinstance(tree.source, Filter)
+    with pytest.raises(Refused):
+        normalized(Filter(RawSQL("SELECT * FROM A, B"), None))
