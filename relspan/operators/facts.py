@@ -19,6 +19,7 @@ from relspan.plans.catalog import Catalog, ForeignKey
 ENUM_MARKERS = ["allowed values", "can be one of", "one of:", "enum"]
 DEFINITION_MARKERS = ["defined as", "stands for", "is a measure"]
 DOMAIN_MARKERS = ["domain pattern", "standard schema", "common tables", "typical entities", "industry standard"]
+ARCHITECTURE_MARKERS = ["oltp", "olap", "star schema", "snowflake", "ledger", "audit", "temporal", "event", "operational scheduling"]
 HINT_MARKERS = ["constraint", "threshold", "budget", "pricing", "rate", "discount", "capacity", "limit", "cap"]
 FACT_OVERHEAD = 8
 
@@ -45,7 +46,7 @@ def tagged(facts: DataFrame) -> DataFrame:
     return facts.withColumn("tags", F.array_union(tags, more))
 
 
-def kind(text: Column, architecture: list[str]) -> Column:
+def kind(text: Column, architecture: list[str] = ARCHITECTURE_MARKERS) -> Column:
     """What an external fact is by its words: the first list that has one of them; null if none has. architecture: that list's words."""
     t = normal(text)
     found = F.when(_any(t, DEFINITION_MARKERS), "TECHNICAL_DEFINITION")
@@ -54,7 +55,7 @@ def kind(text: Column, architecture: list[str]) -> Column:
     return found.when(_any(t, DOMAIN_MARKERS), "DOMAIN_PATTERN").when(_any(t, HINT_MARKERS), "DOMAIN_CONSTRAINT_HINT")
 
 
-def filter_external(external: DataFrame, original: DataFrame, architecture: list[str]) -> DataFrame:
+def filter_external(external: DataFrame, original: DataFrame, architecture: list[str] = ARCHITECTURE_MARKERS) -> DataFrame:
     """The external facts (fact_id, fact, refs array, kind) with a column rejection, null where accepted, and kind filled in where null.
 
     In order of rejection: DUPLICATE (a lesser fact_id has the same normalised

@@ -270,14 +270,16 @@ def _score(name: str, table: str, of: str, family: str, p: dict, oracle: str | N
 
 
 _KS = "WITH c AS (SELECT {c} AS x, count(*) AS n FROM {t} GROUP BY 1), u AS (SELECT x, n, sum(n) OVER (ORDER BY x) AS upto, sum(n) OVER () AS total, {f} AS f FROM c) SELECT round(max({gap}), 6) AS distance FROM u"
+#: A term of the series of the normal distribution function, of z = (x - 250000) / 150000 / sqrt(2), over z.
+_ERF = "(CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * pow((x - 250000) / 150000 / sqrt(2), 2 * k) / (exp(lgamma(k + 1.0)) * (2 * k + 1))"
 _BOTH = "greatest(upto / total - f, f - (upto - n) / total)"
 _score("nll_exponential", "EVENTS", "value", "exponential", {"rate": 0.02}, "SELECT round(exp(avg(-0.02 * value)), 6) AS score FROM events")
 _score("nll_uniform", "LINEITEM", "l_quantity", "uniform", {"low": 0.0, "high": 60.0}, "SELECT 1.0::DOUBLE AS score")
 _score("ks_uniform", "LINEITEM", "l_quantity", "uniform", {"low": 0.0, "high": 50.0}, _KS.format(c="l_quantity", t="lineitem", f="x / 50", gap=_BOTH), D.ks)
 _score("ks_exponential", "EVENTS", "value", "exponential", {"rate": 0.02}, _KS.format(c="value", t="events", f="1 - exp(-0.02 * x)", gap=_BOTH), D.ks)
-_score("ks_normal", "ORDERS", "o_totalprice", "normal", {"mean": 250000.0, "std": 150000.0}, None, D.ks)
+_score("ks_normal", "ORDERS", "o_totalprice", "normal", {"mean": 250000.0, "std": 150000.0}, f"WITH c AS (SELECT o_totalprice AS x, count(*) AS n FROM orders GROUP BY 1), u AS (SELECT x, n, sum(n) OVER (ORDER BY x) AS upto, sum(n) OVER () AS total, 0.5 + (x - 250000) / 150000 / sqrt(2 * pi()) * list_sum([{_ERF} for k in range(0, 40)]) AS f FROM c) SELECT round(max({_BOTH}), 6) AS distance FROM u", D.ks)
 _score("ks_poisson", "PART", "p_size", "poisson", {"lambda": 25.0}, _KS.format(c="p_size", t="part", f="(SELECT sum(exp(k * ln(25.0) - 25 - lgamma(k + 1))) FROM range(0, 60) r(k) WHERE k <= x)", gap="abs(upto / total - f)"), D.ks)
-_score("ks_zipf", "PART", "p_size", "zipf", {"a": 1.5}, None, D.ks)
+_score("ks_zipf", "PART", "p_size", "zipf", {"a": 1.5}, _KS.format(c="p_size", t="part", f="list_sum([pow(k, -1.5) for k in range(1, x::BIGINT + 1)]) / 2.612375348685488", gap="abs(upto / total - f)"), D.ks)
 
 
 @query("mine_table_stats", "SELECT 'l_quantity' AS name, round(avg((l_quantity = round(l_quantity))::INT), 6) AS share_whole, count(DISTINCT l_quantity)::DOUBLE AS n_distinct FROM lineitem UNION ALL SELECT 'l_extendedprice', round(avg((l_extendedprice = round(l_extendedprice))::INT), 6), count(DISTINCT l_extendedprice)::DOUBLE FROM lineitem")
@@ -470,7 +472,7 @@ _NORMAL = "trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))"
 def external_filter(spark, sf_dir):
     docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("fact_id"), F.col("text").alias("fact"), F.expr("array(doc_id - doc_id % 7)").alias("refs"), F.lit(None).cast("string").alias("kind"))
     known = read(spark, sf_dir, "LABELS").select(F.col("doc_id").alias("fact_id"))
-    return A.filter_external(docs, known, []).select("fact_id", "rejection")
+    return A.filter_external(docs, known).select("fact_id", "rejection")
 
 
 @query("fact_packing")
@@ -564,8 +566,10 @@ def shard_stubs(spark, sf_dir):
 
 @query("origin_match")
 def origin_match(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    claims = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("claim_id"), "doc_id", F.substring("text", 1, 200).alias("fact"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 5, 60)).otherwise(F.upper(F.element_at(T.sentences(F.col("text")), 1))).alias("origin"))
+    """Each whole text as a fact whose origin is said to be the first sentence of the next document, so spans are scored for nearly all."""
+    docs = _docs(spark, sf_dir).where("text IS NOT NULL")
+    first = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.try_element_at(T.sentences(F.col("text")), F.lit(1)).alias("origin"))
+    claims = docs.select(F.col("doc_id").alias("claim_id"), "doc_id", F.col("text").alias("fact")).join(first, "doc_id", "left")
     return T.origins(claims, docs)
 
 
