@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from relspan.functions import special
 from relspan.functions.search import prefix_sums
+from relspan.functions.workers import importable
 
 FAMILIES = ("normal", "lognormal", "poisson", "zipf", "exponential", "uniform", "beta", "gamma")
 DISCRETE = {"poisson", "zipf"}
@@ -192,6 +193,7 @@ def counts(rows: DataFrame, name: str) -> DataFrame:
 
 def cumulated(values: DataFrame) -> DataFrame:
     """x, n, upto (count of values up to x), total."""
+    importable(values.sparkSession)
     out, total = prefix_sums(values, "x", "n")
     return out.withColumn("total", F.lit(total))
 

@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from relspan.functions.workers import importable
+
+_terms = re.compile("[a-z][a-z0-9]*").findall
+_blanks = re.compile(r"[ \t\n\x0b\f\r]+").split
 
 
 def source_hash(c: Column) -> Column:
@@ -46,14 +58,22 @@ def tfidf(rows: DataFrame, key: str, text: str) -> DataFrame:
     return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+#: So many terms of an index are sent to every task at most; a larger one is joined by a shuffle.
+POSTINGS = 2_000_000
+
+
 def top_matches(index: DataFrame, key: str, queries: DataFrame, query_key: str, text: str, corpus: DataFrame, corpus_text: str, k: int = 3) -> DataFrame:
     """query_key, key, score, place: the k rows of the corpus with the greatest cosine to each query; ties by key.
 
     index: tfidf() of the corpus, whose document frequencies weigh queries too.
-    Cosines are sums over shared terms, so texts that share none never meet.
+    Cosines are sums over shared terms, so texts that share none never meet. An
+    index of up to POSTINGS terms goes to every task, which keeps the best k of
+    each query where the query is; a larger one is joined by term.
     """
     n = corpus.count()
     index = index.persist()  # read twice
+    if index.count() <= POSTINGS:
+        return _matched(index.toArrow(), n, key, queries, query_key, text, k, index.schema[key].dataType)
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     asked = queries.select(query_key, F.explode(terms(F.col(text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("c"))
     raw = asked.join(df, "term").select(query_key, "term", ((F.lit(1.0) + F.ln("c")) * (F.ln(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))).alias("w"))
@@ -63,6 +83,43 @@ def top_matches(index: DataFrame, key: str, queries: DataFrame, query_key: str,
     return scored.select(query_key, key, F.round(F.col("s") / F.col("norm"), 6).alias("score")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def _matched(index: pa.Table, n: int, key: str, queries: DataFrame, query_key: str, text: str, k: int, kind: T.DataType) -> DataFrame:
+    """top_matches() with the index in every task: keys in order, so that ties are by place."""
+    keys, row = np.unique(index.column(key).to_numpy(zero_copy_only=False), return_inverse=True)
+    names, term = np.unique(index.column("term").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    row, weight = row[order], index.column("weight").to_numpy()[order]
+    edges = np.searchsorted(term[order], np.arange(len(names) + 1))
+    idf = np.log((1.0 + n) / (1.0 + np.diff(edges))) + 1.0
+    held = importable(queries.sparkSession).sparkContext.broadcast(({t: i for i, t in enumerate(names.tolist())}, keys, row, weight, edges, idf))
+    schema = T.StructType([queries.schema[query_key], T.StructField(key, kind), T.StructField("score", T.DoubleType()), T.StructField("place", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, keys, row, weight, edges, idf = held.value
+        get = numbers.get
+        for batch in batches:
+            at, who, scores, places = [], [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                counts = Counter(filter(None.__ne__, map(get, _terms((t or "").lower()))))
+                if not counts:
+                    continue
+                ids = np.fromiter(counts, np.int64, len(counts))
+                w = (1.0 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * idf[ids]
+                size = edges[ids + 1] - edges[ids]
+                place = np.repeat(edges[ids] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                total = np.bincount(row[place], np.repeat(w, size) * weight[place], len(keys)) / np.sqrt(w @ w)
+                met = np.unique(row[place])
+                best = met[np.lexsort((met, -np.round(total[met], 6)))][:k]
+                at += [i] * len(best)
+                who.append(best)
+                scores.append(np.round(total[best], 6))
+                places += range(1, len(best) + 1)
+            which = np.concatenate([np.empty(0, np.int64), *who])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys[which]), pa.array(np.concatenate([np.empty(0), *scores])), pa.array(places, pa.int32())], names=[query_key, key, "score", "place"])
+
+    return queries.select(query_key, text).mapInArrow(run, schema)
+
+
 def tier(score: Column) -> Column:
     """How sure a match by score is."""
     return F.when(score >= 0.75, "high").when(score >= 0.5, "medium").when(score >= 0.25, "low").otherwise("none")
@@ -124,20 +181,66 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) > 0)
 
 
+def best_span(fact: str, text: str, sizes: tuple[int, ...], least: int) -> float | None:
+    """The greatest cosine of a fact to a span of the text, by weights from that text's spans; None if it has no span, or shares no term with one."""
+    words = _blanks(text.strip(" "))
+    numbers: dict[str, int] = {}
+    own = [[numbers.setdefault(t, len(numbers)) for t in _terms(w.lower())] for w in words]
+    flat = np.array([t for of in own for t in of], np.int64)
+    edges = np.cumsum([0, *map(len, own)])
+    lengths = np.cumsum([0, *(len(w) + 1 for w in words)])  # of words and the blanks behind them
+    count = Counter(t for t in map(numbers.get, _terms(fact.lower())) if t is not None)
+    if not count or not numbers:
+        return None
+
+    def spans_of(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(span, term, how often) of the spans of a size that are long enough, and how many these are."""
+        first = np.arange(0, max(len(words) - size, 0) + 1, max(size // 2, 1))
+        last = np.minimum(first + size, len(words))
+        good = lengths[last] - lengths[first] - 1 >= least
+        lo, hi = edges[first[good]], edges[last[good]]
+        n = hi - lo
+        place = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        code, c = np.unique(np.repeat(np.arange(len(n)), n) * len(numbers) + flat[place], return_counts=True)
+        return *np.divmod(code, len(numbers)), c, int(good.sum())
+
+    df, total = np.zeros(len(numbers)), 0
+    for size in sizes:
+        _, term, _, n = spans_of(size)
+        df += np.bincount(term, minlength=len(numbers))
+        total += n
+    idf = np.log((total + 1.0) / (df + 1.0)) + 1.0
+    asked = np.zeros(len(numbers))
+    for t, c in count.items():
+        if df[t]:
+            asked[t] = (np.log(c) + 1.0) * idf[t]
+    norm, best = np.sqrt(asked @ asked), None
+    for size in sizes:
+        span, term, c, n = spans_of(size)
+        w = (np.log(c) + 1.0) * idf[term]
+        dot, own_norm = np.bincount(span, w * asked[term], n), np.sqrt(np.bincount(span, w * w, n))
+        met = dot > 0
+        if met.any():
+            found = float((dot[met] / (own_norm[met] * norm)).max())
+            best = found if best is None else max(best, found)
+    return best
+
+
 def span_scores(claims: DataFrame, docs: DataFrame, sizes: tuple[int, ...] = (12, 24, 40, 64, 96), least: int = 20) -> DataFrame:
-    """claim_id, score: the greatest cosine of a claim's fact to a span of its document, by weights from that document's spans alone."""
-    key = ["doc_id", "size", "start"]
-    inside = spans(docs.join(claims.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"], "text", sizes, least)
-    n = inside.groupBy("doc_id").agg(F.count("*").alias("n"))
-    found = inside.select(*key, F.explode(terms(F.col("span"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("c"))
-    df = found.groupBy("doc_id", "term").agg(F.count("*").alias("df")).join(n, "doc_id").select("doc_id", "term", (F.ln((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    weigh = lambda rows: rows.join(df, ["doc_id", "term"]).withColumn("w", (F.ln("c") + 1.0) * F.col("idf"))
-    held = weigh(found)
-    norm = held.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = weigh(claims.select("claim_id", "doc_id", F.explode(terms(F.col("fact"))).alias("term")).groupBy("claim_id", "doc_id", "term").agg(F.count("*").alias("c")))
-    size = asked.groupBy("claim_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size_of_claim"))
-    met = asked.select("claim_id", "doc_id", "term", F.col("w").alias("q")).join(held, ["doc_id", "term"]).groupBy("claim_id", *key).agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
-    return met.join(norm, key).join(size, "claim_id").groupBy("claim_id").agg(F.max(F.col("dot") / (F.col("norm") * F.col("size_of_claim"))).alias("score"))
+    """claim_id, score: best_span() of each claim's fact in its document; claims without one have no row.
+
+    A claim needs nothing but its own document, so texts are joined once and
+    scored where they are; a text is held with its spans of one size at a time.
+    """
+    importable(docs.sparkSession)
+    met = claims.select("claim_id", "doc_id", "fact").join(docs.select("doc_id", "text"), "doc_id").where("text IS NOT NULL AND fact IS NOT NULL").select("claim_id", "fact", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = pa.array([best_span(f, t, sizes, least) for f, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["claim_id", "score"]).filter(scores.is_valid())
+
+    return met.mapInArrow(run, T.StructType([met.schema["claim_id"], T.StructField("score", T.DoubleType())]))
 
 
 def origins(claims: DataFrame, docs: DataFrame, **how) -> DataFrame:

@@ -57,15 +57,17 @@ class Mixture:
         return low, high
 
 
-def _moments(x: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+def _moments(x: np.ndarray, w: np.ndarray, floor: float = 1e-4) -> tuple[float, float]:
     m = float(np.average(x, weights=w))
-    v = max(float(np.average((x - m) ** 2, weights=w)), 1e-4 * m * (1 - m))
+    v = max(float(np.average((x - m) ** 2, weights=w)), floor * m * (1 - m))
     k = max(m * (1 - m) / v - 1, 2.0)
     return m * k, (1 - m) * k
 
 
-def mixture(x: np.ndarray, rounds: int = 50) -> Mixture | None:
-    """Fitted by rounds of weights and moments from the split at the widest gap of the upper half.
+def mixture(x: np.ndarray, rounds: int = 50, floor: float = 1e-4, start: float | None = None) -> Mixture | None:
+    """Fitted by rounds of weights and moments from the split at the widest gap of the upper half, or at the quantile `start`.
+
+    floor: the least variance of a part, as a share of the greatest that its mean allows.
 
     None if there are too few similarities, all are alike, or the two means are
     within 0.05: nothing can be told then.
@@ -75,12 +77,13 @@ def mixture(x: np.ndarray, rounds: int = 50) -> Mixture | None:
         return None
     middle = len(x) // 2
     at = middle + int(np.argmax(np.diff(x[middle:]))) + 1 if len(x) - middle > 1 else middle
+    at = at if start is None else int(start * len(x))
     w = (np.arange(len(x)) >= at).astype(float)
     found = None
     for _ in range(rounds):
         if not 0 < w.sum() < len(x):
             return None
-        found = Mixture(float(np.clip(w.mean(), 0.01, 0.99)), _moments(x, w), _moments(x, 1 - w))
+        found = Mixture(float(np.clip(w.mean(), 0.01, 0.99)), _moments(x, w, floor), _moments(x, 1 - w, floor))
         new = found.posterior(x)
         if np.max(np.abs(new - w)) < 1e-9:
             break
@@ -89,12 +92,47 @@ def mixture(x: np.ndarray, rounds: int = 50) -> Mixture | None:
     return found if mean(found.same) - mean(found.different) > 0.05 else None
 
 
+#: Settings of an ensemble: least variances, and where the fit starts.
+FLOORS, STARTS = (1e-4, 1e-3, 1e-2), (None, 0.6, 0.75, 0.9)
+
+
+@dataclass(frozen=True)
+class Ensemble:
+    """Mixtures that agree or not: their mean decides."""
+
+    fits: tuple[Mixture, ...]
+
+    def posterior(self, x: np.ndarray) -> np.ndarray:
+        return np.mean([f.posterior(x) for f in self.fits], axis=0)
+
+    def column(self, x: Column) -> Column:
+        return sum((f.column(x) for f in self.fits[1:]), self.fits[0].column(x)) / F.lit(float(len(self.fits)))
+
+
+def ensemble(x: np.ndarray) -> Ensemble | None:
+    """A fit for each setting of FLOORS and STARTS that can tell anything; None if none can."""
+    fits = [mixture(x, floor=f, start=s) for f in FLOORS for s in STARTS]
+    fits = [f for f in fits if f is not None]
+    return Ensemble(tuple(fits)) if fits else None
+
+
+def cross_flags(similarity: np.ndarray, names: list[str], kinds: list[str]) -> list[tuple[str, str, float]]:
+    """Pairs of names of different kinds, as an entity and an attribute, that are rather the same than not, and how sure that is; surest first."""
+    i, j = np.nonzero(np.triu(np.ones((len(names), len(names)), bool), 1))
+    fit = ensemble(np.asarray(similarity, float)[i, j]) if len(i) else None
+    if fit is None:
+        return []
+    p = fit.posterior(np.asarray(similarity, float)[i, j])
+    out = [(names[a], names[b], float(q)) for a, b, q in zip(i.tolist(), j.tolist(), p, strict=True) if kinds[a] != kinds[b] and q > 0.5]
+    return sorted(out, key=lambda x: (-x[2], x[0], x[1]))
+
+
 def same_probability(similarity: np.ndarray, shards: list[int], names: list[str]) -> np.ndarray:
     """A matrix: posteriors of pairs of different shards, 0.5 where no mixture fits, at least SAME_NAME for equal names; -inf within a shard."""
     n = len(shards)
     apart = np.not_equal.outer(shards, shards)
     i, j = np.nonzero(np.triu(apart, 1))
-    fit = mixture(np.asarray(similarity, float)[i, j]) if len(i) else None
+    fit = ensemble(np.asarray(similarity, float)[i, j]) if len(i) else None
     out = np.full((n, n), -np.inf)
     for a, b in zip(i.tolist(), j.tolist(), strict=True):
         p = 0.5 if fit is None else float(fit.posterior(similarity[a][b]))

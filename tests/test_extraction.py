@@ -189,3 +189,21 @@ def test_generated_rows(spark):
     assert sorted(map(tuple, kids.collect())) == [(1, 1), (1, 2)]
     with pytest.raises(ValueError):
         G.draw("none", {}, "x", 0, "id")
+
+
+def test_ensembles_and_cross_flags(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.beta(2, 12, 300), rng.beta(30, 2, 30)])
+    fit = merging.ensemble(x)
+    assert len(fit.fits) > 3 and fit.posterior(np.array([0.97]))[0] > 0.9 and fit.posterior(np.array([0.1]))[0] < 0.1
+    rows = spark.createDataFrame([(0.97,), (0.5,), (None,)], "x double")
+    got = [r[0] for r in rows.select(fit.column(rows["x"])).collect()]
+    assert got[:2] == pytest.approx(fit.posterior(np.array([0.97, 0.5])).tolist()) and got[2] is None
+    assert merging.ensemble(np.full(50, 0.4)) is None and merging.ensemble(np.array([0.1])) is None
+    n = 14
+    m = rng.beta(2, 12, (n, n))
+    m = (m + m.T) / 2
+    m[0, 1] = m[1, 0] = m[2, 4] = m[4, 2] = 0.97
+    kinds = ["entity", "attribute"] * 7
+    assert [f[:2] for f in merging.cross_flags(m, [f"n{i}" for i in range(n)], kinds)] == [("n0", "n1")]
+    assert merging.cross_flags(np.zeros((0, 0)), [], []) == []
