@@ -7,7 +7,6 @@ import gc
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,34 +14,19 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relspan.functions.workers import importable
+
 #: Stands for a null document id wherever ids are ordered or joined.
 NULL_ID = -(2**63)
 #: Python workers get their rows in batches of at most so many rows and bytes.
 BATCH_ROWS, BATCH_BYTES = 20_000, 4 << 20
-_sent: set[str] = set()
-_REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches of this session, which stays so, and lets Python workers import this package, on a cluster by sending it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    sc = spark.sparkContext
-    if sc.master.startswith("local"):
-        paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
-        if _REPO not in paths:
-            sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_REPO, *paths]))
-    elif sc.applicationId not in _sent:
-        with tempfile.TemporaryDirectory() as folder:  # the driver serves its own copy of what it is given
-            package = os.path.join(folder, f"relspan-{uuid.uuid4().hex}.zip")
-            with zipfile.ZipFile(package, "w") as z:
-                for at, _, names in os.walk(os.path.join(_REPO, "relspan")):
-                    for name in names:
-                        if name.endswith(".py"):
-                            z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), _REPO))
-            sc.addPyFile(package)
-        _sent.add(sc.applicationId)
-    return spark
+    return importable(spark)
 
 
 def pick(df: DataFrame, **types: str) -> DataFrame:
