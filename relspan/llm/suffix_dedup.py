@@ -17,6 +17,8 @@ from relspan.llm._common import NULL_ID, forget, pick, prepare, sliced, stored,
 
 #: Bytes of the strings at whose start the sampled suffixes are, below SPAN.
 GRAM = 40
+#: So many leads of GRAM bytes are broadcast at most; beyond, AQE splits the hot ones' joins.
+LEADS = 100_000
 #: Bytes of text that are sketched at once; positions in them take 24 bits.
 BLOCK = 256 << 10
 _POSITION = np.uint64((1 << 24) - 1)
@@ -345,10 +347,12 @@ def repeated_spans(docs: DataFrame, span: int = 100, gram: int = GRAM, group: in
     whole = whole.union(_boundaries(told, lambda r: len(r["head"]) + len(r["tail"])))
 
     others = told.where("kind = 3").select(F.substring("tail", 1, gram).alias("lead"), "tail", "head", "key", "rank", "lo")
+    count = others.count()
     if group is None:
-        group = min(4096, max(64, others.count() // (4 * n)))
+        group = min(4096, max(64, count // (4 * n)))
     sizes = others.groupBy("lead").agg(F.count("*").alias("size")).where(F.col("size") > group).select("lead", F.lit(True).alias("large"))
-    dealt = others.join(sizes, "lead", "left")
+    # at most count / group leads are that large: few enough to be sent to all tasks, which no hot lead then fills
+    dealt = others.join(F.broadcast(sizes) if count // group <= LEADS else sizes, "lead", "left")
     small = dealt.where("large is null").select("lead", "tail", "head", "key", "rank", "lo").repartitionByRange(n, "lead").sortWithinPartitions("lead", "key", "rank", "lo")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

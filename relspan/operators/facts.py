@@ -96,6 +96,16 @@ def registry_renamed(provenance: DataFrame, old: str, new: str) -> DataFrame:
     return provenance.withColumn("table", F.when(F.col("table") == old, new).otherwise(F.col("table"))).distinct()
 
 
+def registry_without(provenance: DataFrame, tables: list[str]) -> DataFrame:
+    """What is left of provenance when the tables are deleted, in any case."""
+    return provenance.where(~F.upper(F.col("table")).isin([t.upper() for t in tables]))
+
+
+def facts_of(provenance: DataFrame, tables: list[str]) -> DataFrame:
+    """fact_id: the facts that any of the tables comes from, once each."""
+    return provenance.where(F.upper(F.col("table")).isin([t.upper() for t in tables])).select("fact_id").distinct()
+
+
 def allocated(mentions: DataFrame, shards: DataFrame, facts: DataFrame) -> DataFrame:
     """fact_id, shard of every fact: shards that hold a table it mentions; a fact that mentions none goes to the least shard.
 

@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relspan.operators import satisfy
 from relspan.plans.relation import column
 
 #: A poisson's or zipf's table of cumulative shares has no more entries than this.
@@ -106,3 +107,25 @@ def split_sum(rows: DataFrame, group: str, total: str, name: str, seed: int, *ke
     drawn = rows.withColumn("_share", -F.ln(uniform(name, seed, *key)))
     sums = drawn.groupBy(group).agg(F.sum("_share").alias("_all"))
     return drawn.join(sums, group).withColumn(name, F.col(total) * F.col("_share") / F.col("_all")).drop("_share", "_all")
+
+
+def with_mean(rows: DataFrame, group: str, mean: str, name: str) -> DataFrame:
+    """Moves the drawn values of a column so that each group's mean is that of column `mean`; their spread stays. Nulls stay, and groups without a mean."""
+    off = rows.groupBy(F.col(group).alias("_g")).agg((F.first(mean) - F.avg(name)).alias("_off"))
+    return rows.join(off, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn(name, F.col(name) + F.coalesce("_off", F.lit(0.0))).drop("_g", "_off")
+
+
+def with_maximum(rows: DataFrame, group: str, maximum: str, name: str, key: str) -> DataFrame:
+    """Makes column `maximum` the greatest value of each group: the row that has the greatest (ties: the least key) takes it, none is above it."""
+    top = rows.where(F.col(name).isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.max_by(key, F.struct(F.col(name), -F.col(key))).alias("_top"))
+    met = rows.join(top, F.col(group).eqNullSafe(F.col("_g")), "left")
+    value = F.when(F.col(key) == F.col("_top"), F.col(maximum)).otherwise(F.least(F.col(name), F.col(maximum)))
+    return met.withColumn(name, F.when(F.col(name).isNotNull(), value)).drop("_g", "_top")
+
+
+def trial(spark: SparkSession, n: int, key: str, columns: dict[str, dict], constraints: dict[str, dict], share: float = 0.1, seed: int = 0) -> DataFrame:
+    """constraint and how often it holds (see satisfy.verdicts) over the first rows of a table, a tenth, before all are made.
+
+    Rows are drawn from hashes of their keys, so those are the rows that the whole table begins with.
+    """
+    return satisfy.verdicts(table(spark, max(1, math.ceil(n * share)), key, columns, seed), constraints)

@@ -243,6 +243,22 @@ def span_scores(claims: DataFrame, docs: DataFrame, sizes: tuple[int, ...] = (12
     return met.mapInArrow(run, T.StructType([met.schema["claim_id"], T.StructField("score", T.DoubleType())]))
 
 
+# Up to so many words, or below so many characters, a text is short.
+SHORT_WORDS, SHORT_CHARS = 3, 15
+
+
+def segment_faults(segments: DataFrame, docs: DataFrame) -> DataFrame:
+    """segment_id, severity: of segments (segment_id, doc_id, text) that their document does not hold to the letter.
+
+    LOW for short ones, else MEDIUM; null and empty segments claim nothing and
+    are left out. A document that is missing, or has no text, holds nothing.
+    """
+    said = segments.where(F.length("text") > 0).select("segment_id", "doc_id", F.col("text").alias("said"))
+    met = said.join(docs.select("doc_id", "text"), "doc_id", "left").where(~F.coalesce(F.contains("text", "said"), F.lit(False)))
+    short = (F.size(F.split(F.trim("said"), r"\s+")) <= SHORT_WORDS) | (F.length("said") < SHORT_CHARS)
+    return met.select("segment_id", F.when(short, "LOW").otherwise("MEDIUM").alias("severity"))
+
+
 def origins(claims: DataFrame, docs: DataFrame, **how) -> DataFrame:
     """claim_id, match, score of claims (claim_id unique, doc_id, fact, origin) against their documents (doc_id unique, text).
 

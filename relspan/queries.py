@@ -709,3 +709,27 @@ def conflict_report(spark, sf_dir):
 def name_mentions(spark, sf_dir):
     names = spark.createDataFrame([("LICENSE",), ("OPEN_SOURCE",), ("THE",)], "name string")
     return audit.mentions(_docs(spark, sf_dir), "doc_id", "text", names)
+
+
+@query("segment_faults", "WITH s AS (SELECT item_id, text AS said FROM benchmark WHERE length(text) > 0) SELECT doc_id AS segment_id, CASE WHEN len(regexp_split_to_array(trim(said, ' '), '\\s+')) <= 3 OR length(said) < 15 THEN 'LOW' ELSE 'MEDIUM' END AS severity FROM documents JOIN s ON item_id = doc_id WHERE NOT coalesce(contains(text, said), false)")
+def segment_faults(spark, sf_dir):
+    """Benchmark items taken for segments of the documents of the same number."""
+    docs = _docs(spark, sf_dir)
+    items = read(spark, sf_dir, "BENCHMARK").select(F.col("item_id").alias("doc_id"), "text").join(docs.select("doc_id"), "doc_id", "left_semi")
+    return T.segment_faults(items.withColumn("segment_id", F.col("doc_id")), docs)
+
+
+@query("registry_deletion", "SELECT r_name AS \"table\", string_agg(n_nationkey, ',' ORDER BY n_nationkey) AS facts FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' GROUP BY 1")
+def registry_deletion(spark, sf_dir):
+    rows = read(spark, sf_dir, "NATION").join(read(spark, sf_dir, "REGION"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("table"), F.col("n_nationkey").alias("fact_id"))
+    return A.registry(A.registry_without(rows, ["Asia"])).select("table", F.array_join(F.transform("facts", lambda x: x.cast("string")), ",").alias("facts"))
+
+
+@query("generated_means", "SELECT o_custkey, true AS mean_holds, round(max(o_totalprice), 2) AS top FROM orders GROUP BY 1")
+def generated_means(spark, sf_dir):
+    """Values drawn anew for each customer's orders, moved to the customer's mean; and others, led by the customer's greatest."""
+    orders = read(spark, sf_dir, "ORDERS").select("o_custkey", "o_orderkey", "o_totalprice")
+    stated = orders.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("m"), F.max("o_totalprice").alias("t"))
+    drawn = orders.join(stated, "o_custkey").withColumn("x", G.draw("normal", {"mean": 0, "std": 10}, "x", 3, "o_orderkey")).withColumn("y", G.draw("uniform", {"low": 0, "high": 1e6}, "y", 3, "o_orderkey"))
+    out = G.with_maximum(G.with_mean(drawn, "o_custkey", "m", "x"), "o_custkey", "t", "y", "o_orderkey")
+    return out.groupBy("o_custkey").agg((F.abs(F.avg("x") - F.avg("o_totalprice")) < 1e-6).alias("mean_holds"), F.round(F.max("y"), 2).alias("top"))

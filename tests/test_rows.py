@@ -3,6 +3,7 @@
 import gzip
 
 import numpy as np
+import pytest
 
 from relspan.operators import facts, vectors
 from relspan.plans import patches
@@ -117,3 +118,17 @@ def test_merged_rows(spark):
     out = patches.tables(rows, c, {"action": "merge_tables", "table": "B", "to": "A"})
     assert out["A"].columns == ["id", "x", "b_id", "y"]
     assert sorted(listed(out["A"]), key=lambda r: r[0]) == [(1, 2, 1, 7), (2, 3, None, None), (9, 80, 9, 8)]
+
+
+def test_means_maxima_and_trials(spark):
+    from relspan.operators import generate as G
+
+    rows = spark.createDataFrame([(1, 1, 5.0, 10.0), (1, 2, 7.0, 10.0), (1, 3, 7.0, 10.0), (2, 4, 50.0, 10.0), (2, 5, None, 10.0), (None, 6, 1.0, 4.0), (3, 7, 2.0, None)], "g long, k long, x double, to double")
+    mean = {r.k: r.x for r in G.with_mean(rows, "g", "to", "x").collect()}
+    assert mean == {1: pytest.approx(5 + 11 / 3), 2: pytest.approx(7 + 11 / 3), 3: pytest.approx(7 + 11 / 3), 4: 10.0, 5: None, 6: 4.0, 7: 2.0}
+    top = {r.k: r.x for r in G.with_maximum(rows, "g", "to", "x", "k").collect()}
+    assert top == {1: 5.0, 2: 10.0, 3: 7.0, 4: 10.0, 5: None, 6: 4.0, 7: None}
+    spec = {"x": {"family": "uniform", "params": {"low": 0, "high": 1}}}
+    r = G.trial(spark, 95, "id", spec, {"half": {"op": "lt", "column": "x", "value": 0.5}}).first()
+    whole = G.table(spark, 95, "id", spec).where("id < 10 AND x < 0.5").count()
+    assert (r.applicable, r.satisfied) == (10, whole)
