@@ -1,0 +1,414 @@
+"""Registered queries of readers and plans: what they give, as rows, beside the SQL of the same rows."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from relspan.operators import facts
+from relspan.operators import distributions as D
+from relspan.operators.satisfy import verdicts
+from relspan.plans import audit, conflicts, dataset, extraction, freedom, merging, patches, rowcounts, schema_eval, sharding, sql
+from relspan.plans.catalog import TESTDATA, Catalog, Column, ForeignKey, Table, read
+from relspan.plans.constraints import Distributed, Stated, comparable, faults, grain, population, softenable
+from relspan.plans.relation import Aggregate, Base, Col, Compare, Fanout, Filter, IfThen, Join, Lit, Negated, Project, Refused, compiled, known
+from relspan.sources import readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, oracle: str):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name], ORACLE_SQL[name] = f, oracle
+        return f
+
+    return add
+
+
+_TYPES = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def listing(name: str, kinds: str, expected: str):
+    """Registers a function that gives rows on the driver, of plans that read no tables; expected: SQL values."""
+    names = ", ".join(f'"{x.split()[0]}"' for x in kinds.split(", "))
+    typed = ", ".join(f'CAST("{n}" AS {_TYPES[k]}) AS "{n}"' for n, k in (x.split() for x in kinds.split(", ")))
+
+    def add(f: Callable[[], list[tuple]]) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: spark.createDataFrame(f(), ", ".join(f"`{x.split()[0]}` {x.split()[1]}" for x in kinds.split(", ")))
+        ORACLE_SQL[name] = f"SELECT {typed} FROM (VALUES {expected}) t({names})"
+        return f
+
+    return add
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; a local session may do with a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        root = f"file://{os.path.join(tempfile.gettempdir(), 'relspan-checkpoints')}"
+    return f"{root.rstrip('/')}/relspan-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+# sources: each table is written in the format and read back
+
+
+@query("pipe_rows", "SELECT n_nationkey::VARCHAR AS key, n_name AS name, n_regionkey::VARCHAR AS region FROM nation")
+def pipe_rows(spark, sf_dir):
+    path = scratch(spark, "pipe")
+    read(spark, sf_dir, "NATION").select(F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey", F.lit(""))).write.text(path)
+    return readers.pipe_table(spark, path, ["key", "name", "region"])
+
+
+@query("tab_rows", "SELECT p_partkey::VARCHAR AS key, CASE WHEN p_size > 25 THEN '' ELSE p_brand END AS brand, TRY_CAST(p_size AS DOUBLE) AS size FROM part")
+def tab_rows(spark, sf_dir):
+    path = scratch(spark, "tab")
+    rows = read(spark, sf_dir, "PART").select(F.col("p_partkey").alias("key"), F.when(F.col("p_size") > 25, "\\N").otherwise(F.col("p_brand")).alias("brand"), F.col("p_size").alias("size"))
+    rows.write.option("compression", "gzip").csv(path, sep="\t", header=True, quote="")
+    text = readers.tab_table(spark, path)
+    sizes = readers.numeric_columns(text.select("key", "size"), ["key", "size"])
+    return text.select("key", "brand").join(sizes.select(F.col("key").cast("long").cast("string").alias("key"), "size"), "key")
+
+
+_CASES = "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS text FROM events"
+
+
+def _cases(spark, sf_dir):
+    path = scratch(spark, "cases")
+    rows = read(spark, sf_dir, "EVENTS")
+    good = rows.where("event_id % 5 <> 0").select(F.to_json(F.struct(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("text"))))
+    bad = rows.where("event_id % 5 = 0").select(F.concat(F.lit('{"id": '), F.col("event_id"), F.lit(', "te')))
+    good.union(bad).union(rows.limit(3).select(F.lit("  "))).write.text(path)
+    return readers.cases(spark, path, "id long, text string")
+
+
+@query("case_rows", f"{_CASES} WHERE event_id % 5 <> 0")
+def case_rows(spark, sf_dir):
+    return _cases(spark, sf_dir)[0]
+
+
+@query("bad_lines", "SELECT '{\"id\": ' || event_id || ', \"te' AS line FROM events WHERE event_id % 5 = 0")
+def bad_lines(spark, sf_dir):
+    return _cases(spark, sf_dir)[1]
+
+
+@query("specification_text", "SELECT string_agg(r_name || chr(10), '' ORDER BY r_regionkey) AS text FROM region")
+def specification_text(spark, sf_dir):
+    path = scratch(spark, "text")
+    read(spark, sf_dir, "REGION").orderBy("r_regionkey").coalesce(1).select("r_name").write.text(path)
+    return readers.specification(spark, f"{path}/part-*").select("text")
+
+
+@query("staged_rows", "SELECT s_suppkey, s_name FROM supplier")
+def staged_rows(spark, sf_dir):
+    """A stage that is made once and read the second time."""
+    folder = scratch(spark, "stages")
+    make = lambda: read(spark, sf_dir, "SUPPLIER").select("s_suppkey", "s_name")
+    readers.stage(spark, folder, "suppliers", make)
+
+    def never() -> DataFrame:
+        raise AssertionError("a complete stage is made again")
+
+    return readers.stage(spark, folder, "suppliers", never)
+
+
+@query("mined_lines", "SELECT 'o_totalprice' AS \"column\", 'uniform' AS family, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders")
+def mined_lines(spark, sf_dir):
+    path = scratch(spark, "mined")
+    p = D.estimate("uniform", D.summarize(read(spark, sf_dir, "ORDERS"), ["o_totalprice"], ("uniform",))["o_totalprice"])
+    readers.write_mined(spark.createDataFrame([("o_totalprice", "uniform", float(p["low"]), float(p["high"]))], "`column` string, family string, low double, high double"), path)
+    return spark.read.schema("`column` string, family string, low double, high double").json(path)
+
+
+@listing("read_schema", "table string, column string, type string, parent string", "('SHOP', 'id', 'VARCHAR', NULL), ('SHOP', 'name', 'VARCHAR', NULL), ('SALE', 'id', 'VARCHAR', NULL), ('SALE', 'shop', 'VARCHAR', 'SHOP')")
+def read_schema():
+    c = readers.schema_of({"SHOP": {"attributes": ["id", "name"], "primary_key": ["id"]}, "SALE": {"attributes": ["id"], "primary_key": ["id"], "foreign_keys": {"shop": "SHOP"}}})
+    to = {(f.table, f.column): f.parent for f in c.links}
+    return [(t.name, x.name, x.type, to.get((t.name, x.name))) for t in c.tables.values() for x in t.columns]
+
+
+# data sets
+
+
+@query("dataset_findings", "SELECT CAST(p_partkey AS VARCHAR) AS case_id, 'error' AS level, 'x' AS subject, 'not in upper snake case' AS detail FROM part WHERE p_size % 4 = 0 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'error', 'T' || '.v', 'std must be positive' FROM part WHERE p_size % 4 = 1")
+def dataset_findings(spark, sf_dir):
+    """Cases made of parts: a quarter name a table wrongly, and a quarter have a deviation of 0."""
+    text = "A table of values that are drawn from a normal distribution, with a mean and a deviation that are both stated here."
+    one = '{"id": %d, "domain": "d", "profile": "p", "nl_description": "' + text + '", "ground_truth_schema": {"tables": [{"name": "T", "columns": [{"name": "v", "data_type": "FLOAT"}], "pk": "v"}%s]}, "ground_truth_distributions": {"T.v": {"family": "normal", "params": {"mean": 1, "std": %d}}}}'
+    other = ', {"name": "x", "columns": [{"name": "v", "data_type": "FLOAT"}], "pk": "v"}], "relationships": ['
+    parts = read(spark, sf_dir, "PART")
+    lines = parts.select(F.format_string(one, F.col("p_partkey"), F.when(F.col("p_size") % 4 == 0, other).otherwise(""), F.when(F.col("p_size") % 4 == 1, 0).otherwise(1)).alias("value"))
+    return dataset.validate(lines)
+
+
+# relations and constraints
+
+
+@query("relation_counts", "SELECT 'ORDERS' AS unknown, count(*) AS n FROM orders UNION ALL SELECT 'filtered1', count(*) FROM orders WHERE o_totalprice > 100000 UNION ALL SELECT 'grouped1', count(DISTINCT o_custkey) FROM orders WHERE o_totalprice > 100000")
+def relation_counts(spark, sf_dir):
+    c = rowcounts.Counts()
+    rowcounts.rows(sql.parse("SELECT o_custkey, COUNT(*) AS n FROM ORDERS JOIN CUSTOMER ON ORDERS.o_custkey = CUSTOMER.c_custkey WHERE o_totalprice > 100000 GROUP BY o_custkey"), TESTDATA, c)
+    return spark.createDataFrame(list(rowcounts.observed(c, TESTDATA, lambda t: read(spark, sf_dir, t)).items()), "unknown string, n long")
+
+
+@query("implication_rows", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' OR o_totalprice > 50000")
+def implication_rows(spark, sf_dir):
+    tree = Project(Filter(Base("ORDERS"), IfThen(Compare("=", Col("o_orderstatus"), Lit("F")), Compare(">", Col("o_totalprice"), Lit(50000)))), ((Col("o_orderkey"), "o_orderkey"),))
+    return compiled(tree, TESTDATA, lambda t: read(spark, sf_dir, t))
+
+
+_NATIONS = Catalog({"NATION": TESTDATA.tables["NATION"], "TWIN": Table("TWIN", (Column("n_nationkey", "INTEGER"), Column("n_name", "VARCHAR"), Column("twin", "INTEGER", True)), ("n_nationkey",))}, [ForeignKey("TWIN", "twin", "TWIN")])
+
+
+@query("self_join", "SELECT a.n_nationkey, a.n_name, b.n_name AS twin_name FROM nation a LEFT JOIN nation b ON a.n_regionkey = b.n_nationkey")
+def self_join(spark, sf_dir):
+    """Each nation and the nation whose key is its region's."""
+    tree = Project(Join(Base("TWIN"), Base("TWIN", "b"), ("TWIN", "twin"), ("b", "n_nationkey")), ((Col("n_nationkey"), "n_nationkey"), (Col("n_name"), "n_name"), (Col("b.n_name"), "twin_name")))
+    return compiled(tree, _NATIONS, lambda t: read(spark, sf_dir, "NATION").withColumnRenamed("n_regionkey", "twin"))
+
+
+@query("lookup_both_sides", "SELECT count(*) FILTER (c_acctbal > o_totalprice / 100) AS satisfied, count(*) FILTER (NOT c_acctbal > o_totalprice / 100) AS violated FROM orders JOIN customer ON o_custkey = c_custkey")
+def lookup_both_sides(spark, sf_dir):
+    orders = read(spark, sf_dir, "ORDERS").withColumn("share", F.col("o_totalprice") / 100)
+    c = {"op": "gt", "column": "c_acctbal", "lhs_join": {"table": "CUSTOMER", "fk": "o_custkey", "key": "c_custkey"}, "rhs_column": "share"}
+    return verdicts(orders, {"c": c}, lambda t: read(spark, sf_dir, t)).select("satisfied", "violated")
+
+
+@listing("illegal_relations", "shape string, refused boolean", "('table twice', true), ('projection without key', true), ('unknown table', true), ('text against number', true), ('average of text', true), ('a filter', false)")
+def illegal_relations():
+    join = lambda a, b, x, y: Join(Base("ORDERS", a), Base("CUSTOMER", b), (a or "ORDERS", x), (b or "CUSTOMER", y))
+    shapes = {
+        "table twice": Join(join(None, None, "o_custkey", "c_custkey"), Base("CUSTOMER"), ("ORDERS", "o_custkey"), ("CUSTOMER", "c_custkey")),
+        "projection without key": Project(Base("CUSTOMER"), ((Col("c_name"), "c_name"),)),
+        "unknown table": Base("NOWHERE"),
+        "text against number": Filter(Base("CUSTOMER"), Compare(">", Col("c_name"), Lit(3))),
+        "average of text": Aggregate(Base("CUSTOMER"), "AVG", "c_name", "a"),
+        "a filter": Filter(Base("CUSTOMER"), Compare(">", Col("c_acctbal"), Lit(3))),
+    }
+    out = []
+    for name, tree in shapes.items():
+        try:
+            known(tree, TESTDATA)
+            out.append((name, False))
+        except Refused:
+            out.append((name, True))
+    return out
+
+
+@listing("nullability", "column string, nullable boolean", "('customer_id', true), ('region', true), ('order_id', false), ('filtered customer_id', false)")
+def nullability():
+    shop = Catalog({"CUSTOMER": Table("CUSTOMER", (Column("id", "INTEGER"), Column("region", "VARCHAR")), ("id",)), "ORDERING": Table("ORDERING", (Column("order_id", "INTEGER"), Column("customer_id", "INTEGER", True)), ("order_id",))}, [ForeignKey("ORDERING", "customer_id", "CUSTOMER")])
+    j = Join(Base("ORDERING"), Base("CUSTOMER"), ("ORDERING", "customer_id"), ("CUSTOMER", "id"))
+    k = known(j, shop)
+    n = known(Filter(j, Compare("=", Col("customer_id"), Lit(1))), shop)
+    return [(c, k.nullable[c]) for c in ("customer_id", "region", "order_id")] + [("filtered customer_id", n.nullable["customer_id"])]
+
+
+@listing("constraint_faults", "constraint string, n int", "('normal over text', 1), ('unknown column', 1), ('negative deviation', 1), ('unknown family', 1), ('a count of 0 or more', 1), ('sound', 0), ('unknown relation', 1)")
+def constraint_faults():
+    price = Base("ORDERS")
+    stated = {
+        "normal over text": Stated(price, Distributed("o_orderstatus", "normal")),
+        "unknown column": Stated(price, Distributed("x", "normal")),
+        "negative deviation": Stated(price, Distributed("o_totalprice", "normal", (("std", -1.0),))),
+        "unknown family": Stated(price, Distributed("o_totalprice", "odd")),
+        "a count of 0 or more": Stated(Fanout(Base("CUSTOMER"), price, "o_custkey"), Compare(">=", Col("child_count"), Lit(0))),
+        "sound": Stated(price, Distributed("o_totalprice", "normal", (("std", 1.0),))),
+        "unknown relation": Stated(Base("X"), Compare(">", Col("x"), Lit(1))),
+    }
+    return [(k, len(faults(s, TESTDATA))) for k, s in stated.items()]
+
+
+@listing("softenable_conditions", "condition string, soft boolean", "('distribution', true), ('moment', true), ('plain', false)")
+def softenable_conditions():
+    o = Base("ORDERS")
+    return [("distribution", softenable(Stated(o, Distributed("o_totalprice", "normal")))), ("moment", softenable(Stated(Aggregate(o, "AVG", "o_totalprice", "m"), Compare("=", Col("m"), Lit(1.0))))), ("plain", softenable(Stated(o, Compare(">", Col("o_totalprice"), Lit(0)))))]
+
+
+@listing("populations", "pair string, by_row boolean, by_distribution boolean", "('same', true, true), ('narrowed', true, false), ('complements', false, false), ('other table', false, false), ('joined', true, true)")
+def populations():
+    o, p = Base("ORDERS"), Compare("=", Col("o_orderstatus"), Lit("F"))
+    joined = Join(o, Base("CUSTOMER"), ("ORDERS", "o_custkey"), ("CUSTOMER", "c_custkey"))
+    pairs = {"same": (o, o), "narrowed": (o, Filter(o, p)), "complements": (Filter(o, p), Filter(o, Negated(p))), "other table": (o, Base("PART")), "joined": (o, joined)}
+    row, soft = p, Distributed("o_totalprice", "normal")
+    return [(k, *(comparable(population(a, TESTDATA), population(b, TESTDATA), c) for c in (row, soft))) for k, (a, b) in pairs.items()]
+
+
+@listing("grains", "relation string, table string, kind string", "('rows', 'ORDERS', 'rows'), ('by own key', 'ORDERS', 'rows'), ('by foreign key', 'CUSTOMER', 'rows'), ('mode by foreign key', 'ORDERS', 'groups'), ('by status', 'ORDERS', 'groups'), ('whole', 'ORDERS', 'one'), ('fan-out', 'CUSTOMER', 'rows')")
+def grains():
+    o = Base("ORDERS")
+    by = lambda fn, *b: Aggregate(o, fn, "o_totalprice", "x", b)
+    shapes = {"rows": o, "by own key": by("SUM", "o_orderkey"), "by foreign key": by("SUM", "o_custkey"), "mode by foreign key": by("MODE", "o_custkey"), "by status": by("SUM", "o_orderstatus"), "whole": by("SUM"), "fan-out": Fanout(Base("CUSTOMER"), o, "o_custkey")}
+    return [(n, g.table, g.kind) for n, r in shapes.items() for g in [grain(r, TESTDATA)]]
+
+
+@listing("implied_moments", "family string, mean double, variance double", "('normal', 3.0, 4.0), ('lognormal', 1.648721, 4.670774), ('beta', 0.4, 0.04), ('poisson', 6.0, 6.0), ('uniform', 5.0, 3.0)")
+def implied_moments():
+    given = {"normal": {"mean": 3.0, "std": 2.0}, "lognormal": {"mu": 0.0, "sigma": 1.0}, "beta": {"alpha": 2.0, "beta": 3.0}, "poisson": {"lambda": 6.0}, "uniform": {"low": 2.0, "high": 8.0}}
+    return [(f, *(round(conflicts.implied(f, p)[k], 6) for k in ("MEAN", "VARIANCE"))) for f, p in given.items()]
+
+
+@listing("freedom_blocks", "kind string, equations int, unknowns int", "('over', 2, 1), ('loose', 1, 2), ('square', 2, 2)")
+def freedom_blocks():
+    found = freedom.blocks({"a": {"x"}, "b": {"x"}, "c": {"y", "z"}, "d": {"v", "w"}, "e": {"w"}})
+    return [(b.kind, len(b.equations), len(b.unknowns)) for b in found]
+
+
+@listing("derived_cycles", "columns string, says string", "('a b', 'contradiction'), ('c d', 'identity'), ('e', 'fixed'), ('f g', 'unverifiable')")
+def derived_cycles():
+    derived = {"a": ({"b": 1}, 1), "b": ({"a": 1}, 0), "c": ({"d": 2}, 1), "d": ({"c": 0.5}, -0.5), "e": ({"e": 3}, 1), "f": {"g"}, "g": {"f"}}
+    return [(" ".join(sorted(c)), s) for c, s in rowcounts.cycles(derived)]
+
+
+@listing("conflict_groups", "group string", "('a c d'), ('b'), ('e')")
+def conflict_groups():
+    return [(" ".join(sorted(g)),) for g in freedom.grouped({"a": {"t"}, "b": {"u"}, "c": {"t", "v"}, "d": {"v"}, "e": set()})]
+
+
+@listing("branches", "condition string, categories string", "('eq', 'P'), ('in', 'F P'), ('neq', 'F P'), ('neq of unknown', NULL), ('lt', NULL)")
+def branches():
+    key = ("ORDERS", "o_orderstatus")
+    f = extraction.Forks([(key, ["F", "O"]), (key, ["O", "P"])])
+    got = {"eq": f.branch(key, "eq", ["P"]), "in": f.branch(key, "in", ["P", "F", "X"]), "neq": f.branch(key, "neq", ["O"]), "neq of unknown": f.branch(("A", "b"), "neq", ["x"]), "lt": f.branch(key, "lt", ["O"])}
+    return [(k, None if v is None else " ".join(v)) for k, v in got.items()]
+
+
+@listing("condition_texts", "text string, op string, values string", "('T.c = ''a''', 'eq', 'a'), ('T.c != b', 'neq', 'b'), ('T.c IN (''a'', ''b'')', 'in', 'a b'), ('T.c > 3', NULL, NULL)")
+def condition_texts():
+    out = []
+    for text in ("T.c = 'a'", "T.c != b", "T.c IN ('a', 'b')", "T.c > 3"):
+        got = extraction.parse_condition(text)
+        out.append((text, *((None, None) if got is None else (got[1], " ".join(got[2])))))
+    return out
+
+
+@listing("merged_bounds", "column string, low double, high double, categories string", "('p_size', 4.0, 9.0, NULL), ('p_brand', NULL, NULL, 'b')")
+def merged_bounds():
+    item = lambda c, op, **k: {"table": "PART", "column": c, "op": op, **k}
+    got = extraction.variables([item("p_size", "gt", value=3), item("p_size", "lte", value=9), item("p_brand", "in", values=["a", "b"]), item("p_brand", "eq", value="b")], TESTDATA)
+    plain = lambda x: None if x in (float("inf"), float("-inf")) else float(x)
+    return [(c, plain(v.low), plain(v.high), None if v.categories is None else " ".join(sorted(v.categories))) for (_, c), v in got.items()]
+
+
+@listing("raw_sql_in_trees", "text string, tree string", "('SELECT * FROM ORDERS o WHERE o_totalprice > 5', 'SELECT * FROM ORDERS WHERE o_totalprice > 5')")
+def raw_sql_in_trees():
+    text = "SELECT * FROM ORDERS o WHERE o_totalprice > 5"
+    return [(text, sql.to_sql(sql.normalized(sql.RawSQL(text))))]
+
+
+# catalogs
+
+
+@listing("schema_match", "against string, f1 double", "('itself', 1.0), ('without links', 0.0), ('nothing', 0.0)")
+def schema_match():
+    a = Catalog({t: Table(t, (Column("id", "INTEGER"),), ("id",)) for t in ("A", "B")}, [ForeignKey("A", "id", "B")])
+    found = {"itself": schema_eval.shape(TESTDATA, TESTDATA), "without links": schema_eval.shape(Catalog(a.tables), a), "nothing": schema_eval.shape(Catalog({}), a)}
+    return [(k, float(s.f1)) for k, s in found.items()]
+
+
+@listing("capacity", "measure string, value double", "('recall', 0.666667), ('precision', 0.75)")
+def capacity():
+    t = Table("SALE", (Column("sale_id", "INTEGER"), Column("price", "FLOAT"), Column("colour", "VARCHAR")), ("sale_id",))
+    got = schema_eval.capacity(Catalog({"SALE": t}), {"SALE": {1}, "SALE.price": {2}}, {1: {"STRUCTURAL"}, 2: set(), 3: {"LOGICAL"}, 4: {"METADATA"}})
+    return [(k, round(got[k], 6)) for k in ("recall", "precision")]
+
+
+@listing("dependency_kinds", "kind string, n int", "('enforced', 1), ('partial', 1), ('transitive', 1), ('unenforced', 1), ('cross_table', 1), ('unresolved', 1)")
+def dependency_kinds():
+    two = Catalog({"LINE": Table("LINE", tuple(Column(n, "INTEGER") for n in "abcd"), ("a", "b"))})
+    stated = [(["Line.a", "Line.b"], ["Line.c"]), (["Line.a"], ["Line.c"]), (["Line.c"], ["Line.d"]), (["Line.a", "Line.c"], ["Line.d"]), (["Line.c"], ["Other.x"]), (["Gone.x"], ["Gone.y"])]
+    got = schema_eval.dependencies(two, stated)
+    return [(k, len(got[k])) for k in ("enforced", "partial", "transitive", "unenforced", "cross_table", "unresolved")]
+
+
+@listing("score_means", "measure string, value double", "('a', 2.0), ('b', NULL)")
+def score_means():
+    return [(k, None if v is None else float(v)) for k, v in schema_eval.means([{"a": 1, "b": None}, {"a": None}, {"a": 3}]).items()]
+
+
+@listing("distribution_faults", "column string, kind string", "('ORDERS.o_orderkey', 'distribution on key'), ('ORDERS.o_custkey', 'distribution on key'), ('ORDERS.o_totalprice', 'linear mean'), ('ORDERS.o_orderstatus', 'type'), ('ORDERS.x', 'unknown column')")
+def distribution_faults():
+    stated = {("ORDERS", "o_orderkey"): ("poisson", {"lambda": 3}), ("ORDERS", "o_custkey"): ("normal", {"mean": 0, "std": 1}), ("ORDERS", "o_totalprice"): ("lognormal", {"mu": 500, "sigma": 1}), ("ORDERS", "o_orderstatus"): ("zipf", {}), ("ORDERS", "x"): ("zipf", {})}
+    return [(c.subject, c.kind) for c in audit.distribution_faults(TESTDATA, stated)]
+
+
+@listing("catalog_shape", "measure string, n int", "('tables', 8), ('composite keys', 0), ('self links', 0), ('longest chain', 5)")
+def catalog_shape():
+    return list(audit.shape(TESTDATA).items())
+
+
+@listing("normalised_catalog", "table string, column string, type string", "('SHOP', 'shop_id', 'UUID'), ('SALE_ITEM', 'sale_id', 'INTEGER'), ('SALE_ITEM', 'shop_id', 'UUID')")
+def normalised_catalog():
+    c = Catalog({"Shop": Table("Shop", (Column("ShopId", "UUID"), Column("shop id", "UUID")), ("ShopId",)), "Sale Item": Table("Sale Item", (Column("SaleID", "INTEGER"), Column("Shop-ID", "INTEGER")), ("SaleID",))})
+    c = patches.aligned(patches.wired(patches.normalised(c)))
+    return [(t.name, x.name, x.type) for t in c.tables.values() for x in t.columns]
+
+
+@listing("patched_catalog", "table string, columns int, links int", "('AREA', 2, 0), ('CUSTOMER', 5, 1), ('NATION', 3, 1), ('ORDERS', 7, 2), ('SHOP', 1, 0)")
+def patched_catalog():
+    steps = [
+        {"action": "add_table", "table": "SHOP", "columns": [("shop_id", "INTEGER")], "key": ["shop_id"]},
+        {"action": "add_link", "table": "ORDERS", "column": "shop_id", "parent": "SHOP"},
+        {"action": "rename_table", "table": "REGION", "to": "AREA"},
+        *({"action": "delete_table", "table": t} for t in ("SUPPLIER", "LINEITEM", "PART", "EVENTS", "NONE")),
+    ]
+    c, _ = patches.apply(TESTDATA, steps)
+    return sorted((t.name, len(t.columns), sum(f.table == t.name for f in c.links)) for t in c.tables.values())
+
+
+@query("merged_tables", "SELECT coalesce(r_regionkey, n_nationkey) AS r_regionkey, r_name, n_nationkey, n_name, n_regionkey FROM region FULL JOIN nation ON r_regionkey = n_nationkey")
+def merged_tables(spark, sf_dir):
+    """Nations merged into regions by key: rows of either side stay."""
+    rows = {t: read(spark, sf_dir, t).select(*(c.name for c in TESTDATA.tables[t].columns)) for t in ("REGION", "NATION")}
+    c = Catalog({t: TESTDATA.tables[t] for t in rows})
+    return patches.tables(rows, c, {"action": "merge_tables", "table": "NATION", "to": "REGION"})["REGION"]
+
+
+@listing("fact_columns", "fact int, column string", "(1, 'PART.p_size'), (2, 'PART.p_partkey'), (3, 'CUSTOMER.c_custkey'), (3, 'ORDERS.o_custkey')")
+def fact_columns():
+    link = ForeignKey("ORDERS", "o_custkey", "CUSTOMER")
+    got = facts.column_map(TESTDATA, {("PART", "p_size"): {1}}, {"PART": {1, 2}}, {link: {3}}, {})
+    return [(f, f"{t}.{c}") for f, of in sorted(got.items()) for t, c in of]
+
+
+@listing("merged_entities", "entity int, cluster int", "(0, 0), (1, 0), (2, 2)")
+def merged_entities():
+    import numpy as np
+
+    p = np.array([[-np.inf, 0.9, 0.8], [0.9, -np.inf, 0.1], [0.8, 0.1, -np.inf]])
+    return list(enumerate(merging.clusters(p)))
+
+
+@listing("merged_links", "name string, kind string, participants string, flag string", "('has', '1:N', 'A B', 'has: 1:N and M:N')")
+def merged_links():
+    links = [{"name": "has", "kind": "1:N", "participants": ["X", "B"], "facts": [2]}, {"name": "has", "kind": "M:N", "participants": ["B", "A"], "facts": [1]}]
+    out, flags = merging.merged_links(links, {"X": "A"})
+    return [(x["name"], x["kind"], " ".join(x["participants"]), flags[0]) for x in out]
+
+
+@query("shard_sweep", "SELECT 8::BIGINT AS settings, true AS all_facts_held")
+def shard_sweep(spark, sf_dir):
+    """Every setting of a sweep divides the catalog so that each fact is whole in some shard."""
+    stated = {"a": {("ORDERS", "o_totalprice"), ("CUSTOMER", "c_acctbal")}, "b": {("LINEITEM", "l_quantity"), ("PART", "p_size")}, "c": {("REGION", "r_name"), ("EVENTS", "value")}}
+    found = sharding.sweep(spark, TESTDATA, stated, grid=(0.1, 30.0))
+    whole = F.lit(True)
+    for cells in stated.values():
+        whole = whole & F.exists(F.split("structure", r"\|"), _holds(cells))
+    return found.agg(F.sum("n").alias("settings"), F.every(whole).alias("all_facts_held"))
+
+
+def _holds(cells: set) -> Callable:
+    def of(shard):
+        out = F.lit(True)
+        for t, c in cells:
+            out = out & F.array_contains(F.split(shard, ","), f"{t}.{c}")
+        return out
+
+    return of

@@ -266,6 +266,7 @@ def known(r, catalog: Catalog) -> Known:
                 raise Refused(f"{', '.join(sorted(child.tables & parent.tables))} occurs twice: an alias is needed")
             loose = child.nullable[on]
             name = _alias(r, catalog)
+            both = child.ambiguous | parent.ambiguous if name else both
             own = {c: f"{name}.{c}" for c in parent.types if c in child.types} if name else {}
             types, nullable, origin = ({own.get(c, c): v for c, v in of.items()} for of in (parent.types, parent.nullable, parent.origin))
             return Known(types | child.types, {c: n or loose for c, n in nullable.items()} | child.nullable, origin | child.origin, both, child.key, child.tables | parent.tables)

@@ -1,8 +1,9 @@
 import pytest
 
-from relspan.queries import ORACLE_SQL, QUERIES
+from relspan import listings, queries
 from tests.oracle import compare, connect
 
+QUERIES, ORACLE_SQL = queries.QUERIES | listings.QUERIES, queries.ORACLE_SQL | listings.ORACLE_SQL
 SF = "/root/testdata/sf0.001"
 
 
