@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relspan.functions.workers import one_machine
 from relspan.operators import facts
 from relspan.operators import distributions as D
 from relspan.operators.satisfy import verdicts
@@ -51,7 +52,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; a local session may do with a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not one_machine(spark):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         root = f"file://{os.path.join(tempfile.gettempdir(), 'relspan-checkpoints')}"
     return f"{root.rstrip('/')}/relspan-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
