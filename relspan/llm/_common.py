@@ -14,7 +14,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspan.functions.workers import importable
+from relspan.functions.workers import importable, one_machine
 
 #: Stands for a null document id wherever ids are ordered or joined.
 NULL_ID = -(2**63)
@@ -52,7 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not one_machine(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{os.path.join(tempfile.gettempdir(), 'relspan-checkpoints')}"
     return f"{root.rstrip('/')}/relspan-{spark.sparkContext.applicationId}"
