@@ -85,6 +85,14 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
             _written.remove(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str, spark: SparkSession) -> DataFrame:
+    """Stores what make() gives, and deletes the tables that it stored on its way."""
+    before = tables()
+    out = stored(make(), name)
+    drop(spark, [p for p in tables()[:-1] if p not in before])
+    return out
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a table that stored() gave."""
     files = df.inputFiles()[:1]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relspan.llm._common import NULL_ID, pick, prepare, stored, tasks, uncollected
+from relspan.llm._common import NULL_ID, pick, prepare, settled, stored, tasks, uncollected
 from relspan.llm.components import connected_components
 from relspan.llm.suffix_dedup import DocFilter
 
@@ -347,17 +347,17 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[], [], [], [], []]
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text or "", width)
                 first, second = wide_simhash(s).view(np.int64).tolist()
                 least = s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]
-                for column, value in zip(rows, (set_key(s), first, second, len(s), least.view(np.int64), s.tobytes()), strict=True):
+                for column, value in zip(rows, (set_key(s), first, second, len(s), least.view(np.int64)), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(rows, kinds, strict=True))], names=["doc_id", "fp", "first", "second", "n", "prefix", "shingles"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(rows, kinds, strict=True))], names=["doc_id", "fp", "first", "second", "n", "prefix"])
 
-    marked = stored(pick(docs, doc_id="long", text="string").mapInArrow(uncollected(mark), "doc_id long, fp long, first long, second long, n int, prefix array<long>, shingles binary"), "shingles")
+    marked = stored(pick(docs, doc_id="long", text="string").mapInArrow(uncollected(mark), "doc_id long, fp long, first long, second long, n int, prefix array<long>"), "shingles")
     least = F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least")
     distinct = stored(marked.groupBy("fp").agg(least, *(F.any_value(c).alias(c) for c in ("first", "second", "n", "prefix"))), "distinct")
     met = distinct.select(F.explode("prefix").alias("shingle"), "fp", "first", "second", "n").repartition(tasks(spark), "shingle").sortWithinPartitions("shingle", "fp")
@@ -394,9 +394,17 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
             yield out([np.concatenate(x) for x in zip(*held, strict=True)])
 
     roots = stored(connected_components(met.mapInArrow(uncollected(candidates), "a long, b long")).withColumnRenamed("node", "fp"), "candidates")
-    wanted = DocFilter(roots.select(F.col("fp").alias("key"), F.lit(0).alias("rank")))
-    keyed = marked.select("doc_id", "fp", "shingles", F.col("fp").alias("key"), F.lit(0).alias("rank"))
-    whole = wanted.split(keyed, rest=False).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("least"), "fp", "shingles").join(distinct.select("fp", "least"), ["fp", "least"]).join(roots, "fp")
+    # the sets of the least document of each candidate, made again from its text: all sets would be as large as the texts
+    chosen = stored(distinct.select("fp", "least").join(roots, "fp"), "chosen")
+    keyed = pick(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), F.lit(0).alias("rank"), "text")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t or "", width) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["least", "fp", "shingles"])
+
+    again = DocFilter(chosen.select(F.col("least").alias("key"), F.lit(0).alias("rank"))).split(keyed, rest=False).mapInArrow(uncollected(sets_of), "least long, fp long, shingles binary")
+    whole = again.join(chosen, ["fp", "least"])
     whole = whole.select("root", "fp", "least", "shingles").repartition(tasks(spark), "root").sortWithinPartitions("root", "fp")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,8 +448,12 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     names = docs.columns
     at = ([i for i, c in enumerate(names) if c == "doc_id"] or [i for i, c in enumerate(names) if c.lower() == "doc_id"])[0]
     flat = docs.toDF(*(f"_in{i}" for i in range(len(names))))
-    marked = near_copies(docs, width, similarity).withColumn("least", F.expr("component_id <=> doc_id"))
-    dropped = stored(marked.where("not least").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "fingerprint"), "dropped")
+
+    def others() -> DataFrame:
+        marked = near_copies(docs, width, similarity).where("not component_id <=> doc_id")
+        return marked.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "fingerprint")
+
+    dropped = settled(others, "dropped", docs.sparkSession)
     key = F.coalesce(F.col(f"_in{at}").cast("long"), F.lit(NULL_ID))
     ids = pick(docs, doc_id="long").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if ids.isEmpty():

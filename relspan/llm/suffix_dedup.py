@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relspan.llm._common import NULL_ID, forget, pick, prepare, sliced, stored, tasks, uncollected
+from relspan.llm._common import NULL_ID, forget, pick, prepare, settled, sliced, stored, tasks, uncollected
 
 #: Bytes of the strings at whose start the sampled suffixes are, below SPAN.
 GRAM = 40
@@ -509,7 +509,7 @@ def dedup(docs: DataFrame, span: int = 100, digests: bool = False, **how) -> Dat
     meet in one task either.
     """
     docs = _keyed(docs).select("key", "rank", "doc_id", "text")
-    spans = stored(repeated_spans(docs, span, **how), "spans")
+    spans = settled(lambda: repeated_spans(docs, span, **how), "spans", docs.sparkSession)
     chosen = DocFilter(spans.select("key", "rank"))
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
     joined = chosen.split(docs, rest=False).join(spans, ["key", "rank"], "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
@@ -536,7 +536,7 @@ def dedup_rows(docs: DataFrame, span: int = 100, **how) -> DataFrame:
     Rows stay, even those whose text becomes empty; a null text stays null.
     """
     keyed = _keyed(docs, whole=True)
-    spans = stored(repeated_spans(keyed, span, **how), "spans")
+    spans = settled(lambda: repeated_spans(keyed, span, **how), "spans", docs.sparkSession)
     chosen = DocFilter(spans.select("key", "rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
