@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relspan.llm import bpe_codec, chat, decontam, fingerprints, langid, lm_score, quality, ranked, simhash, suffix_dedup, token_counts, vector_codes
+from relspan.llm import bpe_codec, chat, decontam, fingerprints, langid, lm_score, minhash, quality, ranked, simhash, suffix_dedup, token_counts, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -65,11 +69,26 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_chat_format, op4_fingerprints, op5_bpe_codec, op6_suffix_dedup, op7_simhash, op8_decontam, op9_lm_score, op10_language, op12_ranked_search, op13_vector_codes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_chat_format, op4_fingerprints, op5_bpe_codec, op6_suffix_dedup, op7_simhash, op8_decontam, op9_lm_score, op10_language, op11_minhash, op12_ranked_search, op13_vector_codes)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLE_SQL: dict[str, str] = {}
 
+ORACLE_SQL["op11_minhash"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM words),
+keyed AS MATERIALIZED (SELECT doc_id, s, len(s) AS n, min(doc_id) OVER (PARTITION BY s) AS least FROM sets),
+chosen AS MATERIALIZED (SELECT doc_id, n, unnest(s) AS shingle FROM keyed WHERE n > 0 AND doc_id = least),
+edges AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM chosen a JOIN chosen b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+root AS (SELECT a, least(a, min(b)) AS root FROM reach GROUP BY a)
+SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM (SELECT doc_id, n, CASE WHEN n = 0 THEN doc_id ELSE coalesce(root, least) END AS c FROM keyed LEFT JOIN root ON a = least)"""
+
 ORACLE_SQL["op12_ranked_search"] = r"""
 WITH words AS (
   SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relspan.llm._common import NULL_ID, pick, prepare, settled, stored, tasks, uncollected
+from relspan.llm import similar
 from relspan.llm.components import connected_components
+from relspan.llm.similar import set_key, shingle_hashes
 from relspan.llm.suffix_dedup import DocFilter
 
 BITS = 64
@@ -25,9 +27,10 @@ TILE = 2048
 ITEMS = 1 << 15
 #: Bit planes between two looks whether a block has left the radius.
 STRIDE = 8
-#: Radii of the first 64 and of all 128 bits for candidates of near_copies(). At similarity 0.8 the means are 10 and 19 bits,
-#: the deviations 3 and 4; for sets of four and five shingles 12 and 24, 3 and 4.4. Sets that share little are 32 and 64 apart.
-NEAR, NEAR_BOTH = 24, 42
+#: Radius within which near_copies() proposes its first pairs; no link depends on it.
+NEAR = 14
+#: Bits of parities(), a power of two.
+PARITY = 1024
 
 
 def simhash(text: str, width: int = 3, strip: int = 1 << 20) -> int:
@@ -270,22 +273,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.expr(f"nullif(component, {NULL_ID})").alias("component_id"))
 
 
-def shingle_set(text: str, width: int) -> np.ndarray:
-    """XXH64 (seed 42) of the text's distinct shingles, words as in simhash(), in order; a text without a word has the empty one."""
-    words = text.encode("utf-8").lower().split()
-    shingles = {b" ".join(words[i : i + width]) for i in range(max(len(words) - width + 1, 1))}
-    return np.unique(np.fromiter(map(_seeded, shingles), np.uint64, len(shingles)))
-
-
-def _seeded(shingle: bytes) -> int:
-    return xxhash.xxh64_intdigest(shingle, 42)
-
-
-def set_key(shingles: np.ndarray) -> int:
-    """Sets with this key in common are equal, but for collisions of 64 bits."""
-    return int(np.array(xxhash.xxh64_intdigest(shingles.tobytes(), 7), np.uint64).view(np.int64))
-
-
 def wide_simhash(shingles: np.ndarray) -> np.ndarray:
     """Two words of fingerprint: the SimHash of the set, and that of its hashes mixed once more."""
     mixed = (shingles ^ (shingles >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -295,95 +282,111 @@ def wide_simhash(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(2 * np.concatenate(total) > len(shingles), bitorder="little").view("<u8")
 
 
-def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Of each set the number of one it reaches by pairs of that Jaccard similarity, the same for all it reaches.
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """PARITY bits: whether the number of the set's hashes that fall on each is odd. Sets whose bits differ in d places differ in d elements or more."""
+    odd = np.bincount((shingles >> np.uint64(20) & np.uint64(PARITY - 1)).astype(np.intp), minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+
+
+def _compare(percent: int) -> Callable:
+    """SimHash distances, and whether sets can be similar: with intersection i and union u, 100 i >= percent u leaves (100 - percent) u / 100 elements to differ in."""
+
+    def compare(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
+        distance, odd = (np.zeros((len(left["fp"]), len(right["fp"])), np.int32) for _ in range(2))
+        for w in range(2 + PARITY // 64):
+            (distance if w < 2 else odd)[:] += np.bitwise_count(left["sketch"][:, None, w] ^ right["sketch"][None, :, w])
+        return distance, (100 + percent) * odd <= (100 - percent) * (left["n"][:, None] + right["n"][None])
+
+    return compare
 
-    Similar sets share a shingle of the rarest n - ceil(similarity * n) + 1 of
-    each; those that do are counted whole. Lists of sets by shingle are made
-    anew when half of the sets are reached.
+
+def common(docs: DataFrame, width: int, of: int = 16) -> np.ndarray:
+    """Hashes of shingles that a probe, every of-th document by a hash of its text, has most often, 65,536 at most, rarest first.
+
+    They come last in the order of shingles. Any order gives the same links; this one keeps boilerplate from bringing sets together.
     """
-    size = np.array([len(x) for x in sets])
-    _, flat, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(count), np.int64)
-    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
-    ends = np.cumsum(size)
-    own = [np.sort(rank[flat[b - n : b]]) for b, n in zip(ends, size, strict=True)]
-    rare = [x[: n - int(np.ceil(similarity * n - 1e-9)) + 1] for x, n in zip(own, size, strict=True)]
-    root, mark, listed, left = np.full(len(sets), -1), np.zeros(len(count), np.int32), 2 * len(sets) + 2, len(sets)
-    for start in range(len(sets)):
-        if root[start] >= 0:
-            continue
-        root[start], queue, left = start, [start], left - 1
-        while queue and left:
-            if 2 * left <= listed:
-                rows = np.flatnonzero(root < 0)
-                shingle, row = np.concatenate([rare[i] for i in rows]), np.repeat(rows, [len(rare[i]) for i in rows])
-                order = np.argsort(shingle, kind="stable")
-                row, edges, listed = row[order], np.searchsorted(shingle[order], np.arange(len(count) + 1)), left
-            x = queue.pop()
-            met = np.unique(np.concatenate([row[edges[i] : edges[i + 1]] for i in rare[x]]))
-            met = met[(root[met] < 0) & (np.minimum(size[met], size[x]) >= similarity * np.maximum(size[met], size[x]) - 1e-9)]
-            if len(met):
-                mark[own[x]] = 1
-                both = np.add.reduceat(mark[np.concatenate([own[i] for i in met])], np.cumsum(size[met]) - size[met])
-                mark[own[x]] = 0
-                met = met[both >= similarity * (size[met] + size[x] - both) - 1e-9]
-                root[met], left = start, left - len(met)
-                queue += met.tolist()
-    return root
-
-
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_hashes(t, width) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64))], names=["h"])
+
+    probe = pick(docs, text="string").where(F.pmod(F.xxhash64("text"), F.lit(of)) == 0).dropDuplicates()
+    counts = probe.mapInArrow(uncollected(run), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 4")
+    got = counts.orderBy(F.desc("n"), "h").limit(1 << 16).toArrow().column(0).to_numpy()
+    return got[::-1].copy().view(np.uint64)
+
+
+def prefix(shingles: np.ndarray, hot: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """The first n - ceil(percent * n / 100) + 1 of a set's n hashes, in their order but for the hot ones (sorted; rank by rarity), which come last.
+
+    Two similar sets have one in common.
+    """
+    count = len(shingles) - -(-percent * len(shingles) // 100) + 1 if len(shingles) else 0
+    if not len(hot):
+        return shingles[:count]
+    at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
+    late = hot[at] == shingles
+    return np.concatenate([shingles[~late], shingles[late][np.argsort(rank[at[late]], kind="stable")]])[:count]
+
+
+def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, fingerprint, component_id as of near_duplicates(), where texts link whose sets of shingles have that Jaccard similarity.
 
-    Equal sets are merged first. Of two similar sets, each holds a shingle of
-    the other among the n - ceil(similarity * n) + 1 least of its n, so sets
-    meet in a group for each of those; in groups, 128-bit SimHashes (NEAR,
-    NEAR_BOTH) are compared bit-sliced and give candidates. Each component of
-    candidates is then brought together, and its whole sets decide. The
+    Equal sets are merged first; texts without a word are all equal. Two
+    similar sets have one of their first shingles in common (prefix()), so sets
+    meet in a bucket for each of those. There, 64-bit SimHashes compared
+    bit-sliced within NEAR propose the first pairs; after that, all pairs of
+    different components that meet are decided by whole sets, nearest SimHashes
+    first, but those that cannot be similar by their sizes or by parities(),
+    both proven bounds. No similar pair is lost. See similar.components(). The
     fingerprint is the key of the set.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
+    last = common(docs, width)
+    order = np.argsort(last)
+    hot, rank = last[order], order
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], []]
             for text in batch.column(1).to_pylist():
-                s = shingle_set(text or "", width)
-                first, second = wide_simhash(s).view(np.int64).tolist()
-                least = s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]
-                for column, value in zip(rows, (set_key(s), first, second, len(s), least.view(np.int64)), strict=True):
+                s = shingle_hashes(text, width)
+                sketch = np.concatenate([wide_simhash(s), parities(s)]).tobytes()
+                for column, value in zip(rows, (set_key(s), len(s), sketch, prefix(s, hot, rank, percent).view(np.int64)), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(rows, kinds, strict=True))], names=["doc_id", "fp", "first", "second", "n", "prefix"])
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(rows, kinds, strict=True))], names=["doc_id", "fp", "n", "sketch", "prefix"])
+
+    marked = stored(pick(docs, doc_id="long", text="string").mapInArrow(uncollected(mark), "doc_id long, fp long, n int, sketch binary, prefix array<long>"), "shingles")
+    distinct = stored(similar.least_ids(marked), "distinct")
+    buckets = distinct.select(F.explode("prefix").alias("bucket"), "fp")
+    found = similar.components(buckets, distinct, similar.sets_again(docs, distinct, lambda t: shingle_hashes(t, width)), percent, 2 + PARITY // 64, _compare(percent), first=lambda met: _sliced(met, percent))
+    out = similar.named(marked, distinct, found)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.expr(f"nullif(component, {NULL_ID})").alias("component_id"))
+
 
-    marked = stored(pick(docs, doc_id="long", text="string").mapInArrow(uncollected(mark), "doc_id long, fp long, first long, second long, n int, prefix array<long>"), "shingles")
-    least = F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least")
-    distinct = stored(marked.groupBy("fp").agg(least, *(F.any_value(c).alias(c) for c in ("first", "second", "n", "prefix"))), "distinct")
-    met = distinct.select(F.explode("prefix").alias("shingle"), "fp", "first", "second", "n").repartition(tasks(spark), "shingle").sortWithinPartitions("shingle", "fp")
+def _sliced(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of a bucket whose SimHashes are within NEAR bits: links of a forest for each bucket, large ones tile by tile."""
+    tile = F.pmod(F.xxhash64("fp", F.lit(2)), F.ceil(F.col("size") / TILE))
+    rows = met.select(F.xxhash64("bucket", tile).alias("group"), "fp", "n", F.substring("sketch", 1, 8).alias("sketch")).repartition(tasks(met.sparkSession), "group").sortWithinPartitions("group", "fp")
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(columns: list[np.ndarray]) -> pa.RecordBatch:
-            same = columns[0][1:] == columns[0][:-1]
-            met = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            group, fp, first, second, n = (x[met] for x in columns)
-            a = b = fp[:0]
-            if len(fp):
-                first, second = first.view(np.uint64), second.view(np.uint64)
-
-                def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-                    apart = np.bitwise_count(first[x] ^ first[y]).astype(int) + np.bitwise_count(second[x] ^ second[y])
-                    return (apart <= NEAR_BOTH) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
-
-                root = forest(group, first, NEAR, near).root
-                child = np.flatnonzero(root != np.arange(len(fp)))
-                a, b = np.unique(np.stack([fp[child], fp[root[child]]]), axis=1)
+            group, fp, n, first = columns
+
+            def sized(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                return 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+
+            root = forest(group, first, NEAR, sized).root
+            child = np.flatnonzero(root != np.arange(len(fp)))
+            a, b = np.unique(np.sort(np.stack([fp[child], fp[root[child]]]), axis=0), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         held: list[list[np.ndarray]] = []
         size = 0
         for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
+            held.append([*(batch.column(i).to_numpy() for i in range(2)), batch.column(2).to_numpy().astype(np.int64), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64)])
             size += batch.num_rows
             if size >= 16 * TILE and held[-1][0][-1] != held[0][0][0]:
                 whole = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -393,51 +396,10 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
         if size:
             yield out([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    roots = stored(connected_components(met.mapInArrow(uncollected(candidates), "a long, b long")).withColumnRenamed("node", "fp"), "candidates")
-    # the sets of the least document of each candidate, made again from its text: all sets would be as large as the texts
-    chosen = stored(distinct.select("fp", "least").join(roots, "fp"), "chosen")
-    keyed = pick(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), F.lit(0).alias("rank"), "text")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(t or "", width) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["least", "fp", "shingles"])
-
-    again = DocFilter(chosen.select(F.col("least").alias("key"), F.lit(0).alias("rank"))).split(keyed, rest=False).mapInArrow(uncollected(sets_of), "least long, fp long, shingles binary")
-    whole = again.join(chosen, ["fp", "least"])
-    whole = whole.select("root", "fp", "least", "shingles").repartition(tasks(spark), "root").sortWithinPartitions("root", "fp")
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> Iterator[tuple[int, int]]:
-            root = similar_sets([np.frombuffer(x, np.uint64) for x in sets], similarity)
-            best = np.full(len(root), np.iinfo(np.int64).max)
-            np.minimum.at(best, root, np.array(least))
-            yield from zip(fps, best[root].tolist(), strict=True)
-
-        fps, least, sets, at, found = [], [], [], None, []
-        for batch in batches:
-            for component, fp, low, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if component != at:
-                    found += out() if fps else ()
-                    fps, least, sets, at = [], [], [], component
-                if not fps or fps[-1] != fp:  # rows that repeat have the same set
-                    fps.append(fp)
-                    least.append(low)
-                    sets.append(shingles)
-            yield _pairs(found)
-            found = []
-        yield _pairs(list(out()) if fps else [])
-
-    named = whole.mapInArrow(uncollected(decide), "fp long, component long")
-    out = marked.select("doc_id", "fp").join(distinct.select("fp", "least").join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.expr(f"nullif(component, {NULL_ID})").alias("component_id"))
-
-
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["fp", "component"])
+    return rows.mapInArrow(uncollected(run), "a long, b long")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, of one document of each component of near_copies(): the least doc_id.
 
     Rows that repeat that id and their text leave one; rows of that id with
@@ -450,7 +412,7 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     flat = docs.toDF(*(f"_in{i}" for i in range(len(names))))
 
     def others() -> DataFrame:
-        marked = near_copies(docs, width, similarity).where("not component_id <=> doc_id")
+        marked = near_copies(docs, width, percent).where("not component_id <=> doc_id")
         return marked.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "fingerprint")
 
     dropped = settled(others, "dropped", docs.sparkSession)
@@ -465,7 +427,7 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("_fp", pa.array([f"{set_key(shingle_set(t or '', width)) % (1 << 64):016x}" for t in batch.column(text).to_pylist()], pa.string()))
+            yield batch.append_column("_fp", pa.array([f"{set_key(shingle_hashes(t, width)) % (1 << 64):016x}" for t in batch.column(text).to_pylist()], pa.string()))
 
     own = flat.mapInArrow(run, T.StructType([*flat.schema.fields, T.StructField("_fp", T.StringType())])).withColumn("_key", key)
     out = own.join(dropped, (F.col("_key") == F.col("key")) & (F.col("_fp") == F.col("fingerprint")), "left_anti").dropDuplicates(["_key", f"_in{text}"])
