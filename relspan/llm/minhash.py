@@ -72,10 +72,9 @@ def estimated(differing: np.ndarray) -> np.ndarray:
     return 1 - 2 * differing / REGISTERS
 
 
-def _compare(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
-    differing = np.zeros((len(left["fp"]), len(right["fp"])), np.int32)
-    for w in range(REGISTERS // 64):
-        differing += np.bitwise_count(left["sketch"][:, None, w] ^ right["sketch"][None, :, w])
+def _differ(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Differing bits of compressed registers, and whether the similarity estimated from them is FLOOR or more."""
+    differing = sum(np.bitwise_count(left["sketch"][..., w] ^ right["sketch"][..., w]).astype(np.int32) for w in range(REGISTERS // 64))
     return differing, estimated(differing) >= FLOOR
 
 
@@ -114,7 +113,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
         marked = stored(pick(docs, doc_id="long", text="string").mapInArrow(uncollected(mark), "doc_id long, fp long, n int, bands array<long>, sketch binary"), "sketches")
         distinct = stored(similar.least_ids(marked.where("n > 0")), "distinct")
         buckets = distinct.select(F.explode("bands").alias("bucket"), "fp")
-        found = similar.components(buckets, distinct, similar.sets_again(docs, distinct, hashes), percent, REGISTERS // 64, _compare)
+        found = similar.components(buckets, distinct, similar.sets_again(docs, distinct, hashes), percent, REGISTERS // 64, _differ)
         full = similar.named(marked.where("n > 0"), distinct, found).select("doc_id", "n", "component")
         return full.union(marked.where("n = 0").select("doc_id", "n", F.coalesce("doc_id", F.lit(NULL_ID))))
 

@@ -288,16 +288,14 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
 
 
-def _compare(percent: int) -> Callable:
+def _differ(percent: int) -> Callable:
     """SimHash distances, and whether sets can be similar: with intersection i and union u, 100 i >= percent u leaves (100 - percent) u / 100 elements to differ in."""
 
-    def compare(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
-        distance, odd = (np.zeros((len(left["fp"]), len(right["fp"])), np.int32) for _ in range(2))
-        for w in range(2 + PARITY // 64):
-            (distance if w < 2 else odd)[:] += np.bitwise_count(left["sketch"][:, None, w] ^ right["sketch"][None, :, w])
-        return distance, (100 + percent) * odd <= (100 - percent) * (left["n"][:, None] + right["n"][None])
+    def differ(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
+        words = [np.bitwise_count(left["sketch"][..., w] ^ right["sketch"][..., w]).astype(np.int32) for w in range(2 + PARITY // 64)]
+        return words[0] + words[1], (100 + percent) * sum(words[2:]) <= (100 - percent) * (left["n"] + right["n"])
 
-    return compare
+    return differ
 
 
 def common(docs: DataFrame, width: int, of: int = 16) -> np.ndarray:
@@ -361,7 +359,7 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     marked = stored(pick(docs, doc_id="long", text="string").mapInArrow(uncollected(mark), "doc_id long, fp long, n int, sketch binary, prefix array<long>"), "shingles")
     distinct = stored(similar.least_ids(marked), "distinct")
     buckets = distinct.select(F.explode("prefix").alias("bucket"), "fp")
-    found = similar.components(buckets, distinct, similar.sets_again(docs, distinct, lambda t: shingle_hashes(t, width)), percent, 2 + PARITY // 64, _compare(percent), first=lambda met: _sliced(met, percent))
+    found = similar.components(buckets, distinct, similar.sets_again(docs, distinct, lambda t: shingle_hashes(t, width)), percent, 2 + PARITY // 64, _differ(percent), first=lambda met: _sliced(met, percent))
     out = similar.named(marked, distinct, found)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.expr(f"nullif(component, {NULL_ID})").alias("component_id"))
 

@@ -17,6 +17,8 @@ from relspan.llm.suffix_dedup import DocFilter
 
 #: A group of sets that are compared has at most about twice so many.
 TILE = 1024
+#: Groups of at most so many rows are compared many at once.
+SMALL = 16
 #: Partners of a set that are looked at in the first round; MORE times as many in each further one.
 PARTNERS, MORE = 2, 8
 _space = re.compile(rb"[\x20\x09-\x0D]").search
@@ -88,37 +90,80 @@ def partners(left: dict, right: dict, k: int, percent: int, compare: Callable) -
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _candidates(k: int, percent: int, words: int, compare: Callable) -> Callable:
-    """Reads rows (group, role, fp, comp, n, sketch) sorted by group; gives pairs (a, b, ca, cb, apart, more)."""
+def _small(group: np.ndarray, role: np.ndarray, rows: dict, k: int, percent: int, differ: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """partners() of many groups of few rows at once: rows so many places apart are compared in one go, for each number of places."""
+    found: list[tuple] = []
+    for step in range(1, SMALL):
+        i = np.flatnonzero(group[step:] == group[:-step])
+        if not len(i):
+            break
+        j = i + step
+        low, high = np.minimum(rows["n"][i], rows["n"][j]), np.maximum(rows["n"][i], rows["n"][j])
+        able = (rows["comp"][i] != rows["comp"][j]) & (100 * low >= percent * high)
+        i, j = i[able], j[able]
+        distance, possible = differ({n: v[i] for n, v in rows.items()}, {n: v[j] for n, v in rows.items()})
+        for x, y in ((i, j), (j, i)):
+            good = possible & (role[x] & 2 > 0) & (role[y] & 1 > 0)
+            found.append((x[good], y[good], distance[good]))
+    if not found:
+        return tuple(np.empty(0, t) for t in (int, int, np.int32, bool))
+    x, y, far = (np.concatenate(v) for v in zip(*found, strict=True))
+    order = np.lexsort((y, far, x))
+    x, y, far = x[order], y[order], far[order]
+    start = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, int)
+    count = np.diff(np.append(start, len(x)))
+    nth = np.arange(len(x)) - np.repeat(start, count)
+    near = nth < k
+    return x[near], y[near], far[near].astype(np.int32), np.repeat(count > k, count)[near]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = []
-        at = None
 
-        def out() -> pa.RecordBatch:
-            role, fp, comp, n = (np.concatenate([h[i] for h in held]) for i in range(4))
-            rows = {"fp": fp, "comp": comp, "n": n.astype(np.int64), "sketch": np.frombuffer(b"".join(h[4] for h in held), np.uint64).reshape(len(fp), words)}
-            left, right = ({name: v[(role & bit) > 0] for name, v in rows.items()} for bit in (2, 1))
-            i, j, apart, more = partners(left, right, k, percent, compare)
-            columns = [left["fp"][i], right["fp"][j], left["comp"][i], right["comp"][j], apart, more]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "ca", "cb", "apart", "more"])
+def _candidates(k: int, percent: int, words: int, differ: Callable) -> Callable:
+    """Reads rows (group, role, fp, comp, n, sketch) sorted by group; gives pairs (a, b, ca, cb, apart, more).
+
+    differ gives, of rows of one shape and rows of another that is broadcast to
+    it, the distances, and which pairs can be similar at all.
+    """
+
+    def across(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
+        return differ({n: v[:, None] for n, v in left.items()}, {n: v[None] for n, v in right.items()})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            group, role, fp, comp, n, sketch = columns
+            start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            size = np.diff(np.append(start, len(group)))
+            few = np.repeat(size <= SMALL, size)
+            rows = {"fp": fp, "comp": comp, "n": n.astype(np.int64), "sketch": sketch}
+            own = {name: v[few] for name, v in rows.items()}
+            x, y, apart, more = _small(group[few], role[few], own, k, percent, differ)
+            yield _found(own, own, x, y, apart, more)
+            for at, count in zip(start[size > SMALL], size[size > SMALL], strict=True):
+                part = slice(at, at + count)
+                left, right = ({name: v[part][(role[part] & bit) > 0] for name, v in rows.items()} for bit in (2, 1))
+                yield _found(left, right, *partners(left, right, k, percent, across))
+
+        held: list[list[np.ndarray]] = []
+        size = 0
         for batch in batches:
-            group = batch.column(0).to_numpy()
-            cuts = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)])) if len(group) else []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if at is not None and group[lo] != at:
-                    yield out()
-                    held.clear()
-                at = group[lo]
-                part = batch.slice(lo, hi - lo)
-                held.append([*(part.column(i).to_numpy() for i in range(1, 5)), b"".join(part.column(5).to_pylist())])
-        if held:
-            yield out()
+            if batch.num_rows:
+                held.append([*(batch.column(i).to_numpy() for i in range(5)), np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(batch.num_rows, words)])
+                size += batch.num_rows
+            if size >= 16 * TILE and held[-1][0][-1] != held[0][0][0]:
+                whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+                cut = int(np.searchsorted(whole[0], whole[0][-1], "left"))  # the last group may go on
+                yield from out([c[:cut] for c in whole])
+                held, size = [[c[cut:] for c in whole]], len(whole[0]) - cut
+        if size:
+            yield from out([np.concatenate(c) for c in zip(*held, strict=True)])
 
     return uncollected(run)
 
 
+def _found(left: dict, right: dict, i: np.ndarray, j: np.ndarray, apart: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    columns = [left["fp"][i], right["fp"][j], left["comp"][i], right["comp"][j], apart, more]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "ca", "cb", "apart", "more"])
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(ca, cb) of the pairs (a, b, ca, cb) whose whole sets are similar."""
     left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("one"))
@@ -133,12 +178,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(uncollected(run), "ca long, cb long")
 
 
-def components(buckets: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, words: int, compare: Callable, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def components(buckets: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, words: int, differ: Callable, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(fp, comp) of the sets that meet another: comp is the same for all that links of similar sets reach.
 
     buckets: (bucket, fp), where any two similar sets meet at least once. rows:
     (fp, n, sketch) of distinct sets, n their sizes, sketches of `words` 64-bit
-    words. sets_of gives (fp, shingles) of rows that hold fp. first gives pairs
+    words; differ as in _candidates(). sets_of gives (fp, shingles) of rows that hold fp. first gives pairs
     (a < b) to begin with of met sets (bucket, size, fp, n, sketch), else each
     set's nearest partners in each bucket begin.
 
@@ -157,26 +202,22 @@ def components(buckets: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame
     met = stored(buckets.join(many, "bucket").join(rows.select("fp", "n", "sketch"), "fp").select("bucket", "size", "fp", "n", "sketch"), "met")
     labels = stored(met.select("fp").distinct().withColumn("comp", F.col("fp")).withColumn("weight", F.lit(1).cast("long")), "labels")
     sets = stored(sets_of(labels.select("fp")), "sets")
-    tested, k = None, PARTNERS
+    tested, k, single = None, PARTNERS, first is None
     if first is not None:
         tested = stored(first(met).select("a", "b").distinct(), "tested")
         labels = _joined(labels, stored(verified(tested.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), sets, percent), "links"))
         k *= MORE
+    columns = ["group", "role", "fp", "comp", "n", "sketch"]
     while True:
-        grouped = met.join(labels, "fp")
-        wide = grouped.groupBy("bucket").agg(F.max(F.struct("weight", "comp"))["comp"].alias("major"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        open_ = grouped.join(wide.select("bucket", "major"), "bucket").withColumn("minor", F.col("comp") != F.col("major"))
-        small = open_.where(F.col("size") <= TILE).withColumn("role", F.when(F.col("minor"), 3).otherwise(1)).withColumn("group", F.col("bucket"))
-        large = open_.where(F.col("size") > TILE)
-        minors = large.where("minor").groupBy("bucket").agg(F.count("*").alias("minors"))
-        large = large.join(minors, "bucket").withColumn("mt", F.ceil(F.col("minors") / TILE).cast("int")).withColumn("bt", F.ceil(F.col("size") / TILE).cast("int"))
-        own = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("mt")).cast("int")
-        tile = F.pmod(F.xxhash64("fp", F.lit(4)), F.col("bt")).cast("int")
-        right = large.withColumn("role", F.lit(1)).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("mt") - 1))).withColumn("group", F.xxhash64("bucket", "x", tile))
-        left = large.where("minor").withColumn("role", F.lit(2)).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("bt") - 1))).withColumn("group", F.xxhash64("bucket", own, "x"))
-        columns = ["group", "role", "fp", "comp", "n", "sketch"]
-        rows_ = small.select(columns).union(right.select(columns)).union(left.select(columns)).repartition(parts, "group").sortWithinPartitions("group")
-        found = rows_.mapInArrow(_candidates(k, percent, words, compare), "a long, b long, ca long, cb long, apart int, more boolean")
+        if single:  # each set is a component of its own; large buckets are compared tile by tile, and there is another round
+            tile = F.pmod(F.xxhash64("fp", F.lit(4)), F.ceil(F.col("size") / TILE))
+            group = F.when(F.col("size") > TILE, F.xxhash64("bucket", tile)).otherwise(F.col("bucket"))
+            dealt = met.select(group.alias("group"), F.lit(3).alias("role"), "fp", F.col("fp").alias("comp"), "n", "sketch")
+            large = not met.where(F.col("size") > TILE).limit(1).isEmpty()
+        else:
+            dealt, large = _dealt(met, labels).select(columns), False
+        rows_ = dealt.repartition(parts, "group").sortWithinPartitions("group")
+        found = rows_.mapInArrow(_candidates(k, percent, words, differ), "a long, b long, ca long, cb long, apart int, more boolean")
         found = found.groupBy("a", "b").agg(F.any_value("ca").alias("ca"), F.any_value("cb").alias("cb"), F.min("apart").alias("apart"), F.bool_or("more").alias("more"))
         nth = Window.partitionBy("a").orderBy("apart", "b")
         found = stored(found.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k + 1), "found")
@@ -194,12 +235,31 @@ def components(buckets: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame
             pairs = pairs.select("a", "b")
             tested = pairs if tested is None else tested.union(pairs)
         forget(found)
-        if not more:
+        if not more and not large:
             break
-        k *= MORE
+        k, single = k * MORE, False
     return labels.select("fp", "comp")
 
 
+def _dealt(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """The groups of a round: buckets with several components, large ones cut so that rows outside of the largest component meet all others."""
+    grouped = met.join(labels, "fp")
+    wide = grouped.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
+    several = stored(grouped.join(wide, "bucket"), "several")  # few, once most sets are joined
+    major = several.groupBy("bucket").agg(F.max(F.struct("weight", "comp"))["comp"].alias("major"))
+    open_ = several.join(major, "bucket").withColumn("minor", F.col("comp") != F.col("major"))
+    small = open_.where(F.col("size") <= TILE).withColumn("role", F.when(F.col("minor"), 3).otherwise(1)).withColumn("group", F.col("bucket"))
+    large = open_.where(F.col("size") > TILE)
+    minors = large.where("minor").groupBy("bucket").agg(F.count("*").alias("minors"))
+    large = large.join(minors, "bucket").withColumn("mt", F.ceil(F.col("minors") / TILE).cast("int")).withColumn("bt", F.ceil(F.col("size") / TILE).cast("int"))
+    own = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("mt")).cast("int")
+    tile = F.pmod(F.xxhash64("fp", F.lit(4)), F.col("bt")).cast("int")
+    right = large.withColumn("role", F.lit(1)).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("mt") - 1))).withColumn("group", F.xxhash64("bucket", "x", tile))
+    left = large.where("minor").withColumn("role", F.lit(2)).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("bt") - 1))).withColumn("group", F.xxhash64("bucket", own, "x"))
+    columns = ["group", "role", "fp", "comp", "n", "sketch"]
+    return small.select(columns).union(right.select(columns)).union(left.select(columns))
+
+
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (fp, comp, weight) with components joined by links (ca, cb) of components."""
     roots = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))

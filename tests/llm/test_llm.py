@@ -294,7 +294,9 @@ def test_one_of_each_is_brute_force_at_jaccard(spark):
     assert len(far) > 5  # what three words and 3 bits leave
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("held", [16, 1 << 20])
+def test_connected_components(spark, monkeypatch, held):
+    monkeypatch.setattr(components, "HELD", held)
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(140)] + [(400 + i, 401 + i) for i in range(40)] + [(5, 5)]
     rows = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()

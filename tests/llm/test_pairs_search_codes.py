@@ -66,9 +66,10 @@ def plain_sets(texts, width):
     return [{tuple(x[i : i + width]) for i in range(max(len(x) - width + 1, 1))} if x else set() for x in w]
 
 
-@pytest.mark.parametrize("tile", [8, 1024])
-def test_minhash_is_brute_force(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "few"), [(8, 3), (8, 16), (1024, 16)])
+def test_minhash_is_brute_force(spark, monkeypatch, tile, few):
     monkeypatch.setattr(similar, "TILE", tile)
+    monkeypatch.setattr(similar, "SMALL", few)
     texts = many_texts(random.Random(tile))
     rows = {r.doc_id: r for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
     s = plain_sets(texts, 2)
@@ -114,6 +115,22 @@ def test_near_copies_with_boilerplate_and_tiles(spark, monkeypatch):
     assert [rows[i] for i in range(len(out))] == jaccard_roots(out)
 
 
+def test_small_groups_are_large_ones():
+    gen = np.random.default_rng(8)
+    n = 60
+    rows = {"fp": np.arange(n), "comp": gen.integers(0, 20, n), "n": gen.integers(8, 11, n), "sketch": gen.integers(0, 1 << 8, (n, 1)).astype(np.uint64)}
+    group, role = np.sort(gen.integers(0, 9, n)), gen.integers(1, 4, n)
+    differ = lambda a, b: (np.bitwise_count(a["sketch"][..., 0] ^ b["sketch"][..., 0]).astype(np.int32), (a["n"] + b["n"]) % 5 != 0)
+    x, y, far, more = similar._small(group, role, rows, 2, 80, differ)
+    across = lambda a, b: differ({k: v[:, None] for k, v in a.items()}, {k: v[None] for k, v in b.items()})
+    for g in set(group.tolist()):
+        left, right = (np.flatnonzero((group == g) & (role & bit > 0)) for bit in (2, 1))
+        i, j, d, m = similar.partners({k: v[left] for k, v in rows.items()}, {k: v[right] for k, v in rows.items()}, 2, 80, across)
+        own = np.isin(x, left) & (group[x] == g)
+        assert sorted(zip(x[own], far[own], more[own], strict=True)) == sorted(zip(left[i], d, m, strict=True))
+        assert not (rows["comp"][x[own]] == rows["comp"][y[own]]).any()
+
+
 def test_parities_are_a_bound():
     gen = np.random.default_rng(3)
     for _ in range(200):
