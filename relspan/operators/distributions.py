@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relspan.functions import expressions as E
 from relspan.functions import special
 from relspan.functions.search import prefix_sums
-from relspan.functions.workers import importable
 
 FAMILIES = ("normal", "lognormal", "poisson", "zipf", "exponential", "uniform", "beta", "gamma")
 DISCRETE = {"poisson", "zipf"}
@@ -193,23 +192,31 @@ def counts(rows: DataFrame, name: str) -> DataFrame:
 
 def cumulated(values: DataFrame) -> DataFrame:
     """x, n, upto (count of values up to x), total."""
-    importable(values.sparkSession)
     out, total = prefix_sums(values, "x", "n")
     return out.withColumn("total", F.lit(total))
 
 
 def _cdf_column(family: str, p: dict) -> Column:
     x = F.col("x")
-    if family == "uniform":
-        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - F.lit(p["low"])) / F.lit(p["high"] - p["low"])))
-    if family == "exponential":
-        return F.when(x < 0, F.lit(0.0)).otherwise(F.lit(1.0) - F.exp(F.lit(-p["rate"]) * x))
-
-    @F.pandas_udf("double")
-    def of(v: pd.Series) -> pd.Series:
-        return v.map(lambda y: cdf(family, p, y))
-
-    return of(x)
+    match family:
+        case "uniform":
+            return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - F.lit(p["low"])) / F.lit(p["high"] - p["low"])))
+        case "exponential":
+            return F.when(x < 0, F.lit(0.0)).otherwise(F.lit(1.0) - F.exp(F.lit(-p["rate"]) * x))
+        case "normal":
+            return E.normal_cdf((x - F.lit(p["mean"])) / F.lit(p["std"]))
+        case "lognormal":
+            return F.when(x > 0, E.normal_cdf((F.ln(x) - F.lit(p["mu"])) / F.lit(p["sigma"]))).otherwise(F.lit(0.0))
+        case "poisson":
+            a = F.floor(x).cast("double") + F.lit(1.0)
+            return F.when(x >= 0, F.lit(1.0) - E.gamma_cdf(a, F.lit(float(p["lambda"])), log_gamma(F.greatest(a, F.lit(1.0))), p["lambda"])).otherwise(F.lit(0.0))
+        case "zipf":
+            return F.when(x >= 1, F.lit(1.0) - E.zeta(p["a"], F.floor(x).cast("double") + F.lit(1.0)) / F.lit(special.zeta(p["a"]))).otherwise(F.lit(0.0))
+        case "gamma":
+            return E.gamma_cdf(F.lit(float(p["shape"])), F.lit(p["rate"]) * x, F.lit(math.lgamma(p["shape"])), p["shape"])
+        case "beta":
+            return E.beta_cdf(p["alpha"], p["beta"], x)
+    raise ValueError(f"no family {family}")
 
 
 def gap(family: str, p: dict, plain: bool = False) -> Column:
@@ -315,37 +322,3 @@ def parse_spec(spec: dict) -> tuple[str, dict]:
     if family == "exponential" and "lambda" in p:
         p["rate"] = p.pop("lambda")
     return family, p
-
-
-def mine(rows: DataFrame, names: list[str], keep: int = 5, least: int = 8) -> list[dict]:
-    """The families that fit each column best: by AIC, those whose KS p-value is 0.05 or more first.
-
-    A column takes part if at least a fifth of its rows, and `least` rows, are
-    numbers. Discrete: 95 % whole and at most 500 different. Likelihoods are
-    sums over distinct values; a value outside the support counts ln 1e-10.
-    Zipf takes part in a discrete column of which some value is 1 or more, and
-    is fitted to those. All families of a column are judged in one pass.
-    """
-    out = []
-    for name, s in summarize(rows, names).items():
-        if s["n"] < least or s["n"] < 0.2 * s["rows"]:
-            continue
-        discrete = s["share_whole"] >= 0.95 and distinct_up_to(rows, name) <= 500
-        positive = s["low"] > 0
-        able = {"lognormal": positive, "exponential": positive, "gamma": positive, "beta": positive and s["high"] < 1, "zipf": s["mean_rounded"] is not None, "poisson": s["low"] >= 0}
-        fits = {f: estimate(f, s) for f in FAMILIES if (f not in DISCRETE or discrete) and able.get(f, True)}
-        at = cumulated(counts(rows, name))
-        each = at.agg(*(c for f, p in fits.items() for c in (F.sum(log_densities(f, p, math.log(1e-10)) * F.col("n")).alias(f"ll_{f}"), F.max(gap(f, p, True)).alias(f"ks_{f}")))).first()
-        found = []
-        for family, p in fits.items():
-            ll, d = each[f"ll_{family}"], each[f"ks_{family}"]
-            pv = special.kolmogorov(d, s["n"])
-            found.append({"column": name, "family": family, "params": p, "aic": 2 * len(p) - 2 * ll, "bic": len(p) * math.log(s["n"]) - 2 * ll, "ks": d, "p_value": pv, "valid": pv >= 0.05})
-        out += sorted(found, key=lambda f: (not f["valid"], f["aic"]))[:keep]
-    return out
-
-
-def mine_schema(tables: dict[str, DataFrame], keep: int = 5) -> dict[str, list[dict]]:
-    """mine() of every number column of every table, by table."""
-    numbers = ("tinyint", "smallint", "int", "bigint", "float", "double")
-    return {t: mine(rows, [c for c, kind in rows.dtypes if kind in numbers or kind.startswith("decimal")], keep) for t, rows in tables.items()}

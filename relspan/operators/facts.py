@@ -6,10 +6,6 @@ they are read. Null texts count as empty.
 
 from __future__ import annotations
 
-import copy
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,57 +138,6 @@ def kept_items(items: DataFrame, fixed: DataFrame) -> DataFrame:
     return left.join(firsts.select("item_id"), "item_id", "left_semi").drop("_set")
 
 
-def packed(facts: DataFrame, limit: int, doc: str = "doc_id", chars: float = 4.0) -> DataFrame:
-    """The doc's facts (doc, start, end, fact_id, fact) with tokens and chunk (from 0), in order of start, end and fact_id.
-
-    Facts of one span stay together unless the span alone is over the limit; then
-    it is cut between facts. A fact over the limit is a chunk of its own. Rows
-    come sorted to a task, which keeps one span of them at a time; a document's
-    place in its chunk depends on all before it, so one task takes a document.
-    """
-    out_schema = copy.deepcopy(facts.schema).add("tokens", "integer").add("chunk", "integer")
-    sized = facts.withColumn("tokens", token_estimate(F.col("fact"), chars))
-    names = [f.name for f in out_schema.fields]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, chunk, used, span, held = object(), 0, 0, object(), []
-
-        def place() -> list[dict]:
-            """Chunks for the held span."""
-            nonlocal chunk, used
-            whole = sum(r["tokens"] for r in held)
-            if used and used + whole > limit:
-                chunk, used = chunk + 1, 0
-            if whole <= limit:
-                for r in held:
-                    r["chunk"] = chunk
-                used += whole
-            else:
-                for r in held:
-                    if used and used + r["tokens"] > limit:
-                        chunk, used = chunk + 1, 0
-                    r["chunk"], used = chunk, used + r["tokens"]
-                chunk, used = chunk + 1, 0
-            return held
-
-        for batch in batches:
-            done = []
-            for r in batch.to_dict("records"):
-                here = (r[doc], r["start"], r["end"])
-                if here != span:
-                    done += place()
-                    held, span = [], here
-                    if r[doc] != at:
-                        at, chunk, used = r[doc], 0, 0
-                held.append(r)
-            if done:
-                yield pd.DataFrame(done, columns=names)
-        if held:
-            yield pd.DataFrame(place(), columns=names)
-
-    return sized.repartition(doc).sortWithinPartitions(doc, "start", "end", "fact_id").mapInPandas(run, out_schema)
-
-
 def file_faults(rows: DataFrame, low: int, high: int, text: str = "text", key: str = "case_id") -> DataFrame:
     """fault, value, n across files: ids outside [low, high], ids used twice, texts used twice (by SHA-256; null texts aside)."""
     ids = rows.where(F.col(key).isNotNull())

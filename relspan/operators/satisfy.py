@@ -6,17 +6,20 @@ lt or lte, "column", and one of "value", "rhs_column", "rhs_expr"}, {"op": "and"
 or "or", "conditions"}, {"op": "not", "condition"}, {"op": "ifthen", "if", "then"}.
 rhs_expr is {"op": + - * /, "column", and "value" or "rhs_column"}. "rhs_join":
 {"table", "fk", "key"} takes rhs_column from the first matching row of a table,
-"lhs_join" likewise column; first by the columns in "order", else as the rows are
-read. Where no row matches, the comparison can't be evaluated.
+"lhs_join" likewise column; first by the columns in "order", else in the order of
+the files. Where no row matches, the comparison can't be evaluated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relspan.functions.running import followers
+from relspan.sources.positions import first_rows
+
 _OPS = {"eq": Column.__eq__, "neq": Column.__ne__, "gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__}
 
 
@@ -90,9 +93,7 @@ def prepared(rows: DataFrame, constraints: list[dict], tables: Callable[[str], D
     for c, side in (x for k in constraints for x in joins(k)):
         seen[looked_up(c, side)] = c[side], c[_SIDES[side]]
     for name, (j, of) in seen.items():
-        order = F.struct(*j["order"]) if j.get("order") else F.monotonically_increasing_id()
-        ranked = tables(j["table"]).select(F.col(j["key"]).alias("__key"), F.col(of).alias("__value"), order.alias("__order"))
-        other = ranked.groupBy("__key").agg(F.min_by("__value", "__order").alias(name))
+        other = first_rows(tables(j["table"]), j["key"], [of], j.get("order")).select("__key", F.col(of).alias(name))
         rows = rows.join(other, rows[j["fk"]] == other["__key"], "left").drop("__key")
     return rows
 
@@ -138,8 +139,15 @@ def dependency_violations(rows: DataFrame, given: list[str], then: str) -> DataF
 
 def transitions(events: DataFrame, by: str, order: list[str], state: str) -> DataFrame:
     """How often each state follows each in the order of a group's rows. An extension: sequences of events."""
-    before = F.lag(state).over(Window.partitionBy(by).orderBy(*order))
-    return events.select(before.alias("from_state"), F.col(state).alias("to_state")).where("from_state is not null").groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
+    return followers(events, by, order, state).select(F.col("before").alias("from_state"), F.col("state").alias("to_state"), "n")
+
+
+def transition_verdicts(events: DataFrame, by: str, order: list[str], state: str, allowed: list[tuple[str, str]], forbidden: list[tuple[str, str]] = ()) -> DataFrame:
+    """from_state, to_state, n, verdict of each transition that occurs: forbidden, allowed, or unlisted where only some are allowed."""
+    pair = F.struct(F.col("from_state"), F.col("to_state"))
+    among = lambda pairs: F.array_contains(F.array(*(F.struct(F.lit(a).alias("from_state"), F.lit(b).alias("to_state")) for a, b in pairs)), pair) if pairs else F.lit(False)
+    verdict = F.when(among(forbidden), "forbidden").when(F.lit(not allowed) | among(allowed), "allowed").otherwise("unlisted")
+    return transitions(events, by, order, state).withColumn("verdict", verdict)
 
 
 def repeated_keys(rows: DataFrame, columns: list[str]) -> DataFrame:

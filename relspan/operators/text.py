@@ -73,7 +73,9 @@ def top_matches(index: DataFrame, key: str, queries: DataFrame, query_key: str,
     n = corpus.count()
     index = index.persist()  # read twice
     if index.count() <= POSTINGS:
-        return _matched(index.toArrow(), n, key, queries, query_key, text, k, index.schema[key].dataType)
+        held = index.toArrow()
+        index.unpersist()
+        return _matched(held, n, key, queries, query_key, text, k, index.schema[key].dataType)
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     asked = queries.select(query_key, F.explode(terms(F.col(text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("c"))
     raw = asked.join(df, "term").select(query_key, "term", ((F.lit(1.0) + F.ln("c")) * (F.ln(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))).alias("w"))
@@ -108,7 +110,7 @@ def _matched(index: pa.Table, n: int, key: str, queries: DataFrame, query_key: s
                 size = edges[ids + 1] - edges[ids]
                 place = np.repeat(edges[ids] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
                 total = np.bincount(row[place], np.repeat(w, size) * weight[place], len(keys)) / np.sqrt(w @ w)
-                met = np.unique(row[place])
+                met = np.flatnonzero(np.bincount(row[place], minlength=len(keys)))
                 best = met[np.lexsort((met, -np.round(total[met], 6)))][:k]
                 at += [i] * len(best)
                 who.append(best)

@@ -10,6 +10,7 @@ from pyspark.sql import Column as C
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relspan.functions import ranks
 from relspan.plans.catalog import FAMILY, ORDERABLE, Catalog
 
 
@@ -82,11 +83,17 @@ class IfThen:
 _COMPARE = {"<": C.__lt__, "<=": C.__le__, "=": C.__eq__, "!=": C.__ne__, ">=": C.__ge__, ">": C.__gt__}
 
 
+#: A column's name with this says whether its value is there, a BOOLEAN that is never null.
+PRESENT = ".is_present"
+
+
 def column(e) -> C:
     """An expression or predicate as a Column. Division gives a double, and null where the divisor is 0."""
     match e:
         case Lit(v):
             return F.lit(v)
+        case Col(name) if name.endswith(PRESENT):
+            return F.col(f"`{name.removesuffix(PRESENT)}`").isNotNull()
         case Col(name):
             return F.col(f"`{name}`")
         case Arith("/", a, b):
@@ -115,7 +122,7 @@ def names(e) -> set[str]:
     """The columns that an expression or predicate reads."""
     match e:
         case Col(name):
-            return {name}
+            return {name.removesuffix(PRESENT)}
         case Arith(_, a, b) | Compare(_, a, b) | IfThen(a, b):
             return names(a) | names(b)
         case Both(parts) | Either(parts):
@@ -193,11 +200,14 @@ def typed(e, known: Known) -> str:
         case Lit(v):
             return "BOOLEAN" if isinstance(v, bool) else "INTEGER" if isinstance(v, int) else "FLOAT" if isinstance(v, float) else "VARCHAR"
         case Col(name):
-            if name in known.ambiguous:
-                raise Refused(f"column {name} is ambiguous")
-            if name not in known.types:
+            of = name.removesuffix(PRESENT)
+            if of in known.ambiguous:
+                raise Refused(f"column {of} is ambiguous")
+            if of not in known.types:
                 raise Refused(f"no column {name}")
-            return known.types[name]
+            if name != of and not known.nullable[of]:
+                raise Refused(f"column {of} is always present")
+            return known.types[of] if name == of else "BOOLEAN"
         case Arith(_, a, b):
             kinds = {typed(a, known), typed(b, known)}
             if any(FAMILY[k] != "numeric" for k in kinds):
@@ -244,13 +254,20 @@ def not_null(p) -> set[str]:
     match p:
         case Both(parts):
             return set().union(*map(not_null, parts))
-        case Compare() | Between() | Among():
+        case Compare(_, Col(name), Lit(True)) | Compare(_, Lit(True), Col(name)) if name.endswith(PRESENT) and p.op == "=":
             return names(p)
+        case Compare() | Between() | Among():
+            return set() if _presence(p) else names(p)
         case Negated(Compare() | Between() | Among() as inner):
-            return names(inner)
+            return set() if _presence(inner) else names(inner)
     return set()
 
 
+def _presence(p) -> bool:
+    """Whether a comparison is of a presence."""
+    return any(isinstance(x, Col) and x.name.endswith(PRESENT) for x in vars(p).values())
+
+
 def known(r, catalog: Catalog) -> Known:
     """Types, keys and provenance of a relation, or Refused."""
     match r:
@@ -284,7 +301,7 @@ def known(r, catalog: Catalog) -> Known:
             kept = {e.name: a for e, a in outputs if isinstance(e, Col)}
             if not set(k.key) <= set(kept):
                 raise Refused("a projection must keep the key")
-            return Known(types, {a: any(k.nullable[c] for c in names(e)) or _divides(e) for e, a in outputs}, {a: k.origin[c] for c, a in kept.items() if c in k.origin}, frozenset(), tuple(kept[c] for c in k.key), k.tables)
+            return Known(types, {a: not (isinstance(e, Col) and e.name.endswith(PRESENT)) and (any(k.nullable[c] for c in names(e)) or _divides(e)) for e, a in outputs}, {a: k.origin[c] for c, a in kept.items() if c in k.origin}, frozenset(), tuple(kept[c] for c in k.key), k.tables)
         case Aggregate(source, fn, of, alias, by, param):
             k = known(source, catalog)
             if fn not in NUMERIC_ONLY | ORDER_ONLY | ANY:
@@ -392,8 +409,10 @@ def aggregate(rows: DataFrame, fn: str, of: str, alias: str, by: tuple[str, ...]
     """One aggregate, by groups or over all rows. Medians and percentiles interpolate numbers; of other values they take the one at that place."""
     c = F.col(of) if of != "*" else F.lit(1)
     place = 0.5 if fn == "MEDIAN" else (param or 0) / 100
-    if fn in ("MEDIAN", "PERCENTILE") and not numeric:
-        return _discrete(rows, of, alias, by, place)
+    if fn in ("MEDIAN", "PERCENTILE"):
+        return (ranks.percentile if numeric else ranks.value_at)(rows, by, of, place, alias)
+    if fn == "MODE":
+        return ranks.mode(rows, by, of, alias)
     fns = {
         "SUM": lambda: F.sum(c.cast("double")),
         "AVG": lambda: F.avg(c.cast("double")),
@@ -403,20 +422,5 @@ def aggregate(rows: DataFrame, fn: str, of: str, alias: str, by: tuple[str, ...]
         "MAX": lambda: F.max(c),
         "STDDEV": lambda: F.stddev_samp(c),
         "VARIANCE": lambda: F.var_samp(c),
-        "MODE": lambda: F.mode(c, True),
-        "MEDIAN": lambda: F.percentile(c, 0.5),
-        "PERCENTILE": lambda: F.percentile(c, place),
     }
     return rows.groupBy(*by).agg(fns[fn]().alias(alias))
-
-
-def _discrete(rows: DataFrame, of: str, alias: str, by: tuple[str, ...], place: float) -> DataFrame:
-    """The least value up to which the given share of non-null values lies: from counts by value, so equal values travel once."""
-    from pyspark.sql import Window
-
-    counts = rows.where(F.col(of).isNotNull()).groupBy(*by, of).agg(F.count("*").alias("__n"))
-    window = Window.partitionBy(*by).orderBy(of) if by else Window.partitionBy(F.lit(0)).orderBy(of)
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    marked = counts.withColumn("__upto", F.sum("__n").over(window)).withColumn("__all", F.sum("__n").over(whole))
-    found = marked.where(F.col("__upto") >= F.greatest(F.lit(1), F.ceil(F.lit(place) * F.col("__all"))))
-    return found.groupBy(*by).agg(F.min(of).alias(alias))

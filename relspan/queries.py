@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from relspan.operators import distributions as D
 from relspan.operators import facts as A
 from relspan.operators import generate as G
+from relspan.operators import moments as M
+from relspan.operators import packing as P
 from relspan.operators import satisfy as K
 from relspan.operators import scoring as S
 from relspan.operators import text as T
+from relspan.operators import mining
 from relspan.operators import vectors as V
-from relspan.plans import audit, conceptual, constraints, extraction, patches, sql
+from relspan.plans import audit, conceptual, extraction, patches, sql
 from relspan.plans.catalog import TESTDATA, read
-from relspan.plans.relation import Aggregate, Arith, Base, Col, Compare, Fanout, Filter, IfThen, Join, Lit, Negated, Project, column, compiled
+from relspan.plans.relation import Aggregate, Arith, Base, Col, Compare, Fanout, Filter, IfThen, Join, Lit, Project, column, compiled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -120,42 +123,6 @@ def segment_revenue(spark, sf_dir):
     return compiled(_SEGMENT, TESTDATA, lambda t: read(spark, sf_dir, t)).withColumn("revenue", F.round("revenue", 2))
 
 
-# the SQL front end
-
-_ACCEPTED = ["SELECT o_orderkey FROM ORDERS WHERE o_totalprice > 1000 AND o_orderstatus IN ('F', 'O')", "SELECT o_custkey, AVG(o_totalprice) AS mean FROM ORDERS GROUP BY o_custkey", "SELECT * FROM LINEITEM LEFT JOIN ORDERS ON LINEITEM.l_orderkey = ORDERS.o_orderkey"]
-_REFUSED = [
-    "SELECT DISTINCT o_custkey FROM ORDERS",
-    "SELECT o_orderkey FROM ORDERS ORDER BY o_orderkey",
-    "SELECT o_orderkey FROM ORDERS LIMIT 5",
-    "SELECT 1",
-    "SELECT * FROM ORDERS RIGHT JOIN CUSTOMER ON ORDERS.o_custkey = CUSTOMER.c_custkey",
-    "SELECT * FROM ORDERS CROSS JOIN CUSTOMER",
-    "SELECT * FROM ORDERS JOIN CUSTOMER ON ORDERS.o_custkey > CUSTOMER.c_custkey",
-    "SELECT * FROM ORDERS JOIN CUSTOMER ON ORDERS.o_custkey = CUSTOMER.c_custkey AND ORDERS.o_orderkey = CUSTOMER.c_custkey",
-    "SELECT o_orderkey FROM ORDERS UNION SELECT l_orderkey FROM LINEITEM",
-    "SELECT o_orderkey, SUM(o_totalprice) OVER (PARTITION BY o_custkey) AS s FROM ORDERS",
-    "SELECT o_orderkey FROM ORDERS WHERE o_orderstatus IN (SELECT 1)",
-    "SELECT o_orderkey FROM ORDERS WHERE EXISTS (SELECT 1)",
-    "SELECT o_orderkey FROM ORDERS WHERE o_orderstatus LIKE 'F'",
-    "SELECT o_orderkey FROM ORDERS WHERE o_orderstatus IS NULL",
-    "SELECT o_orderkey, o_totalprice + 1 FROM ORDERS",
-    "SELECT UPPER(o_orderstatus) AS s FROM ORDERS",
-    "SELECT SUM(o_totalprice) FROM ORDERS",
-    "SELECT o_custkey, SUM(o_totalprice) AS s, COUNT(*) AS n FROM ORDERS GROUP BY o_custkey",
-]
-
-
-@query("sql_front_roundtrip", "SELECT * FROM (VALUES (0, true), (1, true), (2, true)) t(id, same)")
-def sql_front_roundtrip(spark, sf_dir):
-    same = [(i, sql.parse(sql.to_sql(sql.parse(s))) == sql.parse(s)) for i, s in enumerate(_ACCEPTED)]
-    return spark.createDataFrame(same, "id int, same boolean")
-
-
-@query("sql_rejections", f"SELECT CAST(range AS INTEGER) AS id, true AS refused FROM range({len(_REFUSED)})")
-def sql_rejections(spark, sf_dir):
-    return spark.createDataFrame([(i, sql.try_parse(s)[0] is None) for i, s in enumerate(_REFUSED)], "id int, refused boolean")
-
-
 # constraints over rows
 
 
@@ -236,8 +203,33 @@ _estimate("est_poisson", "PART", "p_size", "poisson", _ONE.format("lambda", "avg
 _estimate("est_zipf", "PART", "p_size", "zipf", _ONE.format("a", "1 + 1 / ln(avg(p_size))", t="part"))
 _estimate("est_exponential", "EVENTS", "value", "exponential", _ONE.format("rate", "1 / avg(value)", t="events"))
 _estimate("est_uniform", "ORDERS", "o_totalprice", "uniform", _TWO.format("low", "min(o_totalprice)", "high", "max(o_totalprice)", t="orders"))
-_estimate("est_beta", "LINEITEM", "l_discount", "beta", None)
-_estimate("est_gamma", "EVENTS", "value", "gamma", None)
+
+
+def _polygamma(order: int, x: str) -> str:
+    """SQL of digamma (0) and trigamma (1): eight steps of the recurrence, and the asymptotic series behind them."""
+    y, sign = f"({x} + 8)", "-" if order == 0 else "+"
+    near = " + ".join(f"1 / pow({x} + {i}, {order + 1})" for i in range(8))
+    if order == 0:
+        far = f"ln({y}) - 0.5 / {y} - 1 / (12 * pow({y}, 2)) + 1 / (120 * pow({y}, 4)) - 1 / (252 * pow({y}, 6)) + 1 / (240 * pow({y}, 8))"
+    else:
+        far = f"1 / {y} + 0.5 / pow({y}, 2) + 1 / (6 * pow({y}, 3)) - 1 / (30 * pow({y}, 5)) + 1 / (42 * pow({y}, 7)) - 1 / (30 * pow({y}, 9))"
+    return f"({far} {sign} ({near}))"
+
+
+_A, _B, _AB = _polygamma(0, "a"), _polygamma(0, "b"), _polygamma(0, "(a + b)")
+_TA, _TB, _TAB = _polygamma(1, "a"), _polygamma(1, "b"), _polygamma(1, "(a + b)")
+#: Newton steps towards the likeliest parameters, as recursive SQL.
+_BETA = f"""WITH RECURSIVE u AS (SELECT avg(x) AS m, var_pop(x) AS v, avg(ln(x)) AS l, avg(ln(1 - x)) AS r FROM (SELECT l_discount AS x FROM lineitem WHERE l_discount > 0 AND l_discount < 1)),
+s AS (SELECT 0 AS i, m * (m * (1 - m) / v - 1) AS a, (1 - m) * (m * (1 - m) / v - 1) AS b FROM u
+  UNION ALL SELECT i + 1, greatest(a - (g1 * (h2 - t) + g2 * t) / ((h1 - t) * (h2 - t) - t * t), a / 5), greatest(b - (g2 * (h1 - t) + g1 * t) / ((h1 - t) * (h2 - t) - t * t), b / 5)
+  FROM (SELECT i, a, b, {_A} - {_AB} - l AS g1, {_B} - {_AB} - r AS g2, {_TA} AS h1, {_TB} AS h2, {_TAB} AS t FROM s, u) WHERE i < 60)
+SELECT parameter, round(CASE parameter WHEN 'alpha' THEN a ELSE b END, 6) AS value FROM s, (VALUES ('alpha'), ('beta')) p(parameter) WHERE i = 60"""
+_GAMMA = f"""WITH RECURSIVE u AS (SELECT avg(x) AS m, ln(avg(x)) - avg(ln(x)) AS s FROM (SELECT value AS x FROM events WHERE value > 0)),
+k AS (SELECT 0 AS i, (3 - s + sqrt((s - 3) ** 2 + 24 * s)) / (12 * s) AS a FROM u
+  UNION ALL SELECT i + 1, greatest(a - (ln(a) - {_A} - s) / (1 / a - {_TA}), a / 10) FROM k, u WHERE i < 60)
+SELECT parameter, round(CASE parameter WHEN 'shape' THEN a ELSE a / m END, 6) AS value FROM k, u, (VALUES ('shape'), ('rate')) p(parameter) WHERE i = 60"""
+_estimate("est_beta", "LINEITEM", "l_discount", "beta", _BETA)
+_estimate("est_gamma", "EVENTS", "value", "gamma", _GAMMA)
 _PMF = "SELECT {c} AS label, count(*) / sum(count(*)) OVER () AS share FROM {t} GROUP BY 1"
 
 
@@ -289,7 +281,7 @@ def mine_table_stats(spark, sf_dir):
     return spark.createDataFrame([(n, float(s["share_whole"]), float(D.counts(rows, n).count())) for n, s in found.items()], "name string, share_whole double, n_distinct double").withColumn("share_whole", F.round("share_whole", 6))
 
 
-def _mined() -> str:
+def _mined(table: str = "events", column: str = "value") -> str:
     """AIC, BIC and KS of two families over events.value."""
     dens = {
         "exponential": ("1", "ln(rate) - rate * x", "1 - exp(-rate * x)"),
@@ -297,16 +289,23 @@ def _mined() -> str:
     }
     parts = []
     for family, (k, ll, cdf) in dens.items():
-        parts.append(f"SELECT 'value' AS name, '{family}' AS family, sum({ll}) AS ll, {k} AS k, max(greatest(upto / n - ({cdf}), ({cdf}) - before / n)) AS ks, any_value(n) AS n FROM (SELECT x, count(*) OVER (ORDER BY x) AS upto, count(*) OVER (ORDER BY x) - count(*) OVER (PARTITION BY x) AS before, count(*) OVER () AS n FROM e), s")
-    return f"WITH e AS (SELECT value AS x FROM events WHERE value IS NOT NULL), s AS (SELECT 1 / avg(x) AS rate, min(x) AS low, max(x) AS high FROM e) SELECT name, family, round(2 * k - 2 * ll, 3) AS aic, round(k * ln(n) - 2 * ll, 3) AS bic, round(ks, 6) AS ks FROM ({' UNION ALL '.join(parts)})"
+        parts.append(f"SELECT '{column}' AS name, '{family}' AS family, sum({ll}) AS ll, {k} AS k, max(greatest(upto / n - ({cdf}), ({cdf}) - before / n)) AS ks, any_value(n) AS n FROM (SELECT x, count(*) OVER (ORDER BY x) AS upto, count(*) OVER (ORDER BY x) - count(*) OVER (PARTITION BY x) AS before, count(*) OVER () AS n FROM e), s")
+    return f"WITH e AS (SELECT {column} AS x FROM {table} WHERE {column} IS NOT NULL), s AS (SELECT 1 / avg(x) AS rate, min(x) AS low, max(x) AS high FROM e) SELECT name, family, round(2 * k - 2 * ll, 3) AS aic, round(k * ln(n) - 2 * ll, 3) AS bic, round(ks, 6) AS ks FROM ({' UNION ALL '.join(parts)})"
 
 
 @query("mine_column", _mined())
 def mine_column(spark, sf_dir):
     """The exponential and the uniform among the families mined; the others' estimates have no SQL."""
-    found = [f for f in D.mine(read(spark, sf_dir, "EVENTS"), ["value"], keep=9) if f["family"] in ("exponential", "uniform")]
-    rows = [(f["column"], f["family"], round(f["aic"], 3), round(f["bic"], 3), round(f["ks"], 6)) for f in found]
-    return spark.createDataFrame(rows, "name string, family string, aic double, bic double, ks double")
+    found = mining.mine({"EVENTS": read(spark, sf_dir, "EVENTS")}, spark, [("value", "EVENTS", "value")], keep=9).where("family in ('exponential', 'uniform')")
+    return found.select(F.col("column").alias("name"), "family", F.round("aic", 3).alias("aic"), F.round("bic", 3).alias("bic"), F.round("ks", 6).alias("ks"))
+
+
+@query("mine_schema", " UNION ALL ".join(f"SELECT '{t.upper()}' AS \"table\", * FROM ({_mined(t, c)})" for t, c in (("events", "value"), ("orders", "o_totalprice"), ("lineitem", "l_extendedprice"), ("part", "p_retailprice"))))
+def mine_schema(spark, sf_dir):
+    """The same of all number columns of four tables, in one pass, for the columns that SQL is given for."""
+    found = mining.mine({t: read(spark, sf_dir, t) for t in ("EVENTS", "ORDERS", "LINEITEM", "PART")}, spark, keep=9)
+    found = found.where("family in ('exponential', 'uniform') and column in ('value', 'o_totalprice', 'l_extendedprice', 'p_retailprice')")
+    return found.select("table", F.col("column").alias("name"), "family", F.round("aic", 3).alias("aic"), F.round("bic", 3).alias("bic"), F.round("ks", 6).alias("ks"))
 
 
 # scores of columns against specifications
@@ -335,36 +334,31 @@ UNION ALL SELECT unnest(['ORDERS.o_missing', 'NOWHERE.value']), 1.0, 0.0, 1.0, '
 _ROUNDED = "spec, round(mre, 6) AS mre, round(nll, 6) AS nll, round(distance, 6) AS distance, kind, band_applicable, band_satisfied"
 
 
-def _scores(spark, sf_dir) -> dict[str, dict]:
-    tables = {t: read(spark, sf_dir, t) for t in ("LINEITEM", "ORDERS", "EVENTS")}
-    return S.score_case(tables, _SPECS)
+def _scores(spark, sf_dir) -> DataFrame:
+    return S.score_case({t: read(spark, sf_dir, t) for t in ("LINEITEM", "ORDERS", "EVENTS")}, _SPECS, spark)
 
 
 @query("case_score", f"SELECT {_ROUNDED} FROM ({_CASE})")
 def case_score(spark, sf_dir):
-    rows = [(k, s["mre"], s["nll"], s["distance"], s["kind"], s.get("band_applicable"), s.get("band_satisfied")) for k, s in _scores(spark, sf_dir).items()]
-    out = spark.createDataFrame(rows, "spec string, mre double, nll double, distance double, kind string, band_applicable long, band_satisfied long")
-    return out.selectExpr("spec", *(f"round({c}, 6) AS {c}" for c in ("mre", "nll", "distance")), "kind", "band_applicable", "band_satisfied")
+    return _scores(spark, sf_dir).selectExpr("spec", *(f"round({c}, 6) AS {c}" for c in ("mre", "nll", "distance")), "kind", "band_applicable", "band_satisfied")
 
 
 @query("score_report", f"SELECT round(avg(mre), 6) AS mre, round(avg(nll), 6) AS nll, round(avg(distance), 6) AS distance, count(distance) AS n_scoreable, count(*) FILTER (kind LIKE 'unscoreable%') AS n_unscoreable, round(sum(band_satisfied) / sum(band_applicable), 6) AS plausibility_rate, sum(band_applicable)::BIGINT AS n_band_applicable, count(*) FILTER (kind <> 'none') AS n_evaluated, count(*) FILTER (kind = 'none') AS n_missing FROM ({_CASE})")
 def score_report(spark, sf_dir):
-    r = S.case_report(_scores(spark, sf_dir))
-    names = ["mre", "nll", "distance", "n_scoreable", "n_unscoreable", "plausibility_rate", "n_band_applicable", "n_evaluated", "n_missing"]
-    kinds = ", ".join(f"{n} {'long' if n.startswith('n_') else 'double'}" for n in names)
-    return spark.createDataFrame([tuple(round(r[n], 6) if isinstance(r[n], float) else r[n] for n in names)], kinds)
+    r = S.case_report(_scores(spark, sf_dir)).drop("distance_kinds")
+    return r.select(*(F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in r.dtypes))
 
 
 @query("score_bands", f"SELECT spec, band_applicable, band_satisfied FROM ({_CASE}) WHERE band_applicable IS NOT NULL")
 def score_bands(spark, sf_dir):
-    rows = [(k, s["band_applicable"], s["band_satisfied"]) for k, s in _scores(spark, sf_dir).items() if "band_applicable" in s]
-    return spark.createDataFrame(rows, "spec string, band_applicable long, band_satisfied long")
+    return _scores(spark, sf_dir).where("band_applicable is not null").select("spec", "band_applicable", "band_satisfied")
 
 
 @query("score_categorical", f"SELECT round(avg(abs(p - q) / q), 6) AS mre, round(exp(sum(p * ln(q)) / sum(p)) / 0.5, 6) AS nll, round(0.5 * sum(abs(coalesce(p, 0) - coalesce(q, 0))), 6) AS distance FROM {_SHARES}")
 def score_categorical(spark, sf_dir):
-    s = S.score_categorical(read(spark, sf_dir, "ORDERS"), "o_orderstatus", _SPECS["ORDERS.o_orderstatus"])
-    return spark.createDataFrame([tuple(round(s[k], 6) for k in ("mre", "nll", "distance"))], "mre double, nll double, distance double")
+    key = "ORDERS.o_orderstatus"
+    s = S.score_case({"ORDERS": read(spark, sf_dir, "ORDERS")}, {key: _SPECS[key]}, spark)
+    return s.select(*(F.round(c, 6).alias(c) for c in ("mre", "nll", "distance")))
 
 
 # texts
@@ -475,10 +469,18 @@ def external_filter(spark, sf_dir):
     return A.filter_external(docs, known).select("fact_id", "rejection")
 
 
-@query("fact_packing")
+@query(
+    "fact_packing",
+    """WITH RECURSIVE f AS (SELECT conv_id, turn, text, (length(coalesce(text, '')) // 4 + 8)::INTEGER AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations),
+    p AS (SELECT conv_id, nth, 0 AS chunk, CASE WHEN tokens > 64 THEN -1 ELSE tokens END AS used FROM f WHERE nth = 1
+      UNION ALL SELECT f.conv_id, f.nth, CASE WHEN p.used = -1 OR f.tokens > 64 OR p.used + f.tokens > 64 THEN p.chunk + 1 ELSE p.chunk END,
+        CASE WHEN f.tokens > 64 THEN -1 WHEN p.used = -1 OR p.used + f.tokens > 64 THEN f.tokens ELSE p.used + f.tokens END
+      FROM p JOIN f ON f.conv_id = p.conv_id AND f.nth = p.nth + 1)
+    SELECT conv_id AS doc_id, turn AS start, turn AS "end", turn AS fact_id, text AS fact, tokens, chunk FROM f JOIN p USING (conv_id, nth)""",
+)
 def fact_packing(spark, sf_dir):
     turns = read(spark, sf_dir, "CONVERSATIONS").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("start"), F.col("turn").alias("end"), F.col("turn").alias("fact_id"), F.col("text").alias("fact"))
-    return A.packed(turns, 64)
+    return P.packed(turns, 64)
 
 
 @query("file_faults", "SELECT 'outside' AS fault, doc_id::VARCHAR AS value, count(*) AS n FROM documents WHERE doc_id NOT BETWEEN 0 AND 100 GROUP BY 2 UNION ALL SELECT 'repeated id', doc_id::VARCHAR, count(*) FROM documents GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'repeated text', sha256(text), count(*) FROM documents WHERE text IS NOT NULL GROUP BY 2 HAVING count(*) > 1")
@@ -557,13 +559,6 @@ def kept_items(spark, sf_dir):
     return A.kept_items(items, read(spark, sf_dir, "PART").where("p_size < 5").select(F.col("p_partkey").alias("fact_id"))).select("item_id")
 
 
-@query("shard_stubs", "SELECT * FROM (VALUES (0, 'PART'), (0, 'SUPPLIER'), (0, 'NATION'), (1, 'REGION')) t(shard, \"table\")")
-def shard_stubs(spark, sf_dir):
-    links = spark.createDataFrame([(f.table, f.parent) for f in TESTDATA.links], "table string, parent string")
-    shards = spark.createDataFrame([("LINEITEM", 0), ("ORDERS", 0), ("CUSTOMER", 0), ("NATION", 1), ("PART", 1)], "table string, shard int")
-    return A.stubs(links, shards)
-
-
 @query("origin_match")
 def origin_match(spark, sf_dir):
     """Each whole text as a fact whose origin is said to be the first sentence of the next document, so spans are scored for nearly all."""
@@ -602,41 +597,6 @@ def generated_rows(spark, sf_dir):
 
 # conceptual models
 
-_MODEL = conceptual.Model(
-    [
-        conceptual.Entity("Building", (conceptual.Attribute("code"), conceptual.Attribute("floors", "INTEGER")), ("code",)),
-        conceptual.Entity("Room", (conceptual.Attribute("number", "INTEGER"), conceptual.Attribute("area", "FLOAT", True)), ("number",), "Building"),
-        conceptual.Entity("Person", (conceptual.Attribute("name"), conceptual.Attribute("phone", multivalued=True), conceptual.Attribute("age", "INTEGER", derived=True))),
-        conceptual.Entity("Badge", (conceptual.Attribute("serial", "UUID"),), ("serial",)),
-        conceptual.Entity("Course", (conceptual.Attribute("title"),)),
-    ],
-    [
-        conceptual.Relationship("works in", (conceptual.Participant("Person", least=0), conceptual.Participant("Building", most=1)), "1:N"),
-        conceptual.Relationship("carries", (conceptual.Participant("Person", least=0, most=1), conceptual.Participant("Badge", least=1, most=1)), "1:1"),
-        conceptual.Relationship("Enrolment", (conceptual.Participant("Person"), conceptual.Participant("Course")), "M:N", (conceptual.Attribute("grade", "FLOAT", True),)),
-        conceptual.Relationship("teaches", (conceptual.Participant("Person", "teacher"), conceptual.Participant("Course"), conceptual.Participant("Building")), "M:N"),
-        conceptual.Relationship("manages", (conceptual.Participant("Person", least=0), conceptual.Participant("Person", "boss", most=1)), "1:N"),
-    ],
-)
-
-
-@query(
-    "mapped_schema",
-    """SELECT * FROM (VALUES
-    ('BUILDING', 'code', 'VARCHAR', false, true, NULL), ('BUILDING', 'floors', 'INTEGER', false, false, NULL),
-    ('ROOM', 'number', 'INTEGER', false, true, NULL), ('ROOM', 'area', 'FLOAT', true, false, NULL), ('ROOM', 'code', 'VARCHAR', false, true, 'BUILDING'),
-    ('PERSON', 'person_id', 'INTEGER', false, true, NULL), ('PERSON', 'name', 'VARCHAR', false, false, NULL), ('PERSON', 'code', 'VARCHAR', true, false, 'BUILDING'), ('PERSON', 'boss_person_id', 'INTEGER', true, false, 'PERSON'),
-    ('BADGE', 'serial', 'UUID', false, true, NULL), ('BADGE', 'person_id', 'INTEGER', false, false, 'PERSON'),
-    ('COURSE', 'course_id', 'INTEGER', false, true, NULL), ('COURSE', 'title', 'VARCHAR', false, false, NULL),
-    ('PERSON_PHONE', 'phone', 'VARCHAR', false, true, NULL), ('PERSON_PHONE', 'person_id', 'INTEGER', false, true, 'PERSON'),
-    ('ENROLMENT', 'person_id', 'INTEGER', false, true, 'PERSON'), ('ENROLMENT', 'course_id', 'INTEGER', false, true, 'COURSE'), ('ENROLMENT', 'grade', 'FLOAT', true, false, NULL),
-    ('PERSON_COURSE_BUILDING', 'teacher_person_id', 'INTEGER', false, true, 'PERSON'), ('PERSON_COURSE_BUILDING', 'course_id', 'INTEGER', false, true, 'COURSE'), ('PERSON_COURSE_BUILDING', 'code', 'VARCHAR', false, true, 'BUILDING')
-    ) t("table", "column", type, nullable, in_key, parent)""",
-)
-def mapped_schema(spark, sf_dir):
-    return spark.createDataFrame(conceptual.listed(conceptual.mapped(_MODEL)), '`table` string, `column` string, type string, nullable boolean, in_key boolean, parent string')
-
-
 @query("multivalued_rows", "SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_suppkey IS NOT NULL")
 def multivalued_rows(spark, sf_dir):
     """The suppliers of an order as an attribute of many values, and then as a table of its own."""
@@ -644,67 +604,6 @@ def multivalued_rows(spark, sf_dir):
     return conceptual.spread(held, ["l_orderkey"], "l_suppkey")
 
 
-# the law of total variance, as a conflict over rows
-
-
-@query(
-    "total_variance_conflict",
-    "WITH w AS (SELECT avg(o_totalprice) AS m, var_pop(o_totalprice) AS v, count(o_totalprice) AS n FROM orders), p AS (SELECT o_orderstatus AS part, count(o_totalprice) AS k, avg(o_totalprice) AS m1, var_pop(o_totalprice) AS v1 FROM orders GROUP BY 1) SELECT part, k, false AS stated_conflict, true AS shifted_conflict FROM p, w",
-)
-def total_variance_conflict(spark, sf_dir):
-    """Of each order status: whether its moments, those of the rest and of the whole contradict each other as they are, and with a mean of the whole beyond both."""
-    orders = read(spark, sf_dir, "ORDERS")
-    c = F.col("o_totalprice").cast("double")
-    each = orders.groupBy(F.col("o_orderstatus").alias("part")).agg(F.count(c).alias("k"), F.sum(c).alias("s"), F.sum(c * c).alias("q")).collect()  # a row a status
-    n, s, q = (sum(r[x] for r in each) for x in ("k", "s", "q"))
-    out = []
-    for r in each:
-        where = Compare("=", Col("o_orderstatus"), Lit(r["part"]))
-        parts = [(Base("ORDERS"), n, s, q), (Filter(Base("ORDERS"), where), r["k"], r["s"], r["q"]), (Filter(Base("ORDERS"), Negated(where)), n - r["k"], s - r["s"], q - r["q"])]
-
-        def stated(shift: float) -> list:
-            found = []
-            for i, (rel, k, total, square) in enumerate(parts):
-                mean = total / k + (shift if i == 0 else 0.0)
-                for fn, v in (("AVG", mean), ("VARIANCE", max(square / k - (total / k) ** 2, 0.0))):
-                    found.append(constraints.Stated(Aggregate(rel, fn, "o_totalprice", "m"), Compare("=", Col("m"), Lit(v))))
-            return found
-
-        # the shift is past the greater of both means
-        far = max(t / k for _, k, t, _ in parts) * 2
-        out.append((r["part"], r["k"], bool(constraints.evaluate(stated(0.0), TESTDATA).conflicts), bool(constraints.evaluate(stated(far), TESTDATA).conflicts)))
-    return spark.createDataFrame(out, "part string, k long, stated_conflict boolean, shifted_conflict boolean")
-
-
-@query(
-    "conflict_report",
-    """SELECT * FROM (VALUES ('distributed_family_mismatch'), ('distributed_parameter_mismatch'), ('correlated_value_mismatch'), ('correlated_precondition_violation'), ('correlated_infeasible_matrix'), ('moment_value_mismatch'), ('moment_vs_distributed_mismatch'), ('state_sequence_direct_contradiction'), ('state_sequence_cycle')) t(kind)""",
-)
-def conflict_report(spark, sf_dir):
-    """The kinds of conflict among constraints over several tables."""
-    S_, O = constraints.Stated, Base("ORDERS")
-    price = lambda fn, v: S_(Aggregate(Base("PART"), fn, "p_retailprice", "m"), Compare("=", Col("m"), Lit(v)))
-    L = lambda *p, **k: S_(Base("LINEITEM"), constraints.Correlated(tuple(p), **k))
-    stated = [
-        S_(O, constraints.Distributed("o_totalprice", "normal", (("mean", 5.0),))),
-        S_(O, constraints.Distributed("o_totalprice", "lognormal")),
-        S_(Base("PART"), constraints.Distributed("p_size", "poisson", (("lambda", 5.0),))),
-        S_(Base("PART"), constraints.Distributed("p_size", "poisson", (("lambda", 6.0),))),
-        S_(Base("PART"), constraints.Distributed("p_retailprice", "uniform", (("low", 0.0), ("high", 10.0)))),
-        price("AVG", 5.0),
-        price("VARIANCE", 3.0),
-        S_(Aggregate(O, "AVG", "o_totalprice", "m"), Compare(">", Col("m"), Lit(7.0))),
-        S_(Aggregate(O, "AVG", "o_totalprice", "m"), Compare("<", Col("m"), Lit(6.0))),
-        L(("l_quantity", "l_tax", 0.5), copula="student_t", nu=2.0),
-        L(("l_quantity", "l_tax", 0.6)),
-        L(("l_quantity", "l_extendedprice", 0.9), ("l_tax", "l_extendedprice", -0.9)),
-        S_(O, constraints.StateSequence("o_orderstatus", (("O", "P"), ("P", "F")), (("O", "P"),))),
-        S_(O, constraints.StateSequence("o_orderstatus", (("F", "O"),), (), True)),
-    ]
-    found = sorted({c.kind for c in constraints.evaluate(stated, TESTDATA).conflicts})
-    return spark.createDataFrame([(k,) for k in found], "kind string")
-
-
 @query("name_mentions", "WITH w AS (SELECT DISTINCT doc_id, CASE WHEN length(x) >= 4 AND x LIKE '%s' AND x NOT LIKE '%ss' AND NOT (length(x) >= 5 AND regexp_matches(x, '(ies|ses|xes|zes|ches|shes)$')) THEN x[:-2] WHEN length(x) >= 5 AND x LIKE '%ies' THEN x[:-4] || 'y' WHEN length(x) >= 5 AND regexp_matches(x, '(ses|xes|zes|ches|shes)$') THEN x[:-3] ELSE x END AS w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS x FROM documents)) SELECT doc_id, name FROM w JOIN (VALUES ('LICENSE', 'license'), ('OPEN_SOURCE', 'open'), ('OPEN_SOURCE', 'source'), ('THE', 'the')) n(name, word) ON w = word GROUP BY 1, 2 HAVING count(*) = CASE name WHEN 'OPEN_SOURCE' THEN 2 ELSE 1 END")
 def name_mentions(spark, sf_dir):
     names = spark.createDataFrame([("LICENSE",), ("OPEN_SOURCE",), ("THE",)], "name string")
@@ -733,3 +632,36 @@ def generated_means(spark, sf_dir):
     drawn = orders.join(stated, "o_custkey").withColumn("x", G.draw("normal", {"mean": 0, "std": 10}, "x", 3, "o_orderkey")).withColumn("y", G.draw("uniform", {"low": 0, "high": 1e6}, "y", 3, "o_orderkey"))
     out = G.with_maximum(G.with_mean(drawn, "o_custkey", "m", "x"), "o_custkey", "t", "y", "o_orderkey")
     return out.groupBy("o_custkey").agg((F.abs(F.avg("x") - F.avg("o_totalprice")) < 1e-6).alias("mean_holds"), F.round(F.max("y"), 2).alias("top"))
+
+
+# the law of total variance, as a conflict over rows
+
+
+@query(
+    "total_variance_conflict",
+    """WITH p AS (SELECT DISTINCT o_orderstatus AS part FROM orders),
+    m AS (SELECT part, count(o_totalprice) FILTER (o_orderstatus IS NOT DISTINCT FROM part) AS k, avg(o_totalprice) AS m, var_pop(o_totalprice) AS v,
+      avg(o_totalprice) FILTER (o_orderstatus IS NOT DISTINCT FROM part) AS m1, var_pop(o_totalprice) FILTER (o_orderstatus IS NOT DISTINCT FROM part) AS v1,
+      avg(o_totalprice) FILTER (o_orderstatus IS DISTINCT FROM part) AS m2, var_pop(o_totalprice) FILTER (o_orderstatus IS DISTINCT FROM part) AS v2 FROM orders, p GROUP BY part),
+    s AS (SELECT *, (m - m2) / (m1 - m2) AS a, (2 * greatest(m, m1, m2) - m2) / (m1 - m2) AS b FROM m)
+    SELECT part, k, round(m1, 4) AS mean, round(v1, 1) AS variance, round(m2, 4) AS rest_mean, round(v2, 1) AS rest_variance,
+      a < -1e-6 OR a > 1 + 1e-6 OR abs(v - (a * v1 + (1 - a) * v2 + a * (1 - a) * (m1 - m2) ** 2)) > 1e-3 * greatest(v, a * v1 + (1 - a) * v2 + a * (1 - a) * (m1 - m2) ** 2) AS stated_conflict,
+      b < -1e-6 OR b > 1 + 1e-6 OR abs(v - (b * v1 + (1 - b) * v2 + b * (1 - b) * (m1 - m2) ** 2)) > 1e-3 * greatest(v, b * v1 + (1 - b) * v2 + b * (1 - b) * (m1 - m2) ** 2) AS shifted_conflict FROM s""",
+)
+def total_variance_conflict(spark, sf_dir):
+    """Of each order status: whether its moments, those of the rest and of the whole contradict each other as they are, and with a mean of the whole beyond both."""
+    of = M.parts(read(spark, sf_dir, "ORDERS"), "o_orderstatus", "o_totalprice")
+    far = F.greatest("w_mean", "mean", "r_mean") * 2
+    numbers = [F.round("mean", 4).alias("mean"), F.round("variance", 1).alias("variance"), F.round("r_mean", 4).alias("rest_mean"), F.round("r_variance", 1).alias("rest_variance")]
+    return of.select("part", F.col("n").alias("k"), *numbers, M.contradict(F.col("w_mean"), F.col("w_variance")).alias("stated_conflict"), M.contradict(far, F.col("w_variance")).alias("shifted_conflict"))
+
+
+@query(
+    "transition_verdicts",
+    "SELECT from_state, to_state, count(*) AS n, CASE WHEN from_state = 'error' AND to_state = 'purchase' THEN 'forbidden' WHEN to_state = 'click' OR (from_state = 'signup' AND to_state = 'view') THEN 'allowed' ELSE 'unlisted' END AS verdict "
+    "FROM (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state, event_type AS to_state FROM events) WHERE from_state IS NOT NULL GROUP BY 1, 2",
+)
+def transition_verdicts(spark, sf_dir):
+    kinds = ("click", "error", "purchase", "signup", "view")
+    allowed = [*((k, "click") for k in kinds), ("signup", "view"), ("error", "purchase")]
+    return K.transition_verdicts(read(spark, sf_dir, "EVENTS"), "user_id", ["ts", "event_id"], "event_type", allowed, [("error", "purchase")])

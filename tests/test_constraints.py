@@ -179,8 +179,8 @@ def test_scores(spark):
     assert (s["kind"], s["distance"]) == ("tvd", pytest.approx(0.25)) and s["nll"] == pytest.approx(math.sqrt(0.75 * 0.25) / 0.75)
     assert scoring.score_column(rows, "s", {"family": "categorical", "params": {}}) == scoring.WORST
     assert scoring.score_column(rows.limit(1), "x", {"family": "normal", "params": {"mean": 0, "std": 1}}) == scoring.WORST
-    assert scoring.case_report({})["mre"] == 1.0
-    report = scoring.case_report(scoring.score_case({"T": rows}, {"T.x (part)": free, "T.y": free, "x": free}))
+    assert scoring.case_report(scoring.score_case({}, {}, rows.sparkSession)).first()["mre"] == 1.0
+    report = scoring.case_report(scoring.score_case({"T": rows}, {"T.x (part)": free, "T.y": free, "x": free}, rows.sparkSession)).first().asDict()
     assert (report["n_missing"], report["n_unscoreable"], report["plausibility_rate"]) == (2, 1, 0.5)
     assert report["distance_kinds"] == {"none": 2, scoring.UNSCOREABLE: 1}
 

@@ -1,9 +1,10 @@
 import pytest
 
-from relspan import listings, queries
+from relspan import case_queries, queries, reader_queries, rule_queries
 from tests.oracle import compare, connect
 
-QUERIES, ORACLE_SQL = queries.QUERIES | listings.QUERIES, queries.ORACLE_SQL | listings.ORACLE_SQL
+QUERIES = queries.QUERIES | reader_queries.QUERIES | case_queries.QUERIES | rule_queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | reader_queries.ORACLE_SQL | case_queries.ORACLE_SQL | rule_queries.ORACLE_SQL
 SF = "/root/testdata/sf0.001"
 
 

@@ -5,7 +5,7 @@ import gzip
 import numpy as np
 import pytest
 
-from relspan.operators import facts, vectors
+from relspan.operators import facts, packing, vectors
 from relspan.plans import patches
 from relspan.plans.catalog import Catalog, Column, Table
 from relspan.sources import readers
@@ -88,8 +88,8 @@ def test_packing(spark):
         for n, c in enumerate([*chunks, chunk] if chunk else chunks):
             want |= {i: n for i in c}
     df = spark.createDataFrame(rows, "doc_id int, start int, end int, fact_id int, fact string")
-    assert {r.fact_id: r.chunk for r in facts.packed(df, 64).collect()} == want
-    assert facts.packed(df.limit(0), 64).count() == 0
+    assert {r.fact_id: r.chunk for r in packing.packed(df, 64).collect()} == want
+    assert packing.packed(df.limit(0), 64).count() == 0
 
 
 def test_vectors(spark):
