@@ -126,7 +126,7 @@ def first_of_user(spark, sf_dir):
 
 @query(
     "case_metrics",
-    f"SELECT f.*, csr, n_evaluated AS csr_n_evaluated, n_vacuous AS csr_n_vacuous, n_unevaluable AS csr_n_unevaluable, applicable_rows AS csr_applicable_rows, violated_rows AS csr_violated_rows FROM ({base.ORACLE_SQL['score_report']}) f, ({ORACLE_SQL['rule_satisfaction']})",
+    f"SELECT f.*, c.csr, c.n_evaluated AS csr_n_evaluated, c.n_vacuous AS csr_n_vacuous, c.n_unevaluable AS csr_n_unevaluable, c.applicable_rows AS csr_applicable_rows, c.violated_rows AS csr_violated_rows FROM ({base.ORACLE_SQL['score_report']}) f, ({ORACLE_SQL['rule_satisfaction']}) c",
 )
 def case_metrics(spark, sf_dir):
     """What the rows of the given tables are worth as data of a case: distributions and constraints in one row."""
