@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relspan.llm import similar
-from relspan.llm._common import NULL_ID, pick, prepare, settled, stored, uncollected
+from relspan.llm._common import NULL_ID, forget, pick, prepare, settled, stored, uncollected
 
 #: Registers of a sketch; a register holds a count of leading zeros and so many bits of the mantissa behind them.
 REGISTERS, MANTISSA = 512, 10
-#: Bands of so many registers: sets of similarity 0.8 meet in none of 85 with a chance of 6e-12.
-BANDS, ROWS = 85, 6
+#: Bands of so many registers: sets of similarity 0.8 meet in none of 64 with a chance of 4e-9.
+BANDS, ROWS = 64, 6
 #: Pairs whose estimated similarity is below this are not verified. At 0.8 the estimate deviates by 0.027, so by seven deviations.
 FLOOR = 0.6
 _LOW = np.uint64((1 << 48) - 1)
@@ -112,10 +112,12 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     def linked() -> DataFrame:
         marked = stored(pick(docs, doc_id="long", text="string").mapInArrow(uncollected(mark), "doc_id long, fp long, n int, bands array<long>, sketch binary"), "sketches")
         distinct = stored(similar.least_ids(marked.where("n > 0")), "distinct")
+        sizes = stored(marked.select("doc_id", "fp", "n"), "sizes")
+        forget(marked)
         buckets = distinct.select(F.explode("bands").alias("bucket"), "fp")
-        found = similar.components(buckets, distinct, similar.sets_again(docs, distinct, hashes), percent, REGISTERS // 64, _differ)
-        full = similar.named(marked.where("n > 0"), distinct, found).select("doc_id", "n", "component")
-        return full.union(marked.where("n = 0").select("doc_id", "n", F.coalesce("doc_id", F.lit(NULL_ID))))
+        found = similar.components(buckets, distinct, similar.sets_again(docs, distinct, hashes), percent, REGISTERS // 64, _differ, keys="bands")
+        full = similar.named(sizes.where("n > 0"), distinct, found).select("doc_id", "n", "component")
+        return full.union(sizes.where("n = 0").select("doc_id", "n", F.coalesce("doc_id", F.lit(NULL_ID))))
 
     out = settled(linked, "linked", spark)
     own = F.coalesce("doc_id", F.lit(NULL_ID))

@@ -74,6 +74,12 @@ def partners(left: dict, right: dict, k: int, percent: int, compare: Callable) -
             continue
         distance, possible = compare(own, right)
         able &= possible
+        if "keys" in own:
+            row, col = np.nonzero(able)
+            for lo in range(0, len(row), 1 << 15):
+                r, c = row[lo : lo + (1 << 15)], col[lo : lo + (1 << 15)]
+                met = _met_before({n: own[n][r] for n in ("keys", "band")}, {n: right[n][c] for n in ("keys", "band")})
+                able[r[met], c[met]] = False
         far = np.where(able, distance.astype(np.int32), np.int32(1 << 30))
         count = able.sum(axis=1)
         if k < far.shape[1]:
@@ -90,6 +96,11 @@ def partners(left: dict, right: dict, k: int, percent: int, compare: Callable) -
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _met_before(left: dict, right: dict) -> np.ndarray:
+    """Whether pairs of rows of one bucket share a bucket of an earlier place in their lists, where they are compared."""
+    return ((left["keys"] == right["keys"]) & (np.arange(left["keys"].shape[1]) < left["band"][:, None])).any(axis=1)
+
+
 def _small(group: np.ndarray, role: np.ndarray, rows: dict, k: int, percent: int, differ: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """partners() of many groups of few rows at once: rows so many places apart are compared in one go, for each number of places."""
     found: list[tuple] = []
@@ -101,7 +112,10 @@ def _small(group: np.ndarray, role: np.ndarray, rows: dict, k: int, percent: int
         low, high = np.minimum(rows["n"][i], rows["n"][j]), np.maximum(rows["n"][i], rows["n"][j])
         able = (rows["comp"][i] != rows["comp"][j]) & (100 * low >= percent * high)
         i, j = i[able], j[able]
-        distance, possible = differ({n: v[i] for n, v in rows.items()}, {n: v[j] for n, v in rows.items()})
+        one, other = ({n: v[at] for n, v in rows.items()} for at in (i, j))
+        distance, possible = differ(one, other)
+        if "keys" in rows:
+            possible = possible & ~_met_before(one, other)
         for x, y in ((i, j), (j, i)):
             good = possible & (role[x] & 2 > 0) & (role[y] & 1 > 0)
             found.append((x[good], y[good], distance[good]))
@@ -118,22 +132,22 @@ def _small(group: np.ndarray, role: np.ndarray, rows: dict, k: int, percent: int
 
 
 def _candidates(k: int, percent: int, words: int, differ: Callable) -> Callable:
-    """Reads rows (group, role, fp, comp, n, sketch) sorted by group; gives pairs (a, b, ca, cb, apart, more).
+    """Reads rows (group, role, fp, comp, n, sketch, and maybe all buckets of the set and this one's place among them) sorted by group; gives pairs (a, b, ca, cb, apart, more).
 
     differ gives, of rows of one shape and rows of another that is broadcast to
     it, the distances, and which pairs can be similar at all.
     """
 
     def across(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
-        return differ({n: v[:, None] for n, v in left.items()}, {n: v[None] for n, v in right.items()})
+        return differ({n: left[n][:, None] for n in ("n", "sketch")}, {n: right[n][None] for n in ("n", "sketch")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            group, role, fp, comp, n, sketch = columns
+            group, role, fp, comp, n, sketch = columns[:6]
             start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
             size = np.diff(np.append(start, len(group)))
             few = np.repeat(size <= SMALL, size)
-            rows = {"fp": fp, "comp": comp, "n": n.astype(np.int64), "sketch": sketch}
+            rows = {"fp": fp, "comp": comp, "n": n.astype(np.int64), "sketch": sketch} | dict(zip(("keys", "band"), columns[6:], strict=False))
             own = {name: v[few] for name, v in rows.items()}
             x, y, apart, more = _small(group[few], role[few], own, k, percent, differ)
             yield _found(own, own, x, y, apart, more)
@@ -147,6 +161,8 @@ def _candidates(k: int, percent: int, words: int, differ: Callable) -> Callable:
         for batch in batches:
             if batch.num_rows:
                 held.append([*(batch.column(i).to_numpy() for i in range(5)), np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(batch.num_rows, words)])
+                if batch.num_columns > 6:
+                    held[-1] += [batch.column(6).flatten().to_numpy().reshape(batch.num_rows, -1), batch.column(7).to_numpy()]
                 size += batch.num_rows
             if size >= 16 * TILE and held[-1][0][-1] != held[0][0][0]:
                 whole = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -178,14 +194,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(uncollected(run), "ca long, cb long")
 
 
-def components(buckets: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, words: int, differ: Callable, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def components(buckets: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, words: int, differ: Callable, first: Callable[[DataFrame], DataFrame] | None = None, keys: str | None = None) -> DataFrame:
     """(fp, comp) of the sets that meet another: comp is the same for all that links of similar sets reach.
 
     buckets: (bucket, fp), where any two similar sets meet at least once. rows:
     (fp, n, sketch) of distinct sets, n their sizes, sketches of `words` 64-bit
     words; differ as in _candidates(). sets_of gives (fp, shingles) of rows that hold fp. first gives pairs
     (a < b) to begin with of met sets (bucket, size, fp, n, sketch), else each
-    set's nearest partners in each bucket begin.
+    set's nearest partners in each bucket begin. keys: a column of rows with the
+    list of all buckets of a set, of one length and in one order of kinds; a
+    pair that meets in several of them is then proposed in the first only, but
+    in the first round.
 
     Rounds: each set proposes its nearest partners of other components, in all
     its buckets; whole sets decide; components are joined. Few partners suffice
@@ -215,7 +234,7 @@ def components(buckets: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame
             dealt = met.select(group.alias("group"), F.lit(3).alias("role"), "fp", F.col("fp").alias("comp"), "n", "sketch")
             large = not met.where(F.col("size") > TILE).limit(1).isEmpty()
         else:
-            dealt, large = _dealt(met, labels).select(columns), False
+            dealt, large = _dealt(met, labels, None if keys is None else rows.select("fp", F.col(keys).alias("keys"))), False
         rows_ = dealt.repartition(parts, "group").sortWithinPartitions("group")
         found = rows_.mapInArrow(_candidates(k, percent, words, differ), "a long, b long, ca long, cb long, apart int, more boolean")
         found = found.groupBy("a", "b").agg(F.any_value("ca").alias("ca"), F.any_value("cb").alias("cb"), F.min("apart").alias("apart"), F.bool_or("more").alias("more"))
@@ -241,11 +260,14 @@ def components(buckets: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame
     return labels.select("fp", "comp")
 
 
-def _dealt(met: DataFrame, labels: DataFrame) -> DataFrame:
+def _dealt(met: DataFrame, labels: DataFrame, keys: DataFrame | None) -> DataFrame:
     """The groups of a round: buckets with several components, large ones cut so that rows outside of the largest component meet all others."""
     grouped = met.join(labels, "fp")
     wide = grouped.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
-    several = stored(grouped.join(wide, "bucket"), "several")  # few, once most sets are joined
+    several = grouped.join(wide, "bucket")
+    if keys is not None:
+        several = several.join(keys, "fp").withColumn("band", (F.array_position("keys", F.col("bucket")) - 1).cast("int"))
+    several = stored(several, "several")  # few, once most sets are joined
     major = several.groupBy("bucket").agg(F.max(F.struct("weight", "comp"))["comp"].alias("major"))
     open_ = several.join(major, "bucket").withColumn("minor", F.col("comp") != F.col("major"))
     small = open_.where(F.col("size") <= TILE).withColumn("role", F.when(F.col("minor"), 3).otherwise(1)).withColumn("group", F.col("bucket"))
@@ -256,7 +278,7 @@ def _dealt(met: DataFrame, labels: DataFrame) -> DataFrame:
     tile = F.pmod(F.xxhash64("fp", F.lit(4)), F.col("bt")).cast("int")
     right = large.withColumn("role", F.lit(1)).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("mt") - 1))).withColumn("group", F.xxhash64("bucket", "x", tile))
     left = large.where("minor").withColumn("role", F.lit(2)).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("bt") - 1))).withColumn("group", F.xxhash64("bucket", own, "x"))
-    columns = ["group", "role", "fp", "comp", "n", "sketch"]
+    columns = ["group", "role", "fp", "comp", "n", "sketch", *(() if keys is None else ("keys", "band"))]
     return small.select(columns).union(right.select(columns)).union(left.select(columns))
 
 
