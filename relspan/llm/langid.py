@@ -17,8 +17,9 @@ from relspan.llm._common import filtered, pick, prepare, uncollected
 #: Length of the vectors, letters in an n-gram, documents and n-grams that are multiplied at once.
 DIM, ORDER, DOCS, GRAMS = 1024, 3, 96, 2048
 UNKNOWN = "und"
-#: Cosine below which a text counts as of no learned language: those of unrelated texts deviate from 0 by DIM ** -0.5 = 0.031.
-FLOOR = 0.1
+#: Cosine below which a text of JUDGED n-grams or more counts as of no learned language: those of unrelated texts deviate
+#: from 0 by DIM ** -0.5 = 0.031. Of a few n-grams even a learned language may know none.
+FLOOR, JUDGED = 0.1, 24
 _BITS = 21  # of a code point in an n-gram's code
 
 
@@ -167,14 +168,16 @@ def accepted(docs: DataFrame, fold: int = 2, of: int = 4, floor: float = FLOOR)
     """The rows of docs, with all their columns, whose text is in a learned language, as its score tells.
 
     The languages are learned as in identify(). A text goes if identify() calls
-    it `und` (null, without a letter, or no language learned), or if its score,
-    the cosine with the nearest language, is below the floor.
+    it `und` (null, without a letter, or no language learned), or if it has
+    JUDGED n-grams and its score, the cosine with the nearest language, is below
+    the floor.
     """
     rows = pick(docs, doc_id="long", text="string", lang="string").withColumn("held_out", held_out(fold, of))
     languages, prototypes = learn(rows.where("not held_out"))
 
     def keep(texts: list[str | None]) -> list[bool]:
         found = (predicted(texts[i : i + DOCS], languages, prototypes) for i in range(0, len(texts), DOCS))
-        return [p != UNKNOWN and s >= floor for preds, scores in found for p, s in zip(preds, scores, strict=True)]
+        told = [(p, s) for preds, scores in found for p, s in zip(preds, scores, strict=True)]
+        return [p != UNKNOWN and (s >= floor or len(grams(t)) < JUDGED) for t, (p, s) in zip(texts, told, strict=True)]
 
     return filtered(docs, "text", keep)
