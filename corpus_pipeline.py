@@ -20,7 +20,7 @@ from relspan.llm._common import drop, prepare, stored, tables
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10. Documents of no language learned from the table go: texts whose cosine with the nearest one is below langid.FLOOR, null and empty texts and such without a letter. Rows with one id are judged each."""
+    """Operator 10. Documents of no language learned from the table go: texts of langid.JUDGED n-grams whose cosine with the nearest one is below langid.FLOOR, null and empty texts and such without a letter. Rows with one id are judged each."""
     return langid.accepted(docs)
 
 
