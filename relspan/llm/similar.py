@@ -220,11 +220,19 @@ def components(buckets: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame
     many = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     met = stored(buckets.join(many, "bucket").join(rows.select("fp", "n", "sketch"), "fp").select("bucket", "size", "fp", "n", "sketch"), "met")
     labels = stored(met.select("fp").distinct().withColumn("comp", F.col("fp")).withColumn("weight", F.lit(1).cast("long")), "labels")
-    sets = stored(sets_of(labels.select("fp")), "sets")
     tested, k, single = None, PARTNERS, first is None
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        """Links of pairs, by the whole sets of those that are in one."""
+        needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+        sets = stored(sets_of(needed), "sets")
+        links = stored(verified(pairs, sets, percent), "links")
+        forget(sets)
+        return links
+
     if first is not None:
         tested = stored(first(met).select("a", "b").distinct(), "tested")
-        labels = _joined(labels, stored(verified(tested.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), sets, percent), "links"))
+        labels = _joined(labels, decided(tested.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))))
         k *= MORE
     columns = ["group", "role", "fp", "comp", "n", "sketch"]
     while True:
@@ -248,7 +256,7 @@ def components(buckets: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = stored(pairs, "pairs")
-            links = stored(verified(pairs, sets, percent), "links")
+            links = decided(pairs)
             if not links.isEmpty():
                 labels = _joined(labels, links)
             pairs = pairs.select("a", "b")
