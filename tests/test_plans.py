@@ -8,7 +8,7 @@ from relspan.operators import satisfy as K
 from relspan.plans import conflicts, sql
 from relspan.plans.catalog import TESTDATA, Catalog, ForeignKey, _table
 from relspan.plans.relation import Base, Col, Fanout, Filter, Join, Project, Refused, compiled, known
-from relspan.queries import _ACCEPTED, _REFUSED
+from tests.test_listings import _ACCEPTED, _REFUSED
 
 SHOP = Catalog({t.name: t for t in (_table("CUSTOMER", "id", "id:INTEGER region:VARCHAR"), _table("ORDERING", "order_id", "order_id:INTEGER customer_id:INTEGER:True total:FLOAT"))}, [ForeignKey("ORDERING", "customer_id", "CUSTOMER")])
 
