@@ -30,10 +30,16 @@ def p_value(d: Column, n: Column) -> Column:
 
 
 def fits(s: dict) -> dict[str, dict]:
-    """The families that a column's statistics allow, with their parameters; discrete ones where most values are whole."""
+    """The families that a column's statistics allow, with their parameters; discrete ones where most values are whole.
+
+    Zero is in the support of the exponential, whose rate is that of all values.
+    Where most values are whole, zeros are a class of their own and rule it out.
+    """
     positive = s["low"] > 0
-    able = {"lognormal": positive, "exponential": positive, "gamma": positive, "beta": positive and s["high"] < 1, "zipf": s["mean_rounded"] is not None, "poisson": s["low"] >= 0}
-    return {f: D.estimate(f, s) for f in D.FAMILIES if (f not in D.DISCRETE or s["share_whole"] >= WHOLE) and able.get(f, True)}
+    zeros = s["low"] == 0 and s["mean"] > 0 and s["share_whole"] < WHOLE
+    able = {"lognormal": positive, "exponential": positive or zeros, "gamma": positive, "beta": positive and s["high"] < 1, "zipf": s["mean_rounded"] is not None, "poisson": s["low"] >= 0}
+    found = {f: D.estimate(f, s) for f in D.FAMILIES if (f not in D.DISCRETE or s["share_whole"] >= WHOLE) and able.get(f, True)}
+    return found | {"exponential": {"rate": 1 / s["mean"]}} if "exponential" in found else found
 
 
 def mine(tables: dict[str, DataFrame], spark: SparkSession, wanted: list[C.Wanted] | None = None, keep: int = 5, least: int = 8) -> DataFrame:

@@ -4,13 +4,16 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from relspan import queries
 from relspan.functions import special
 from relspan.functions.running import followers, ranged, running_sums
 from relspan.operators import distributions as D
 from relspan.operators import mining, moments, satisfy
+from tests.oracle import compare
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +90,15 @@ def test_mining_of_many_columns(spark):
         assert r.aic == pytest.approx(2 * len(p) - 2 * density, rel=1e-6) and r.ks == pytest.approx(d, abs=1e-9)
         assert r.p_value == pytest.approx(special.kolmogorov(d, n), abs=1e-9) and r.valid == (r.p_value >= 0.05)
     assert mining.mine({}, spark).count() == 0 and mining.mine({"T": df.limit(0)}, spark).count() == 0
+
+
+def test_zeros_of_an_exponential(spark, tmp_path):
+    """Zeros of a column that is not whole leave the exponential in, with the rate of all values, as the SQL has it."""
+    rng = random.Random(7)
+    rows = [(0.0,)] * 3 + [(round(rng.expovariate(0.02), 2),) for _ in range(200)]
+    spark.createDataFrame(rows, "value double").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    compare(queries.mine_column(spark, str(tmp_path)), con, queries.ORACLE_SQL["mine_column"])
+    low = spark.createDataFrame([(-0.5,), *rows], "value double")
+    assert "exponential" not in {r.family for r in mining.mine({"T": low}, spark, keep=9).collect()}
