@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ REGISTERS, MANTISSA = 512, 10
 BANDS, ROWS = 64, 6
 #: Pairs whose estimated similarity is below this are not verified. At 0.8 the estimate deviates by 0.027, so by seven deviations.
 FLOOR = 0.6
+#: Bits of parities in a sketch.
+PARITY = 512
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -72,10 +74,16 @@ def estimated(differing: np.ndarray) -> np.ndarray:
     return 1 - 2 * differing / REGISTERS
 
 
-def _differ(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Differing bits of compressed registers, and whether the similarity estimated from them is FLOOR or more."""
-    differing = sum(np.bitwise_count(left["sketch"][..., w] ^ right["sketch"][..., w]).astype(np.int32) for w in range(REGISTERS // 64))
-    return differing, estimated(differing) >= FLOOR
+def _differ(percent: int) -> Callable:
+    """Reads sketches of compressed registers and parities."""
+
+    def differ(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Differing bits of compressed registers, and whether the similarity estimated from them is FLOOR or more and parities let it be."""
+        words = [np.bitwise_count(left["sketch"][..., w] ^ right["sketch"][..., w]).astype(np.int32) for w in range((REGISTERS + PARITY) // 64)]
+        differing = sum(words[: REGISTERS // 64])
+        return differing, (estimated(differing) >= FLOOR) & similar.able(sum(words[REGISTERS // 64 :]), left["n"] + right["n"], percent)
+
+    return differ
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
@@ -92,8 +100,8 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
 
     Equal sets are merged before anything is compared. Bands of registers bring
     sets together; estimates from compressed registers, corrected for chance
-    agreement, order the pairs and drop those far below; whole sets, made again
-    from the texts, decide. See similar.components().
+    agreement, order the pairs and drop those far below, parities those that
+    cannot be similar; whole sets, made again from the texts, decide. See similar.components().
     """
     spark = prepare(docs.sparkSession)
 
@@ -106,16 +114,16 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
             sketches = np.stack([registers(s) if len(s) else np.zeros(REGISTERS, np.uint16) for s in sets]) if sets else np.zeros((0, REGISTERS), np.uint16)
             keys = bands(sketches)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
-            columns = [pa.array([similar.set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), lists, pa.array([x.tobytes() for x in compressed(sketches)], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "fp", "n", "bands", "sketch"])
+            columns = [pa.array([similar.set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), lists, pa.array([np.concatenate([x, similar.parities(s, PARITY)]).tobytes() for x, s in zip(compressed(sketches), sets, strict=True)], pa.binary()), pa.array([similar.wide_parities(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "fp", "n", "bands", "sketch", "wide"])
 
     def linked() -> DataFrame:
-        marked = stored(pick(docs, doc_id="long", text="string").mapInArrow(uncollected(mark), "doc_id long, fp long, n int, bands array<long>, sketch binary"), "sketches")
+        marked = stored(pick(docs, doc_id="long", text="string").mapInArrow(uncollected(mark), "doc_id long, fp long, n int, bands array<long>, sketch binary, wide binary"), "sketches")
         distinct = stored(similar.least_ids(marked.where("n > 0")), "distinct")
         sizes = stored(marked.select("doc_id", "fp", "n"), "sizes")
         forget(marked)
         buckets = distinct.select(F.explode("bands").alias("bucket"), "fp")
-        found = similar.components(buckets, distinct, similar.sets_again(docs, distinct, hashes), percent, REGISTERS // 64, _differ, keys="bands")
+        found = similar.components(buckets, distinct, similar.sets_again(docs, distinct, hashes), percent, (REGISTERS + PARITY) // 64, _differ(percent), keys="bands")
         full = similar.named(sizes.where("n > 0"), distinct, found).select("doc_id", "n", "component")
         return full.union(sizes.where("n = 0").select("doc_id", "n", F.coalesce("doc_id", F.lit(NULL_ID))))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relspan.llm._common import NULL_ID, pick, prepare, settled, stored, tasks, uncollected
+from relspan.llm._common import NULL_ID, forget, pick, prepare, settled, stored, tasks, uncollected
 from relspan.llm import similar
 from relspan.llm.components import connected_components
 from relspan.llm.similar import set_key, shingle_hashes
@@ -283,17 +283,16 @@ def wide_simhash(shingles: np.ndarray) -> np.ndarray:
 
 
 def parities(shingles: np.ndarray) -> np.ndarray:
-    """PARITY bits: whether the number of the set's hashes that fall on each is odd. Sets whose bits differ in d places differ in d elements or more."""
-    odd = np.bincount((shingles >> np.uint64(20) & np.uint64(PARITY - 1)).astype(np.intp), minlength=PARITY) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+    """PARITY bits of similar.parities()."""
+    return similar.parities(shingles, PARITY)
 
 
 def _differ(percent: int) -> Callable:
-    """SimHash distances, and whether sets can be similar: with intersection i and union u, 100 i >= percent u leaves (100 - percent) u / 100 elements to differ in."""
+    """SimHash distances, and whether sets can be similar by their parities."""
 
     def differ(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
         words = [np.bitwise_count(left["sketch"][..., w] ^ right["sketch"][..., w]).astype(np.int32) for w in range(2 + PARITY // 64)]
-        return words[0] + words[1], (100 + percent) * sum(words[2:]) <= (100 - percent) * (left["n"] + right["n"])
+        return words[0] + words[1], similar.able(sum(words[2:]), left["n"] + right["n"], percent)
 
     return differ
 
@@ -336,7 +335,7 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     meet in a bucket for each of those. There, 64-bit SimHashes compared
     bit-sliced within NEAR propose the first pairs; after that, all pairs of
     different components that meet are decided by whole sets, nearest SimHashes
-    first, but those that cannot be similar by their sizes or by parities(),
+    first, but those that cannot be similar by their sizes or by parities,
     both proven bounds. No similar pair is lost. See similar.components(). The
     fingerprint is the key of the set.
     """
@@ -347,20 +346,22 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
+            rows: list[list] = [[], [], [], [], []]
             for text in batch.column(1).to_pylist():
                 s = shingle_hashes(text, width)
                 sketch = np.concatenate([wide_simhash(s), parities(s)]).tobytes()
-                for column, value in zip(rows, (set_key(s), len(s), sketch, prefix(s, hot, rank, percent).view(np.int64)), strict=True):
+                for column, value in zip(rows, (set_key(s), len(s), sketch, similar.wide_parities(s).tobytes(), prefix(s, hot, rank, percent).view(np.int64)), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(rows, kinds, strict=True))], names=["doc_id", "fp", "n", "sketch", "prefix"])
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(rows, kinds, strict=True))], names=["doc_id", "fp", "n", "sketch", "wide", "prefix"])
 
-    marked = stored(pick(docs, doc_id="long", text="string").mapInArrow(uncollected(mark), "doc_id long, fp long, n int, sketch binary, prefix array<long>"), "shingles")
+    marked = stored(pick(docs, doc_id="long", text="string").mapInArrow(uncollected(mark), "doc_id long, fp long, n int, sketch binary, wide binary, prefix array<long>"), "shingles")
     distinct = stored(similar.least_ids(marked), "distinct")
+    ids = stored(marked.select("doc_id", "fp"), "ids")
+    forget(marked)
     buckets = distinct.select(F.explode("prefix").alias("bucket"), "fp")
     found = similar.components(buckets, distinct, similar.sets_again(docs, distinct, lambda t: shingle_hashes(t, width)), percent, 2 + PARITY // 64, _differ(percent), first=lambda met: _sliced(met, percent))
-    out = similar.named(marked, distinct, found)
+    out = similar.named(ids, distinct, found)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.expr(f"nullif(component, {NULL_ID})").alias("component_id"))
 
 

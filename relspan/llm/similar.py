@@ -52,6 +52,35 @@ def set_key(shingles: np.ndarray) -> int:
     return int(np.array(xxhash.xxh64_intdigest(shingles.tobytes(), 7), np.uint64).view(np.int64))
 
 
+def parities(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """That many bits, a power of two from 64 on: whether the number of the set's hashes that fall on each is odd. Sets whose bits differ in d places differ in d elements or more."""
+    odd = np.bincount((shingles >> np.uint64(20) & np.uint64(bits - 1)).astype(np.intp), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+
+
+def wide_parities(shingles: np.ndarray) -> np.ndarray:
+    """parities() of as many bits as the set needs: two to four an element, a thirtieth of the set."""
+    return parities(shingles, 1 << max(6, (2 * len(shingles) - 1).bit_length()))
+
+
+def able(differing: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with so many parities that differ, and so many elements in all, can be similar.
+
+    With intersection i and union u, 100 i >= percent u is (100 + percent) (u - i) <= (100 - percent) (u + i).
+    """
+    return (100 + percent) * differing <= (100 - percent) * sizes
+
+
+def can_be_similar(a: bytes, b: bytes, size: int, percent: int) -> bool:
+    """able() of two sets with `size` elements in all, by wide_parities(): the halves of the longer ones add up to shorter ones."""
+    x, y = (np.frombuffer(s, np.uint64) for s in (a, b))
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return bool(able(int(np.bitwise_count(x ^ y).sum()), size, percent))
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 times the intersection of two sets is at least percent times their union."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -194,12 +223,26 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(uncollected(run), "ca long, cb long")
 
 
+def possible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ca, cb) that can_be_similar() by rows (fp, n, wide); of the others no set is made again."""
+    left = rows.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
+    right = rows.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [can_be_similar(a, b, n, percent) for a, b, n in zip(*(batch.column(i).to_pylist() for i in (4, 5, 6)), strict=True)]
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", "wa", "wb", (F.col("na").cast("long") + F.col("nb")).alias("size"))
+    return both.mapInArrow(uncollected(run), "a long, b long, ca long, cb long")
+
+
 def components(buckets: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, words: int, differ: Callable, first: Callable[[DataFrame], DataFrame] | None = None, keys: str | None = None) -> DataFrame:
     """(fp, comp) of the sets that meet another: comp is the same for all that links of similar sets reach.
 
     buckets: (bucket, fp), where any two similar sets meet at least once. rows:
-    (fp, n, sketch) of distinct sets, n their sizes, sketches of `words` 64-bit
-    words; differ as in _candidates(). sets_of gives (fp, shingles) of rows that hold fp. first gives pairs
+    (fp, n, sketch, wide) of distinct sets, n their sizes, sketches of `words` 64-bit
+    words, wide_parities(); differ as in _candidates(). sets_of gives (fp, shingles) of rows that hold fp. first gives pairs
     (a < b) to begin with of met sets (bucket, size, fp, n, sketch), else each
     set's nearest partners in each bucket begin. keys: a column of rows with the
     list of all buckets of a set, of one length and in one order of kinds; a
@@ -223,11 +266,13 @@ def components(buckets: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame
     tested, k, single = None, PARTNERS, first is None
 
     def decided(pairs: DataFrame) -> DataFrame:
-        """Links of pairs, by the whole sets of those that are in one."""
+        """Links of pairs, by the whole sets of those that are in one that can be similar."""
+        pairs = stored(possible(pairs, rows, percent), "possible")
         needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
         sets = stored(sets_of(needed), "sets")
         links = stored(verified(pairs, sets, percent), "links")
         forget(sets)
+        forget(pairs)
         return links
 
     if first is not None:
@@ -242,12 +287,15 @@ def components(buckets: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame
             dealt = met.select(group.alias("group"), F.lit(3).alias("role"), "fp", F.col("fp").alias("comp"), "n", "sketch")
             large = not met.where(F.col("size") > TILE).limit(1).isEmpty()
         else:
-            dealt, large = _dealt(met, labels, None if keys is None else rows.select("fp", F.col(keys).alias("keys"))), False
+            dealt, several = _dealt(met, labels, rows.select("fp", "n", "sketch", *(() if keys is None else (F.col(keys).alias("keys"),))))
+            large = False
         rows_ = dealt.repartition(parts, "group").sortWithinPartitions("group")
         found = rows_.mapInArrow(_candidates(k, percent, words, differ), "a long, b long, ca long, cb long, apart int, more boolean")
         found = found.groupBy("a", "b").agg(F.any_value("ca").alias("ca"), F.any_value("cb").alias("cb"), F.min("apart").alias("apart"), F.bool_or("more").alias("more"))
         nth = Window.partitionBy("a").orderBy("apart", "b")
         found = stored(found.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k + 1), "found")
+        if not single:
+            forget(several)
         count, more = found.agg(F.count("*"), F.bool_or(F.col("more") | (F.col("nth") > k))).first()
         if count:
             lesser, greater = F.least("a", "b"), F.greatest("a", "b")
@@ -268,14 +316,14 @@ def components(buckets: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame
     return labels.select("fp", "comp")
 
 
-def _dealt(met: DataFrame, labels: DataFrame, keys: DataFrame | None) -> DataFrame:
-    """The groups of a round: buckets with several components, large ones cut so that rows outside of the largest component meet all others."""
-    grouped = met.join(labels, "fp")
+def _dealt(met: DataFrame, labels: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The groups of a round: buckets with several components, large ones cut so that rows outside of the largest component meet all others.
+
+    Sketches, and keys, are joined to them last. With them comes a table that they are read from.
+    """
+    grouped = met.select("bucket", "size", "fp").join(labels, "fp")
     wide = grouped.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
-    several = grouped.join(wide, "bucket")
-    if keys is not None:
-        several = several.join(keys, "fp").withColumn("band", (F.array_position("keys", F.col("bucket")) - 1).cast("int"))
-    several = stored(several, "several")  # few, once most sets are joined
+    several = stored(grouped.join(wide, "bucket"), "several")  # few, once most sets are joined
     major = several.groupBy("bucket").agg(F.max(F.struct("weight", "comp"))["comp"].alias("major"))
     open_ = several.join(major, "bucket").withColumn("minor", F.col("comp") != F.col("major"))
     small = open_.where(F.col("size") <= TILE).withColumn("role", F.when(F.col("minor"), 3).otherwise(1)).withColumn("group", F.col("bucket"))
@@ -286,8 +334,10 @@ def _dealt(met: DataFrame, labels: DataFrame, keys: DataFrame | None) -> DataFra
     tile = F.pmod(F.xxhash64("fp", F.lit(4)), F.col("bt")).cast("int")
     right = large.withColumn("role", F.lit(1)).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("mt") - 1))).withColumn("group", F.xxhash64("bucket", "x", tile))
     left = large.where("minor").withColumn("role", F.lit(2)).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("bt") - 1))).withColumn("group", F.xxhash64("bucket", own, "x"))
-    columns = ["group", "role", "fp", "comp", "n", "sketch", *(() if keys is None else ("keys", "band"))]
-    return small.select(columns).union(right.select(columns)).union(left.select(columns))
+    columns = ["group", "role", "fp", "comp", "bucket"]
+    every = small.select(columns).union(right.select(columns)).union(left.select(columns)).join(rows, "fp")
+    band = [(F.array_position("keys", F.col("bucket")) - 1).cast("int").alias("band")] if "keys" in rows.columns else []
+    return every.select("group", "role", "fp", "comp", "n", "sketch", *(("keys", *band) if band else ())), several
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -139,6 +139,25 @@ def test_parities_are_a_bound():
         assert odd <= len(np.setxor1d(a, b))
 
 
+def test_pairs_that_cannot_be_similar():
+    """Parities of each size are a bound, and rule out nearly all sets of similarity 0.7, small and large, before whole sets are made again."""
+    gen = np.random.default_rng(5)
+
+    def sketch(s):
+        return {"n": np.array([len(s)]), "sketch": np.concatenate([minhash.compressed(minhash.registers(s)[None])[0], similar.parities(s, minhash.PARITY)])[None]}
+
+    for size, other in [(100, 100), (150, 150), (5000, 5000), (40000, 36000)]:
+        for likeness, kept in [(0.81, True), (0.7, False)]:
+            both = int(likeness / (1 + likeness) * (size + other)) + 1
+            whole = gen.integers(0, 1 << 63, size + other - both).astype(np.uint64)
+            a, b = np.unique(whole[:size]), np.unique(whole[size - both :])
+            assert similar.similar(a, b, 80) == kept
+            assert similar.can_be_similar(*(similar.wide_parities(s).tobytes() for s in (a, b)), len(a) + len(b), 80) == kept
+            if kept or size < 200:
+                assert minhash._differ(80)(sketch(a), sketch(b))[1].tolist() == [kept]
+    assert similar.can_be_similar(*[similar.wide_parities(np.empty(0, np.uint64)).tobytes()] * 2, 0, 80)
+
+
 def test_strips_of_shingles_change_nothing():
     rng = random.Random(4)
     for t in ["", "a", "A b", words(rng, 40), " ".join(["a"] * 9), "A  b\n\n c\td é"]:
