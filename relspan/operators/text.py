@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -183,15 +184,20 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) > 0)
 
 
+#: Spans of all sizes are held together for texts of so many terms at most; of longer texts those of one size at a time, made twice.
+HELD_TERMS = 1 << 17
+
+
 def best_span(fact: str, text: str, sizes: tuple[int, ...], least: int) -> float | None:
     """The greatest cosine of a fact to a span of the text, by weights from that text's spans; None if it has no span, or shares no term with one."""
     words = _blanks(text.strip(" "))
     numbers: dict[str, int] = {}
-    own = [[numbers.setdefault(t, len(numbers)) for t in _terms(w.lower())] for w in words]
-    flat = np.array([t for of in own for t in of], np.int64)
+    of_word = {w: [numbers.setdefault(t, len(numbers)) for t in _terms(w.lower())] for w in dict.fromkeys(words)}
+    own = [*map(of_word.__getitem__, words)]
+    flat = np.fromiter(chain.from_iterable(own), np.int64)
     edges = np.cumsum([0, *map(len, own)])
-    lengths = np.cumsum([0, *(len(w) + 1 for w in words)])  # of words and the blanks behind them
-    count = Counter(t for t in map(numbers.get, _terms(fact.lower())) if t is not None)
+    lengths = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)  # of words and the blanks behind them
+    count = {numbers[t]: c for t, c in Counter(_terms(fact.lower())).items() if t in numbers}
     if not count or not numbers:
         return None
 
@@ -203,23 +209,30 @@ def best_span(fact: str, text: str, sizes: tuple[int, ...], least: int) -> float
         lo, hi = edges[first[good]], edges[last[good]]
         n = hi - lo
         place = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        code, c = np.unique(np.repeat(np.arange(len(n)), n) * len(numbers) + flat[place], return_counts=True)
-        return *np.divmod(code, len(numbers)), c, int(good.sum())
+        code = np.repeat(np.arange(len(n)), n) * len(numbers) + flat[place]
+        code.sort()
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.empty(0, np.int64)
+        span = code[first] // len(numbers)
+        return span, code[first] - span * len(numbers), np.diff(np.append(first, len(code))), int(good.sum())
 
-    df, total = np.zeros(len(numbers)), 0
+    df, total, held = np.zeros(len(numbers)), 0, {}
     for size in sizes:
-        _, term, _, n = spans_of(size)
+        made = spans_of(size)
+        if len(flat) <= HELD_TERMS:
+            held[size] = made
+        _, term, _, n = made
         df += np.bincount(term, minlength=len(numbers))
         total += n
     idf = np.log((total + 1.0) / (df + 1.0)) + 1.0
-    asked = np.zeros(len(numbers))
+    asked, logs = np.zeros(len(numbers)), np.log(np.arange(1.0, max(sizes) * max(map(len, of_word.values())) + 1.0)) + 1.0
+    logs = np.concatenate(([0.0], logs))  # by how often a term occurs in a span
     for t, c in count.items():
         if df[t]:
             asked[t] = (np.log(c) + 1.0) * idf[t]
     norm, best = np.sqrt(asked @ asked), None
     for size in sizes:
-        span, term, c, n = spans_of(size)
-        w = (np.log(c) + 1.0) * idf[term]
+        span, term, c, n = held.pop(size, None) or spans_of(size)
+        w = logs[c] * idf[term]
         dot, own_norm = np.bincount(span, w * asked[term], n), np.sqrt(np.bincount(span, w * w, n))
         met = dot > 0
         if met.any():
@@ -232,17 +245,23 @@ def span_scores(claims: DataFrame, docs: DataFrame, sizes: tuple[int, ...] = (12
     """claim_id, score: best_span() of each claim's fact in its document; claims without one have no row.
 
     A claim needs nothing but its own document, so texts are joined once and
-    scored where they are; a text is held with its spans of one size at a time.
+    scored where they are; a text longer than HELD_TERMS is held with its spans of one size at a time.
     """
-    importable(docs.sparkSession)
-    met = claims.select("claim_id", "doc_id", "fact").join(docs.select("doc_id", "text"), "doc_id").where("text IS NOT NULL AND fact IS NOT NULL").select("claim_id", "fact", "text")
+    met = claims.select("claim_id", "doc_id", "fact").join(docs.select("doc_id", "text"), "doc_id").where("text IS NOT NULL AND fact IS NOT NULL")
+    return _scored(met.select("claim_id", F.lit(None).cast("string").alias("sure"), "fact", "text"), sizes, least).where("score IS NOT NULL").select("claim_id", "score")
+
+
+def _scored(rows: DataFrame, sizes: tuple[int, ...] = (12, 24, 40, 64, 96), least: int = 20) -> DataFrame:
+    """claim_id, sure, score: best_span() of each of rows (claim_id, sure, fact, text), null without a fact or a text."""
+    importable(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = pa.array([best_span(f, t, sizes, least) for f, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["claim_id", "score"]).filter(scores.is_valid())
+            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            scores = [None if f is None or t is None else best_span(f, t, sizes, least) for f, t in both]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["claim_id", "sure", "score"])
 
-    return met.mapInArrow(run, T.StructType([met.schema["claim_id"], T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["claim_id"], T.StructField("sure", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 # Up to so many words, or below so many characters, a text is short.
@@ -266,13 +285,14 @@ def origins(claims: DataFrame, docs: DataFrame, **how) -> DataFrame:
 
     verbatim: the document holds the origin to the letter; sentence: it is one of
     its sentences in any case; else the tier of the best span's score. An empty or
-    null origin matches neither; a missing document or null text scores 0.
+    null origin matches neither; a missing document or null text scores 0. Claims
+    meet their documents once, and those that neither matches are scored there.
     """
     met = claims.join(docs.select("doc_id", "text"), "doc_id", "left")
     said = F.length("origin") > 0
     whole = F.exists(F.transform(sentences(F.col("text")), F.lower), lambda s: s == F.lower(F.trim("origin")))
-    sure = met.select("claim_id", F.when(said & F.contains("text", "origin"), "verbatim").when(said & whole, "sentence").alias("sure"))
-    rest = claims.join(sure.where("sure IS NULL").select("claim_id"), "claim_id", "left_semi")
-    out = sure.join(span_scores(rest, docs, **how), "claim_id", "left")
+    told = met.select("claim_id", "fact", "text", F.when(said & F.contains("text", "origin"), "verbatim").when(said & whole, "sentence").alias("sure"))
+    rest = F.col("sure").isNull()
+    out = _scored(told.select("claim_id", "sure", *(F.when(rest, F.col(c)).alias(c) for c in ("fact", "text"))), **how)
     score = F.when(F.col("sure").isNotNull(), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
     return out.select("claim_id", F.coalesce("sure", tier(score)).alias("match"), score.alias("score"))

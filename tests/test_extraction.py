@@ -207,3 +207,15 @@ def test_ensembles_and_cross_flags(spark):
     kinds = ["entity", "attribute"] * 7
     assert [f[:2] for f in merging.cross_flags(m, [f"n{i}" for i in range(n)], kinds)] == [("n0", "n1")]
     assert merging.cross_flags(np.zeros((0, 0)), [], []) == []
+
+
+def test_origins_meet_documents_once(spark):
+    docs = spark.createDataFrame([(1, "One two three four five six. A last sentence stands here."), (2, None)], "doc_id long, text string")
+    claims = spark.createDataFrame([(1, 1, "two three four", "no such"), (2, 1, "x", "A LAST sentence stands here."), (3, 1, "x", "two three"), (4, 2, "x", "y"), (5, 9, "x", "y"), (6, 1, None, None)], "claim_id long, doc_id long, fact string, origin string")
+    from relspan.operators import text
+
+    out = text.origins(claims, docs)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    got = {r.claim_id: (r.match, r.score) for r in out.collect()}
+    assert {k: got[k] for k in (2, 3, 4, 5, 6)} == {2: ("sentence", 1.0), 3: ("verbatim", 1.0), 4: ("none", 0.0), 5: ("none", 0.0), 6: ("none", 0.0)}
+    assert got[1][1] == text.best_span("two three four", docs.first().text, (12, 24, 40, 64, 96), 20) > 0
