@@ -1,6 +1,6 @@
 """Whether the cases of a data set hold together: JSON lines shredded to tables of columns, links, distributions, conditions and moments, and joined.
 
-Lines are parsed once to VARIANT. Every part that a case may refer to a column
+Lines are parsed once to VARIANT, and each part of cases is read from them once, to a table of its own. Every part that a case may refer to a column
 from becomes rows of one table of references, and what refers to nothing is
 found by two joins with the tables and columns that the same case declares.
 Condition trees are flattened depth by depth. No row visits Python.
@@ -82,8 +82,9 @@ class Shredded:
         self.lines = stored(parsed, "case-lines")
         cases = self.lines.where(is_kind(F.col("v"), "OBJECT")).select("row", F.coalesce(at("v", "id", "string"), F.lit("?")).alias("case_id"), "v")
         tables = at("v", f"{SCHEMA}.tables", "array<variant>")
-        self.entries = _numbered(cases, tables, "tables").select("row", "case_id", "subject", "one", text("one", "name").alias("table"), at("one", "columns", "array<variant>").alias("columns"))
-        self.columns = _numbered(self.entries.where(F.col("table").isNotNull()).drop("subject", "one"), F.col("columns"), "columns", "table").select("row", "case_id", "table", "one", text("one", "name").alias("column"), at("one", "data_type", "string").alias("type"))
+        self.entries = stored(_numbered(cases, tables, "tables").select("row", "case_id", "subject", "one", text("one", "name").alias("table"), at("one", "columns", "array<variant>").alias("columns")), "case-entries")
+        columns = _numbered(self.entries.where(F.col("table").isNotNull()).drop("subject", "one"), F.col("columns"), "columns", "table")
+        self.columns = stored(columns.select("row", "case_id", "table", is_kind(F.col("one"), "OBJECT").alias("is_object"), text("one", "name").alias("column"), at("one", "data_type", "string").alias("type")), "case-column-entries")
         self.known = stored(self.entries.where(F.col("table").isNotNull() & (F.size("columns") > 0)).select("row", "table").distinct(), "case-tables")
         self.names = stored(self.columns.where(F.col("column").isNotNull()).groupBy("row", "table", "column").agg(F.max("type").alias("type")), "case-columns")
         held = self.known.groupBy("row").agg(F.count("*").alias("tables"))
@@ -139,8 +140,8 @@ def schema_findings(s: Shredded) -> list[DataFrame]:
     dotted = _glued(t, ".", c)
     columns = _said(
         s.columns,
-        (ERROR, t, "a column is no object", ~is_object),
-        (ERROR, t, "a column has no name", is_object & c.isNull()),
+        (ERROR, t, "a column is no object", ~F.col("is_object")),
+        (ERROR, t, "a column has no name", F.col("is_object") & c.isNull()),
         (ERROR, dotted, "not in lower snake case", ~F.regexp_like(c, F.lit("^[a-z][a-z0-9_]*$"))),
         (ERROR, dotted, _glued("no type ", F.col("type")), c.isNotNull() & ~F.coalesce(F.col("type").isin(*TYPES), F.lit(False))),
     )
@@ -155,14 +156,14 @@ def schema_findings(s: Shredded) -> list[DataFrame]:
 def link_findings(s: Shredded) -> tuple[list[DataFrame], DataFrame]:
     links = at("v", f"{SCHEMA}.relationships")
     own = _said(s.whole, (WARNING, SCHEMA, _glued(F.col("tables"), " tables and no relationships"), missing(links) & (F.col("tables") > 1)), (ERROR, SCHEMA, "relationships is no array", ~missing(links) & ~is_kind(links, "ARRAY")))
-    rows = _numbered(s.whole, at("v", f"{SCHEMA}.relationships", "array<variant>"), "relationships")
+    rows = stored(_numbered(s.whole, at("v", f"{SCHEMA}.relationships", "array<variant>"), "relationships"), "case-links")
     sides = [rows.where(is_kind(F.col("one"), "OBJECT")).select("row", "case_id", _glued(F.col("subject"), f".{side}").alias("subject"), at("one", f"{side}_table", "string").alias("table"), at("one", f"{side}_column", "string").alias("column")) for side in ("referencing", "referred")]
     return [own, _said(rows, (ERROR, F.col("subject"), "no object", ~is_kind(F.col("one"), "OBJECT")))], sides[0].union(sides[1])
 
 
 def distribution_findings(s: Shredded) -> tuple[list[DataFrame], DataFrame]:
     """Of keys, families, parameters and their values; references to columns apart."""
-    each = s.whole.select("row", "case_id", F.explode(at("v", DISTRIBUTIONS, "map<string,variant>")).alias("ref", "one")).withColumn("subject", F.col("ref"))
+    each = stored(s.whole.select("row", "case_id", F.explode(at("v", DISTRIBUTIONS, "map<string,variant>")).alias("ref", "one")).withColumn("subject", F.col("ref")), "case-distributions")
     refs, odd = _dotted(each)
     cut = F.split("ref", r"\.")
     typed = each.where(F.size(cut) == 2).withColumn("table", cut[0]).withColumn("column", cut[1]).join(s.names, ["row", "table", "column"])
@@ -243,6 +244,7 @@ def _ends(rows: DataFrame, join: Column, name: str) -> tuple[list[DataFrame], Da
 def constraint_findings(s: Shredded) -> tuple[list[DataFrame], list[DataFrame]]:
     """Of constraints, their conditions down to the leaves, and what these compare with; references apart."""
     each = _numbered(s.whole, at("v", CONSTRAINTS, "array<variant>"), "constraint").withColumn("kind", at("one", "type", "string")).withColumn("table", at("one", "table", "string"))
+    each = stored(each, "case-constraints")
     is_object, subject = is_kind(F.col("one"), "OBJECT"), F.col("subject")
     typed = is_object & F.coalesce(F.col("kind").isin("ifthen", "range"), F.lit(False))
     homes = stored(each.where(typed).join(s.known, ["row", "table"]).select("row", "case_id", "subject", "kind", "table", "one"), "constraints")
@@ -296,7 +298,7 @@ def constraint_findings(s: Shredded) -> tuple[list[DataFrame], list[DataFrame]]:
 
 
 def dependency_findings(s: Shredded) -> tuple[list[DataFrame], DataFrame]:
-    each = _numbered(s.whole, at("v", DEPENDENCIES, "array<variant>"), DEPENDENCIES)
+    each = stored(_numbered(s.whole, at("v", DEPENDENCIES, "array<variant>"), DEPENDENCIES), "case-dependencies")
     sides = F.explode(F.array(*(F.struct(F.lit(e).alias("side"), at("one", e, "array<variant>").alias("refs")) for e in ("determinant", "dependent")))).alias("x")
     is_object = is_kind(F.col("one"), "OBJECT")
     named = each.where(is_object).select("row", "case_id", "subject", sides).select("row", "case_id", _glued(F.col("subject"), ".", F.col("x.side")).alias("subject"), "x.refs")
@@ -311,10 +313,12 @@ def moment_findings(s: Shredded) -> tuple[list[DataFrame], DataFrame]:
     said = s.whole.withColumn("said", plain(F.coalesce(text("v", TEXT), F.lit(""))))
     each = _numbered(said, at("v", MOMENTS, "array<variant>"), MOMENTS, "said")
     each = each.select("*", at("one", "aggregate", "string").alias("fn"), at("one", "column", "string").alias("column"), at("one", "table", "string").alias("table"), at("one", "value", "string").alias("value"), text("one", "evidence").alias("quote"))
+    told = F.contains(F.col("said"), plain(F.col("quote")))  # where there is a quote
+    each = stored(each.withColumn("told", told).drop("said"), "case-moments")
     is_object, subject = is_kind(F.col("one"), "OBJECT"), F.col("subject")
     number = F.regexp_like(F.coalesce(F.schema_of_variant(at("one", "value")), F.lit("")), F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"))
     quoted = is_object & (F.trim(F.coalesce("quote", F.lit(""))) != "")
-    held = quoted & F.contains(F.col("said"), plain(F.col("quote")))
+    held = quoted & F.col("told")
     low = F.lower("quote")
     logs = F.contains(low, F.lit("log-mean")) | F.contains(low, F.lit("log mean")) | (F.contains(low, F.lit("log space")) & F.contains(low, F.lit("mean")))
     percent = F.contains(low, F.lit("per cent")) | F.contains(low, F.lit("percent"))

@@ -1,6 +1,7 @@
 """Findings about cases beside those of the registered query: lines, ids, parts that are missing, and deep trees."""
 
 import json
+import re
 
 from relspan import case_queries
 from relspan.plans import case_checks
@@ -34,3 +35,9 @@ def test_cases_of_all_kinds(spark):
 
 def test_no_cases(spark):
     assert case_checks.validate(spark.createDataFrame([], "value string")).count() == 0
+
+
+def test_parts_are_read_from_cases_once(spark):
+    """What is left to do reads whole cases for the checks of whole cases only; parts come from tables of their own."""
+    plan = case_checks.validate(spark.createDataFrame([(json.dumps(case()),)], "value string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[row#\d+L,case_id#\d+,v#\d+,tables#", plan)) <= 3
