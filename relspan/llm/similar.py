@@ -353,14 +353,17 @@ def sets_again(docs: DataFrame, distinct: DataFrame, hashes: Callable[[str | Non
     def sets_of(wanted: DataFrame) -> DataFrame:
         chosen = stored(distinct.select("fp", "least").join(wanted, "fp"), "chosen")
         keyed = pick(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), F.lit(0).alias("rank"), "text")
+        near = DocFilter(chosen.select(F.col("least").alias("key"), F.lit(0).alias("rank")))
+        has = near.has
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in batches:  # chosen and made in one step: a task then has one Python worker, not two
+                batch = batch.filter(pa.array(has(batch.column(3).to_numpy())))
                 found = [hashes(t) for t in batch.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["least", "fp", "shingles"])
 
-        marked = DocFilter(chosen.select(F.col("least").alias("key"), F.lit(0).alias("rank"))).split(keyed, rest=False)
-        return marked.mapInArrow(uncollected(run), "least long, fp long, shingles binary").join(chosen, ["least", "fp"]).select("fp", "shingles").dropDuplicates(["fp"])
+        made = near.placed(keyed).mapInArrow(uncollected(run), "least long, fp long, shingles binary")
+        return made.join(chosen, ["least", "fp"]).dropDuplicates(["least", "fp"]).select("fp", "shingles")
 
     return sets_of
 

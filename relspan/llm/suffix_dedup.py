@@ -285,16 +285,21 @@ class DocFilter:
         self.table = np.zeros(1 << (self.BITS - 5), np.uint32)
         self.table[got.column(0).to_numpy()] = got.column(1).to_numpy().astype(np.uint32)
 
+    def placed(self, docs: DataFrame) -> DataFrame:
+        """docs with a last column `at`, which has() reads."""
+        return docs.withColumn("at", F.pmod(F.xxhash64("key", "rank"), F.lit(1 << self.BITS)))
+
+    def has(self, at: np.ndarray) -> np.ndarray:
+        """Which of the places may be those of rows in the filter."""
+        return (self.table[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+
     def split(self, docs: DataFrame, rest: bool) -> DataFrame:
         """The rows that may be in the filter, or the rest, unchanged."""
-        table, bits = self.table, self.BITS
-        marked = docs.withColumn("at", F.pmod(F.xxhash64("key", "rank"), F.lit(1 << bits)))
+        has, marked = self.has, self.placed(docs)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch.column(batch.num_columns - 1).to_numpy()
-                hit = (table[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
-                yield batch.filter(pa.array(hit != rest))
+                yield batch.filter(pa.array(has(batch.column(batch.num_columns - 1).to_numpy()) != rest))
 
         return marked.mapInArrow(uncollected(run), marked.schema).drop("at")
 
