@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspan.llm._common import pick, prepare, stored, tasks, uncollected
+from relspan.llm._common import forget, pick, prepare, stored, tasks, uncollected
 
 #: A token is predicted as its class, then as a member of it; so many tokens have numbers of their own.
 CLASSES, MEMBERS = 32, 32
@@ -30,7 +30,6 @@ DIM, SIDE, STEP, RATE, CHUNK = 16, 2, 16384, 0.5, 4096
 _words = re.compile(r"[^\W_]+|[^\w\s]+").findall
 _space = re.compile(r"\s").search
 _EDGE = CLASSES * MEMBERS  # stands before and behind a text
-_KIND = [k.to_bytes(4, "little") for k in range(KINDS)]
 _PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
@@ -53,42 +52,54 @@ class Vocabulary(dict):
     """Numbers of the words of what white space parts, as bytes: KINDS and on for those that are given, else that of the word's kind.
 
     What was asked for is kept until there are `most` parts or `size` characters of them, and one text's strip.
-    rare: the words without a number in those kept that have any.
+    There, words without a number have a negative one, which read() turns into their kind's.
     """
 
     def __init__(self, words: Iterable[str], most: int = 400_000, size: int = 16 << 20):
         super().__init__()
         self.numbers = {w: (i + KINDS).to_bytes(4, "little") for i, w in enumerate(words)}
         self.most, self.size, self.held = most, size, 0
-        self.rare: dict[str, list[str]] = {}
+        self.late: dict[str, bytes] = {}
+        self.words: list[str] = []
 
     def __missing__(self, part: str) -> bytes:
         self.held += len(part)
         code = self.numbers.get(part)
         if code is None:
             if part.isalnum():
-                code, self.rare[part] = _KIND[kind(part)], [part]
+                code = self._late(part)
             else:
-                numbers, words = self.numbers, _words(part)
-                code = b"".join([numbers.get(w) or _KIND[kind(w)] for w in words])
-                rare = [w for w in words if w not in numbers]
-                if rare:
-                    self.rare[part] = rare
+                numbers = self.numbers
+                code = b"".join([numbers.get(w) or self._late(w) for w in _words(part)])
         self[part] = code
         return code
 
+    def _late(self, word: str) -> bytes:
+        code = self.late.get(word)
+        if code is None:
+            code = self.late[word] = (-1 - KINDS * len(self.words) - kind(word)).to_bytes(4, "little", signed=True)
+            self.words.append(word)
+        return code
+
     def read(self, text: str, rare: Counter | None = None) -> np.ndarray:
         """Numbers of the text's tokens: runs of letters and digits, and of marks. Words without one are counted in `rare`."""
         out = []
         for parts in pieces(text):
             if len(self) > self.most or self.held > self.size:
                 self.clear()
-                self.rare.clear()
+                self.late.clear()
+                self.words.clear()
                 self.held = 0
-            out.append(b"".join(map(self.__getitem__, parts)))
-            if rare is not None:
-                rare.update(chain.from_iterable(filter(None, map(self.rare.get, parts))))
-        return np.frombuffer(b"".join(out), "<i4")
+            ids = np.frombuffer(b"".join(map(self.__getitem__, parts)), "<i4")
+            late = np.flatnonzero(ids < 0)
+            if len(late):
+                word, kinds = np.divmod(-1 - ids.take(late), KINDS)
+                if rare is not None:
+                    rare.update(map(self.words.__getitem__, word.tolist()))
+                ids = ids.copy()
+                ids[late] = kinds
+            out.append(ids)
+        return np.concatenate(out) if out else np.empty(0, "<i4")
 
 
 class Network:
@@ -126,27 +137,29 @@ class Network:
         h = self.hidden(around)
         cls, member = np.divmod(target, MEMBERS)
         at = np.arange(len(target))
-        p = _softmax(h @ self.class_w + self.class_b)
+        p, total = _powers(h @ self.class_w, self.class_b)
         hit = at * CLASSES + cls
-        out = p.ravel().take(hit)
+        out = p.ravel().take(hit) / total
         if gradient is not None:
+            p /= total[:, None]
             p.ravel()[hit] -= 1
             back = p @ self.class_w.T
             gradient["members"] = []
         bounds = np.concatenate(([0], np.cumsum(np.bincount(cls, minlength=CLASSES))))
         for c in np.flatnonzero(np.diff(bounds)).tolist():
             i, j = bounds[c : c + 2].tolist()
-            q = _softmax(h[i:j] @ self.member_w[c] + self.member_b[c])
+            q, total = _powers(h[i:j] @ self.member_w[c], self.member_b[c])
             hit = at[: j - i] * MEMBERS + member[i:j]
-            out[i:j] *= q.ravel().take(hit)
+            out[i:j] *= q.ravel().take(hit) / total
             if gradient is not None:
+                q /= total[:, None]
                 q.ravel()[hit] -= 1
                 back[i:j] += q @ self.member_w[c].T
-                gradient["members"].append((c, j - i, -(h[i:j].T @ q), -q.sum(axis=0)))
+                gradient["members"].append((c, j - i, -(h[i:j].T @ q), -_down(q)))
         if gradient is not None:
-            gradient["class_w"], gradient["class_b"] = -(h.T @ p), -p.sum(axis=0)
+            gradient["class_w"], gradient["class_b"] = -(h.T @ p), -_down(p)
             back *= h * h - 1
-            gradient["bias"] = back.sum(axis=0)
+            gradient["bias"] = _down(back)
             gradient["vectors"], gradient["places"] = [], np.empty_like(self.places)
             columns, n = np.ascontiguousarray(back.T, np.float64), len(self.vectors)
             for k in range(len(_PLACES)):
@@ -174,12 +187,17 @@ class Network:
         return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Of each row, in place; logits are held within 60, where exp() of 32 bits is safe without their maximum."""
+def _powers(x: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp() of x + bias, in place, and the sums of its rows; logits are held within 60, where 32 bits are safe without their maximum."""
+    x += bias
     np.clip(x, -60, 60, out=x)
     np.exp(x, out=x)
-    x /= x @ np.ones((x.shape[1], 1), x.dtype)
-    return x
+    return x, x @ np.ones(x.shape[1], x.dtype)
+
+
+def _down(x: np.ndarray) -> np.ndarray:
+    """Sums of columns, as a product: several times as fast as sum()."""
+    return np.ones(len(x), x.dtype) @ x
 
 
 def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,13 +210,13 @@ def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return flat[at], np.stack([flat[at + k] for k in _PLACES]), owner
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: int, read, most: int = 1 << 16) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of batches with about `most` tokens, and what read() gives of each row's text, tokens first."""
+def _groups(batches: Iterator[pa.RecordBatch], column: int, read: Callable, most: int = 1 << 16) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of batches with about `most` tokens, and the numbers that read() gives of each row's value."""
     for batch in batches:
         start, size, held = 0, 0, []
-        for i, text in enumerate(batch.column(column).to_pylist()):
-            held.append(read(text or ""))
-            size += len(held[-1][0])
+        for i, value in enumerate(batch.column(column).to_pylist()):
+            held.append(read(value))
+            size += len(held[-1])
             if size >= most:
                 yield batch.slice(start, i + 1 - start), held
                 start, size, held = i + 1, 0, []
@@ -279,52 +297,96 @@ def train(docs: DataFrame, words: list[str], rounds: int = 1) -> Network:
     network reaches the driver. Equal tables in equal partitions give equal
     networks.
     """
-    spark = prepare(docs.sparkSession)
-    texts, network = pick(docs, text="string"), Network()
+    network = Network()
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((network.flat(), words))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, read, seen, rng = Network(shared.value[0]), Vocabulary(shared.value[1]).read, 0, np.random.default_rng(9)
-            for _, held in _groups(batches, 0, lambda t: (read(t),)):
-                target, around, _ = windows([h[0] for h in held])
-                order = rng.permutation(len(target))
-                for i in range(0, len(order), STEP):
-                    part = order[i : i + STEP]
-                    own.learn(target[part], around[:, part])
-                seen += len(target)
-            if seen:
-                flat = own.flat()
-                chunks = [flat[i : i + CHUNK].astype("<f4").tobytes() for i in range(0, len(flat), CHUNK)]
-                me, n = TaskContext.get().partitionId(), len(chunks)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, me, np.int32)), pa.array(np.full(n, seen, np.int64)), pa.array(chunks, pa.binary())], names=["at", "task", "weight", "values"])
-
-        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, total, weight = None, None, 0
-
-            def out() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([(total / weight).tobytes()], pa.binary())], names=["at", "values"])
-
-            for batch in batches:
-                for chunk, n, values in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                    if chunk != at:
-                        if at is not None:
-                            yield out()
-                        at, total, weight = chunk, 0.0, 0
-                    total = total + n * np.frombuffer(values, "<f4").astype(np.float64)
-                    weight += n
-            if at is not None:
-                yield out()
-
-        chunks = texts.mapInArrow(uncollected(run), "at int, task int, weight long, values binary")
-        means = chunks.repartition(tasks(spark), "at").sortWithinPartitions("at", "task").mapInArrow(mean, "at int, values binary")
-        got = sorted((r["at"], bytes(r["values"])) for r in means.collect())  # one network's parameters, of a fixed number
-        if got:
-            network = Network(np.frombuffer(b"".join(v for _, v in got), np.float64))
-        shared.unpersist()
+        network = _mean(_steps(docs, network, words), network)
     return network
 
 
+_STEPS = "at int, task int, weight long, values binary, doc_id long, ids binary, rare array<struct<word: string, m: long>>"
+
+
+def _steps(docs: DataFrame, network: Network, numbered: list[str], words: Words | None = None) -> DataFrame:
+    """at, task, weight, values: chunks of what each task's steps make of the network.
+
+    With words also doc_id, ids, rare of each document: its tokens' numbers as
+    32-bit integers, those of counted words behind the numbered ones', and how
+    often it has each word without one; so no text is read again for its score.
+    """
+    spark = prepare(docs.sparkSession)
+    counted = [] if words is None else [*words.counted]
+    shared = spark.sparkContext.broadcast((network.flat(), numbered, counted, np.arange(KINDS + len(numbered), dtype=np.int32) if words is None else _seen_as(words)))
+    keep = words is not None
+
+    def rows(names: str, columns: list[pa.Array]) -> pa.RecordBatch:
+        own, n = dict(zip(names.split(), columns, strict=True)), len(columns[0])
+        kinds = {"at": pa.int32(), "task": pa.int32(), "weight": pa.int64(), "values": pa.binary(), "doc_id": pa.int64(), "ids": pa.binary(), "rare": pa.list_(pa.struct([("word", pa.string()), ("m", pa.int64())]))}
+        return pa.RecordBatch.from_arrays([own.get(name, pa.nulls(n, kind)) for name, kind in kinds.items()], names=[*kinds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, numbered, counted, seen_as = shared.value
+        network, vocabulary, seen, rng = Network(flat), Vocabulary(chain(numbered, counted)), 0, np.random.default_rng(9)
+        rare: list[Counter] = []
+
+        def read(text: str | None) -> np.ndarray:
+            if keep:
+                rare.append(Counter())
+            return vocabulary.read(text or "", rare[-1] if keep else None)
+
+        for batch, held in _groups(batches, 1, read):
+            target, around, _ = windows([seen_as.take(h) for h in held])
+            order = rng.permutation(len(target))
+            for i in range(0, len(order), STEP):
+                part = order[i : i + STEP]
+                network.learn(target[part], around[:, part])
+            seen += len(target)
+            if keep:
+                left = pa.StructArray.from_arrays([pa.array([*chain.from_iterable(rare)], pa.string()), pa.array([m for own in rare for m in own.values()], pa.int64())], names=["word", "m"])
+                offsets = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+                yield rows("doc_id ids rare", [batch.column(0), pa.array([h.tobytes() for h in held], pa.binary()), pa.ListArray.from_arrays(offsets, left)])
+                rare.clear()
+        if seen:
+            flat = network.flat()
+            chunks = [flat[i : i + CHUNK].astype("<f4").tobytes() for i in range(0, len(flat), CHUNK)]
+            me, n = TaskContext.get().partitionId(), len(chunks)
+            yield rows("at task weight values", [pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, me, np.int32)), pa.array(np.full(n, seen, np.int64)), pa.array(chunks, pa.binary())])
+
+    return pick(docs, doc_id="long", text="string").mapInArrow(uncollected(run), _STEPS)
+
+
+def _mean(steps: DataFrame, network: Network) -> Network:
+    """The mean of the tasks' networks, by tokens; without any, the network as it was."""
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total, weight = None, None, 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([(total / weight).tobytes()], pa.binary())], names=["at", "values"])
+
+        for batch in batches:
+            for chunk, n, values in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if chunk != at:
+                    if at is not None:
+                        yield out()
+                    at, total, weight = chunk, 0.0, 0
+                total = total + n * np.frombuffer(values, "<f4").astype(np.float64)
+                weight += n
+        if at is not None:
+            yield out()
+
+    n = tasks(steps.sparkSession)
+    chunks = steps.where("at is not null").select("at", "task", "weight", "values")
+    means = chunks.repartition(n, "at").sortWithinPartitions("at", "task").mapInArrow(mean, "at int, values binary")
+    got = sorted((r["at"], bytes(r["values"])) for r in means.collect())  # one network's parameters, of a fixed number
+    return Network(np.frombuffer(b"".join(v for _, v in got), np.float64)) if got else network
+
+
+def _seen_as(words: Words) -> np.ndarray:
+    """The network's number of each number in ids: of counted words, that of their kind."""
+    held = np.fromiter(words.counted.values(), np.int64, len(words.counted)) % KINDS
+    return np.concatenate((np.arange(KINDS + len(words.numbered)), held)).astype(np.int32)
+
+
 def score(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """doc_id, score, log_likelihood, n_tokens, n_rare: one row for each row of docs.
 
@@ -346,43 +408,42 @@ def score(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """
     spark = prepare(docs.sparkSession)
     words = choose(stored(count_words(pick(docs, text="string")), "words"))
-    shared = spark.sparkContext.broadcast((train(docs, words.numbered, rounds).flat(), words.numbered, words.counted, words.kinds))
+    seen_as, start = _seen_as(words), Network()
+    steps = stored(_steps(docs, start, words.numbered, words), "tokens")
+    network = _mean(steps, start)
+    for _ in range(rounds - 1):
+        network = _mean(_steps(docs, network, words.numbered), network)
+    tokens = steps.where("at is null").select("doc_id", "ids", "rare")
+    held_counts, held_kinds = np.divmod(np.fromiter(words.counted.values(), np.int64, len(words.counted)), KINDS)
+    shared = spark.sparkContext.broadcast((network.flat(), seen_as, held_counts, held_kinds, np.array(words.kinds, float)))
+    first = KINDS + len(words.numbered)  # the number of the first counted word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, numbered, counted, kinds = shared.value
-        network, vocabulary, kinds = Network(flat), Vocabulary(chain(numbered, counted)), np.array(kinds, float)
-        held_counts, held_kinds = np.divmod(np.fromiter(counted.values(), np.int64, len(counted)), KINDS)
-        first = KINDS + len(numbered)  # the number of the first counted word
-        seen_as = np.concatenate((np.arange(first), held_kinds)).astype(np.int32)
-
-        def read(text: str) -> tuple[np.ndarray, Counter]:
-            rare: Counter = Counter()
-            return vocabulary.read(text, rare), rare
-
-        for batch, held in _groups(batches, 1, read):
-            target, around, owner = windows([seen_as.take(h[0]) for h in held])
+        flat, seen_as, held_counts, held_kinds, kinds = shared.value
+        network = Network(flat)
+        for batch, held in _groups(batches, 1, lambda ids: np.frombuffer(ids, "<i4")):
+            target, around, owner = windows([seen_as.take(h) for h in held])
             total = np.zeros(len(held))
             for i in range(0, len(target), STEP):
                 found = network.log_likelihoods(target[i : i + STEP], around[:, i : i + STEP])
                 total += np.bincount(owner[i : i + STEP], found, len(held))
             rare = target < KINDS
             own = np.bincount(owner[rare] * KINDS + target[rare], minlength=len(held) * KINDS).reshape(-1, KINDS)
-            all_ids = np.concatenate([h[0] for h in held])
+            all_ids = np.concatenate(held)
             at = np.flatnonzero(all_ids >= first)
             both, m = np.unique(owner[at] * len(seen_as) + all_ids[at], return_counts=True)
             doc, of = np.divmod(both, len(seen_as))
             kind_of, count = held_kinds[of - first], held_counts[of - first]
             share = (count - m + SMOOTH) / (kinds[kind_of, 0] + SMOOTH * kinds[kind_of, 1] - own[doc, kind_of])
             total += np.bincount(doc, m * np.log(share), len(held))
-            offsets = np.cumsum([0, *(len(h[1]) for h in held)]).astype(np.int32)
-            left = pa.StructArray.from_arrays([pa.array([w for h in held for w in h[1]], pa.string()), pa.array([m for h in held for m in h[1].values()], pa.int64())], names=["word", "m"])
-            n = np.array([len(h[0]) for h in held], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), *(pa.array(own[:, k].copy()) for k in range(KINDS)), pa.ListArray.from_arrays(offsets, left)], names=["doc_id", "n_tokens", "known", *(f"own{k}" for k in range(KINDS)), "rare"])
+            n = np.array([len(h) for h in held], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), *(pa.array(own[:, k].copy()) for k in range(KINDS)), batch.column(2)], names=["doc_id", "n_tokens", "known", *(f"own{k}" for k in range(KINDS)), "rare"])
 
     owns = [F.col(f"own{k}") for k in range(KINDS)]
     fields = ", ".join(f"own{k} long" for k in range(KINDS))
-    scored = pick(docs, doc_id="long", text="string").mapInArrow(uncollected(run), f"doc_id long, n_tokens long, known double, {fields}, rare array<struct<word: string, m: long>>")
+    scored = tokens.mapInArrow(uncollected(run), f"doc_id long, n_tokens long, known double, {fields}, rare array<struct<word: string, m: long>>")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    forget(steps)
     each = scored.where(F.size("rare") > 0).select("row", *owns, F.inline("rare")).join(words.others, "word")
     of_kind = F.element_at(F.array(*(F.lit(n + SMOOTH * d) - own for own, (n, d) in zip(owns, words.kinds, strict=True))), F.col("kind") + 1)
     part = F.col("m") * F.log((F.col("n") - F.col("m") + SMOOTH) / of_kind)
