@@ -126,8 +126,8 @@ def partners(left: dict, right: dict, k: int, percent: int, compare: Callable) -
 
 
 def _met_before(left: dict, right: dict) -> np.ndarray:
-    """Whether pairs of rows of one bucket share a bucket of an earlier place in their lists, where they are compared."""
-    return ((left["keys"] == right["keys"]) & (np.arange(left["keys"].shape[1]) < left["band"][:, None])).any(axis=1)
+    """Whether pairs of rows of one bucket share a bucket of an earlier place in their lists, where they are compared; 0 is none."""
+    return ((left["keys"] == right["keys"]) & (left["keys"] != 0) & (np.arange(left["keys"].shape[1]) < left["band"][:, None])).any(axis=1)
 
 
 def _small(group: np.ndarray, role: np.ndarray, rows: dict, k: int, percent: int, differ: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -256,7 +256,8 @@ def components(buckets: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame
     ones: then every pair across components that meets and can be similar has
     been decided by its whole sets. Large buckets are cut into tiles; only sets
     outside of the bucket's largest component are sent to all of them, so no
-    group is larger than two tiles and a hot bucket is spread.
+    group is larger than two tiles and a hot bucket is spread. From round to
+    round only the buckets of several components, and the sets in them, are kept.
     """
     spark = prepare(rows.sparkSession)
     parts = tasks(spark, rows)
@@ -264,10 +265,11 @@ def components(buckets: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame
     met = stored(buckets.join(many, "bucket").join(rows.select("fp", "n", "sketch"), "fp").select("bucket", "size", "fp", "n", "sketch"), "met")
     labels = stored(met.select("fp").distinct().withColumn("comp", F.col("fp")).withColumn("weight", F.lit(1).cast("long")), "labels")
     tested, k, single = None, PARTNERS, first is None
+    open_, own = met.select("bucket", "size", "fp"), rows
 
     def decided(pairs: DataFrame) -> DataFrame:
         """Links of pairs, by the whole sets of those that are in one that can be similar."""
-        pairs = stored(possible(pairs, rows, percent), "possible")
+        pairs = stored(possible(pairs, own, percent), "possible")
         needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
         sets = stored(sets_of(needed), "sets")
         links = stored(verified(pairs, sets, percent), "links")
@@ -287,15 +289,18 @@ def components(buckets: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame
             dealt = met.select(group.alias("group"), F.lit(3).alias("role"), "fp", F.col("fp").alias("comp"), "n", "sketch")
             large = not met.where(F.col("size") > TILE).limit(1).isEmpty()
         else:
-            dealt, several = _dealt(met, labels, rows.select("fp", "n", "sketch", *(() if keys is None else (F.col(keys).alias("keys"),))))
+            several = _several(open_, labels)
+            narrow = stored(_of(several, own, keys), "open")
+            for table in (met,) if own is rows else (own, open_):
+                forget(table)
+            open_, own, keys = several.select("bucket", "size", "fp"), narrow, None if keys is None else "keys"
+            dealt = _dealt(several, own.drop("wide"))
             large = False
         rows_ = dealt.repartition(parts, "group").sortWithinPartitions("group")
         found = rows_.mapInArrow(_candidates(k, percent, words, differ), "a long, b long, ca long, cb long, apart int, more boolean")
         found = found.groupBy("a", "b").agg(F.any_value("ca").alias("ca"), F.any_value("cb").alias("cb"), F.min("apart").alias("apart"), F.bool_or("more").alias("more"))
         nth = Window.partitionBy("a").orderBy("apart", "b")
         found = stored(found.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k + 1), "found")
-        if not single:
-            forget(several)
         count, more = found.agg(F.count("*"), F.bool_or(F.col("more") | (F.col("nth") > k))).first()
         if count:
             lesser, greater = F.least("a", "b"), F.greatest("a", "b")
@@ -316,14 +321,27 @@ def components(buckets: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame
     return labels.select("fp", "comp")
 
 
-def _dealt(met: DataFrame, labels: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _several(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (bucket, size, fp) of buckets with several components, with comp and weight of labels. Components only grow, so the next round's are among them."""
+    grouped = met.join(labels, "fp")
+    wide = grouped.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
+    return stored(grouped.join(wide, "bucket"), "several")  # few, once most sets are joined
+
+
+def _of(several: DataFrame, rows: DataFrame, keys: str | None) -> DataFrame:
+    """(fp, n, sketch, wide) of the sets in several, and, as keys, their buckets in order, 0 for those that are not in several: sets of different components do not meet there."""
+    if keys is None:
+        return rows.select("fp", "n", "sketch", "wide").join(several.select("fp").distinct(), "fp", "left_semi")
+    buckets = several.groupBy("fp").agg(F.collect_list("bucket").alias("buckets"))
+    kept = F.transform(keys, lambda k: F.when(F.array_contains("buckets", k), k).otherwise(F.lit(0).cast("long")))
+    return rows.join(buckets, "fp").select("fp", "n", "sketch", "wide", kept.alias("keys"))
+
+
+def _dealt(several: DataFrame, rows: DataFrame) -> DataFrame:
     """The groups of a round: buckets with several components, large ones cut so that rows outside of the largest component meet all others.
 
-    Sketches, and keys, are joined to them last. With them comes a table that they are read from.
+    Sketches, and keys, are joined to them last.
     """
-    grouped = met.select("bucket", "size", "fp").join(labels, "fp")
-    wide = grouped.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
-    several = stored(grouped.join(wide, "bucket"), "several")  # few, once most sets are joined
     major = several.groupBy("bucket").agg(F.max(F.struct("weight", "comp"))["comp"].alias("major"))
     open_ = several.join(major, "bucket").withColumn("minor", F.col("comp") != F.col("major"))
     small = open_.where(F.col("size") <= TILE).withColumn("role", F.when(F.col("minor"), 3).otherwise(1)).withColumn("group", F.col("bucket"))
@@ -337,7 +355,7 @@ def _dealt(met: DataFrame, labels: DataFrame, rows: DataFrame) -> tuple[DataFram
     columns = ["group", "role", "fp", "comp", "bucket"]
     every = small.select(columns).union(right.select(columns)).union(left.select(columns)).join(rows, "fp")
     band = [(F.array_position("keys", F.col("bucket")) - 1).cast("int").alias("band")] if "keys" in rows.columns else []
-    return every.select("group", "role", "fp", "comp", "n", "sketch", *(("keys", *band) if band else ())), several
+    return every.select("group", "role", "fp", "comp", "n", "sketch", *(("keys", *band) if band else ()))
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
