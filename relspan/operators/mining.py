@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from relspan.operators import columns as C
 from relspan.operators import distributions as D
+from relspan.operators import judging as J
 
 #: What a value outside the support counts, bounds of discreteness, and the p-value from which a fit is valid.
 OUTSIDE, WHOLE, MOST, VALID = math.log(1e-10), 0.95, 500, 0.05
@@ -56,20 +57,11 @@ def mine(tables: dict[str, DataFrame], spark: SparkSession, wanted: list[C.Wante
         return spark.createDataFrame([], MINED)
     values = C.tall(tables, wanted)
     of = {k: fits(s) for k, s in C.summaries(values).items() if s["n"] >= least and s["n"] >= 0.2 * s["rows"]}
-    at = C.cumulated(values.where(F.col("key").isin(list(of))))
-    used = sorted({f for own in of.values() for f in own})
-    judged = []
-    for f in used:
-        own = {k: p[f] for k, p in of.items() if f in p}
-        judged.append(F.sum(C.each_key({k: D.log_densities(f, p, OUTSIDE) for k, p in own.items()}) * F.col("n")).alias(f"ll_{f}"))
-        judged.append(F.max(C.each_key({k: D.gap(f, p, True) for k, p in own.items()})).alias(f"ks_{f}"))
-    found = at.groupBy("key").agg(F.count("*").alias("different"), F.max("total").alias("n"), *judged)
-    rows = spark.createDataFrame([(k, t, c, f, json.dumps(of[k][f]), len(of[k][f])) for k, t, c in wanted if k in of for f in of[k]], "key string, table string, column string, family string, params string, free int")
-    each = F.array(*(F.struct(F.lit(f).alias("family"), F.col(f"ll_{f}").alias("ll"), F.col(f"ks_{f}").alias("ks"), F.lit(f in D.DISCRETE).alias("discrete")) for f in used)) if used else F.array()
-    if not used:
+    if not any(of.values()):
         return spark.createDataFrame([], MINED)
-    long = found.select("key", "different", "n", F.explode(each).alias("e")).select("key", "different", "n", "e.*").where(~F.col("discrete") | (F.col("different") <= MOST))
-    both = long.join(F.broadcast(rows), ["key", "family"])  # a row a column and family
+    found = J.judge(C.cumulated(values.where(F.col("key").isin(list(of)))), of, OUTSIDE, MOST)
+    rows = spark.createDataFrame([(k, t, c, f, json.dumps(of[k][f]), len(of[k][f])) for k, t, c in wanted if k in of for f in of[k]], "key string, table string, column string, family string, params string, free int")
+    both = found.join(F.broadcast(rows), ["key", "family"])  # a row a column and family
     free, n = F.col("free").cast("double"), F.col("n").cast("double")
     told = both.select("key", "table", "column", "family", "params", (2 * free - 2 * F.col("ll")).alias("aic"), (free * F.ln(n) - 2 * F.col("ll")).alias("bic"), "ks", p_value(F.col("ks"), n).alias("p_value"))
     told = told.withColumn("valid", F.col("p_value") >= VALID)
